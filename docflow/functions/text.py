@@ -60,4 +60,4 @@ def chunk_id(doc_id, index) -> Column:
 
 def fixed3(x) -> Column:
     """Render a score with three decimals (half-up on the decimal value)."""
-    return F.format_string("%.3f", F.round(_c(x).cast("decimal(20,9)"), 3))
+    return F.round(_c(x).cast("decimal(20,9)"), 3).cast("decimal(20,3)").cast("string")

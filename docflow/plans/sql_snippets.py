@@ -4,6 +4,12 @@ MAX_TOKENS = 400
 OVERLAP = 40
 STEP = MAX_TOKENS - OVERLAP
 
+def chunks_cte(name: str = "chunks", src: str = "documents") -> str:
+    """C1 in SQL over ``src`` (doc_id, text)."""
+    return CHUNKS_CTE.replace("chunks AS (", f"{name} AS (", 1).replace(
+        "FROM documents", f"FROM {src}", 1)
+
+
 CHUNKS_CTE = rf"""
 chunks AS (
   SELECT printf('%s_chunk_%04d', doc_id::VARCHAR, i) AS chunk_id, doc_id, i::BIGINT AS chunk_index,
@@ -47,3 +53,38 @@ qt AS (SELECT query_id, len(qs) AS nq, unnest(qs) AS tok FROM (SELECT query_id,
 ct AS (SELECT chunk_id, doc_id, chunk_index, unnest({kwset('text')}) AS tok FROM {c_src}),
 m AS (SELECT query_id, chunk_id, doc_id, chunk_index, count(*) / any_value(nq) AS score
       FROM qt JOIN ct USING (tok) GROUP BY query_id, chunk_id, doc_id, chunk_index)"""
+
+
+EMAIL_RE2 = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+CARD_RE2 = r"\b(?:\d[ -]*?){13,16}\b"
+# RE2 has no look-around: the phone rule uses capture groups and is applied twice.
+PHONE_RE2 = r"(^|\D)(?:\+?\d[\s\-()]?){9,14}\d(\D|$)"
+
+
+def redact_sql(x: str) -> str:
+    e = f"regexp_replace({x}, '{EMAIL_RE2}', '[EMAIL]', 'g')"
+    c = f"regexp_replace({e}, '{CARD_RE2}', '[CARD]', 'g')"
+    p1 = f"regexp_replace({c}, '{PHONE_RE2}', '\\1[PHONE]\\2', 'g')"
+    return f"regexp_replace({p1}, '{PHONE_RE2}', '\\1[PHONE]\\2', 'g')"
+
+
+def norm_sql(x: str) -> str:
+    return rf"lower(trim(regexp_replace({x}, '[\s\v]+', ' ', 'g')))"
+
+
+def fixed3_sql(x: str) -> str:
+    return f"printf('%.3f', round(({x})::DECIMAL(20, 9), 3)::DOUBLE)"
+
+
+def keyword_topk_ctes(q_sql: str, k: int = 5) -> str:
+    """chunks, q, m, allp, top: top-k chunks per query by keyword overlap with zero fill."""
+    return f"""{CHUNKS_CTE},
+q AS ({q_sql}),
+{keyword_matches_cte()},
+allp AS (SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index, c.text AS chunk_text,
+                coalesce(m.score, 0.0) AS score
+         FROM q CROSS JOIN chunks c
+         LEFT JOIN m ON m.query_id = q.query_id AND m.chunk_id = c.chunk_id),
+top AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank
+  FROM allp) WHERE rank <= {k})"""
