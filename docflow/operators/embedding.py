@@ -70,24 +70,53 @@ def embed_md5_sparse(df: DataFrame, id_cols: list[str], text_col: str = "text",
     return counts.select(*id_cols, "idx", (F.col("cnt") / norm).alias("weight"))
 
 
+def embed_md5_vectors(df: DataFrame, id_cols: list[str], text_col: str = "text",
+                      dim: int = DEFAULT_DIM) -> DataFrame:
+    """Sparse raw-count vectors, one row per input id: id_cols..., idx ARRAY<BIGINT>,
+    cnt ARRAY<DOUBLE>, norm DOUBLE. Rows without tokens keep empty arrays (norm 0).
+
+    explode_outer keeps every id; the first aggregation (ids, idx) is combined map-side,
+    the second gathers at most ``dim`` entries per id.
+    """
+    check_dim(dim)
+    ex = df.select(*id_cols, F.explode_outer(word_tokens(text_col)).alias("_tok"))
+    b = ex.select(*id_cols, F.when(F.col("_tok").isNotNull(), md5_bucket(F.col("_tok"), dim)).alias("idx"),
+                  F.when(F.col("_tok").isNotNull(), md5_sign(F.col("_tok"))).alias("_s"))
+    per = b.groupBy(*id_cols, "idx").agg(F.sum("_s").cast("bigint").alias("cnt"))
+    entry = F.when(F.col("idx").isNotNull() & (F.col("cnt") != 0), F.struct("idx", "cnt"))
+    g = per.groupBy(*id_cols).agg(F.collect_list(entry).alias("_e"))
+    g = g.select(*id_cols, F.array_sort("_e").alias("_e"))
+    return g.select(*id_cols, F.transform("_e", lambda e: e["idx"]).alias("idx"),
+                    F.transform("_e", lambda e: e["cnt"].cast("double")).alias("cnt"),
+                    F.sqrt(F.aggregate("_e", F.lit(0.0),
+                                       lambda a, e: a + (e["cnt"] * e["cnt"]).cast("double"))).alias("norm"))
+
+
+def sparse_to_dense(idx: Column, cnt: Column, dim: int) -> Column:
+    """Scatter (idx, cnt) arrays into a dense ARRAY<DOUBLE> of length ``dim``
+    (Arrow-batched numpy; a small per-row helper)."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def _dense(i: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for ii, cc in zip(i, c):
+            v = np.zeros(dim, dtype=np.float64)
+            if ii is not None and len(ii):
+                v[np.asarray(ii, dtype=np.int64)] = np.asarray(cc, dtype=np.float64)
+            out.append(v)
+        return pd.Series(out)
+
+    return _dense(idx, cnt)
+
+
 def embed_md5_dense(df: DataFrame, id_cols: list[str], text_col: str = "text",
                     dim: int = DEFAULT_DIM) -> DataFrame:
     """Dense raw-count vectors: id_cols..., vec ARRAY<DOUBLE> (length dim), norm DOUBLE.
 
-    Every input row is kept (no tokens -> zero vector, norm 0). Counts stay integers
-    so dot products are exact; cosine = dot / (norm_a * norm_b).
+    Counts stay integers so dot products are exact; cosine = dot / (norm_a * norm_b).
     """
-    counts = embed_md5_counts(df, id_cols, text_col, dim)
-    packed = counts.groupBy(*id_cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "cnt"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0)).cast("double"))
-    vecs = packed.select(*id_cols, dense.alias("vec"))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    out = df.select(*id_cols).join(vecs, on=id_cols, how="left")
-    out = out.select(*id_cols, F.coalesce("vec", zeros).alias("vec"))
-    sq = F.aggregate(F.col("vec"), F.lit(0.0), lambda acc, x: acc + x * x)
-    return out.withColumn("norm", F.sqrt(sq))
+    v = embed_md5_vectors(df, id_cols, text_col, dim)
+    return v.select(*id_cols, sparse_to_dense(F.col("idx"), F.col("cnt"), dim).alias("vec"), "norm")
 
 
 # ---- E1: exact blake2b variant (pandas UDF) ---------------------------------

@@ -82,20 +82,24 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
 
 
-def clause_scores(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Positive clause scores: query_id, clause_id, position, score (BIGINT > 0).
+def clause_scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Positive scores per (query, distinct library text): query_id, _tid, score.
 
-    queries: query_id, query. library: clause_id, position, text.
+    queries: query_id, query. texts: _tid (text id), _lt (lower-cased text), one row per
+    distinct text.
+    Postings (token -> texts containing it) are computed once per distinct token (gram
+    equi-join + ``contains``), then joined to the per-query token counts.
     """
     qt = (queries.select("query_id", F.explode(_query_tokens(F.col("query"))).alias("tok"))
-                 .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult"))
-                 .withColumn("gram", F.when(F.length("tok") <= GRAM, F.col("tok"))
-                             .otherwise(F.substring("tok", 1, GRAM))))
-    lib = library.select("clause_id", "position", F.lower("text").alias("_lt"))
-    lg = lib.select("clause_id", "position", "_lt", F.explode(_grams(F.col("_lt"))).alias("gram"))
-    hits = lg.join(sized_broadcast(qt), "gram").where(F.contains(F.col("_lt"), F.col("tok")))
-    return (hits.groupBy("query_id", "clause_id", "position")
-                .agg(F.sum("mult").cast("bigint").alias("score")))
+                 .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult")))
+    toks = qt.select("tok").distinct().withColumn(
+        "gram", F.when(F.length("tok") <= GRAM, F.col("tok")).otherwise(F.substring("tok", 1, GRAM)))
+    lg = texts.select("_tid", "_lt", F.explode(_grams(F.col("_lt"))).alias("gram"))
+    postings = (lg.join(sized_broadcast(toks), "gram")
+                  .where(F.contains(F.col("_lt"), F.col("tok")))
+                  .select("tok", "_tid"))
+    hits = postings.join(qt, "tok")
+    return hits.groupBy("query_id", "_tid").agg(F.sum("mult").cast("bigint").alias("score"))
 
 
 def clause_lookup(queries: DataFrame, library: DataFrame,
@@ -103,23 +107,39 @@ def clause_lookup(queries: DataFrame, library: DataFrame,
     """JN6+W2: per query its ``top_k`` (column, default 3) entries by score desc, stable by
     library position; zero-score entries still fill the list.
 
-    Zero fills come from the first 2*MAX_CLAUSE_TOP_K entries by position, attached
-    through a scalar subquery (bounded).
+    Entries with the same lower-cased text score the same, so scoring runs once per
+    distinct text; each text keeps its first MAX_CLAUSE_TOP_K positions (a per-text
+    WindowGroupLimit, so a text repeated a million times still costs MAX_CLAUSE_TOP_K
+    rows), and the best texts per query are expanded back to entries - exact, because
+    any entry of the final top-k belongs to a text whose first entry ranks at least as
+    high. Zero fills come from the first 2*MAX_CLAUSE_TOP_K entries by position through
+    a scalar subquery (bounded).
     Output: query_id, clause_id, position, score, rank.
     """
     top_k = (F.coalesce(F.col("top_k"), F.lit(default_top_k)) if "top_k" in queries.columns
              else F.lit(default_top_k))
     q = queries.select("query_id", "query", top_k.alias("_k"))
-    scored = clause_scores(q, library)
+    lib = library.select("clause_id", "position", F.lower("text").alias("_lt"))
+    firsts = topk_per_group(lib, ["_lt"], [F.col("position"), F.col("clause_id")],
+                            MAX_CLAUSE_TOP_K).drop("rank")
+    # a text is identified by its first position (unique), so later joins use a long key
+    texts = firsts.groupBy("_lt").agg(
+        F.min("position").alias("_tid"),
+        F.collect_list(F.struct("position", "clause_id")).alias("_entries"))
+    scored = clause_scores(q, texts.select("_tid", "_lt"))
+    best = topk_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("_tid")],
+                          MAX_CLAUSE_TOP_K).drop("rank")
+    entries = (best.join(texts.select("_tid", "_entries"), "_tid")
+                   .select("query_id", "score", F.explode("_entries").alias("_e"))
+                   .select("query_id", "_e.clause_id", "_e.position", "score"))
     order = [F.col("score").desc(), F.col("position")]
-    best = topk_per_group(scored, ["query_id"], order, MAX_CLAUSE_TOP_K).drop("rank")
     head = (library.select("clause_id", "position").orderBy("position")
                    .limit(2 * MAX_CLAUSE_TOP_K)
                    .select(F.collect_list(F.struct("clause_id", "position"))).scalar())
     fill = q.select("query_id", F.explode(head).alias("_e")).select(
         "query_id", "_e.clause_id", "_e.position", F.lit(0).cast("bigint").alias("score"))
-    both = best.unionByName(fill).groupBy("query_id", "clause_id", "position") \
-               .agg(F.max("score").alias("score"))
+    both = entries.unionByName(fill).groupBy("query_id", "clause_id", "position") \
+                  .agg(F.max("score").alias("score"))
     ranked = topk_per_group(both, ["query_id"], order, MAX_CLAUSE_TOP_K)
     return ranked.join(q.select("query_id", "_k"), "query_id") \
                  .where(F.col("rank") <= F.col("_k")).drop("_k")

@@ -102,7 +102,8 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K,
 _BLOCK_SCHEMA = "blk long, keys string, n int, mat binary, norms binary"
 
 
-def _pack(key_cols: list[str], vec_col: str, norm_col: str | None, block_rows: int):
+def _pack(key_cols: list[str], vec_col: str | None, norm_col: str | None, block_rows: int,
+          sparse: tuple[str, str, int] | None = None):
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyspark
 
@@ -114,7 +115,14 @@ def _pack(key_cols: list[str], vec_col: str, norm_col: str | None, block_rows: i
             pdf = pdf.sort_values(key_cols, kind="mergesort").reset_index(drop=True)
             for s in range(0, len(pdf), block_rows):
                 part = pdf.iloc[s:s + block_rows]
-                mat = np.stack([np.asarray(v, dtype=np.float64) for v in part[vec_col]])
+                if sparse is None:
+                    mat = np.stack([np.asarray(v, dtype=np.float64) for v in part[vec_col]])
+                else:
+                    ic, cc, dim = sparse
+                    mat = np.zeros((len(part), dim), dtype=np.float64)
+                    for r, (ii, vv) in enumerate(zip(part[ic], part[cc])):
+                        if ii is not None and len(ii):
+                            mat[r, np.asarray(ii, dtype=np.int64)] = np.asarray(vv, dtype=np.float64)
                 norms = (np.ones(len(part)) if norm_col is None
                          else part[norm_col].to_numpy(dtype=np.float64))
                 seq += 1
@@ -128,12 +136,15 @@ def _pack(key_cols: list[str], vec_col: str, norm_col: str | None, block_rows: i
     return fn
 
 
-def pack_blocks(df: DataFrame, key_cols: list[str], vec_col: str = "vec",
-                norm_col: str | None = None, block_rows: int = 2048) -> DataFrame:
+def pack_blocks(df: DataFrame, key_cols: list[str], vec_col: str | None = "vec",
+                norm_col: str | None = None, block_rows: int = 2048,
+                sparse: tuple[str, str, int] | None = None) -> DataFrame:
     """Pack rows into blocks of <= block_rows (one row per block) within each partition;
-    no shuffle. Keys travel as JSON, the matrix as float64 bytes."""
-    cols = key_cols + [vec_col] + ([norm_col] if norm_col else [])
-    return df.select(*cols).mapInPandas(_pack(key_cols, vec_col, norm_col, block_rows),
+    no shuffle. Keys travel as JSON, the matrix as float64 bytes. ``sparse=(idx_col,
+    val_col, dim)`` scatters sparse rows into the dense block."""
+    vcols = [vec_col] if sparse is None else [sparse[0], sparse[1]]
+    cols = key_cols + vcols + ([norm_col] if norm_col else [])
+    return df.select(*cols).mapInPandas(_pack(key_cols, vec_col, norm_col, block_rows, sparse),
                                         _BLOCK_SCHEMA)
 
 
@@ -178,7 +189,8 @@ def _score_pairs(q_key: str, i_keys: list[str], k: int, digits: int, out_schema:
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                 query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
                 vec_col: str = "vec", norm_col: str | None = None, digits: int | None = 9,
-                block_rows: int = 2048, max_query_rows: int = 1_000_000) -> DataFrame:
+                block_rows: int = 2048, max_query_rows: int = 1_000_000,
+                sparse: tuple[str, str, int] | None = None) -> DataFrame:
     """R1+W1: exact top-k by cosine (dot / (|q| |c|); pass ``norm_col=None`` for unit
     vectors) for every query over the whole index.
 
@@ -191,8 +203,8 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
     n_q = queries.limit(max_query_rows + 1).count()
     if n_q > max_query_rows:
         raise ValueError(f"query side exceeds {max_query_rows} rows; split the queries")
-    qb = pack_blocks(queries, [query_key], vec_col, norm_col, block_rows)
-    ib = pack_blocks(index, list(index_keys), vec_col, norm_col, block_rows)
+    qb = pack_blocks(queries, [query_key], vec_col, norm_col, block_rows, sparse)
+    ib = pack_blocks(index, list(index_keys), vec_col, norm_col, block_rows, sparse)
     qb = qb.select(*[F.col(c).alias(f"q_{c}") for c in qb.columns])
     ib = ib.select(*[F.col(c).alias(f"i_{c}") for c in ib.columns])
     pairs = ib.join(F.broadcast(qb), how="cross")
@@ -215,15 +227,33 @@ def _maybe_round(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
+def _candidate_cosine(cands: DataFrame, query_vecs: DataFrame, chunk_vecs: DataFrame) -> DataFrame:
+    """cosine for (query_id, chunk_id) candidate pairs from sparse count vectors
+    (idx, cnt, norm): explode both sides, equi-join on (query_id, idx), sum."""
+    cv = chunk_vecs.join(cands.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    ce = cv.select("chunk_id", F.col("norm").alias("_cn"),
+                   F.explode(F.arrays_zip("idx", "cnt")).alias("_e")) \
+           .select("chunk_id", "_cn", F.col("_e.idx").alias("idx"), F.col("_e.cnt").alias("_cc"))
+    qe = query_vecs.select("query_id", F.col("norm").alias("_qn"),
+                           F.explode(F.arrays_zip("idx", "cnt")).alias("_e")) \
+                   .select("query_id", "_qn", F.col("_e.idx").alias("idx"), F.col("_e.cnt").alias("_qc"))
+    pairs = cands.select("query_id", "chunk_id").join(ce, "chunk_id").join(qe, ["query_id", "idx"])
+    d = pairs.groupBy("query_id", "chunk_id", "_qn", "_cn").agg(F.sum(F.col("_qc") * F.col("_cc")).alias("_d"))
+    return d.select("query_id", "chunk_id",
+                    F.when((F.col("_qn") > 0) & (F.col("_cn") > 0),
+                           F.col("_d") / (F.col("_qn") * F.col("_cn"))).alias("vec_score"))
+
+
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
                 chunk_vecs: DataFrame, k: int = DEFAULT_TOP_K,
-                vector_weight: float = DEFAULT_VECTOR_WEIGHT, digits: int | None = None) -> DataFrame:
+                vector_weight: float = DEFAULT_VECTOR_WEIGHT, digits: int | None = None,
+                dim: int = 384) -> DataFrame:
     """R7 re-aimed on Spark: candidates = top 2k by vector (over all chunks) union top 2k
     by keyword (over matching chunks); each candidate is re-scored with the blend
     ``w*vec + (1-w)*kw`` (R3) and the best k are kept, ties by (doc_id, chunk_index).
 
-    ``query_vecs``: query_id, vec, norm. ``chunk_vecs``: chunk_id, doc_id, chunk_index,
-    vec, norm (raw counts; see embedding.embed_md5_dense).
+    ``query_vecs``: query_id, idx, cnt, norm. ``chunk_vecs``: chunk_id, doc_id, chunk_index,
+    idx, cnt, norm (sparse raw counts; see embedding.embed_md5_vectors).
     Output: query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank.
     """
     check_vector_weight(vector_weight)
@@ -232,22 +262,16 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     kw_order = [F.col("kw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
     kw_top = topk_per_group(kw, ["query_id"], kw_order, depth).drop("rank")
     vec_top = vector_topk(query_vecs, chunk_vecs, depth, "query_id",
-                          ("doc_id", "chunk_index", "chunk_id"), "vec", "norm", digits)
+                          ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
+                          sparse=("idx", "cnt", dim))
     cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
              .unionByName(kw_top.select("query_id", "chunk_id", "doc_id", "chunk_index"))
              .distinct())
     cands = sized_broadcast(cands)
     # kw score of every candidate: matched pairs joined to the small candidate set.
     kw_c = kw.join(cands, ["query_id", "chunk_id", "doc_id", "chunk_index"], "left_semi")
-    # vec score of every candidate: candidate x chunk vector x query vector, bounded.
-    cv = chunk_vecs.select("chunk_id", F.col("vec").alias("_cv"), F.col("norm").alias("_cn"))
-    qv = query_vecs.select("query_id", F.col("vec").alias("_qv"), F.col("norm").alias("_qn"))
-    dotp = F.aggregate(F.zip_with("_qv", "_cv", lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, x: acc + x)
-    cos = F.when((F.col("_qn") > 0) & (F.col("_cn") > 0),
-                 dotp / (F.col("_qn") * F.col("_cn"))).otherwise(F.lit(0.0))
-    vs = (cv.join(cands, "chunk_id").join(sized_broadcast(qv), "query_id")
-            .select("query_id", "chunk_id", _maybe_round(cos, digits).alias("vec_score")))
+    # vec score of every candidate: exact sparse dot over shared buckets (integer counts).
+    vs = _candidate_cosine(cands, query_vecs, chunk_vecs)
     scored = (cands.join(vs, ["query_id", "chunk_id"], "left")
                    .join(kw_c, ["query_id", "chunk_id", "doc_id", "chunk_index"], "left")
                    .select("query_id", "chunk_id", "doc_id", "chunk_index",

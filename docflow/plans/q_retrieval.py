@@ -139,6 +139,6 @@ SELECT query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank
 def hybrid_topk(spark, sf):
     chunks = _chunks(spark, sf)
     queries = _queries(spark, sf)
-    qv = embedding.embed_md5_dense(queries, ["query_id"])
-    cv = embedding.embed_md5_dense(chunks, ["chunk_id", "doc_id", "chunk_index"])
+    qv = embedding.embed_md5_vectors(queries, ["query_id"])
+    cv = embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"])
     return retrieval.hybrid_topk(queries, chunks, qv, cv, k=5)
