@@ -15,10 +15,10 @@ from docflow import contracts
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Every ``*.txt`` under ``path`` -> (doc_id = file stem, text = whole file,
-    source = 'local'). File names are percent-decoded. Order is not part of the result;
+    source = 'local'). The file URI is percent-decoded back to the literal file name. Order is not part of the result;
     sort by doc_id where the order is contractual (W6)."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern) \
-                   .option("recursiveFileLookup", "true").text(path)
+    df = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true") \
+                   .text(path, wholetext=True)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1)
     return df.select(F.url_decode(name).alias("doc_id"), F.col("value").alias("text"),
                      F.lit("local").alias("source"))
