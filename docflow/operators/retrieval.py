@@ -190,17 +190,19 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                 query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
                 vec_col: str = "vec", norm_col: str | None = None, digits: int | None = 9,
                 block_rows: int = 2048, max_query_rows: int = 1_000_000,
-                sparse: tuple[str, str, int] | None = None) -> DataFrame:
+                sparse: tuple[str, str, int] | None = None,
+                n_queries: int | None = None) -> DataFrame:
     """R1+W1: exact top-k by cosine (dot / (|q| |c|); pass ``norm_col=None`` for unit
     vectors) for every query over the whole index.
 
     Ties (after rounding to ``digits``) break by ``index_keys`` ascending. The query side
-    must be at most ``max_query_rows`` (checked); it is packed into blocks and broadcast,
+    must be at most ``max_query_rows`` (checked with a bounded count, or given as
+    ``n_queries`` by a caller that already counted it); it is packed into blocks and broadcast,
     the index streams in blocks, each block pair is one matmul emitting <= k rows per
     query, and a final WindowGroupLimit keeps k. Output: query_key, index_keys..., score,
     rank.
     """
-    n_q = queries.limit(max_query_rows + 1).count()
+    n_q = n_queries if n_queries is not None else queries.limit(max_query_rows + 1).count()
     if n_q > max_query_rows:
         raise ValueError(f"query side exceeds {max_query_rows} rows; split the queries")
     qb = pack_blocks(queries, [query_key], vec_col, norm_col, block_rows, sparse)
@@ -258,16 +260,23 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     """
     check_vector_weight(vector_weight)
     depth = 2 * k
+    # One bounded count of the raw query table proves every later size bound: at most
+    # 2 * depth candidates per query, so the candidate set is broadcast without counting
+    # the (expensive to recompute) candidate frame itself.
+    max_q = 1_000_000
+    n_q = queries.limit(max_q + 1).count()
+    if n_q > max_q:
+        raise ValueError(f"query side exceeds {max_q} rows; split the queries")
     kw = keyword_scores(queries, chunks)
     kw_order = [F.col("kw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
     kw_top = topk_per_group(kw, ["query_id"], kw_order, depth).drop("rank")
     vec_top = vector_topk(query_vecs, chunk_vecs, depth, "query_id",
                           ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
-                          sparse=("idx", "cnt", dim))
+                          sparse=("idx", "cnt", dim), n_queries=n_q)
     cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
              .unionByName(kw_top.select("query_id", "chunk_id", "doc_id", "chunk_index"))
              .distinct())
-    cands = sized_broadcast(cands)
+    cands = F.broadcast(cands) if 2 * depth * n_q <= 5_000_000 else cands
     # kw score of every candidate: matched pairs joined to the small candidate set.
     kw_c = kw.join(cands, ["query_id", "chunk_id", "doc_id", "chunk_index"], "left_semi")
     # vec score of every candidate: exact sparse dot over shared buckets (integer counts).
