@@ -167,3 +167,43 @@ def telemetry_rollup(traces: DataFrame, dims: list[str], value: str) -> DataFram
         F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("sum_value"),
         F.min(value).alias("min_value"), F.max(value).alias("max_value"),
         F.grouping_id().cast("bigint").alias("level"))
+
+
+# ---- judge run and report (P4, J10, A17) -------------------------------------
+
+
+def judge_message(response: Column) -> Column:
+    """The judge's user message: 'Response to score:' + the response as indented
+    JSON. Spark's pretty layout differs from Python's ``indent=2`` in whitespace only
+    (compare parsed JSON, not text)."""
+    return F.concat(F.lit("Response to score:\n"), F.to_json(response, {"pretty": "true"}))
+
+
+def judge_run(traces: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Strict-parse the trace responses (V3), attach the judge's scores by doc_id,
+    drop invalid score rows (V5). Returns (per_doc, aggregate).
+
+    traces: one JSON response per row in ``response`` (e.g. decode_dims output);
+    scores: judge_scores rows (doc_id + four dimensions + notes).
+    per_doc: doc_id, mean, the four dimensions, notes (valid rows only).
+    """
+    from docflow.operators.transcripts import parse_response
+
+    p = traces.select(parse_response(F.col("response")).alias("_p"))
+    ok = p.where(F.col("_p.error").isNull()).select(F.col("_p.response.doc_id").alias("doc_id"))
+    j = ok.join(scores, "doc_id")
+    chk = contracts.with_errors(j, contracts.judge_rules())
+    per_doc = chk.where(F.size("errors") == 0).select(
+        "doc_id", judge_mean(chk).alias("mean"), *contracts.JUDGE_DIMENSIONS, "notes")
+    return per_doc, judge_aggregate(j)
+
+
+def regression_report(aggregate: DataFrame, baseline_mean: Column, generated_at: Column,
+                      threshold: float = JUDGE_REGRESSION_THRESHOLD) -> DataFrame:
+    """The one-row report header (per-doc rows stay their own table): timestamp,
+    n_traces, mean_score, per_dimension MAP, baseline_mean, delta, threshold, regressed.
+    ``generated_at`` is a parameter (never ``now()`` inside a compared column)."""
+    v = regression_verdict(aggregate, baseline_mean, threshold)
+    dims = F.create_map(*[x for d in contracts.JUDGE_DIMENSIONS for x in (F.lit(d), F.col(d))])
+    return v.select(generated_at.alias("timestamp"), "n_traces", "mean_score",
+                    dims.alias("per_dimension"), "baseline_mean", "delta", "threshold", "regressed")
