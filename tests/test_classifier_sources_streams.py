@@ -104,3 +104,29 @@ def test_streaming_matches_batch(spark):
     want = ev.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").count()
     assert got.count() == want.count()
     assert got.agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    import datetime as dt
+    import time
+
+    import pandas as pd
+
+    d = tempfile.mkdtemp(prefix="docflow-stream-")
+    day = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    # Late rows are filtered with the previous batch's watermark, so the late row comes
+    # two batches after the row that moved the watermark to Jan 9.
+    batches = [[(1, day(1, 1), "view"), (2, day(1, 2), "view")],   # window 2024-01-01
+               [(3, day(10), "view")],                              # moves the watermark to Jan 9
+               [(5, day(10, 1), "view")],
+               [(4, day(1, 3), "view")]]                            # late: dropped
+    for i, b in enumerate(batches):
+        pd.DataFrame(b, columns=["event_id", "ts", "event_type"]).to_parquet(
+            f"{d}/part-{i}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+        os.utime(f"{d}/part-{i}.parquet", (time.time() + i, time.time() + i))
+    schema = spark.read.parquet(d).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+    out = st.run_available_now(st.daily_counts(stream), "t_late", "append")
+    got = {r.window.start.day: r.n for r in out.collect()}
+    assert got.get(1) == 2          # the late row of Jan 1 never reached the window
+    assert 10 not in got            # still open under the watermark: withheld in append mode
