@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import word_tokens
+from docflow.session import spread
 
 DEFAULT_DIM = 384
 
@@ -31,12 +32,14 @@ def check_dim(dim: int) -> None:
         raise ValueError("dim must be at least 32")
 
 
-def md5_bucket(tok: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+def md5_bucket(tok: Column, dim: int, hexdigest: Column | None = None) -> Column:
+    h = F.md5(tok) if hexdigest is None else hexdigest
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def md5_sign(tok: Column) -> Column:
-    odd = F.pmod(F.conv(F.substring(F.md5(tok), 9, 2), 16, 10).cast("int"), F.lit(2)) == 1
+def md5_sign(tok: Column, hexdigest: Column | None = None) -> Column:
+    h = F.md5(tok) if hexdigest is None else hexdigest
+    odd = F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 1
     return F.when(odd, F.lit(1)).otherwise(F.lit(-1))
 
 
@@ -49,10 +52,11 @@ def embed_md5_counts(df: DataFrame, id_cols: list[str], text_col: str = "text",
     """
     check_dim(dim)
     tok = F.explode(word_tokens(text_col)).alias("_tok")
-    ex = df.select(*id_cols, tok)
+    ex = spread(df.select(*id_cols, text_col)).select(*id_cols, tok)
+    ex = ex.select(*id_cols, "_tok", F.md5("_tok").alias("_h"))   # hash each token once
     return (
-        ex.select(*id_cols, md5_bucket(F.col("_tok"), dim).alias("idx"),
-                  md5_sign(F.col("_tok")).alias("_s"))
+        ex.select(*id_cols, md5_bucket(F.col("_tok"), dim, F.col("_h")).alias("idx"),
+                  md5_sign(F.col("_tok"), F.col("_h")).alias("_s"))
         .groupBy(*id_cols, "idx").agg(F.sum("_s").cast("bigint").alias("cnt"))
         .where(F.col("cnt") != 0)
     )
@@ -79,9 +83,11 @@ def embed_md5_vectors(df: DataFrame, id_cols: list[str], text_col: str = "text",
     the second gathers at most ``dim`` entries per id.
     """
     check_dim(dim)
-    ex = df.select(*id_cols, F.explode_outer(word_tokens(text_col)).alias("_tok"))
-    b = ex.select(*id_cols, F.when(F.col("_tok").isNotNull(), md5_bucket(F.col("_tok"), dim)).alias("idx"),
-                  F.when(F.col("_tok").isNotNull(), md5_sign(F.col("_tok"))).alias("_s"))
+    ex = spread(df.select(*id_cols, text_col)).select(
+        *id_cols, F.explode_outer(word_tokens(text_col)).alias("_tok"))
+    ex = ex.select(*id_cols, "_tok", F.md5("_tok").alias("_h"))   # hash each token once
+    b = ex.select(*id_cols, F.when(F.col("_tok").isNotNull(), md5_bucket(F.col("_tok"), dim, F.col("_h"))).alias("idx"),
+                  F.when(F.col("_tok").isNotNull(), md5_sign(F.col("_tok"), F.col("_h"))).alias("_s"))
     per = b.groupBy(*id_cols, "idx").agg(F.sum("_s").cast("bigint").alias("cnt"))
     entry = F.when(F.col("idx").isNotNull() & (F.col("cnt") != 0), F.struct("idx", "cnt"))
     g = per.groupBy(*id_cols).agg(F.collect_list(entry).alias("_e"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.retrieval import topk_per_group
-from docflow.session import sized_broadcast
+from docflow.session import sized_broadcast, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
 PRICES = (
@@ -119,7 +119,8 @@ def clause_lookup(queries: DataFrame, library: DataFrame,
     top_k = (F.coalesce(F.col("top_k"), F.lit(default_top_k)) if "top_k" in queries.columns
              else F.lit(default_top_k))
     q = queries.select("query_id", "query", top_k.alias("_k"))
-    lib = library.select("clause_id", "position", F.lower("text").alias("_lt"))
+    lib = spread(library.select("clause_id", "position", "text")).select(
+        "clause_id", "position", F.lower("text").alias("_lt"))
     firsts = topk_per_group(lib, ["_lt"], [F.col("position"), F.col("clause_id")],
                             MAX_CLAUSE_TOP_K).drop("rank")
     # a text is identified by its first position (unique), so later joins use a long key

@@ -11,7 +11,7 @@ from docflow.functions.text import count_tokens, keyword_set, truncate, word_tok
 from docflow.operators import guardrails
 from docflow.plans.registry import register
 from docflow.plans.sql_snippets import kwset, words
-from docflow.session import table
+from docflow.session import spread, table
 
 # DuckDB (RE2) has no look-around: the phone rule is written with capture groups and
 # applied twice (two phones can share one separator character).
@@ -44,7 +44,7 @@ SELECT doc_id,
        len({kwset('text')})::BIGINT AS n_keywords
 FROM documents WHERE text IS NOT NULL""")
 def token_counts(spark, sf):
-    d = _docs(spark, sf).where(F.col("text").isNotNull())
+    d = spread(_docs(spark, sf).select("doc_id", "text")).where(F.col("text").isNotNull())
     return d.select("doc_id", count_tokens("text").alias("n_space_tokens"),
                     F.size(word_tokens("text")).cast("bigint").alias("n_words"),
                     F.size(keyword_set("text")).cast("bigint").alias("n_keywords"))
@@ -54,7 +54,7 @@ def token_counts(spark, sf):
 SELECT doc_id, substr(r, 1, 2000) AS query_text, r <> text AS changed FROM (
   SELECT doc_id, text, {_sql_phone(_sql_card(_sql_email('text')))} AS r FROM documents)""")
 def pii_redact(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "text", pii.redact("text").alias("r"))
+    d = spread(_docs(spark, sf).select("doc_id", "text")).select("doc_id", "text", pii.redact("text").alias("r"))
     return d.select("doc_id", truncate("r", 2000).alias("query_text"),
                     (F.col("r") != F.col("text")).alias("changed"))
 
@@ -68,7 +68,8 @@ FROM (SELECT source, text, e, c, {_sql_phone('c')} AS p FROM (
           SELECT source, text, {_sql_email('text')} AS e FROM documents)))
 GROUP BY source""")
 def pii_counts(spark, sf):
-    d = _docs(spark, sf).select("source", "text", pii.mask_email("text").alias("e"))
+    d = spread(_docs(spark, sf).select("source", "text")).select(
+        "source", "text", pii.mask_email("text").alias("e"))
     d = d.withColumn("c", pii.mask_card("e")).withColumn("p", pii.mask_phone("c"))
     cnt = lambda cond: F.count_if(cond).cast("bigint")
     return d.groupBy("source").agg(

@@ -49,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="docflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:  # classic sessions: also the folder for DataFrame.checkpoint()
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        pass
     return d
 
 
@@ -82,3 +85,29 @@ def sized_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used when several branches of one job consume the same expensive narrow pipeline
+    (Spark reuses shuffles across branches, not narrow stages). The written table cuts
+    the lineage, lives on the shared filesystem (so a lost executor costs nothing) and is
+    read with column pruning and filter pushdown like any other table.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when it arrives in fewer partitions
+    (e.g. one large un-splittable file), before expensive per-row work such as
+    tokenising, hashing or regex redaction. Inputs that are already split - the normal
+    case for a large table of many files - pass through without a shuffle."""
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave partitioning to the engine
+        return df
+    return df.repartition(want) if have < want else df
