@@ -38,7 +38,8 @@ def price_table(spark: SparkSession) -> DataFrame:
 def with_cost(df: DataFrame, prices: DataFrame, model_col: str = "model",
               tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:
     """JN8+J8: cost_usd = in/1000*p_in + out/1000*p_out; unknown model -> default price."""
-    p = F.broadcast(prices.select(F.col("model").alias("_pm"), "usd_in_per_1k", "usd_out_per_1k"))
+    p = sized_broadcast(prices.select(F.col("model").alias("_pm"), "usd_in_per_1k", "usd_out_per_1k"),
+                        100_000)
     d = p.where(F.col("_pm") == DEFAULT_MODEL).select(
         F.col("usd_in_per_1k").alias("_din"), F.col("usd_out_per_1k").alias("_dout"))
     din = d.select("_din").scalar()
