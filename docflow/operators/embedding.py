@@ -173,3 +173,40 @@ def prompt_hash(text: Column) -> Column:
 def prompt_hash_native(text: Column) -> Column:
     """J7 native variant: first 16 hex chars of sha-256 (codegen, no Python)."""
     return F.substring(F.sha2(text, 256), 1, 16)
+
+
+# ---- U8: explicit provider choice ---------------------------------------------
+
+PROVIDERS = ("md5", "blake2b")
+
+
+def embed_column(text: Column, provider: str = "md5", dim: int = DEFAULT_DIM) -> Column:
+    """U8: the provider is an explicit argument (no environment probing).
+
+    Returns a dense unit ARRAY<FLOAT> per row: 'blake2b' is the reference's exact hash,
+    'md5' the variant whose native long form is ``embed_md5_vectors``. As a single
+    column expression both go through a small Arrow-batched helper; for whole tables
+    prefer ``embed_md5_vectors`` (codegen, partial aggregation)."""
+    if provider == "blake2b":
+        return embed_blake2b(text, dim)
+    if provider == "md5":
+        check_dim(dim)
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def _md5(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import re
+
+            rx = re.compile(r"[A-Za-z][A-Za-z0-9_-]{2,}")
+            for s in batches:
+                out = []
+                for t in s:
+                    v = np.zeros(dim, dtype=np.float32)
+                    for tok in rx.findall((t or "").lower()):
+                        h = hashlib.md5(tok.encode()).hexdigest()
+                        v[int(h[:8], 16) % dim] += 1.0 if int(h[8:10], 16) % 2 == 1 else -1.0
+                    n = float(np.linalg.norm(v))
+                    out.append(v / n if n > 0 else v)
+                yield pd.Series(out)
+
+        return _md5(text)
+    raise ValueError(f"unknown embedding provider {provider!r}; choose one of {PROVIDERS}")

@@ -290,3 +290,39 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
                            + F.lit(1.0 - vector_weight) * F.col("kw_score"), digits)
     order = [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")]
     return topk_per_group(scored.withColumn("score", blended), ["query_id"], order, k)
+
+
+# ---- R5 / U3: index build and the search interface -------------------------
+
+
+def build_index(docs: DataFrame, max_tokens: int = 400, overlap_tokens: int = 40,
+                dim: int = 384) -> DataFrame:
+    """Chunk the corpus (C2) and attach sparse hashed vectors (E2): chunk_id, doc_id,
+    chunk_index, text, n_tokens, idx, cnt, norm. Persist it with
+    ``sources.files.write_index`` to query it many times."""
+    from docflow.operators import chunking, embedding
+
+    chunks = chunking.chunk_documents(docs, max_tokens, overlap_tokens)
+    vecs = embedding.embed_md5_vectors(chunks, ["chunk_id"], "text", dim)
+    return chunks.join(vecs, "chunk_id")
+
+
+def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K, mode: str = "hybrid",
+           vector_weight: float = DEFAULT_VECTOR_WEIGHT, dim: int = 384) -> DataFrame:
+    """``(queries(query_id, text), index, k) -> passages``; mode 'keyword' (R2+R4),
+    'vector' (R1 over the hashed vectors) or 'hybrid' (R7). Output always carries
+    query_id, chunk_id, doc_id, chunk_index, score, rank."""
+    from docflow.operators import embedding
+
+    if mode == "keyword":
+        return keyword_topk(queries, index, k)
+    qv = embedding.embed_md5_vectors(queries, ["query_id"], "text", dim)
+    iv = index.select("chunk_id", "doc_id", "chunk_index", "idx", "cnt", "norm")
+    if mode == "vector":
+        out = vector_topk(qv, iv, k, "query_id", ("doc_id", "chunk_index", "chunk_id"), None,
+                          "norm", None, sparse=("idx", "cnt", dim))
+        return out.select("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
+    if mode == "hybrid":
+        out = hybrid_topk(queries, index, qv, iv, k, vector_weight, dim=dim)
+        return out.select("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
+    raise ValueError(f"unknown search mode {mode!r}")

@@ -137,3 +137,12 @@ def last_version(df: DataFrame, key: str, order: str) -> DataFrame:
     """W4 helper for already-shuffled data: row_number() over key ordered desc = 1."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Traces JSONL (blank lines skipped); an empty trace set is an error, decided by a
+    bounded check (one row)."""
+    df = spark.read.schema(contracts.TRACE).json(path)
+    if df.limit(1).count() == 0:
+        raise ValueError(f"no traces to score in {path}")
+    return df
