@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.retrieval import topk_per_group
-from docflow.session import sized_broadcast, spread
+from docflow.session import is_small, salted_join, sized_broadcast, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
 PRICES = (
@@ -99,7 +99,10 @@ def clause_scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
     postings = (lg.join(sized_broadcast(toks), "gram")
                   .where(F.contains(F.col("_lt"), F.col("tok")))
                   .select("tok", "_tid"))
-    hits = postings.join(qt, "tok")
+    # short tokens ('a', 'de') are hot keys: broadcast the query tokens when small,
+    # otherwise salt the postings side by text id
+    hits = (postings.join(F.broadcast(qt), "tok") if is_small(qt, 2_000_000)
+            else salted_join(postings, qt, ["tok"], "_tid"))
     return hits.groupBy("query_id", "_tid").agg(F.sum("mult").cast("bigint").alias("score"))
 
 

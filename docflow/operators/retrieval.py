@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import keyword_set
-from docflow.session import sized_broadcast
+from docflow.session import is_small, salted_join, sized_broadcast
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
@@ -51,7 +51,9 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame, query_col: str = "quer
     """|Q n C| / |Q| for every (query, chunk) pair sharing at least one token.
 
     Pairs without a shared token score 0 and are not emitted. The query-token side
-    is broadcast when a bounded count proves it small; otherwise a shuffle join.
+    is broadcast when a bounded count proves it small (no shuffle of the chunk side);
+    otherwise the join is salted on the chunk id so a token present in a third of all
+    chunks is spread over many tasks.
     Output: query_id, chunk_id, doc_id, chunk_index, kw_score DOUBLE.
     """
     qset = keyword_set(text_col)
@@ -59,7 +61,10 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame, query_col: str = "quer
                            F.size(qset).alias("_nq"), F.explode(qset).alias("_tok"))
     c_tok = chunks.select("chunk_id", "doc_id", "chunk_index",
                           F.explode(keyword_set(text_col)).alias("_tok"))
-    hits = c_tok.join(sized_broadcast(q_tok, max_broadcast_rows), "_tok")
+    if is_small(q_tok, max_broadcast_rows):
+        hits = c_tok.join(F.broadcast(q_tok), "_tok")
+    else:
+        hits = salted_join(c_tok, q_tok, ["_tok"], "chunk_id")
     return (hits.groupBy("query_id", "chunk_id", "doc_id", "chunk_index", "_nq")
                 .agg(F.count(F.lit(1)).alias("_hit"))
                 .select("query_id", "chunk_id", "doc_id", "chunk_index",

@@ -76,6 +76,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Bounded size check: reads at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: str,
+                buckets: int = 16, how: str = "inner") -> DataFrame:
+    """Equi-join that survives a hot key: rows of ``big`` get a salt from a hash of
+    ``salt_of`` and ``small`` is replicated once per salt, so one key holding a third of
+    ``big`` is spread over ``buckets`` tasks. Results equal the plain join."""
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(buckets)))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return b.join(s, keys + ["_salt"], how).drop("_salt")
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """Broadcast ``df`` only when a bounded count proves it has at most ``max_rows`` rows.
 
