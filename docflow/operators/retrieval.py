@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import keyword_set
-from docflow.session import is_small, salted_join, sized_broadcast
+from docflow.session import is_small, salted_join
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
@@ -153,14 +153,14 @@ def pack_blocks(df: DataFrame, key_cols: list[str], vec_col: str | None = "vec",
                                         _BLOCK_SCHEMA)
 
 
-def _score_pairs(q_key: str, i_keys: list[str], k: int, digits: int, out_schema: T.StructType):
+def _score_pairs(q_key: str, i_keys: list[str], k: int, digits: int | None):
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
         for pdf in it:
             for row in pdf.itertuples(index=False):
-                qk = pd.read_json(io.StringIO(row.q_keys), orient="split")
-                ik = pd.read_json(io.StringIO(row.i_keys), orient="split")
+                qk = pd.read_json(io.StringIO(row.q_keys), orient="split", dtype=False, convert_dates=False)
+                ik = pd.read_json(io.StringIO(row.i_keys), orient="split", dtype=False, convert_dates=False)
                 Q = np.frombuffer(row.q_mat, dtype=np.float64).reshape(row.q_n, -1)
                 I = np.frombuffer(row.i_mat, dtype=np.float64).reshape(row.i_n, -1)
                 qn = np.frombuffer(row.q_norms, dtype=np.float64)
@@ -221,8 +221,7 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
         [T.StructField(query_key, q_type)]
         + [T.StructField(c, key_types[c]) for c in index_keys]
         + [T.StructField("score", T.DoubleType())])
-    cands = pairs.mapInPandas(_score_pairs(query_key, list(index_keys), k, digits, out_schema),
-                              out_schema)
+    cands = pairs.mapInPandas(_score_pairs(query_key, list(index_keys), k, digits), out_schema)
     order = [F.col("score").desc()] + [F.col(c) for c in index_keys]
     return topk_per_group(cands, [query_key], order, k)
 
