@@ -83,26 +83,32 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
 
 
-def clause_scores(queries: DataFrame, texts: DataFrame) -> DataFrame:
+def clause_scores(queries: DataFrame, texts: DataFrame, max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Positive scores per (query, distinct library text): query_id, _tid, score.
 
     queries: query_id, query. texts: _tid (text id), _lt (lower-cased text), one row per
-    distinct text.
-    Postings (token -> texts containing it) are computed once per distinct token (gram
-    equi-join + ``contains``), then joined to the per-query token counts.
+    distinct text. Postings (token -> texts containing it) are computed once per distinct
+    query token (gram equi-join + ``contains``). When the postings are small (checked),
+    they are broadcast to the queries, which were hash-partitioned by query_id once:
+    the per-query aggregation and the top-k window then reuse that partitioning, so the
+    (query, text) hit rows are never shuffled. Otherwise the hits join is salted.
     """
-    qt = (queries.select("query_id", F.explode(_query_tokens(F.col("query"))).alias("tok"))
-                 .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult")))
+    # an explicit partition count: AQE must not coalesce this small shuffle, because the
+    # heavy per-query work happens downstream of it, in place
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qp = queries.select("query_id", "query").repartition(n, "query_id")
+    qt = (qp.select("query_id", F.explode(_query_tokens(F.col("query"))).alias("tok"))
+            .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult")))
     toks = qt.select("tok").distinct().withColumn(
         "gram", F.when(F.length("tok") <= GRAM, F.col("tok")).otherwise(F.substring("tok", 1, GRAM)))
     lg = texts.select("_tid", "_lt", F.explode(_grams(F.col("_lt"))).alias("gram"))
     postings = (lg.join(sized_broadcast(toks), "gram")
                   .where(F.contains(F.col("_lt"), F.col("tok")))
                   .select("tok", "_tid"))
-    # short tokens ('a', 'de') are hot keys: broadcast the query tokens when small,
-    # otherwise salt the postings side by text id
-    hits = (postings.join(F.broadcast(qt), "tok") if is_small(qt, 2_000_000)
-            else salted_join(postings, qt, ["tok"], "_tid"))
+    if is_small(postings, max_broadcast_rows):
+        hits = qt.join(F.broadcast(postings), "tok")
+    else:  # short tokens ('a', 'de') are hot keys: salt the postings side by text id
+        hits = salted_join(postings, qt, ["tok"], "_tid")
     return hits.groupBy("query_id", "_tid").agg(F.sum("mult").cast("bigint").alias("score"))
 
 
