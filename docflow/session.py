@@ -115,14 +115,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when it arrives in fewer partitions
-    (e.g. one large un-splittable file), before expensive per-row work such as
-    tokenising, hashing or regex redaction. Inputs that are already split - the normal
-    case for a large table of many files - pass through without a shuffle."""
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread ``df`` over the cluster's cores when it arrives in fewer partitions (e.g. one
+    large un-splittable file), before expensive per-row work such as tokenising, hashing
+    or regex redaction. With ``key`` the rows are hash-partitioned by it, so later
+    aggregations whose keys include it need no further shuffle. Inputs that are already
+    split - the normal case for a large table of many files - pass through untouched."""
     try:
         want = df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave partitioning to the engine
         return df
-    return df.repartition(want) if have < want else df
+    if have >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
