@@ -80,20 +80,24 @@ def first_chunks(chunks: DataFrame, n: int) -> Column:
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K,
-                 query_col: str = "query_id", text_col: str = "text") -> DataFrame:
+                 query_col: str = "query_id", text_col: str = "text",
+                 head: DataFrame | None = None) -> DataFrame:
     """R2+R4: top-k chunks per query by keyword overlap, ties by (doc_id, chunk_index).
 
     Like the reference, every chunk is ranked: when fewer than k chunks share a token,
     zero-score chunks fill the list in (doc_id, chunk_index) order. Those come from the
     global first 2k chunks (the first k-m unmatched ones always lie there), attached to
-    each query through a scalar subquery - bounded, no join.
+    each query through a scalar subquery - bounded, no join. ``head`` may supply the
+    chunk keys (chunk_id, doc_id, chunk_index) to take them from - e.g. the persisted
+    index table, where that scan reads three narrow columns instead of re-chunking.
     """
     scored = keyword_scores(queries, chunks, query_col, text_col)
     order = [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")]
     matched = topk_per_group(scored.withColumnRenamed("kw_score", "score"),
                              ["query_id"], order, k).drop("rank")
     fill = (queries.select(F.col(query_col).alias("query_id"),
-                           F.explode(first_chunks(chunks, 2 * k)).alias("_c"))
+                           F.explode(first_chunks(head if head is not None else chunks,
+                                                  2 * k)).alias("_c"))
                    .select("query_id", "_c.chunk_id", "_c.doc_id", "_c.chunk_index",
                            F.lit(0.0).alias("score")))
     both = (matched.unionByName(fill)
