@@ -265,32 +265,45 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     ``query_vecs``: query_id, idx, cnt, norm. ``chunk_vecs``: chunk_id, doc_id, chunk_index,
     idx, cnt, norm (sparse raw counts; see embedding.embed_md5_vectors).
     Output: query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank.
+
+    Every expensive input is consumed once: the vector candidates and the flagged keyword
+    scores are small (<= 2 * 2k rows per query) and are checkpointed into the shared
+    checkpoint folder, so the later joins read them instead of re-running the kernel or
+    the keyword join.
     """
     check_vector_weight(vector_weight)
     depth = 2 * k
-    # One bounded count of the raw query table proves every later size bound: at most
-    # 2 * depth candidates per query, so the candidate set is broadcast without counting
-    # the (expensive to recompute) candidate frame itself.
     max_q = 1_000_000
     n_q = queries.limit(max_q + 1).count()
     if n_q > max_q:
         raise ValueError(f"query side exceeds {max_q} rows; split the queries")
+    small = 2 * depth * n_q <= 5_000_000          # proven bound on every candidate table
+    bc = (lambda d: F.broadcast(d)) if small else (lambda d: d)
+    # 1. top 2k by vector over all chunks (exact kernel), with their vector scores
+    vec_top = (vector_topk(query_vecs, chunk_vecs, depth, "query_id",
+                           ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
+                           sparse=("idx", "cnt", dim), n_queries=n_q)
+               .select("query_id", "chunk_id", "doc_id", "chunk_index",
+                       F.col("score").alias("vec_score")).checkpoint())
+    # 2. one pass over the keyword matches: keep the top 2k by keyword and the keyword
+    #    score of every vector candidate
     kw = keyword_scores(queries, chunks)
-    kw_order = [F.col("kw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
-    kw_top = topk_per_group(kw, ["query_id"], kw_order, depth).drop("rank")
-    vec_top = vector_topk(query_vecs, chunk_vecs, depth, "query_id",
-                          ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
-                          sparse=("idx", "cnt", dim), n_queries=n_q)
+    flags = vec_top.select("query_id", "chunk_id", F.lit(True).alias("_is_vec"))
+    w = Window.partitionBy("query_id").orderBy(F.col("kw_score").desc(), "doc_id", "chunk_index")
+    kwx = (kw.join(bc(flags), ["query_id", "chunk_id"], "left")
+             .withColumn("_kr", F.row_number().over(w))
+             .where((F.col("_kr") <= depth) | F.col("_is_vec").isNotNull())
+             .select("query_id", "chunk_id", "doc_id", "chunk_index", "kw_score",
+                     (F.col("_kr") <= depth).alias("_kw_top")).checkpoint())
+    # 3. candidates and both scores from the two small tables
     cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
-             .unionByName(kw_top.select("query_id", "chunk_id", "doc_id", "chunk_index"))
+             .unionByName(kwx.where("_kw_top").select("query_id", "chunk_id", "doc_id", "chunk_index"))
              .distinct())
-    cands = F.broadcast(cands) if 2 * depth * n_q <= 5_000_000 else cands
-    # kw score of every candidate: matched pairs joined to the small candidate set.
-    kw_c = kw.join(cands, ["query_id", "chunk_id", "doc_id", "chunk_index"], "left_semi")
-    # vec score of every candidate: exact sparse dot over shared buckets (integer counts).
-    vs = _candidate_cosine(cands, query_vecs, chunk_vecs)
+    kw_only = cands.join(vec_top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    vs = vec_top.select("query_id", "chunk_id", "vec_score").unionByName(
+        _candidate_cosine(bc(kw_only), query_vecs, chunk_vecs))
     scored = (cands.join(vs, ["query_id", "chunk_id"], "left")
-                   .join(kw_c, ["query_id", "chunk_id", "doc_id", "chunk_index"], "left")
+                   .join(kwx.select("query_id", "chunk_id", "kw_score"), ["query_id", "chunk_id"], "left")
                    .select("query_id", "chunk_id", "doc_id", "chunk_index",
                            F.coalesce("vec_score", F.lit(0.0)).alias("vec_score"),
                            F.coalesce("kw_score", F.lit(0.0)).alias("kw_score")))
