@@ -140,5 +140,7 @@ def hybrid_topk(spark, sf):
     chunks = _chunks(spark, sf)
     queries = _queries(spark, sf)
     qv = embedding.embed_md5_vectors(queries, ["query_id"])
-    cv = embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"])
+    # the chunk vectors are the vector index: built once (checkpointed to the shared
+    # folder) and read by both the exact kernel and the candidate re-scoring
+    cv = embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"]).checkpoint()
     return retrieval.hybrid_topk(queries, chunks, qv, cv, k=5)
