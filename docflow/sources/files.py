@@ -113,16 +113,30 @@ def baseline_or_save(spark: SparkSession, path: str, current: DataFrame) -> Data
 # ---- S8/S9: keyed index table ----------------------------------------------
 
 
+def _latest(df: DataFrame, key: str, version: str) -> DataFrame:
+    cols = [c for c in df.columns if c != key]
+    win = F.max_by(F.struct(*cols), F.col(version))
+    return df.groupBy(key).agg(win.alias("_r")).select(key, "_r.*")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id",
-           version: str = "version") -> DataFrame:
+           version: str = "version", new_is_newer: bool = False,
+           max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Replace-by-key; the row with the highest ``version`` wins per key.
 
-    A partial ``max_by`` aggregation (combined map-side) instead of a window, so hot keys
-    never gather in one task before reduction."""
-    u = existing.unionByName(new)
-    cols = [c for c in u.columns if c != key]
-    win = F.max_by(F.struct(*cols), F.col(version))
-    return u.groupBy(key).agg(win.alias("_r")).select(key, "_r.*")
+    General path: a partial ``max_by`` aggregation (combined map-side) instead of a
+    window, so hot keys never gather in one task before reduction.
+    Fast path (``new_is_newer`` and a batch proven small): the batch is reduced to its
+    latest row per key, its keys are broadcast and anti-joined from ``existing``, and the
+    two are unioned - the existing index is never shuffled. Same result whenever every
+    batch version is newer than the stored one."""
+    if new_is_newer:
+        new = new.checkpoint()   # the batch is computed once, for the size check and the merge
+        keys = new.select(key).distinct()
+        if keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+            kept = existing.join(F.broadcast(keys), key, "left_anti")
+            return kept.unionByName(_latest(new, key, version).select(*existing.columns))
+    return _latest(existing.unionByName(new), key, version)
 
 
 def write_index(df: DataFrame, path: str, key: str = "chunk_id", buckets: int = 64) -> None:

@@ -130,3 +130,10 @@ def test_late_rows_beyond_watermark_are_dropped(spark):
     got = {r.window.start.day: r.n for r in out.collect()}
     assert got.get(1) == 2          # the late row of Jan 1 never reached the window
     assert 10 not in got            # still open under the watermark: withheld in append mode
+
+
+def test_upsert_fast_path_equals_general(spark):
+    old = spark.createDataFrame([(f"c{i}", "old", 1) for i in range(20)], "chunk_id string, text string, version int")
+    new = spark.createDataFrame([("c3", "new", 2), ("c3", "newer", 3), ("c99", "added", 2)],
+                                "chunk_id string, text string, version int")
+    assert rows(files.upsert(old, new, new_is_newer=True)) == rows(files.upsert(old, new))
