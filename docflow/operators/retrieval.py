@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import keyword_set
-from docflow.session import is_small, salted_join
+from docflow.session import cut, is_small, salted_join
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
@@ -280,21 +280,21 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     small = 2 * depth * n_q <= 5_000_000          # proven bound on every candidate table
     bc = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     # 1. top 2k by vector over all chunks (exact kernel), with their vector scores
-    vec_top = (vector_topk(query_vecs, chunk_vecs, depth, "query_id",
+    vec_top = cut(vector_topk(query_vecs, chunk_vecs, depth, "query_id",
                            ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
                            sparse=("idx", "cnt", dim), n_queries=n_q)
                .select("query_id", "chunk_id", "doc_id", "chunk_index",
-                       F.col("score").alias("vec_score")).checkpoint())
+                       F.col("score").alias("vec_score")))
     # 2. one pass over the keyword matches: keep the top 2k by keyword and the keyword
     #    score of every vector candidate
     kw = keyword_scores(queries, chunks)
     flags = vec_top.select("query_id", "chunk_id", F.lit(True).alias("_is_vec"))
     w = Window.partitionBy("query_id").orderBy(F.col("kw_score").desc(), "doc_id", "chunk_index")
-    kwx = (kw.join(bc(flags), ["query_id", "chunk_id"], "left")
+    kwx = cut(kw.join(bc(flags), ["query_id", "chunk_id"], "left")
              .withColumn("_kr", F.row_number().over(w))
              .where((F.col("_kr") <= depth) | F.col("_is_vec").isNotNull())
              .select("query_id", "chunk_id", "doc_id", "chunk_index", "kw_score",
-                     (F.col("_kr") <= depth).alias("_kw_top")).checkpoint())
+                     (F.col("_kr") <= depth).alias("_kw_top")))
     # 3. candidates and both scores from the two small tables
     cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
              .unionByName(kwx.where("_kw_top").select("query_id", "chunk_id", "doc_id", "chunk_index"))

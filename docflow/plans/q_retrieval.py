@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import chunking, embedding, retrieval
 from docflow.plans.registry import register
 from docflow.plans.sql_snippets import (CHUNKS_CTE, keyword_matches_cte, md5_counts_cte)
-from docflow.session import table
+from docflow.session import cut, table
 
 
 def _chunks(spark, sf):
@@ -142,5 +142,5 @@ def hybrid_topk(spark, sf):
     qv = embedding.embed_md5_vectors(queries, ["query_id"])
     # the chunk vectors are the vector index: built once (checkpointed to the shared
     # folder) and read by both the exact kernel and the candidate re-scoring
-    cv = embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"]).checkpoint()
+    cv = cut(embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"]))
     return retrieval.hybrid_topk(queries, chunks, qv, cv, k=5)

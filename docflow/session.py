@@ -129,3 +129,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     if have >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint into the shared checkpoint folder (never a local one):
+    computes ``df`` once and truncates its lineage, so several consumers read the saved
+    partitions and a lost executor does not force recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

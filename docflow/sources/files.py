@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow import contracts
+from docflow.session import cut
 
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -131,7 +132,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id",
     two are unioned - the existing index is never shuffled. Same result whenever every
     batch version is newer than the stored one."""
     if new_is_newer:
-        new = new.checkpoint()   # the batch is computed once, for the size check and the merge
+        new = cut(new)   # the batch is computed once, for the size check and the merge
         keys = new.select(key).distinct()
         if keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
             kept = existing.join(F.broadcast(keys), key, "left_anti")
