@@ -137,3 +137,27 @@ def cut(df: DataFrame) -> DataFrame:
     partitions and a lost executor does not force recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 partition_bytes: int = 256 << 20, max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Settings sized from the input volume for a cluster submission (pass them with
+    ``--conf``). Shuffle partitions start at input/partition_bytes (at least 3 waves of
+    the cluster's cores) and AQE coalesces small ones and splits skewed ones at runtime;
+    file splits of half a partition keep scan tasks well inside executor memory."""
+    cores = executors * cores_per_executor
+    shuffle = min(max(3 * cores, input_bytes // partition_bytes), max_shuffle_partitions)
+    return {
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.sql.session.timeZone": "UTC",
+    }
