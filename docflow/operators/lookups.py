@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.operators.retrieval import topk_per_group
-from docflow.session import is_small, salted_join, sized_broadcast, spread
+from docflow.session import is_small, parallelism, salted_join, sized_broadcast, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
 PRICES = (
@@ -93,9 +93,10 @@ def clause_scores(queries: DataFrame, texts: DataFrame, max_broadcast_rows: int
     the per-query aggregation and the top-k window then reuse that partitioning, so the
     (query, text) hit rows are never shuffled. Otherwise the hits join is salted.
     """
-    # an explicit partition count: AQE must not coalesce this small shuffle, because the
-    # heavy per-query work happens downstream of it, in place
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an explicit partition count (two waves of the cluster's cores): AQE must not
+    # coalesce this small shuffle, because the heavy per-query work happens downstream
+    # of it, in place
+    n = parallelism(queries.sparkSession) * 2
     qp = queries.select("query_id", "query").repartition(n, "query_id")
     qt = (qp.select("query_id", F.explode(_query_tokens(F.col("query"))).alias("tok"))
             .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult")))

@@ -115,6 +115,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """The cluster's task slots (default parallelism), or the shuffle partition count when
+    no SparkContext handle exists (Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread ``df`` over the cluster's cores when it arrives in fewer partitions (e.g. one
     large un-splittable file), before expensive per-row work such as tokenising, hashing
