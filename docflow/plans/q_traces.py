@@ -228,3 +228,28 @@ def telemetry_rollup(spark, sf):
         F.col("event_type").alias("model"), prompt_hash_native(F.col("props")).alias("prompt_hash"),
         "value")
     return rg.telemetry_rollup(ev, ["model", "prompt_hash"], "value")
+
+
+@register("judge_run", "P4 V3 V5 J9 S15 S17", f"""
+WITH {_SCORES_SQL}
+SELECT l.doc_id::VARCHAR AS doc_id,
+       c.mean, c.intent_correctness, c.citation_grounding, c.field_extraction_quality,
+       c.conciseness_and_style, c.notes
+FROM labels l JOIN chk c ON c.doc_id = l.doc_id
+WHERE c.valid""")
+def judge_run(spark, sf):
+    """Traces = the fallback responses (one per labelled document) serialised to JSON text,
+    as a trace store would hold them; strict parse (V3), join the judge scores, drop
+    invalid score rows (V5), per-document mean (J9)."""
+    ev = table(spark, sf, "events")
+    live = ev.where(F.col("event_type") == rg.TRACE_NAME).select(
+        F.col("user_id").alias("doc_id"), F.col("event_type").alias("intent"))
+    prompts = table(spark, sf, "labels").select(
+        "doc_id", F.lit("judge").alias("prompt"),
+        F.when(F.col("quality") == 1, "msa").otherwise("other").alias("reference_intent"))
+    fb = rg.fallback_traces(prompts, table(spark, sf, "documents"))
+    traces = rg.live_or_fallback(live, fb).select(
+        F.to_json(F.struct(*[c for c in fb.columns])).alias("response"))
+    scores = judge_scores(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    per_doc, _agg = rg.judge_run(traces, scores.drop("source"))
+    return per_doc
