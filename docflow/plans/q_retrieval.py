@@ -25,6 +25,15 @@ def chunk_documents(spark, sf):
     return _chunks(spark, sf)
 
 
+@register("chunk_documents_encoder", "U2 C1 C2", f"""
+WITH {CHUNKS_CTE}
+SELECT chunk_id, doc_id::VARCHAR AS doc_id, chunk_index, text, n_tokens FROM chunks""")
+def chunk_documents_encoder(spark, sf):
+    """The same windows through the pluggable-tokeniser path (mapInPandas + encoder)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return chunking.chunk_with_encoder(docs, chunking.SpaceEncoder)
+
+
 @register("chunk_manifest", "S10 U-3", f"""
 WITH {CHUNKS_CTE}
 SELECT doc_id, count(*)::BIGINT AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens
