@@ -41,12 +41,14 @@ def render_reason_user(requests: DataFrame, passages: DataFrame,
     return requests.join(p, "doc_id", "left").select("doc_id", msg.alias("prompt"))
 
 
-def prepare(requests: DataFrame, chunks: DataFrame, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
+def prepare(requests: DataFrame, chunks: DataFrame, k: int = retrieval.DEFAULT_TOP_K,
+            redactor: pii.Redactor = pii.redact) -> DataFrame:
     """Redact the document (J1), retrieve the top-k passages for its first 2000
     redacted characters (J2, R2/R4), render the prompt (J4) from the redacted text.
 
-    requests: doc_id, text, hinted_intent. Output: doc_id, prompt."""
-    red = requests.select("doc_id", pii.redact("text").alias("text"), "hinted_intent")
+    requests: doc_id, text, hinted_intent. ``redactor`` is any Column -> Column backend
+    (U7; the regex redactor by default). Output: doc_id, prompt."""
+    red = requests.select("doc_id", redactor(F.col("text")).alias("text"), "hinted_intent")
     q = red.select(F.col("doc_id").alias("query_id"), truncate("text", QUERY_CHARS).alias("text"))
     top = retrieval.keyword_topk(q, chunks, k)
     texts = chunks.select("chunk_id", F.col("text").alias("_ctext"))

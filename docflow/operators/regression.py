@@ -162,12 +162,16 @@ def multiplex(requests: DataFrame, classify_fn, reason_fn,
                    .unionByName(errors, allowMissingColumns=True)
 
 
-def telemetry_rollup(traces: DataFrame, dims: list[str], value: str) -> DataFrame:
-    """Counts and value totals per (model, prompt_hash) with ROLLUP subtotals."""
-    return traces.rollup(*dims).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("sum_value"),
-        F.min(value).alias("min_value"), F.max(value).alias("max_value"),
-        F.grouping_id().cast("bigint").alias("level"))
+def telemetry_rollup(traces: DataFrame, dims: list[str], value: str,
+                     percentiles: bool = False) -> DataFrame:
+    """Counts and value totals per (model, prompt_hash) with ROLLUP subtotals;
+    ``percentiles`` adds approximate p50/p95 (mergeable sketches, partial aggregation)."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("sum_value"),
+            F.min(value).alias("min_value"), F.max(value).alias("max_value")]
+    if percentiles:
+        aggs += [F.percentile_approx(value, 0.5).alias("p50_value"),
+                 F.percentile_approx(value, 0.95).alias("p95_value")]
+    return traces.rollup(*dims).agg(*aggs, F.grouping_id().cast("bigint").alias("level"))
 
 
 # ---- judge run and report (P4, J10, A17) -------------------------------------

@@ -347,3 +347,17 @@ def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K, mode: s
         out = hybrid_topk(queries, index, qv, iv, k, vector_weight, dim=dim)
         return out.select("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
     raise ValueError(f"unknown search mode {mode!r}")
+
+
+def normalize_search_hits(hits: DataFrame) -> DataFrame:
+    """R7 result mapping for rows returned by an external hybrid search service: the score
+    is the reranker score when present, else the base score, else 0.0; a missing or zero
+    ``n_tokens`` becomes 1 (the chunk contract requires n_tokens > 0)."""
+    cols = set(hits.columns)
+    rr = F.col("reranker_score") if "reranker_score" in cols else F.lit(None).cast("double")
+    base = F.col("search_score") if "search_score" in cols else F.lit(None).cast("double")
+    n = F.col("n_tokens") if "n_tokens" in cols else F.lit(None).cast("bigint")
+    keep = [c for c in hits.columns if c not in ("reranker_score", "search_score", "n_tokens")]
+    return hits.select(*keep, F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(1)).otherwise(n)
+                       .cast("bigint").alias("n_tokens"),
+                       F.coalesce(rr, base, F.lit(0.0)).cast("double").alias("score"))

@@ -50,3 +50,18 @@ def test_keyword_scores_same_on_shuffle_path(spark):
     a = rows(retrieval.keyword_scores(q, ch))
     b = rows(retrieval.keyword_scores(q, ch, max_broadcast_rows=1))   # forces the salted join
     assert a == b and a
+
+
+def test_normalize_search_hits(spark):
+    hits = spark.createDataFrame([("a", 2.5, 1.0, 7), ("b", None, 0.4, 0), ("c", None, None, None)],
+                                 "chunk_id string, reranker_score double, search_score double, n_tokens bigint")
+    got = {r.chunk_id: (r.score, r.n_tokens) for r in retrieval.normalize_search_hits(hits).collect()}
+    assert got == {"a": (2.5, 7), "b": (0.4, 1), "c": (0.0, 1)}
+
+
+def test_telemetry_percentiles(spark):
+    from docflow.operators import regression as rg
+
+    df = spark.createDataFrame([("m", "h", float(v)) for v in range(1, 101)], "model string, prompt_hash string, value double")
+    top = rg.telemetry_rollup(df, ["model", "prompt_hash"], "value", percentiles=True).where("level = 3").first()
+    assert top.n == 100 and top.p50_value == 50.0 and top.p95_value == 95.0
