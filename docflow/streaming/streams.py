@@ -46,11 +46,18 @@ def sliding_counts(events: DataFrame, key: str = "event_type", length: str = "7
     return e.groupBy(F.window("ts", length, slide), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cost_rollup(turns: DataFrame, prices: DataFrame) -> DataFrame:
+def cost_rollup(turns: DataFrame, prices: DataFrame, ts: str | None = None,
+                window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """ST5: stream-static join with the (broadcast) price table, then token and cost
-    totals per model. turns: model, tokens_in, tokens_out."""
+    totals per model - per event-time window with a watermark when ``ts`` is given (state
+    bounded by the watermark), else running totals. turns: model, tokens_in, tokens_out
+    [, ts]."""
     priced = lookups.with_cost(turns, prices)
-    return priced.groupBy("model").agg(
+    keys = ["model"]
+    if ts is not None:
+        priced = event_time(priced, ts).withWatermark(ts, delay)
+        keys = [F.window(ts, window), "model"]
+    return priced.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_calls"), F.sum("tokens_in").alias("tokens_in"),
         F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
 

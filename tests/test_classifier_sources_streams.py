@@ -137,3 +137,24 @@ def test_upsert_fast_path_equals_general(spark):
     new = spark.createDataFrame([("c3", "new", 2), ("c3", "newer", 3), ("c99", "added", 2)],
                                 "chunk_id string, text string, version int")
     assert rows(files.upsert(old, new, new_is_newer=True)) == rows(files.upsert(old, new))
+
+
+def test_windowed_cost_rollup(spark):
+    import datetime as dt
+
+    from docflow.operators import lookups
+
+    d = tempfile.mkdtemp(prefix="docflow-cost-")
+    import pandas as pd
+
+    pd.DataFrame([("gpt-4o", 1000, 0, dt.datetime(2024, 1, 1, 0, 10)),
+                  ("gpt-4o", 0, 1000, dt.datetime(2024, 1, 1, 0, 50)),
+                  ("mystery", 1000, 1000, dt.datetime(2024, 1, 1, 1, 5))],
+                 columns=["model", "tokens_in", "tokens_out", "ts"]).to_parquet(
+        f"{d}/calls.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    stream = spark.readStream.schema(spark.read.parquet(d).schema).parquet(d)
+    agg = st.cost_rollup(stream, lookups.price_table(spark), ts="ts")
+    got = {(r.window.start.hour, r.model): (r.n_calls, r.cost_usd)
+           for r in st.run_available_now(agg, "t_cost", "complete").collect()}
+    assert got[(0, "gpt-4o")] == (2, pytest.approx(0.02))
+    assert got[(1, "mystery")] == (1, pytest.approx(0.02))     # unknown model -> default price
