@@ -197,23 +197,44 @@ def _score_pairs(q_key: str, i_keys: list[str], k: int, digits: int | None):
 
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                 query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
-                vec_col: str = "vec", norm_col: str | None = None, digits: int | None = 9,
+                vec_col: str | None = "vec", norm_col: str | None = None, digits: int | None = 9,
                 block_rows: int = 2048, max_query_rows: int = 1_000_000,
                 sparse: tuple[str, str, int] | None = None,
-                n_queries: int | None = None) -> DataFrame:
+                n_queries: int | None = None,
+                max_broadcast_bytes: int = 256 << 20) -> DataFrame:
     """R1+W1: exact top-k by cosine (dot / (|q| |c|); pass ``norm_col=None`` for unit
     vectors) for every query over the whole index.
 
     Ties (after rounding to ``digits``) break by ``index_keys`` ascending. The query side
-    must be at most ``max_query_rows`` (checked with a bounded count, or given as
-    ``n_queries`` by a caller that already counted it); it is packed into blocks and broadcast,
-    the index streams in blocks, each block pair is one matmul emitting <= k rows per
-    query, and a final WindowGroupLimit keeps k. Output: query_key, index_keys..., score,
-    rank.
+    is packed into blocks and broadcast, the index streams in blocks, each block pair is
+    one matmul emitting <= k rows per query, and a final WindowGroupLimit keeps k.
+    Size checks: at most ``max_query_rows`` queries (a bounded count, or ``n_queries``
+    from a caller that already counted), and the broadcast matrix (queries x dim x 8 bytes)
+    must fit ``max_broadcast_bytes``; beyond that the queries are processed in hash
+    slices, one broadcast per slice, and the results are unioned - every query is still
+    scored against the whole index.
+    Output: query_key, index_keys..., score, rank.
     """
     n_q = n_queries if n_queries is not None else queries.limit(max_query_rows + 1).count()
     if n_q > max_query_rows:
         raise ValueError(f"query side exceeds {max_query_rows} rows; split the queries")
+    if sparse is not None:
+        dim = sparse[2]
+    else:
+        first = queries.select(F.size(vec_col).alias("d")).limit(1).collect()
+        dim = first[0]["d"] if first else 0
+    slices = max(1, -(-(n_q * max(dim, 1) * 8) // max_broadcast_bytes))
+    if slices > 1:
+        parts = []
+        for s in range(slices):   # a loop over slices of the query set, not over rows
+            part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s)
+            parts.append(vector_topk(part, index, k, query_key, index_keys, vec_col, norm_col,
+                                     digits, block_rows, max_query_rows, sparse,
+                                     n_queries=-(-n_q // slices), max_broadcast_bytes=1 << 62))
+        out = parts[0]
+        for p_ in parts[1:]:
+            out = out.unionByName(p_)
+        return out
     qb = pack_blocks(queries, [query_key], vec_col, norm_col, block_rows, sparse)
     ib = pack_blocks(index, list(index_keys), vec_col, norm_col, block_rows, sparse)
     qb = qb.select(*[F.col(c).alias(f"q_{c}") for c in qb.columns])

@@ -83,3 +83,15 @@ def test_hybrid_blend_bounds_and_weight_check(spark, corpus):
     assert all(r.vec_score == 0.0 and r.kw_score == 0.0 for r in by_q["q2"])
     with pytest.raises(ValueError):
         retrieval.hybrid_topk(qdf, corpus, qv, cv, vector_weight=1.5)
+
+
+def test_vector_topk_sliced_broadcast_equals_single(spark):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((40, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)], "vec_id long, vec array<double>")
+    q = df.select(F.col("vec_id").alias("query_id"), "vec")
+    one = rows(retrieval.vector_topk(q, df, k=3, index_keys=("vec_id",), digits=9))
+    sliced = rows(retrieval.vector_topk(q, df, k=3, index_keys=("vec_id",), digits=9,
+                                        max_broadcast_bytes=40 * 8 * 8 // 3))   # forces 4 slices
+    assert one == sliced and len(one) == 120
