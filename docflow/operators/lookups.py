@@ -52,7 +52,7 @@ def with_cost(df: DataFrame, prices: DataFrame, model_col: str = "model",
 
 
 def counterparty_lookup(calls: DataFrame, directory: DataFrame, name_col: str = "entity_name",
-                        max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                        max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """JN5: status 'known' plus the directory record, or 'unknown'.
 
     directory: entity_name and any record columns; keyed by lower(entity_name).
@@ -83,7 +83,7 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
 
 
-def clause_scores(queries: DataFrame, texts: DataFrame, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def clause_scores(queries: DataFrame, texts: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Positive scores per (query, distinct library text): query_id, _tid, score.
 
     queries: query_id, query. texts: _tid (text id), _lt (lower-cased text), one row per

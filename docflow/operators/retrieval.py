@@ -47,7 +47,7 @@ def topk_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
 
 
 def keyword_scores(queries: DataFrame, chunks: DataFrame, query_col: str = "query_id",
-                   text_col: str = "text", max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                   text_col: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """|Q n C| / |Q| for every (query, chunk) pair sharing at least one token.
 
     Pairs without a shared token score 0 and are not emitted. The query-token side
@@ -298,7 +298,7 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     n_q = queries.limit(max_q + 1).count()
     if n_q > max_q:
         raise ValueError(f"query side exceeds {max_q} rows; split the queries")
-    small = 2 * depth * n_q <= 5_000_000          # proven bound on every candidate table
+    small = 2 * depth * n_q <= 1_000_000          # proven bound on every candidate table
     bc = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     # 1. top 2k by vector over all chunks (exact kernel), with their vector scores
     vec_top = cut(vector_topk(query_vecs, chunk_vecs, depth, "query_id",

@@ -91,7 +91,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: str,
     return b.join(s, keys + ["_salt"], how).drop("_salt")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast ``df`` only when a bounded count proves it has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows (the limit stops the scan early).

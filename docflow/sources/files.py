@@ -122,7 +122,7 @@ def _latest(df: DataFrame, key: str, version: str) -> DataFrame:
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id",
            version: str = "version", new_is_newer: bool = False,
-           max_broadcast_rows: int = 5_000_000) -> DataFrame:
+           max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Replace-by-key; the row with the highest ``version`` wins per key.
 
     General path: a partial ``max_by`` aggregation (combined map-side) instead of a
