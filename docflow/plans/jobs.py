@@ -31,15 +31,13 @@ def index_job(spark: SparkSession, corpus_dir: str, out_dir: str, push: bool = F
     if push:
         vecs = embedding.embed_md5_vectors(written, ["chunk_id"], "text", dim)
         new = written.join(vecs, "chunk_id").withColumn("version", F.lit(version))
-        idx_path = f"{out_dir}/index"
-        try:
-            existing = spark.read.parquet(idx_path).drop("bucket")
-            merged = files.upsert(existing, new)
-            tmp = f"{idx_path}.v{version}"
-            files.write_index(merged, tmp)
-            idx_path = tmp
-        except Exception:  # noqa: BLE001 - first build: no index yet
-            files.write_index(new, idx_path)
+        base = f"{out_dir}/index"
+        cur = files.current(spark, base)
+        merged = (new if cur is None else
+                  files.upsert(spark.read.parquet(cur).drop("bucket"), new, new_is_newer=True))
+        target = f"{base}/v{version}"
+        files.write_index(merged, target)     # a new path; readers switch only after the swap
+        files.set_current(spark, base, target)
         uploaded = F.lit(written.count()).cast("bigint")
     return spark.read.json(f"{out_dir}/manifest/summary").select(
         "chunk_count", "n_documents", uploaded.alias("uploaded"))

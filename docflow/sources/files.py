@@ -161,3 +161,20 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     if df.limit(1).count() == 0:
         raise ValueError(f"no traces to score in {path}")
     return df
+
+
+def set_current(spark: SparkSession, base: str, path: str) -> None:
+    """S8/S9 swap: record ``path`` as the current version of the table rooted at ``base``
+    (a one-line text dataset, replaced atomically by the writer's commit protocol)."""
+    spark.createDataFrame([(path,)], "value string").coalesce(1) \
+         .write.mode("overwrite").text(f"{base}/_current")
+
+
+def current(spark: SparkSession, base: str) -> str | None:
+    """The current version path recorded by ``set_current``, or None when the table does
+    not exist yet."""
+    try:
+        row = spark.read.text(f"{base}/_current").first()
+    except Exception:  # noqa: BLE001 - no pointer yet
+        return None
+    return None if row is None else row[0]

@@ -79,8 +79,21 @@ def test_index_job_with_push_and_upsert(spark):
     out = os.path.join(d, "out")
     s = jobs.index_job(spark, corpus, out, push=True, max_tokens=3, overlap_tokens=1, dim=64).first()
     assert (s.chunk_count, s.n_documents, s.uploaded) == (3, 2, 3)
-    idx = spark.read.parquet(os.path.join(out, "index"))
-    assert idx.select("chunk_id").distinct().count() == 3
+    from docflow.sources import files
+
+    cur = files.current(spark, os.path.join(out, "index"))
+    assert cur.endswith("v1")
+    assert spark.read.parquet(cur).select("chunk_id").distinct().count() == 3
+    # re-index a changed document as version 2: keyed upsert into a new path, then swap
+    with open(os.path.join(corpus, "b.txt"), "w") as fh:
+        fh.write("one two three four five")
+    s2 = jobs.index_job(spark, corpus, out, push=True, max_tokens=3, overlap_tokens=1, dim=64,
+                        version=2).first()
+    cur2 = files.current(spark, os.path.join(out, "index"))
+    assert cur2.endswith("v2") and s2.uploaded == 4
+    idx = spark.read.parquet(cur2)
+    assert idx.where("chunk_id = 'b_chunk_0001'").first().version == 2
+    assert idx.select("chunk_id").distinct().count() == 4
     assert {r.doc_id for r in spark.read.parquet(os.path.join(out, "manifest", "doc_ids")).collect()} == {"a", "b"}
 
 
