@@ -32,7 +32,8 @@ def fold_transcripts(completions: DataFrame, max_turns: int = MAX_TURNS) -> Data
     model (first non-empty), fold_status: 'answered' | 'cap_reached' | 'exhausted'
     (recorded turns ran out before an answer: an upstream error).
     """
-    c = completions.where(F.col("turn") < max_turns).select(
+    # one row per (request, turn): a re-delivered turn must not grow the group past max_turns
+    c = completions.where(F.col("turn") < max_turns).dropDuplicates(["request_id", "turn"]).select(
         "request_id",
         F.struct(F.col("turn").cast("int").alias("turn"), "content",
                  F.coalesce("tool_calls", F.array().cast(_TC)).alias("tool_calls"),
@@ -152,10 +153,23 @@ def resolve(folded: DataFrame, passages: DataFrame, prices: DataFrame) -> DataFr
 
 
 def chat_messages(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """The ordered message list of each conversation, rendered one message per line
-    as ``role: text``. Grouping is per conversation (bounded by its turn count)."""
-    g = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return g.select(key, F.size("m").cast("bigint").alias("n_messages"),
-                    F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "),
-                                                                     F.coalesce(x["text"], F.lit("")))),
+    """The ordered message list of each conversation in long form - one row per
+    message (key, turn, line = ``role: text``), ordered by turn. No grouping, so a
+    conversation of any length never has to fit in one row or one task."""
+    return turns.select(key, F.col("turn").cast("bigint").alias("turn"),
+                        F.concat(F.col("role"), F.lit(": "),
+                                 F.coalesce(F.col("text"), F.lit(""))).alias("line"))
+
+
+def render_messages(messages: DataFrame, key: str, max_messages: int) -> DataFrame:
+    """J5 rendered as one text per request, for message lists bounded by contract (a
+    request holds at most 2 + max_turns x (1 + tool calls) messages); the bound is
+    enforced with a per-key WindowGroupLimit before the gather, never by truncating
+    silently: keys over the bound are reported with ``complete = false``."""
+    from docflow.operators.retrieval import topk_per_group
+
+    ranked = topk_per_group(messages, [key], [F.col("turn")], max_messages + 1)
+    g = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("m"))
+    return g.select(key, (F.size("m") <= max_messages).alias("complete"),
+                    F.array_join(F.transform(F.slice("m", 1, max_messages), lambda x: x["line"]),
                                  "\n").alias("transcript"))

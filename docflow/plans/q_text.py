@@ -137,10 +137,10 @@ def severity_block(spark, sf):
         F.struct(F.lit("spam").alias("category"), (F.col("quality") * 2).alias("severity")),
         F.struct(F.lit("other").alias("category"), F.lit(None).cast("int").alias("severity")))
     sc = lab.select("doc_id", cats.alias("categories"))
-    # one row per doc_id (labels may repeat a doc_id): aggregate the categories first
-    per = sc.select("doc_id", F.explode("categories").alias("c")).groupBy("doc_id").agg(
-        F.collect_list("c").alias("categories"))
-    mx = F.aggregate("categories", F.lit(0),
-                     lambda acc, c: F.greatest(acc, F.coalesce(c["severity"], F.lit(0))))
-    return per.select("doc_id", mx.cast("bigint").alias("max_severity"),
-                      guardrails.severity_blocked("categories").alias("blocked"))
+    # V11 per label row, then per document over all its rows with partial aggregates
+    # (max / bool_or) - never a gathered list, however many rows a document has
+    row_max = F.aggregate("categories", F.lit(0),
+                          lambda acc, c: F.greatest(acc, F.coalesce(c["severity"], F.lit(0))))
+    return sc.groupBy("doc_id").agg(
+        F.max(row_max).cast("bigint").alias("max_severity"),
+        F.bool_or(guardrails.severity_blocked("categories")).alias("blocked"))

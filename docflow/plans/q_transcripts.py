@@ -146,9 +146,7 @@ def reason_resolve(spark, sf):
 
 
 @register("chat_messages", "J5", """
-SELECT conv_id, count(*)::BIGINT AS n_messages,
-       string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript
-FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn::BIGINT AS turn, role || ': ' || coalesce(text, '') AS line FROM conversations""")
 def chat_messages(spark, sf):
     return transcripts.chat_messages(table(spark, sf, "conversations"))
 

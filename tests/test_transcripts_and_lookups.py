@@ -143,3 +143,15 @@ def test_clause_lookup_matches_python_model(spark):
         got.setdefault(r.query_id, []).append((r.clause_id, r.score))
     for qid, q, k in queries:
         assert got[qid] == py_clause(q, lib, k or 3), qid
+
+
+def test_chat_messages_long_form_and_bounded_render(spark):
+    conv = spark.createDataFrame([(1, 0, "system", "be brief"), (1, 1, "user", "hi"),
+                                  (1, 2, "assistant", None), (2, 0, "user", "only")],
+                                 "conv_id int, turn int, role string, text string")
+    m = transcripts.chat_messages(conv)
+    assert rows(m, "conv_id", "turn", "line")[:3] == [(1, 0, "system: be brief"), (1, 1, "user: hi"),
+                                                      (1, 2, "assistant: ")]
+    r = {x.conv_id: x for x in transcripts.render_messages(m, "conv_id", 2).collect()}
+    assert not r[1].complete and r[1].transcript == "system: be brief\nuser: hi"
+    assert r[2].complete and r[2].transcript == "user: only"
