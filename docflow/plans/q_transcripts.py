@@ -21,13 +21,22 @@ TOOLS = ("lookup_clause_library", "check_counterparty_history", "web_search")
 
 
 def completions(spark, sf):
-    conv = table(spark, sf, "conversations")
-    w_all = Window.partitionBy("conv_id").orderBy("turn")
-    conv = conv.withColumn("_prev", F.lag("text").over(w_all))
-    a = conv.where(F.col("role") == "assistant")
+    """Recorded LLM turns from ``conversations``: the first ``MAX_TURNS`` assistant turns
+    of each conversation (the fold never reads further), each asking for a tool unless it
+    is the conversation's last assistant turn. Hot conversations stay distributed: the
+    previous message (turns are consecutive message positions) comes from an equi-join
+    on (conv_id, turn - 1), the last assistant
+    turn from a partial max aggregation, and the turn index from ``row_number() <= k``,
+    which Spark limits per partition before the shuffle."""
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("_prev"))
+    a = conv.where(F.col("role") == "assistant").join(prev, ["conv_id", "turn"], "left")
+    last = a.groupBy("conv_id").agg(F.max("turn").alias("_last_turn"))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    a = (a.withColumn("_t", (F.row_number().over(w) - 1).cast("int"))
-          .withColumn("_last", F.lead("turn").over(w).isNull()))
+    a = (a.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= transcripts.MAX_TURNS)
+          .join(last, "conv_id")
+          .withColumn("_t", (F.col("_rn") - 1).cast("int"))
+          .withColumn("_last", F.col("turn") == F.col("_last_turn")))
     pos = F.col("conv_id") + F.col("turn")
     model = F.try_element_at(F.array(*[F.lit(m) for m in MODELS]),
                              (F.pmod(pos, F.lit(len(MODELS))) + 1).cast("int"))
