@@ -29,7 +29,7 @@ def _proj(vec: Column, plane: list[float]) -> Column:
 
 
 def lsh_candidates(df: DataFrame, key: str, vec: str, dim: int, tables: int = 4, bits: int = 6,
-                   window: int = 8, salts: int = 4, seed: int = 42) -> DataFrame:
+                   window: int = 8, salts: int = 16, seed: int = 42) -> DataFrame:
     """Candidate pairs (a, b) with a < b, bounded by tables*window per vector."""
     planes = _planes(dim, tables * (bits + 1), seed)
     rows = []

@@ -275,6 +275,19 @@ def _candidate_cosine(cands: DataFrame, query_vecs: DataFrame, chunk_vecs: DataF
                            F.col("_d") / (F.col("_qn") * F.col("_cn"))).alias("vec_score"))
 
 
+def _candidate_keyword(cands: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """|Q n C| / |Q| for (query_id, chunk_id) candidate pairs only: the candidates' chunks
+    are found with a semi-join, their token sets joined to the query tokens on
+    (query_id, token). Same arithmetic as ``keyword_scores``."""
+    cc = chunks.join(cands.select("chunk_id").distinct(), "chunk_id", "left_semi") \
+               .select("chunk_id", F.explode(keyword_set("text")).alias("_tok"))
+    qset = keyword_set("text")
+    qt = queries.select("query_id", F.size(qset).alias("_nq"), F.explode(qset).alias("_tok"))
+    hits = cands.join(cc, "chunk_id").join(qt, ["query_id", "_tok"])
+    return (hits.groupBy("query_id", "chunk_id", "_nq").agg(F.count(F.lit(1)).alias("_hit"))
+                .select("query_id", "chunk_id", (F.col("_hit") / F.col("_nq")).alias("kw_score")))
+
+
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
                 chunk_vecs: DataFrame, k: int = DEFAULT_TOP_K,
                 vector_weight: float = DEFAULT_VECTOR_WEIGHT, digits: int | None = None,
@@ -287,10 +300,10 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
     idx, cnt, norm (sparse raw counts; see embedding.embed_md5_vectors).
     Output: query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank.
 
-    Every expensive input is consumed once: the vector candidates and the flagged keyword
-    scores are small (<= 2 * 2k rows per query) and are checkpointed into the shared
-    checkpoint folder, so the later joins read them instead of re-running the kernel or
-    the keyword join.
+    Every expensive input is consumed once: the vector top-2k and the keyword top-2k are
+    small (<= 2k rows per query each) and are checkpointed into the shared checkpoint
+    folder; the missing score of each candidate is then re-computed exactly for the
+    candidates alone, so neither the kernel nor the full keyword join runs twice.
     """
     check_vector_weight(vector_weight)
     depth = 2 * k
@@ -306,25 +319,22 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
                            sparse=("idx", "cnt", dim), n_queries=n_q)
                .select("query_id", "chunk_id", "doc_id", "chunk_index",
                        F.col("score").alias("vec_score")))
-    # 2. one pass over the keyword matches: keep the top 2k by keyword and the keyword
-    #    score of every vector candidate
+    # 2. top 2k by keyword: one pass over the keyword matches with a pure rank filter,
+    #    so Spark limits each partition before the shuffle even for a query matching
+    #    most chunks
     kw = keyword_scores(queries, chunks)
-    flags = vec_top.select("query_id", "chunk_id", F.lit(True).alias("_is_vec"))
-    w = Window.partitionBy("query_id").orderBy(F.col("kw_score").desc(), "doc_id", "chunk_index")
-    kwx = cut(kw.join(bc(flags), ["query_id", "chunk_id"], "left")
-             .withColumn("_kr", F.row_number().over(w))
-             .where((F.col("_kr") <= depth) | F.col("_is_vec").isNotNull())
-             .select("query_id", "chunk_id", "doc_id", "chunk_index", "kw_score",
-                     (F.col("_kr") <= depth).alias("_kw_top")))
-    # 3. candidates and both scores from the two small tables
+    kw_order = [F.col("kw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
+    kw_top = cut(topk_per_group(kw, ["query_id"], kw_order, depth)
+                 .select("query_id", "chunk_id", "doc_id", "chunk_index"))
+    # 3. candidates, and both scores re-computed exactly for the candidates only
     cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
-             .unionByName(kwx.where("_kw_top").select("query_id", "chunk_id", "doc_id", "chunk_index"))
-             .distinct())
+             .unionByName(kw_top).distinct())
     kw_only = cands.join(vec_top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     vs = vec_top.select("query_id", "chunk_id", "vec_score").unionByName(
         _candidate_cosine(bc(kw_only), query_vecs, chunk_vecs))
+    ks = _candidate_keyword(bc(cands.select("query_id", "chunk_id")), queries, chunks)
     scored = (cands.join(vs, ["query_id", "chunk_id"], "left")
-                   .join(kwx.select("query_id", "chunk_id", "kw_score"), ["query_id", "chunk_id"], "left")
+                   .join(ks, ["query_id", "chunk_id"], "left")
                    .select("query_id", "chunk_id", "doc_id", "chunk_index",
                            F.coalesce("vec_score", F.lit(0.0)).alias("vec_score"),
                            F.coalesce("kw_score", F.lit(0.0)).alias("kw_score")))
