@@ -78,7 +78,7 @@ def live_or_fallback(live: DataFrame, fallback: DataFrame) -> DataFrame:
 # ---- judging ---------------------------------------------------------------
 
 
-def judge_mean(df: DataFrame) -> Column:
+def judge_mean() -> Column:
     """Mean of the four integer dimensions."""
     return sum(F.col(d) for d in contracts.JUDGE_DIMENSIONS) / F.lit(4.0)
 
@@ -90,7 +90,7 @@ def judge_aggregate(scores: DataFrame, group: list[str] | None = None) -> DataFr
     valid = F.size("errors") == 0
     aggs = [F.count_if(valid).cast("bigint").alias("n_traces"),
             F.count_if(~valid).cast("bigint").alias("n_invalid"),
-            F.avg(F.when(valid, judge_mean(chk))).alias("mean_score")]
+            F.avg(F.when(valid, judge_mean())).alias("mean_score")]
     aggs += [F.avg(F.when(valid, F.col(d))).alias(d) for d in contracts.JUDGE_DIMENSIONS]
     return chk.groupBy(*(group or [])).agg(*aggs)
 
@@ -199,7 +199,7 @@ def judge_run(traces: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFram
     j = ok.join(scores, "doc_id")
     chk = contracts.with_errors(j, contracts.judge_rules())
     per_doc = chk.where(F.size("errors") == 0).select(
-        "doc_id", judge_mean(chk).alias("mean"), *contracts.JUDGE_DIMENSIONS, "notes")
+        "doc_id", judge_mean().alias("mean"), *contracts.JUDGE_DIMENSIONS, "notes")
     return per_doc, judge_aggregate(j)
 
 
