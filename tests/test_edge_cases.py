@@ -29,3 +29,20 @@ def test_duplicate_label_rows_are_kept_in_joins_and_metrics(spark):
     m = metrics.classifier_metrics(pairs).first()
     assert m.n == 3 and m.accuracy == 1.0                   # 'z' has no document: dropped
     assert rows(metrics.missing_labels(docs, labels)) == []
+
+
+def test_prompt_hint_and_truncation(spark):
+    from docflow.operators import prompts
+
+    req = spark.createDataFrame([("d1", "short text", "nda"), ("d2", "x" * 8001, None)],
+                                "doc_id string, text string, hinted_intent string")
+    passages = spark.createDataFrame([("d1", 2, "c2", 0.5, "second"), ("d1", 1, "c1", 0.0625, "first")],
+                                     "doc_id string, rank int, chunk_id string, score double, text string")
+    out = {r.doc_id: r.prompt for r in prompts.render_reason_user(req, passages).collect()}
+    p1, p2 = out["d1"], out["d2"]
+    assert p1.startswith("Document id: d1\nFast-classifier hint: nda\nDocument text:\n---\nshort text\n---\n")
+    # passages in rank order, three decimals, closing line without a trailing newline
+    assert "[c1] score=0.063\nfirst\n\n[c2] score=0.500\nsecond\n\n" in p1
+    assert p1.endswith("Use the retrieved passages for citations.")
+    assert "Fast-classifier hint" not in p2
+    assert "x" * 8000 + "\n[…truncated…]\n---" in p2 and "x" * 8001 not in p2
