@@ -46,3 +46,28 @@ def test_prompt_hint_and_truncation(spark):
     assert p1.endswith("Use the retrieved passages for citations.")
     assert "Fast-classifier hint" not in p2
     assert "x" * 8000 + "\n[…truncated…]\n---" in p2 and "x" * 8001 not in p2
+
+
+def test_chunk_jsonl_round_trip_with_quarantine_and_summary(spark):
+    import json
+    import os
+    import tempfile
+
+    from docflow.sources import files
+
+    d = tempfile.mkdtemp(prefix="docflow-s7-")
+    good = chunking.chunk_documents(spark.createDataFrame([("a", "one two three")], "doc_id string, text string"), 2, 1)
+    files.dump_chunks(good, f"{d}/chunks")
+    with open(f"{d}/chunks/part-bad.json", "w") as fh:
+        fh.write(json.dumps({"chunk_id": "x_chunk_0000", "doc_id": "x", "chunk_index": -1,
+                             "text": "", "n_tokens": 0}) + "\n\n")
+    valid, bad = files.load_chunks(spark, f"{d}/chunks")
+    assert rows(valid) == rows(good)
+    assert [r.errors for r in bad.collect()] == [["chunk_index_negative", "text_empty", "n_tokens_not_positive"]]
+    summary = files.write_summary(f"{d}/summary", metrics.classifier_metrics(
+        spark.createDataFrame([("a", "a")], "truth string, pred string")))
+    got = json.loads(open([os.path.join(f"{d}/summary", f) for f in os.listdir(f"{d}/summary")
+                           if f.endswith(".json")][0]).read())
+    assert got["classifier"]["n"] == 1
+    assert got.get("judge") is None          # a skipped section stays empty
+    assert summary.first().classifier.accuracy == 1.0
