@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docflow.llm import chat_format
+from docflow.llm import chat_format, fm_index
 from docflow.llm.common import read, registry
 
 QUERIES, query = registry()
@@ -40,3 +40,16 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(told) AS turns_sha256,
        length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
        0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM g"""
+
+
+@query
+def op2_decontaminate(spark, sf):
+    """All documents against all windows of ten words of all benchmark items."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    found = fm_index.find_phrases(docs, fm_index.windows(read(spark, sf, "benchmark")))
+    n_hit = F.aggregate("found.words", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
+    ids = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"),
+        F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
