@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import chat_format, fm_index
+from docflow.llm import chat_format, chunk_bpe, fm_index
 from docflow.llm.common import read, registry
 
 QUERIES, query = registry()
@@ -53,3 +54,15 @@ def op2_decontaminate(spark, sf):
         "doc_id", F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"),
         F.size("found.items").cast("bigint").alias("n_items"),
         F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op7_chunk_bpe(spark, sf, tokenizer: str = "byte_bpe_50k.json"):
+    """All documents, encoded and decoded again."""
+    spec = chunk_bpe.read_json(public_tokenizers.path(tokenizer))
+    ids = chunk_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), spec).drop("text")
+    back = chunk_bpe.decode(ids, spec)
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                       sha(F.col("decoded")).alias("decoded_sha256"))
