@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import chat_format, chunk_bpe, fm_index
-from docflow.llm.common import read, registry
+from docflow.llm import chat_format, chunk_bpe, fm_index, fst_count
+from docflow.llm.common import read, registry, text_of
 
 QUERIES, query = registry()
 SQL: dict[str, str] = {}
@@ -66,3 +66,12 @@ def op7_chunk_bpe(spark, sf, tokenizer: str = "byte_bpe_50k.json"):
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
                        sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op10_fst_count(spark, sf, tokenizer: str = "word_bpe_49k.json", limit: int = 2048):
+    """Token counts of all documents, and which exceed the model's window."""
+    spec = chunk_bpe.read_json(public_tokenizers.path(tokenizer))
+    docs = read(spark, sf, "documents").select("doc_id", "text", F.octet_length(text_of()).cast("bigint").alias("n_bytes"))
+    return fst_count.count_tokens(docs, spec).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
