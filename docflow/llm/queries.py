@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import chat_format, chunk_bpe, fm_index, fst_count
-from docflow.llm.common import read, registry, text_of
+from docflow.llm import attention_mil, chat_format, chunk_bpe, fm_index, fst_count
+from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
 SQL: dict[str, str] = {}
@@ -75,3 +75,13 @@ def op10_fst_count(spark, sf, tokenizer: str = "word_bpe_49k.json", limit: int =
     docs = read(spark, sf, "documents").select("doc_id", "text", F.octet_length(text_of()).cast("bigint").alias("n_bytes"))
     return fst_count.count_tokens(docs, spec).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+@query
+def op4_attention_mil(spark, sf):
+    """Quality of all documents; learnt from labels outside the held-out quarter."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = attention_mil.train(docs, read(spark, sf, "labels"))
+    return attention_mil.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
