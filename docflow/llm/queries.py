@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import attention_mil, chat_format, chunk_bpe, fm_index, fst_count
+from docflow.llm import attention_mil, chat_format, chunk_bpe, fm_index, fst_count, line_rules
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -85,3 +85,10 @@ def op4_attention_mil(spark, sf):
     return attention_mil.score(docs, model).select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_line_rules(spark, sf):
+    """All documents; their ``source`` is the host."""
+    judged = line_rules.judge(read(spark, sf, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc.doc_id", *[c for c in judged.columns if c != "doc"])
