@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import attention_mil, chat_format, chunk_bpe, fm_index, fst_count, line_rules
+from docflow.llm import attention_mil, chat_format, chunk_bpe, circulant_minhash, fm_index, fst_count, line_rules
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -92,3 +92,9 @@ def op6_line_rules(spark, sf):
     """All documents; their ``source`` is the host."""
     judged = line_rules.judge(read(spark, sf, "documents").select("doc_id", "source", "text"))
     return judged.select("doc.doc_id", *[c for c in judged.columns if c != "doc"])
+
+
+@query
+def op5_circulant_minhash(spark, sf):
+    """All documents, linked at 80 % of their four-word shingles."""
+    return circulant_minhash.near_duplicates(read(spark, sf, "documents"), shingle=4, percent=80)
