@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docflow.llm import attention_mil, chat_format, chunk_bpe, circulant_minhash, fm_index, fst_count, line_rules
+from docflow.llm import (attention_mil, chat_format, chunk_bpe, circulant_minhash, class_lm, fm_index,
+                         fst_count, line_rules)
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -98,3 +99,9 @@ def op6_line_rules(spark, sf):
 def op5_circulant_minhash(spark, sf):
     """All documents, linked at 80 % of their four-word shingles."""
     return circulant_minhash.near_duplicates(read(spark, sf, "documents"), shingle=4, percent=80)
+
+
+@query
+def op1_class_lm(spark, sf):
+    """Class-bigram scores of all documents, learnt from all but the held-out tenth."""
+    return class_lm.score(read(spark, sf, "documents").select("doc_id", "text"))
