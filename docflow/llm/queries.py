@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from docflow.llm import (attention_mil, chat_format, chunk_bpe, circulant_minhash, class_lm, fm_index,
-                         fst_count, line_rules)
+                         fst_count, line_rules, path_ratio)
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -105,3 +105,10 @@ def op5_circulant_minhash(spark, sf):
 def op1_class_lm(spark, sf):
     """Class-bigram scores of all documents, learnt from all but the held-out tenth."""
     return class_lm.score(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_path_ratio(spark, sf):
+    """The main text of all pages."""
+    out = path_ratio.extract(read(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("bigint").alias("n_chars"))
