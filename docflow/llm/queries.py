@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from docflow.llm import (attention_mil, chat_format, chunk_bpe, circulant_minhash, class_lm, fm_index,
-                         fst_count, line_rules, path_ratio)
+                         fst_count, license_scan, line_rules, path_ratio)
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -112,3 +112,12 @@ def op9_path_ratio(spark, sf):
     """The main text of all pages."""
     out = path_ratio.extract(read(spark, sf, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("bigint").alias("n_chars"))
+
+
+@query
+def op8_license_scan(spark, sf):
+    """Licence notices quoted in all documents."""
+    hits = license_scan.scan(read(spark, sf, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    return hits.select("doc_id", F.size("licenses").cast("bigint").alias("n_hits"),
+                       F.array_join(names, ",").alias("license_ids"), "licenses")
