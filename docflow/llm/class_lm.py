@@ -117,7 +117,7 @@ def sequences(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, units: i
     def run(batches):
         hashes, logs = shared.value
         lex = Lexicon(hashes, units, core)
-        end = int(np.flatnonzero(hashes == _signed([END_HASH])[0])[0]) if len(hashes) else -1
+        end = next(iter(np.flatnonzero(hashes == _signed([END_HASH])[0]).tolist()), -1)
         for batch in batches:
             out = {k: [] for k in ("units", "hot_log10", "rare", "at")}
             for text in batch.column("text"):

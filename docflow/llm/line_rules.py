@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Per document one pass gives the rule counts and its distinct lines, normalised (ASCII lower
-case, digits to 0, blanks folded) and hashed to 64 bits. Per host and line the distinct
+case, blanks folded) and hashed to 64 bits. Per host and line the distinct
 documents are counted; a line above the limit is boilerplate and is removed. A document that
 is left with too few words is depleted and rejected, as is one that fails the base rules.
 
@@ -35,7 +35,6 @@ from pyspark.sql import types as T
 from docflow.llm.common import LOWER, saved
 
 BLANKS = re.compile(rb"[\x20\x09-\x0D]")
-DIGITS = LOWER.translate(bytes.maketrans(b"123456789", b"000000000"))
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 
 STATS = (T.StructType().add("n_words", T.LongType()).add("word_chars", T.LongType())
@@ -72,7 +71,7 @@ def measure(text: str | None) -> dict:
             continue
         dup += line in seen
         seen.add(line)
-        h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(DIGITS)) - 2**63
+        h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(LOWER)) - 2**63
         lines[h] = lines.get(h, 0) + len(own)
     low = raw.translate(LOWER).split()
     shingles = {b" ".join(s) for s in zip(low, low[1:], low[2:], low[3:], strict=False)} or {b" ".join(low)}
