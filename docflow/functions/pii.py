@@ -45,15 +45,3 @@ def mask_phone(text) -> Column:
 def redact(text) -> Column:
     """E-mail, then card, then phone."""
     return mask_phone(mask_card(mask_email(text)))
-
-
-def has_email(text) -> Column:
-    return _c(text).rlike(EMAIL_PATTERN)
-
-
-def has_card(text) -> Column:
-    return _c(text).rlike(_U + CARD_PATTERN)
-
-
-def has_phone(text) -> Column:
-    return _c(text).rlike(_U + PHONE_PATTERN)

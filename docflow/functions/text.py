@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = "[A-Za-z][A-Za-z0-9_-]{2,}"
 # Keyword-overlap tokens (R2): whitespace tokens longer than this many characters.
 KEYWORD_MIN_EXCLUSIVE_LEN = 2
+# Fixed value: white space as Python's ``str.split()`` has it (Java's ``\\s`` is ASCII only).
+SPACE_RUN = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+             r"\x{202F}\x{205F}\x{3000}]+")
 
 
 def _c(x) -> Column:
@@ -28,7 +31,7 @@ def count_tokens(text) -> Column:
 
 def keyword_set(text) -> Column:
     """R2: distinct lower-cased whitespace tokens longer than 2 characters."""
-    toks = F.split(_c(text), r"\s+", -1)
+    toks = F.split(_c(text), SPACE_RUN, -1)
     kept = F.filter(toks, lambda t: F.char_length(t) > KEYWORD_MIN_EXCLUSIVE_LEN)
     return F.array_distinct(F.transform(kept, lambda t: F.lower(t)))
 
@@ -40,12 +43,13 @@ def word_tokens(text) -> Column:
 
 def normalize_ws(text) -> Column:
     """Collapse whitespace runs to one space, trim, lower-case."""
-    return F.lower(F.trim(F.regexp_replace(_c(text), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(_c(text), SPACE_RUN, " ")))
 
 
 def contains_normalized(haystack, needle) -> Column:
-    """Quote-in-chunk check after whitespace/case normalisation (blank quote matches)."""
-    return F.contains(normalize_ws(haystack), normalize_ws(needle))
+    """Quote-in-chunk check after whitespace/case normalisation (blank quote matches; a
+    null text holds nothing)."""
+    return F.coalesce(F.contains(normalize_ws(haystack), normalize_ws(needle)), F.lit(False))
 
 
 def truncate(text, n: int) -> Column:

@@ -19,10 +19,3 @@ def dot(a, b) -> Column:
 def l2_norm(v) -> Column:
     sq = F.transform(_c(v), lambda x: x.cast("double") * x.cast("double"))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
-
-
-def l2_normalize(v) -> Column:
-    """Unit-normalise; a zero vector stays zero (E4 guard)."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x.cast("double") / n)).otherwise(
-        F.transform(_c(v), lambda x: x.cast("double")))

@@ -1,29 +1,34 @@
-"""Hashed bag-of-words embeddings.
+"""Hashed bag-of-words embeddings.
 
-Two variants of one contract (tokens E3 -> bucket index + sign -> sum -> L2 normalise):
+One contract, two hashes: tokens (E3) -> bucket index and sign -> sum -> L2 normalise.
 
-* ``embed_md5_*`` (E2): native Spark SQL, bucket = first 4 bytes of md5(token) as a
-  big-endian integer mod dim, sign from the parity of md5 byte 5. Runs in codegen.
-* ``embed_blake2b`` (E1): the reference's exact hash (blake2b-64, little-endian
-  index, sign = bit 0 of byte 5). Spark has no blake2b, so this is a scalar-iterator
-  Arrow pandas UDF with stdlib ``hashlib`` - a small per-row helper.
+* 'md5' (E2): bucket = first 4 bytes of md5(token) as a big-endian integer mod dim, sign from
+  the parity of byte 5. SQL can express it, so it is the variant that the oracles check.
+* 'blake2b' (E1): bucket = first 4 bytes of blake2b-64 as a little-endian integer.
+
+Each Arrow batch hashes every distinct token once and sums all rows' buckets in one
+``bincount``; a row's counts come from the row alone, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.functions.text import word_tokens
+from docflow.functions.text import WORD_PATTERN
 from docflow.session import spread
 
 DEFAULT_DIM = 384
+PROVIDERS = ("md5", "blake2b")
+SPARSE = T.StructType([T.StructField("idx", T.ArrayType(T.LongType())),
+                       T.StructField("cnt", T.ArrayType(T.DoubleType()))])
 
 
 def check_dim(dim: int) -> None:
@@ -32,140 +37,93 @@ def check_dim(dim: int) -> None:
         raise ValueError("dim must be at least 32")
 
 
-def md5_bucket(tok: Column, dim: int, hexdigest: Column | None = None) -> Column:
-    h = F.md5(tok) if hexdigest is None else hexdigest
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+def check_provider(provider: str) -> None:
+    """U8: the provider is an explicit argument (no environment probing)."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown embedding provider {provider!r}; choose one of {PROVIDERS}")
 
 
-def md5_sign(tok: Column, hexdigest: Column | None = None) -> Column:
-    h = F.md5(tok) if hexdigest is None else hexdigest
-    odd = F.pmod(F.conv(F.substring(h, 9, 2), 16, 10).cast("int"), F.lit(2)) == 1
-    return F.when(odd, F.lit(1)).otherwise(F.lit(-1))
+def bucket_counts(texts: pd.Series, dim: int, provider: str) -> np.ndarray:
+    """Signed bucket counts of every text (rows x dim); a null text has none."""
+    word = re.compile(WORD_PATTERN)
+    rows = [word.findall((t or "").lower()) for t in texts]
+    number: dict[str, int] = {}
+    code = np.array([number.setdefault(t, len(number)) for row in rows for t in row], np.int64)
+    if provider == "md5":
+        digests = [hashlib.md5(t.encode()).digest() for t in number]
+    else:
+        digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in number]
+    table = np.frombuffer(b"".join(d[:5] for d in digests), np.uint8).reshape(-1, 5)
+    head = np.ascontiguousarray(table[:, :4]).view(">u4" if provider == "md5" else "<u4")[:, 0] % dim
+    sign = np.where(table[:, 4] & 1, 1.0, -1.0)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return np.bincount(row * dim + head[code].astype(np.int64), sign[code], len(rows) * dim).reshape(len(rows), dim)
+
+
+def sparse_counts(text: Column, dim: int = DEFAULT_DIM, provider: str = "md5") -> Column:
+    """STRUCT<idx, cnt>: the buckets whose count is not zero, in order."""
+    check_dim(dim)
+    check_provider(provider)
+
+    @F.pandas_udf(SPARSE)
+    def _sparse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            idx, cnt = [], []
+            for i in range(0, len(s), 1024):
+                for row in bucket_counts(s.iloc[i:i + 1024], dim, provider):
+                    idx.append(np.flatnonzero(row))
+                    cnt.append(row[idx[-1]])
+            yield pd.DataFrame({"idx": idx, "cnt": cnt})
 
+    return _sparse(text)
 
-def embed_md5_counts(df: DataFrame, id_cols: list[str], text_col: str = "text",
-                     dim: int = DEFAULT_DIM) -> DataFrame:
-    """Signed bucket counts in long form: id_cols..., idx BIGINT, cnt BIGINT (cnt != 0 kept).
 
-    explode -> hash -> groupBy(ids, idx).sum(sign). Partial aggregation runs map-side,
-    so the shuffle carries at most ``dim`` rows per document, not one per token.
-    """
+def dense_unit(text: Column, dim: int = DEFAULT_DIM, provider: str = "md5") -> Column:
+    """Dense unit ARRAY<FLOAT>; a text without tokens is the zero vector."""
     check_dim(dim)
-    tok = F.explode(word_tokens(text_col)).alias("_tok")
-    ex = spread(df.select(*id_cols, text_col)).select(*id_cols, tok)
-    ex = ex.select(*id_cols, "_tok", F.md5("_tok").alias("_h"))   # hash each token once
-    return (
-        ex.select(*id_cols, md5_bucket(F.col("_tok"), dim, F.col("_h")).alias("idx"),
-                  md5_sign(F.col("_tok"), F.col("_h")).alias("_s"))
-        .groupBy(*id_cols, "idx").agg(F.sum("_s").cast("bigint").alias("cnt"))
-        .where(F.col("cnt") != 0)
-    )
-
+    check_provider(provider)
 
-def embed_md5_sparse(df: DataFrame, id_cols: list[str], text_col: str = "text",
-                     dim: int = DEFAULT_DIM) -> DataFrame:
-    """E2+E4 long form: id_cols..., idx, weight (unit L2 norm per id).
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for i in range(0, len(s), 1024):
+                m = bucket_counts(s.iloc[i:i + 1024], dim, provider)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                out += list((m / np.where(n > 0, n, 1)).astype(np.float32))
+            yield pd.Series(out)
 
-    The per-document norm is a window over that document's <= dim bucket rows.
-    """
-    counts = embed_md5_counts(df, id_cols, text_col, dim)
-    w = Window.partitionBy(*id_cols)
-    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(w).cast("double"))
-    return counts.select(*id_cols, "idx", (F.col("cnt") / norm).alias("weight"))
+    return _dense(text)
 
 
-def embed_md5_vectors(df: DataFrame, id_cols: list[str], text_col: str = "text",
+def embed_md5_vectors(df: DataFrame, cols: list[str] | None = None, text_col: str = "text",
                       dim: int = DEFAULT_DIM) -> DataFrame:
-    """Sparse raw-count vectors, one row per input id: id_cols..., idx ARRAY<BIGINT>,
-    cnt ARRAY<DOUBLE>, norm DOUBLE. Rows without tokens keep empty arrays (norm 0).
+    """``cols`` (default: all) plus sparse raw counts: idx ARRAY<BIGINT>, cnt ARRAY<DOUBLE>,
+    norm DOUBLE. Rows without tokens keep empty arrays (norm 0). Narrow."""
+    keep = df.columns if cols is None else cols
+    v = spread(df.select(*dict.fromkeys([*keep, text_col]))).withColumn("_v", sparse_counts(F.col(text_col), dim))
+    norm = F.sqrt(F.aggregate("_v.cnt", F.lit(0.0), lambda a, x: a + x * x))
+    return v.select(*keep, F.col("_v.idx").alias("idx"), F.col("_v.cnt").alias("cnt"), norm.alias("norm"))
 
-    explode_outer keeps every id; the first aggregation (ids, idx) is combined map-side,
-    the second gathers at most ``dim`` entries per id.
-    """
-    check_dim(dim)
-    ex = spread(df.select(*id_cols, text_col)).select(
-        *id_cols, F.explode_outer(word_tokens(text_col)).alias("_tok"))
-    ex = ex.select(*id_cols, "_tok", F.md5("_tok").alias("_h"))   # hash each token once
-    b = ex.select(*id_cols, F.when(F.col("_tok").isNotNull(), md5_bucket(F.col("_tok"), dim, F.col("_h"))).alias("idx"),
-                  F.when(F.col("_tok").isNotNull(), md5_sign(F.col("_tok"), F.col("_h"))).alias("_s"))
-    per = b.groupBy(*id_cols, "idx").agg(F.sum("_s").cast("bigint").alias("cnt"))
-    entry = F.when(F.col("idx").isNotNull() & (F.col("cnt") != 0), F.struct("idx", "cnt"))
-    g = per.groupBy(*id_cols).agg(F.collect_list(entry).alias("_e"))
-    g = g.select(*id_cols, F.array_sort("_e").alias("_e"))
-    return g.select(*id_cols, F.transform("_e", lambda e: e["idx"]).alias("idx"),
-                    F.transform("_e", lambda e: e["cnt"].cast("double")).alias("cnt"),
-                    F.sqrt(F.aggregate("_e", F.lit(0.0),
-                                       lambda a, e: a + (e["cnt"] * e["cnt"]).cast("double"))).alias("norm"))
-
-
-def sparse_to_dense(idx: Column, cnt: Column, dim: int) -> Column:
-    """Scatter (idx, cnt) arrays into a dense ARRAY<DOUBLE> of length ``dim``
-    (Arrow-batched numpy; a small per-row helper)."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _dense(i: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for ii, cc in zip(i, c):
-            v = np.zeros(dim, dtype=np.float64)
-            if ii is not None and len(ii):
-                v[np.asarray(ii, dtype=np.int64)] = np.asarray(cc, dtype=np.float64)
-            out.append(v)
-        return pd.Series(out)
-
-    return _dense(idx, cnt)
-
-
-def embed_md5_dense(df: DataFrame, id_cols: list[str], text_col: str = "text",
-                    dim: int = DEFAULT_DIM) -> DataFrame:
-    """Dense raw-count vectors: id_cols..., vec ARRAY<DOUBLE> (length dim), norm DOUBLE.
 
-    Counts stay integers so dot products are exact; cosine = dot / (norm_a * norm_b).
-    """
+def embed_md5_sparse(df: DataFrame, id_cols: list[str], text_col: str = "text",
+                     dim: int = DEFAULT_DIM) -> DataFrame:
+    """E2+E4 long form: id_cols..., idx, weight (unit L2 norm per id)."""
     v = embed_md5_vectors(df, id_cols, text_col, dim)
-    return v.select(*id_cols, sparse_to_dense(F.col("idx"), F.col("cnt"), dim).alias("vec"), "norm")
-
-
-# ---- E1: exact blake2b variant (pandas UDF) ---------------------------------
-
-
-def _blake2b_embed_batch(texts: pd.Series, dim: int, cache: dict | None = None) -> pd.Series:
-    """One batch; ``cache`` maps token -> (bucket, sign) so each distinct token is hashed
-    once per task (kept under a million entries)."""
-    import re
-
-    rx = re.compile(r"[A-Za-z][A-Za-z0-9_-]{2,}")
-    cache = {} if cache is None else cache
-    if len(cache) > 1_000_000:
-        cache.clear()
-    out = []
-    for text in texts:
-        v = np.zeros(dim, dtype=np.float32)
-        if text is not None:
-            for tok in rx.findall(text.lower()):
-                hit = cache.get(tok)
-                if hit is None:
-                    h = hashlib.blake2b(tok.encode(), digest_size=8).digest()
-                    hit = cache[tok] = (int.from_bytes(h[:4], "little") % dim,
-                                        1.0 if (h[4] & 1) else -1.0)
-                v[hit[0]] += hit[1]
-            n = float(np.linalg.norm(v))
-            if n > 0:
-                v /= n
-        out.append(v)
-    return pd.Series(out)
+    e = v.select(*id_cols, "norm", F.explode(F.arrays_zip("idx", "cnt")).alias("_e"))
+    return e.select(*id_cols, F.col("_e.idx").alias("idx"), (F.col("_e.cnt") / F.col("norm")).alias("weight"))
 
 
-def embed_blake2b(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """ARRAY<FLOAT> embedding, exact to the reference hash; Arrow-batched."""
-    check_dim(dim)
+def embed_md5_dense(df: DataFrame, cols: list[str], text_col: str = "text",
+                    dim: int = DEFAULT_DIM) -> DataFrame:
+    """cols..., vec ARRAY<FLOAT>: the dense unit vectors (length dim)."""
+    return spread(df.select(*dict.fromkeys([*cols, text_col]))).select(
+        *cols, dense_unit(F.col(text_col), dim).alias("vec"))
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}
-        for s in batches:
-            yield _blake2b_embed_batch(s, dim, cache)
 
-    return _embed(text)
+def embed_blake2b(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """ARRAY<FLOAT> unit embedding with the blake2b hash."""
+    return dense_unit(text, dim, "blake2b")
 
 
 def prompt_hash(text: Column) -> Column:
@@ -183,40 +141,3 @@ def prompt_hash(text: Column) -> Column:
 def prompt_hash_native(text: Column) -> Column:
     """J7 native variant: first 16 hex chars of sha-256 (codegen, no Python)."""
     return F.substring(F.sha2(text, 256), 1, 16)
-
-
-# ---- U8: explicit provider choice ---------------------------------------------
-
-PROVIDERS = ("md5", "blake2b")
-
-
-def embed_column(text: Column, provider: str = "md5", dim: int = DEFAULT_DIM) -> Column:
-    """U8: the provider is an explicit argument (no environment probing).
-
-    Returns a dense unit ARRAY<FLOAT> per row: 'blake2b' is the reference's exact hash,
-    'md5' the variant whose native long form is ``embed_md5_vectors``. As a single
-    column expression both go through a small Arrow-batched helper; for whole tables
-    prefer ``embed_md5_vectors`` (codegen, partial aggregation)."""
-    if provider == "blake2b":
-        return embed_blake2b(text, dim)
-    if provider == "md5":
-        check_dim(dim)
-
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def _md5(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import re
-
-            rx = re.compile(r"[A-Za-z][A-Za-z0-9_-]{2,}")
-            for s in batches:
-                out = []
-                for t in s:
-                    v = np.zeros(dim, dtype=np.float32)
-                    for tok in rx.findall((t or "").lower()):
-                        h = hashlib.md5(tok.encode()).hexdigest()
-                        v[int(h[:8], 16) % dim] += 1.0 if int(h[8:10], 16) % 2 == 1 else -1.0
-                    n = float(np.linalg.norm(v))
-                    out.append(v / n if n > 0 else v)
-                yield pd.Series(out)
-
-        return _md5(text)
-    raise ValueError(f"unknown embedding provider {provider!r}; choose one of {PROVIDERS}")

@@ -1,21 +1,26 @@
 """Tool lookups and pricing (JN5, JN6, W2, JN8, J8, V4).
 
-* counterparty lookup: LEFT JOIN on ``lower(name)``; the directory is broadcast only when
-  a bounded count proves it small, otherwise a shuffle join;
+* counterparty lookup: LEFT JOIN on ``lower(name)``, one directory row per name; Spark picks
+  the join from the sizes it sees;
 * clause lookup: score = number of query tokens (duplicates counted) that occur as a
-  substring of the entry text. Candidates come from an equi-join on character n-grams
-  (a token of length <= 3 is itself a gram, a longer one joins on its first 3-gram and
-  is then verified with ``contains``) - no cross join, only entries that can match;
-* pricing: broadcast LEFT JOIN of a fixed price table with a default-model fallback.
+  substring of the entry text. The library is broadcast in slices of bounded bytes, with its
+  character n-grams; a block of queries is scored against a slice in one matrix product and
+  only the best ``top_k`` entries of each query leave the task - no (query, entry) rows;
+* pricing: LEFT JOIN of a fixed price table with a default-model fallback.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docflow.operators.retrieval import topk_per_group
-from docflow.session import is_small, parallelism, salted_join, sized_broadcast, spread
+from docflow.functions.text import SPACE_RUN
+from docflow.operators.retrieval import best_rows
+from docflow.session import slices_of, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
 PRICES = (
@@ -27,8 +32,8 @@ PRICES = (
 )
 DEFAULT_MODEL = "gpt-4o"
 DEFAULT_CLAUSE_TOP_K = 3
-MAX_CLAUSE_TOP_K = 10
 GRAM = 3
+MAX_LIBRARY_BYTES = 32 << 20
 
 
 def price_table(spark: SparkSession) -> DataFrame:
@@ -38,8 +43,7 @@ def price_table(spark: SparkSession) -> DataFrame:
 def with_cost(df: DataFrame, prices: DataFrame, model_col: str = "model",
               tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:
     """JN8+J8: cost_usd = in/1000*p_in + out/1000*p_out; unknown model -> default price."""
-    p = sized_broadcast(prices.select(F.col("model").alias("_pm"), "usd_in_per_1k", "usd_out_per_1k"),
-                        100_000)
+    p = prices.select(F.col("model").alias("_pm"), "usd_in_per_1k", "usd_out_per_1k")
     d = p.where(F.col("_pm") == DEFAULT_MODEL).select(
         F.col("usd_in_per_1k").alias("_din"), F.col("usd_out_per_1k").alias("_dout"))
     din = d.select("_din").scalar()
@@ -51,110 +55,98 @@ def with_cost(df: DataFrame, prices: DataFrame, model_col: str = "model",
     return j.withColumn("cost_usd", cost).drop("_pm", "usd_in_per_1k", "usd_out_per_1k")
 
 
-def counterparty_lookup(calls: DataFrame, directory: DataFrame, name_col: str = "entity_name",
-                        max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def counterparty_lookup(calls: DataFrame, directory: DataFrame, name_col: str = "entity_name") -> DataFrame:
     """JN5: status 'known' plus the directory record, or 'unknown'.
 
-    directory: entity_name and any record columns; keyed by lower(entity_name).
+    directory: entity_name and any record columns; keyed by lower(entity_name). Of entries
+    whose names differ in case only the first in order counts, so no call is multiplied.
     """
-    rec_cols = [c for c in directory.columns if c != "entity_name"]
-    d = directory.select(F.lower("entity_name").alias("_key"),
-                         F.col("entity_name").alias("known_name"), *rec_cols)
-    j = calls.join(sized_broadcast(d, max_broadcast_rows), F.lower(F.col(name_col)) == F.col("_key"),
-                   "left")
+    rec = F.struct(F.col("entity_name").alias("known_name"), *[c for c in directory.columns if c != "entity_name"])
+    d = directory.groupBy(F.lower("entity_name").alias("_key")).agg(F.min(rec).alias("_rec"))
+    j = calls.join(d.select("_key", "_rec.*"), F.lower(F.col(name_col)) == F.col("_key"), "left")
     status = F.when(F.col("_key").isNull(), F.lit("unknown")).otherwise(F.lit("known"))
     return j.withColumn("status", status).drop("_key")
 
 
-def _query_tokens(q: Column) -> Column:
-    """Python ``str.lower().split()``: whitespace runs, no empty tokens."""
-    return F.filter(F.split(F.lower(q), r"\s+", -1), lambda t: F.length(t) > 0)
-
-
-def _grams(text: Column) -> Column:
-    """Distinct substrings of length 1..GRAM of the text."""
-    n = F.char_length(text)
-
-    def grams_of(L: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - (L - 1), F.lit(1))),
-                           lambda i: F.substring(text, i, L))
-
-    parts = [grams_of(L) for L in range(1, GRAM + 1)]
-    return F.array_distinct(F.filter(F.flatten(F.array(*parts)), lambda g: F.length(g) > 0))
-
-
-def clause_scores(queries: DataFrame, texts: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Positive scores per (query, distinct library text): query_id, _tid, score.
-
-    queries: query_id, query. texts: _tid (text id), _lt (lower-cased text), one row per
-    distinct text. Postings (token -> texts containing it) are computed once per distinct
-    query token (gram equi-join + ``contains``). When the postings are small (checked),
-    they are broadcast to the queries, which were hash-partitioned by query_id once:
-    the per-query aggregation and the top-k window then reuse that partitioning, so the
-    (query, text) hit rows are never shuffled. Otherwise the hits join is salted.
-    """
-    # an explicit partition count (two waves of the cluster's cores): AQE must not
-    # coalesce this small shuffle, because the heavy per-query work happens downstream
-    # of it, in place
-    n = parallelism(queries.sparkSession) * 2
-    qp = queries.select("query_id", "query").repartition(n, "query_id")
-    qt = (qp.select("query_id", F.explode(_query_tokens(F.col("query"))).alias("tok"))
-            .groupBy("query_id", "tok").agg(F.count(F.lit(1)).alias("mult")))
-    toks = qt.select("tok").distinct().withColumn(
-        "gram", F.when(F.length("tok") <= GRAM, F.col("tok")).otherwise(F.substring("tok", 1, GRAM)))
-    lg = texts.select("_tid", "_lt", F.explode(_grams(F.col("_lt"))).alias("gram"))
-    postings = (lg.join(sized_broadcast(toks), "gram")
-                  .where(F.contains(F.col("_lt"), F.col("tok")))
-                  .select("tok", "_tid"))
-    if is_small(postings, max_broadcast_rows):
-        hits = qt.join(F.broadcast(postings), "tok")
-    else:  # short tokens ('a', 'de') are hot keys: salt the postings side by text id
-        hits = salted_join(postings, qt, ["tok"], "_tid")
-    return hits.groupBy("query_id", "_tid").agg(F.sum("mult").cast("bigint").alias("score"))
-
-
-def clause_lookup(queries: DataFrame, library: DataFrame,
-                  default_top_k: int = DEFAULT_CLAUSE_TOP_K) -> DataFrame:
+class ClauseSlice:
+    """Library entries (position order) and, per character n-gram, the entries that hold it."""
+
+    def __init__(self, rows: list):
+        self.rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        distinct: dict[str, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            distinct.setdefault(r[2], []).append(i)
+        self.texts = list(distinct)
+        self.text_of = np.zeros(len(self.rows), np.int64)
+        for t, entries in enumerate(distinct.values()):
+            self.text_of[entries] = t
+        grams: dict[str, set[int]] = {}
+        for t, text in enumerate(self.texts):
+            for size in range(1, GRAM + 1):
+                for g in {text[i:i + size] for i in range(len(text) - size + 1)}:
+                    grams.setdefault(g, set()).add(t)
+        self.grams = grams
+
+    def holding(self, token: str) -> list[int]:
+        """Texts that contain ``token``."""
+        if len(token) <= GRAM:
+            return list(self.grams.get(token, ()))
+        sets = [self.grams.get(token[i:i + GRAM], set()) for i in range(len(token) - GRAM + 1)]
+        return [t for t in min(sets, key=len) if token in self.texts[t]]
+
+    def score(self, queries: list[list[str]]) -> np.ndarray:
+        """(query, entry): tokens of the query that the entry's text contains."""
+        counts = [Counter(q) for q in queries]
+        number = {t: j for j, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
+        times = np.zeros((len(queries), len(number)), np.float32)
+        for i, c in enumerate(counts):
+            times[i, [number[t] for t in c]] = list(c.values())
+        there = np.zeros((len(number), len(self.texts)), np.float32)
+        for t, j in number.items():
+            there[j, self.holding(t)] = 1
+        return (times @ there)[:, self.text_of]
+
+
+def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = DEFAULT_CLAUSE_TOP_K,
+                  max_library_bytes: int = MAX_LIBRARY_BYTES) -> DataFrame:
     """JN6+W2: per query its ``top_k`` (column, default 3) entries by score desc, stable by
     library position; zero-score entries still fill the list.
-
-    Entries with the same lower-cased text score the same, so scoring runs once per
-    distinct text; each text keeps its first MAX_CLAUSE_TOP_K positions (a per-text
-    WindowGroupLimit, so a text repeated a million times still costs MAX_CLAUSE_TOP_K
-    rows), and the best texts per query are expanded back to entries - exact, because
-    any entry of the final top-k belongs to a text whose first entry ranks at least as
-    high. Zero fills come from the first 2*MAX_CLAUSE_TOP_K entries by position through
-    a scalar subquery (bounded).
-    Output: query_id, clause_id, position, score, rank.
-    """
+    Output: query_id, clause_id, position, score, rank."""
+    spark = queries.sparkSession
     top_k = (F.coalesce(F.col("top_k"), F.lit(default_top_k)) if "top_k" in queries.columns
              else F.lit(default_top_k))
-    q = queries.select("query_id", "query", top_k.alias("_k"))
-    lib = spread(library.select("clause_id", "position", "text")).select(
-        "clause_id", "position", F.lower("text").alias("_lt"))
-    firsts = topk_per_group(lib, ["_lt"], [F.col("position"), F.col("clause_id")],
-                            MAX_CLAUSE_TOP_K).drop("rank")
-    # a text is identified by its first position (unique), so later joins use a long key
-    texts = firsts.groupBy("_lt").agg(
-        F.min("position").alias("_tid"),
-        F.collect_list(F.struct("position", "clause_id")).alias("_entries"))
-    scored = clause_scores(q, texts.select("_tid", "_lt"))
-    best = topk_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("_tid")],
-                          MAX_CLAUSE_TOP_K).drop("rank")
-    entries = (best.join(texts.select("_tid", "_entries"), "_tid")
-                   .select("query_id", "score", F.explode("_entries").alias("_e"))
-                   .select("query_id", "_e.clause_id", "_e.position", "score"))
-    order = [F.col("score").desc(), F.col("position")]
-    head = (library.select("clause_id", "position").orderBy("position")
-                   .limit(2 * MAX_CLAUSE_TOP_K)
-                   .select(F.collect_list(F.struct("clause_id", "position"))).scalar())
-    fill = q.select("query_id", F.explode(head).alias("_e")).select(
-        "query_id", "_e.clause_id", "_e.position", F.lit(0).cast("bigint").alias("score"))
-    both = entries.unionByName(fill).groupBy("query_id", "clause_id", "position") \
-                  .agg(F.max("score").alias("score"))
-    ranked = topk_per_group(both, ["query_id"], order, MAX_CLAUSE_TOP_K)
-    return ranked.join(q.select("query_id", "_k"), "query_id") \
-                 .where(F.col("rank") <= F.col("_k")).drop("_k")
+    toks = F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), SPACE_RUN, -1), lambda t: F.length(t) > 0)
+    q = spread(queries.select("query_id", toks.alias("toks"), top_k.cast("int").alias("_k")))
+    lib = library.select("clause_id", "position", F.lower(F.coalesce("text", F.lit(""))).alias("_lt"))
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *library.schema.fields)}
+    schema = f"query_id {kinds['query_id']}, clause_id {kinds['clause_id']}, position {kinds['position']}, score bigint, _k int"
+
+    def kernel(shared):
+        def run(batches):
+            block = ClauseSlice(shared.value)
+            for pdf in batches:
+                for at in range(0, len(pdf) if block.rows else 0, 64):
+                    part = pdf.iloc[at:at + 64]
+                    s = block.score(list(part["toks"]))
+                    k = part["_k"].to_numpy()
+                    row, col = best_rows(s, int(max(k.max(), 0)))
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[place < k[row]], col[place < k[row]]
+                    yield pd.DataFrame({
+                        "query_id": part["query_id"].to_numpy()[row],
+                        "clause_id": pd.Series([block.rows[c][0] for c in col], dtype=object),
+                        "position": pd.Series([block.rows[c][1] for c in col], dtype=object),
+                        "score": s[row, col].astype(np.int64), "_k": k[row]})
+        return run
+
+    found = None
+    for part in slices_of(lib, "clause_id", F.length("_lt") * 8 + 64, max_library_bytes):
+        shared = spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])
+        rows = q.mapInPandas(kernel(shared), schema)
+        found = rows if found is None else found.unionByName(rows)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position", "clause_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def validate_tool_args(name: Column, arguments: Column) -> Column:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.session import sized_broadcast
 
 MACRO_F1_FLOOR = 0.5
 DIGITS = 9
@@ -120,9 +119,9 @@ def missing_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> D
 
 def class_weights(labels: DataFrame, label_col: str) -> DataFrame:
     """Balanced weight n / (k * n_c) per row. Class counts are a tiny table
-    (one row per class, size-checked) broadcast back to the rows; no global window."""
+    (one row per class) joined back to the rows - Spark sees its size; no global window."""
     counts = labels.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     n = counts.agg(F.sum("_nc")).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
     w = counts.select(label_col, (n / (k * F.col("_nc"))).alias("weight"))
-    return labels.join(sized_broadcast(w, 100_000), label_col)
+    return labels.join(w, label_col)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions import pii
 from docflow.functions.text import fixed3, truncate
-from docflow.operators import retrieval
+from docflow.operators import embedding, retrieval
 
 MAX_DOCUMENT_CHARS = 8000
 QUERY_CHARS = 2000
@@ -41,17 +41,20 @@ def render_reason_user(requests: DataFrame, passages: DataFrame,
     return requests.join(p, "doc_id", "left").select("doc_id", msg.alias("prompt"))
 
 
-def prepare(requests: DataFrame, chunks: DataFrame, k: int = retrieval.DEFAULT_TOP_K,
-            redactor: pii.Redactor = pii.redact) -> DataFrame:
+def prepare(requests: DataFrame, index: DataFrame, k: int = retrieval.DEFAULT_TOP_K,
+            redactor: pii.Redactor = pii.redact, vector_weight: float = retrieval.DEFAULT_VECTOR_WEIGHT,
+            dim: int = embedding.DEFAULT_DIM) -> DataFrame:
     """Redact the document (J1), retrieve the top-k passages for its first 2000
-    redacted characters (J2, R2/R4), render the prompt (J4) from the redacted text.
+    redacted characters by the blended score over the whole index (J2, R3, R4), render the
+    prompt (J4) from the redacted text.
 
-    requests: doc_id, text, hinted_intent. ``redactor`` is any Column -> Column backend
-    (U7; the regex redactor by default). Output: doc_id, prompt."""
+    requests: doc_id, text, hinted_intent. index: retrieval.build_index. ``redactor`` is any
+    Column -> Column backend (U7; the regex redactor by default). Output: doc_id, prompt."""
     red = requests.select("doc_id", redactor(F.col("text")).alias("text"), "hinted_intent")
     q = red.select(F.col("doc_id").alias("query_id"), truncate("text", QUERY_CHARS).alias("text"))
-    top = retrieval.keyword_topk(q, chunks, k)
-    texts = chunks.select("chunk_id", F.col("text").alias("_ctext"))
+    qv = embedding.embed_md5_vectors(q, ["query_id", "text"], "text", dim)
+    top = retrieval.blended_topk(qv, index, k, vector_weight, dim)
+    texts = index.select("chunk_id", F.col("text").alias("_ctext"))
     passages = top.join(texts, "chunk_id").select(
         F.col("query_id").alias("doc_id"), "rank", "chunk_id", "score", F.col("_ctext").alias("text"))
     return render_reason_user(red, passages)

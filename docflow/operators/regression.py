@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from docflow import contracts
 from docflow.functions.text import fixed3
-from docflow.session import sized_broadcast
 
 TRACE_NAME = "reason.response"
 JUDGE_REGRESSION_THRESHOLD = 0.5
@@ -112,7 +111,7 @@ def compare_to_baseline(current: DataFrame, baseline: DataFrame, tolerances: Dat
     Output: key, section, name, current, baseline, drop, tolerance, regressed, message."""
     j = (current.select("key", F.col("value").alias("current"))
          .join(baseline.select("key", F.col("value").alias("baseline")), "key")
-         .join(sized_broadcast(tolerances, 100_000), "key")
+         .join(tolerances, "key")
          .where(F.col("current").isNotNull() & F.col("baseline").isNotNull()))
     parts = F.split("key", r"\.", 2)
     drop = F.col("baseline") - F.col("current")

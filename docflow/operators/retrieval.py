@@ -1,11 +1,12 @@
-"""Retrieval as Spark joins and a blocked vector kernel.
-
-* keyword overlap (R2) is an inverted-index equi-join on tokens, never a cross join;
-* exact vector top-k (R1) packs both sides into blocks of rows, pairs blocks (the
-  query side is a size-checked broadcast), scores each block pair with one numpy
-  matmul and emits only the per-block top-k, so no per-pair row is ever materialised;
-* top-k per query (R4/W1) is ``row_number() <= k`` which Spark plans with a partial
-  WindowGroupLimit before the shuffle.
+"""Exact retrieval of a stated query set against the whole index.
+
+The queries are collected in slices of bounded bytes and broadcast; the index streams
+through the tasks once per slice. A task scores a block of index rows against all queries
+of the slice (a token-incidence product for the keyword overlap R2, a matrix product for the
+cosine R1), blends both (R3) and emits only the block's best ``k`` rows per query, so no
+(query, chunk) pair is ever a row. The final top-k is ``row_number() <= k``, which Spark
+limits per partition before the shuffle. Every chunk is ranked, zero scores too; ties break
+by (doc_id, chunk_index).
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import keyword_set
-from docflow.session import cut, is_small, salted_join
+from docflow.session import slices_of
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
 CHUNK_ORDER = ("doc_id", "chunk_index")
+MAX_QUERY_BYTES = 64 << 20
+BLOCK_CELLS = 16 << 20
 
 
 def check_vector_weight(w: float) -> None:
@@ -43,305 +46,189 @@ def topk_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
-# ---- R2: keyword overlap ---------------------------------------------------
+def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest of each row; of equal ones the first columns."""
+    n = scores.shape[1]
+    if k >= n:
+        return np.repeat(np.arange(len(scores)), n), np.tile(np.arange(n), len(scores))
+    limit = np.partition(scores, n - k, axis=1)[:, n - k:n - k + 1]
+    row, col = np.nonzero(scores >= limit)
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+class QuerySlice:
+    """The queries of one slice as matrices: token incidence, sizes, vectors and norms."""
+
+    def __init__(self, rows: list, dim: int):
+        self.ids = [r["query_id"] for r in rows]
+        self.number = {t: j for j, t in enumerate(dict.fromkeys(t for r in rows for t in (r["toks"] or ())))}
+        self.tokens = np.zeros((len(rows), len(self.number)), np.float32)
+        self.vectors = np.zeros((len(rows), dim))
+        self.norms = np.zeros(len(rows))
+        for i, r in enumerate(rows):
+            self.tokens[i, [self.number[t] for t in r["toks"] or ()]] = 1
+            if r["idx"]:
+                self.vectors[i, r["idx"]] = r["cnt"]
+            self.norms[i] = r["norm"] or 0.0
+        self.sizes = self.tokens.sum(1, dtype=np.float64)
+
+    def keyword(self, toks) -> np.ndarray:
+        """R2: |Q n C| / |Q| for every query and chunk."""
+        there = np.zeros((len(toks), len(self.number)), np.float32)
+        for i, row in enumerate(toks):
+            there[i, [self.number[t] for t in (row if row is not None else ()) if t in self.number]] = 1
+        hits = (self.tokens @ there.T).astype(np.float64)
+        return hits / np.where(self.sizes > 0, self.sizes, 1)[:, None]
+
+    def cosine(self, idx, cnt, norms) -> np.ndarray:
+        """R1 over sparse integer counts: exact dot products, one rounding per division."""
+        block = np.zeros((len(norms), self.vectors.shape[1]))
+        for i, (a, b) in enumerate(zip(idx, cnt, strict=True)):
+            if a is not None and len(a):
+                block[i, np.asarray(a, np.int64)] = b
+        scale = np.outer(self.norms, norms)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(scale > 0, (self.vectors @ block.T) / scale, 0.0)
+
+
+def _kernel(shared, dim: int, weight: float, picks: tuple[tuple[str, int], ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = QuerySlice(shared.value, dim)
+        size = max(1, BLOCK_CELLS // max(1, len(q.number) + dim + len(q.ids)))
+        for pdf in batches:
+            pdf = pdf.sort_values(list(CHUNK_ORDER), kind="stable")
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at:at + size]
+                kw = q.keyword(part["toks"]) if len(q.number) else np.zeros((len(q.ids), len(part)))
+                vec = q.cosine(part["idx"], part["cnt"], part["norm"].to_numpy(np.float64)) if dim else np.zeros_like(kw)
+                of = {"vec": vec, "kw": kw, "score": weight * vec + (1.0 - weight) * kw}
+                cells = np.concatenate([np.stack(best_rows(of[name], k), 1) for name, k in picks])
+                row, col = np.unique(cells, axis=0).T
+                yield pd.DataFrame({
+                    "query_id": pd.Series([q.ids[i] for i in row], dtype=object),
+                    **{c: part[c].to_numpy()[col] for c in ("chunk_id", "doc_id", "chunk_index")},
+                    "vec_score": vec[row, col], "kw_score": kw[row, col], "score": of["score"][row, col]})
+    return run
+
+
+def score_blocks(queries: DataFrame, index: DataFrame, picks: tuple[tuple[str, int], ...],
+                 weight: float, dim: int, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """Per block of index rows and query, the best ``k`` by each of ``picks``
+    ((vec | kw | score, k), ...), with all three scores.
 
+    queries: query_id, toks, idx, cnt, norm (the last three null without vectors).
+    index: chunk_id, doc_id, chunk_index, toks, idx, cnt, norm."""
+    spark = queries.sparkSession
+    kinds = {f.name: f.dataType for f in (*index.schema.fields, *queries.schema.fields)}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in ("query_id", "chunk_id", "doc_id", "chunk_index")]
+                          + [T.StructField(c, T.DoubleType()) for c in ("vec_score", "kw_score", "score")])
+    cols = index.select("chunk_id", "doc_id", "chunk_index", "toks", "idx", "cnt", "norm")
+    row_bytes = F.coalesce(F.size("toks"), F.lit(0)) * 48 + dim * 8 + 64
+    out = None
+    for part in slices_of(queries, "query_id", row_bytes, max_query_bytes):
+        shared = spark.sparkContext.broadcast([r.asDict() for r in part.collect()])
+        found = cols.mapInPandas(_kernel(shared, dim, weight, picks), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def keyword_scores(queries: DataFrame, chunks: DataFrame, query_col: str = "query_id",
-                   text_col: str = "text", max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """|Q n C| / |Q| for every (query, chunk) pair sharing at least one token.
 
-    Pairs without a shared token score 0 and are not emitted. The query-token side
-    is broadcast when a bounded count proves it small (no shuffle of the chunk side);
-    otherwise the join is salted on the chunk id so a token present in a third of all
-    chunks is spread over many tasks.
-    Output: query_id, chunk_id, doc_id, chunk_index, kw_score DOUBLE.
-    """
-    qset = keyword_set(text_col)
-    q_tok = queries.select(F.col(query_col).alias("query_id"),
-                           F.size(qset).alias("_nq"), F.explode(qset).alias("_tok"))
-    c_tok = chunks.select("chunk_id", "doc_id", "chunk_index",
-                          F.explode(keyword_set(text_col)).alias("_tok"))
-    if is_small(q_tok, max_broadcast_rows):
-        hits = c_tok.join(F.broadcast(q_tok), "_tok")
-    else:
-        hits = salted_join(c_tok, q_tok, ["_tok"], "chunk_id")
-    return (hits.groupBy("query_id", "chunk_id", "doc_id", "chunk_index", "_nq")
-                .agg(F.count(F.lit(1)).alias("_hit"))
-                .select("query_id", "chunk_id", "doc_id", "chunk_index",
-                        (F.col("_hit") / F.col("_nq")).alias("kw_score")))
+def _order(score: str) -> list[Column]:
+    return [F.col(score).desc(), F.col("doc_id"), F.col("chunk_index")]
 
 
-def first_chunks(chunks: DataFrame, n: int) -> Column:
-    """Scalar subquery: the first ``n`` chunks by (doc_id, chunk_index) as an array of
-    structs. A global top-n (TakeOrderedAndProject: partial top-n per partition)."""
-    head = (chunks.select("chunk_id", "doc_id", "chunk_index")
-                  .orderBy(*CHUNK_ORDER).limit(n))
-    return head.select(F.collect_list(F.struct("chunk_id", "doc_id", "chunk_index"))).scalar()
+def _no_vectors(df: DataFrame, *cols: str | Column) -> DataFrame:
+    return df.select(*cols, keyword_set("text").alias("toks"), F.lit(None).cast("array<bigint>").alias("idx"),
+                     F.lit(None).cast("array<double>").alias("cnt"), F.lit(None).cast("double").alias("norm"))
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K,
-                 query_col: str = "query_id", text_col: str = "text",
-                 head: DataFrame | None = None) -> DataFrame:
-    """R2+R4: top-k chunks per query by keyword overlap, ties by (doc_id, chunk_index).
-
-    Like the reference, every chunk is ranked: when fewer than k chunks share a token,
-    zero-score chunks fill the list in (doc_id, chunk_index) order. Those come from the
-    global first 2k chunks (the first k-m unmatched ones always lie there), attached to
-    each query through a scalar subquery - bounded, no join. ``head`` may supply the
-    chunk keys (chunk_id, doc_id, chunk_index) to take them from - e.g. the persisted
-    index table, where that scan reads three narrow columns instead of re-chunking.
-    """
-    scored = keyword_scores(queries, chunks, query_col, text_col)
-    order = [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")]
-    matched = topk_per_group(scored.withColumnRenamed("kw_score", "score"),
-                             ["query_id"], order, k).drop("rank")
-    fill = (queries.select(F.col(query_col).alias("query_id"),
-                           F.explode(first_chunks(head if head is not None else chunks,
-                                                  2 * k)).alias("_c"))
-                   .select("query_id", "_c.chunk_id", "_c.doc_id", "_c.chunk_index",
-                           F.lit(0.0).alias("score")))
-    both = (matched.unionByName(fill)
-                   .groupBy("query_id", "chunk_id", "doc_id", "chunk_index")
-                   .agg(F.max("score").alias("score")))
-    return topk_per_group(both, ["query_id"], order, k)
-
-
-# ---- R1: blocked exact vector top-k ----------------------------------------
-
-_BLOCK_SCHEMA = "blk long, keys string, n int, mat binary, norms binary"
-
-
-def _pack(key_cols: list[str], vec_col: str | None, norm_col: str | None, block_rows: int,
-          sparse: tuple[str, str, int] | None = None):
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyspark
-
-        pid = pyspark.TaskContext.get().partitionId()
-        seq = 0
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(key_cols, kind="mergesort").reset_index(drop=True)
-            for s in range(0, len(pdf), block_rows):
-                part = pdf.iloc[s:s + block_rows]
-                if sparse is None:
-                    mat = np.stack([np.asarray(v, dtype=np.float64) for v in part[vec_col]])
-                else:
-                    ic, cc, dim = sparse
-                    mat = np.zeros((len(part), dim), dtype=np.float64)
-                    for r, (ii, vv) in enumerate(zip(part[ic], part[cc])):
-                        if ii is not None and len(ii):
-                            mat[r, np.asarray(ii, dtype=np.int64)] = np.asarray(vv, dtype=np.float64)
-                norms = (np.ones(len(part)) if norm_col is None
-                         else part[norm_col].to_numpy(dtype=np.float64))
-                seq += 1
-                yield pd.DataFrame({
-                    "blk": [pid * 1_000_000 + seq],
-                    "keys": [part[key_cols].to_json(orient="split", index=False)],
-                    "n": [len(part)],
-                    "mat": [mat.tobytes()],
-                    "norms": [norms.tobytes()],
-                })
-    return fn
-
-
-def pack_blocks(df: DataFrame, key_cols: list[str], vec_col: str | None = "vec",
-                norm_col: str | None = None, block_rows: int = 2048,
-                sparse: tuple[str, str, int] | None = None) -> DataFrame:
-    """Pack rows into blocks of <= block_rows (one row per block) within each partition;
-    no shuffle. Keys travel as JSON, the matrix as float64 bytes. ``sparse=(idx_col,
-    val_col, dim)`` scatters sparse rows into the dense block."""
-    vcols = [vec_col] if sparse is None else [sparse[0], sparse[1]]
-    cols = key_cols + vcols + ([norm_col] if norm_col else [])
-    return df.select(*cols).mapInPandas(_pack(key_cols, vec_col, norm_col, block_rows, sparse),
-                                        _BLOCK_SCHEMA)
-
-
-def _score_pairs(q_key: str, i_keys: list[str], k: int, digits: int | None):
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for pdf in it:
-            for row in pdf.itertuples(index=False):
-                qk = pd.read_json(io.StringIO(row.q_keys), orient="split", dtype=False, convert_dates=False)
-                ik = pd.read_json(io.StringIO(row.i_keys), orient="split", dtype=False, convert_dates=False)
-                Q = np.frombuffer(row.q_mat, dtype=np.float64).reshape(row.q_n, -1)
-                I = np.frombuffer(row.i_mat, dtype=np.float64).reshape(row.i_n, -1)
-                qn = np.frombuffer(row.q_norms, dtype=np.float64)
-                inn = np.frombuffer(row.i_norms, dtype=np.float64)
-                denom = np.outer(qn, inn)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    S = np.where(denom > 0, (Q @ I.T) / denom, 0.0)
-                if digits is not None:
-                    S = np.round(S, digits)
-                ni = S.shape[1]
-                kk = min(k, ni)
-                thr = np.partition(S, ni - kk, axis=1)[:, ni - kk]
-                q_out, i_out, s_out = [], [], []
-                for qi in range(S.shape[0]):
-                    idx = np.nonzero(S[qi] >= thr[qi])[0]
-                    if len(idx) > kk:  # ties at the boundary: keep the first by key order
-                        idx = idx[np.lexsort((idx, -S[qi, idx]))[:kk]]
-                    q_out.append(np.full(len(idx), qi))
-                    i_out.append(idx)
-                    s_out.append(S[qi, idx])
-                qsel = np.concatenate(q_out)
-                isel = np.concatenate(i_out)
-                out = {q_key: qk.iloc[qsel][qk.columns[0]].to_numpy()}
-                for c in i_keys:
-                    out[c] = ik.iloc[isel][c].to_numpy()
-                out["score"] = np.concatenate(s_out)
-                yield pd.DataFrame(out)
-    return fn
+                 query_col: str = "query_id", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """R2+R4: top-k chunks per query by keyword overlap over all chunks.
+    Output: query_id, chunk_id, doc_id, chunk_index, score, rank."""
+    q = _no_vectors(queries, F.col(query_col).alias("query_id"))
+    c = _no_vectors(chunks, "chunk_id", "doc_id", "chunk_index")
+    found = score_blocks(q, c, (("kw", max(k, 1)),), 0.0, 0, max_query_bytes)
+    found = found.select("query_id", "chunk_id", "doc_id", "chunk_index", F.col("kw_score").alias("score"))
+    return topk_per_group(found, ["query_id"], _order("score"), k)
 
 
-def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
-                query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
-                vec_col: str | None = "vec", norm_col: str | None = None, digits: int | None = 9,
-                block_rows: int = 2048, max_query_rows: int = 1_000_000,
-                sparse: tuple[str, str, int] | None = None,
-                n_queries: int | None = None,
-                max_broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """R1+W1: exact top-k by cosine (dot / (|q| |c|); pass ``norm_col=None`` for unit
-    vectors) for every query over the whole index.
-
-    Ties (after rounding to ``digits``) break by ``index_keys`` ascending. The query side
-    is packed into blocks and broadcast, the index streams in blocks, each block pair is
-    one matmul emitting <= k rows per query, and a final WindowGroupLimit keeps k.
-    Size checks: at most ``max_query_rows`` queries (a bounded count, or ``n_queries``
-    from a caller that already counted), and the broadcast matrix (queries x dim x 8 bytes)
-    must fit ``max_broadcast_bytes``; beyond that the queries are processed in hash
-    slices, one broadcast per slice, and the results are unioned - every query is still
-    scored against the whole index.
-    Output: query_key, index_keys..., score, rank.
-    """
-    n_q = n_queries if n_queries is not None else queries.limit(max_query_rows + 1).count()
-    if n_q > max_query_rows:
-        raise ValueError(f"query side exceeds {max_query_rows} rows; split the queries")
-    if sparse is not None:
-        dim = sparse[2]
-    else:
-        first = queries.select(F.size(vec_col).alias("d")).limit(1).collect()
-        dim = first[0]["d"] if first else 0
-    slices = max(1, -(-(n_q * max(dim, 1) * 8) // max_broadcast_bytes))
-    if slices > 1:
-        parts = []
-        for s in range(slices):   # a loop over slices of the query set, not over rows
-            part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == s)
-            parts.append(vector_topk(part, index, k, query_key, index_keys, vec_col, norm_col,
-                                     digits, block_rows, max_query_rows, sparse,
-                                     n_queries=-(-n_q // slices), max_broadcast_bytes=1 << 62))
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        return out
-    qb = pack_blocks(queries, [query_key], vec_col, norm_col, block_rows, sparse)
-    ib = pack_blocks(index, list(index_keys), vec_col, norm_col, block_rows, sparse)
-    qb = qb.select(*[F.col(c).alias(f"q_{c}") for c in qb.columns])
-    ib = ib.select(*[F.col(c).alias(f"i_{c}") for c in ib.columns])
-    pairs = ib.join(F.broadcast(qb), how="cross")
-    key_types = {f.name: f.dataType for f in index.schema.fields}
-    q_type = {f.name: f.dataType for f in queries.schema.fields}[query_key]
-    out_schema = T.StructType(
-        [T.StructField(query_key, q_type)]
-        + [T.StructField(c, key_types[c]) for c in index_keys]
-        + [T.StructField("score", T.DoubleType())])
-    cands = pairs.mapInPandas(_score_pairs(query_key, list(index_keys), k, digits), out_schema)
-    order = [F.col("score").desc()] + [F.col(c) for c in index_keys]
-    return topk_per_group(cands, [query_key], order, k)
-
-
-# ---- R3/R7: hybrid --------------------------------------------------------
-
-
-def _maybe_round(c: Column, digits: int | None) -> Column:
-    return c if digits is None else F.round(c, digits)
-
-
-def _candidate_cosine(cands: DataFrame, query_vecs: DataFrame, chunk_vecs: DataFrame) -> DataFrame:
-    """cosine for (query_id, chunk_id) candidate pairs from sparse count vectors
-    (idx, cnt, norm): explode both sides, equi-join on (query_id, idx), sum."""
-    cv = chunk_vecs.join(cands.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    ce = cv.select("chunk_id", F.col("norm").alias("_cn"),
-                   F.explode(F.arrays_zip("idx", "cnt")).alias("_e")) \
-           .select("chunk_id", "_cn", F.col("_e.idx").alias("idx"), F.col("_e.cnt").alias("_cc"))
-    qe = query_vecs.select("query_id", F.col("norm").alias("_qn"),
-                           F.explode(F.arrays_zip("idx", "cnt")).alias("_e")) \
-                   .select("query_id", "_qn", F.col("_e.idx").alias("idx"), F.col("_e.cnt").alias("_qc"))
-    pairs = cands.select("query_id", "chunk_id").join(ce, "chunk_id").join(qe, ["query_id", "idx"])
-    d = pairs.groupBy("query_id", "chunk_id", "_qn", "_cn").agg(F.sum(F.col("_qc") * F.col("_cc")).alias("_d"))
-    return d.select("query_id", "chunk_id",
-                    F.when((F.col("_qn") > 0) & (F.col("_cn") > 0),
-                           F.col("_d") / (F.col("_qn") * F.col("_cn"))).alias("vec_score"))
-
-
-def _candidate_keyword(cands: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """|Q n C| / |Q| for (query_id, chunk_id) candidate pairs only: the candidates' chunks
-    are found with a semi-join, their token sets joined to the query tokens on
-    (query_id, token). Same arithmetic as ``keyword_scores``."""
-    cc = chunks.join(cands.select("chunk_id").distinct(), "chunk_id", "left_semi") \
-               .select("chunk_id", F.explode(keyword_set("text")).alias("_tok"))
-    qset = keyword_set("text")
-    qt = queries.select("query_id", F.size(qset).alias("_nq"), F.explode(qset).alias("_tok"))
-    hits = cands.join(cc, "chunk_id").join(qt, ["query_id", "_tok"])
-    return (hits.groupBy("query_id", "chunk_id", "_nq").agg(F.count(F.lit(1)).alias("_hit"))
-                .select("query_id", "chunk_id", (F.col("_hit") / F.col("_nq")).alias("kw_score")))
-
-
-def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
-                chunk_vecs: DataFrame, k: int = DEFAULT_TOP_K,
-                vector_weight: float = DEFAULT_VECTOR_WEIGHT, digits: int | None = None,
-                dim: int = 384) -> DataFrame:
-    """R7 re-aimed on Spark: candidates = top 2k by vector (over all chunks) union top 2k
-    by keyword (over matching chunks); each candidate is re-scored with the blend
-    ``w*vec + (1-w)*kw`` (R3) and the best k are kept, ties by (doc_id, chunk_index).
-
-    ``query_vecs``: query_id, idx, cnt, norm. ``chunk_vecs``: chunk_id, doc_id, chunk_index,
-    idx, cnt, norm (sparse raw counts; see embedding.embed_md5_vectors).
-    Output: query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank.
-
-    Every expensive input is consumed once: the vector top-2k and the keyword top-2k are
-    small (<= 2k rows per query each) and are checkpointed into the shared checkpoint
-    folder; the missing score of each candidate is then re-computed exactly for the
-    candidates alone, so neither the kernel nor the full keyword join runs twice.
-    """
+def _with_tokens(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*cols, keyword_set("text").alias("toks"), "idx", "cnt", "norm")
+
+
+def blended_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
+                 vector_weight: float = DEFAULT_VECTOR_WEIGHT, dim: int = 384,
+                 max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """R3+R4: top-k by ``w * cosine + (1 - w) * overlap`` over ALL chunks, exactly.
+
+    queries: query_id, text, idx, cnt, norm; index: chunk_id, doc_id, chunk_index, text, idx,
+    cnt, norm (embedding.embed_md5_vectors). Output: query_id, chunk_id, doc_id, chunk_index,
+    vec_score, kw_score, score, rank."""
+    check_vector_weight(vector_weight)
+    found = score_blocks(_with_tokens(queries, "query_id"),
+                         _with_tokens(index, "chunk_id", "doc_id", "chunk_index"),
+                         (("score", k),), vector_weight, dim, max_query_bytes)
+    return topk_per_group(found, ["query_id"], _order("score"), k)
+
+
+def hybrid_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
+                vector_weight: float = DEFAULT_VECTOR_WEIGHT, dim: int = 384,
+                max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """R7, the candidate mode of a managed search service: candidates are the top 2k by
+    vector and the matching top 2k by keyword over all chunks; the blend ranks them. One
+    kernel pass gives both lists with all scores. Inputs and output as ``blended_topk``,
+    which is the exact search."""
     check_vector_weight(vector_weight)
     depth = 2 * k
-    max_q = 1_000_000
-    n_q = queries.limit(max_q + 1).count()
-    if n_q > max_q:
-        raise ValueError(f"query side exceeds {max_q} rows; split the queries")
-    small = 2 * depth * n_q <= 1_000_000          # proven bound on every candidate table
-    bc = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    # 1. top 2k by vector over all chunks (exact kernel), with their vector scores
-    vec_top = cut(vector_topk(query_vecs, chunk_vecs, depth, "query_id",
-                           ("doc_id", "chunk_index", "chunk_id"), None, "norm", digits,
-                           sparse=("idx", "cnt", dim), n_queries=n_q)
-               .select("query_id", "chunk_id", "doc_id", "chunk_index",
-                       F.col("score").alias("vec_score")))
-    # 2. top 2k by keyword: one pass over the keyword matches with a pure rank filter,
-    #    so Spark limits each partition before the shuffle even for a query matching
-    #    most chunks
-    kw = keyword_scores(queries, chunks)
-    kw_order = [F.col("kw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
-    kw_top = cut(topk_per_group(kw, ["query_id"], kw_order, depth)
-                 .select("query_id", "chunk_id", "doc_id", "chunk_index"))
-    # 3. candidates, and both scores re-computed exactly for the candidates only
-    cands = (vec_top.select("query_id", "chunk_id", "doc_id", "chunk_index")
-             .unionByName(kw_top).distinct())
-    kw_only = cands.join(vec_top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    vs = vec_top.select("query_id", "chunk_id", "vec_score").unionByName(
-        _candidate_cosine(bc(kw_only), query_vecs, chunk_vecs))
-    ks = _candidate_keyword(bc(cands.select("query_id", "chunk_id")), queries, chunks)
-    scored = (cands.join(vs, ["query_id", "chunk_id"], "left")
-                   .join(ks, ["query_id", "chunk_id"], "left")
-                   .select("query_id", "chunk_id", "doc_id", "chunk_index",
-                           F.coalesce("vec_score", F.lit(0.0)).alias("vec_score"),
-                           F.coalesce("kw_score", F.lit(0.0)).alias("kw_score")))
-    blended = _maybe_round(F.lit(vector_weight) * F.col("vec_score")
-                           + F.lit(1.0 - vector_weight) * F.col("kw_score"), digits)
-    order = [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")]
-    return topk_per_group(scored.withColumn("score", blended), ["query_id"], order, k)
+    found = score_blocks(_with_tokens(queries, "query_id"),
+                         _with_tokens(index, "chunk_id", "doc_id", "chunk_index"),
+                         (("vec", depth), ("kw", depth)), vector_weight, dim, max_query_bytes)
+    ranked = found.select("*", *(F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(c))).alias(r)
+                                 for c, r in (("vec_score", "_v"), ("kw_score", "_k"))))
+    cands = ranked.where((F.col("_v") <= depth) | ((F.col("_k") <= depth) & (F.col("kw_score") > 0)))
+    return topk_per_group(cands.drop("_v", "_k"), ["query_id"], _order("score"), k)
+
+
+# ---- R1 over dense vectors -------------------------------------------------
+
+
+def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
+                query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
+                vec_col: str = "vec", digits: int | None = 9,
+                max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """R1+W1: exact top-k by dot product of unit vectors for every query over the whole
+    index; ties (after rounding to ``digits``) break by ``index_keys``. The queries are
+    broadcast in slices of ``max_query_bytes``. Output: query_key, index_keys..., score, rank."""
+    spark = queries.sparkSession
+    kinds = {f.name: f.dataType for f in (*index.schema.fields, *queries.schema.fields)}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (query_key, *index_keys)]
+                          + [T.StructField("score", T.DoubleType())])
+
+    def kernel(shared):
+        def run(batches):
+            keys = [r[0] for r in shared.value]
+            q = np.array([r[1] for r in shared.value], np.float64)
+            for pdf in batches:
+                pdf = pdf.sort_values(list(index_keys), kind="stable")
+                step = max(1, BLOCK_CELLS // max(1, len(keys)))
+                for at in range(0, len(pdf) if len(keys) else 0, step):
+                    part = pdf.iloc[at:at + step]
+                    s = q @ np.stack([np.asarray(v, np.float64) for v in part[vec_col]]).T
+                    s = s if digits is None else np.round(s, digits)
+                    row, col = best_rows(s, k)
+                    yield pd.DataFrame({query_key: pd.Series([keys[i] for i in row], dtype=object),
+                                        **{c: part[c].to_numpy()[col] for c in index_keys}, "score": s[row, col]})
+        return run
+
+    out = None
+    for part in slices_of(queries, query_key, F.size(vec_col) * 8 + 64, max_query_bytes):
+        shared = spark.sparkContext.broadcast([(r[query_key], r[vec_col]) for r in part.select(query_key, vec_col).collect()])
+        found = index.select(*index_keys, vec_col).mapInPandas(kernel(shared), schema)
+        out = found if out is None else out.unionByName(found)
+    return topk_per_group(out, [query_key], [F.col("score").desc(), *(F.col(c) for c in index_keys)], k)
 
 
 # ---- R5 / U3: index build and the search interface -------------------------
@@ -350,33 +237,28 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, query_vecs: DataFrame,
 def build_index(docs: DataFrame, max_tokens: int = 400, overlap_tokens: int = 40,
                 dim: int = 384) -> DataFrame:
     """Chunk the corpus (C2) and attach sparse hashed vectors (E2): chunk_id, doc_id,
-    chunk_index, text, n_tokens, idx, cnt, norm. Persist it with
+    chunk_index, text, n_tokens, idx, cnt, norm - one narrow stage. Persist it with
     ``sources.files.write_index`` to query it many times."""
     from docflow.operators import chunking, embedding
 
-    chunks = chunking.chunk_documents(docs, max_tokens, overlap_tokens)
-    vecs = embedding.embed_md5_vectors(chunks, ["chunk_id"], "text", dim)
-    return chunks.join(vecs, "chunk_id")
+    return embedding.embed_md5_vectors(chunking.chunk_documents(docs, max_tokens, overlap_tokens), None, "text", dim)
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K, mode: str = "hybrid",
+def search(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K, mode: str = "blended",
            vector_weight: float = DEFAULT_VECTOR_WEIGHT, dim: int = 384) -> DataFrame:
     """``(queries(query_id, text), index, k) -> passages``; mode 'keyword' (R2+R4),
-    'vector' (R1 over the hashed vectors) or 'hybrid' (R7). Output always carries
-    query_id, chunk_id, doc_id, chunk_index, score, rank."""
+    'vector' (R1 over the hashed vectors), 'blended' (R3+R4) or 'hybrid' (R7). Output always
+    carries query_id, chunk_id, doc_id, chunk_index, score, rank."""
     from docflow.operators import embedding
 
+    cols = ("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
     if mode == "keyword":
-        return keyword_topk(queries, index, k)
-    qv = embedding.embed_md5_vectors(queries, ["query_id"], "text", dim)
-    iv = index.select("chunk_id", "doc_id", "chunk_index", "idx", "cnt", "norm")
-    if mode == "vector":
-        out = vector_topk(qv, iv, k, "query_id", ("doc_id", "chunk_index", "chunk_id"), None,
-                          "norm", None, sparse=("idx", "cnt", dim))
-        return out.select("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
+        return keyword_topk(queries, index, k).select(*cols)
+    qv = embedding.embed_md5_vectors(queries, ["query_id", "text"], "text", dim)
     if mode == "hybrid":
-        out = hybrid_topk(queries, index, qv, iv, k, vector_weight, dim=dim)
-        return out.select("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
+        return hybrid_topk(qv, index, k, vector_weight, dim).select(*cols)
+    if mode in ("vector", "blended"):
+        return blended_topk(qv, index, k, 1.0 if mode == "vector" else vector_weight, dim).select(*cols)
     raise ValueError(f"unknown search mode {mode!r}")
 
 

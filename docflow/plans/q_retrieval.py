@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docflow.operators import chunking, embedding, retrieval
 from docflow.plans.registry import register
 from docflow.plans.sql_snippets import (CHUNKS_CTE, keyword_matches_cte, md5_counts_cte)
-from docflow.session import cut, table
+from docflow.session import table
 
 
 def _chunks(spark, sf):
@@ -29,9 +29,9 @@ def chunk_documents(spark, sf):
 WITH {CHUNKS_CTE}
 SELECT chunk_id, doc_id::VARCHAR AS doc_id, chunk_index, text, n_tokens FROM chunks""")
 def chunk_documents_encoder(spark, sf):
-    """The same windows through the pluggable-tokeniser path (mapInPandas + encoder)."""
+    """The same windows through the pluggable-tokeniser path."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return chunking.chunk_with_encoder(docs, chunking.SpaceEncoder)
+    return chunking.chunk_with_codec(docs, chunking.split_spaces)
 
 
 @register("chunk_manifest", "S10 U-3", f"""
@@ -85,10 +85,11 @@ SELECT query_id, vec_id, score, rank FROM (
          row_number() OVER (PARTITION BY q.vec_id
            ORDER BY round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC,
                     c.vec_id) AS rank
-  FROM embeddings q, embeddings c) WHERE rank <= 5""")
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
 def vector_topk(spark, sf):
+    """The stated query set (ids divisible by 100) against all vectors."""
     emb = table(spark, sf, "embeddings")
-    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    q = emb.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     idx = emb.select("vec_id", F.col("embedding").alias("vec"))
     return retrieval.vector_topk(q, idx, k=5, query_key="query_id", index_keys=("vec_id",),
                                  digits=6)
@@ -110,16 +111,17 @@ def embed_blake2b(spark, sf):
     return docs.select("doc_id", v.alias("embedding"))
 
 
-HYBRID_SQL = f"""
-WITH {CHUNKS_CTE},
-q AS (SELECT item_id AS query_id, text FROM benchmark),
+def blended_ctes(q_sql: str, k: int = 5) -> str:
+    """chunks, q, m and fin (every query x chunk pair with its three scores), top."""
+    return f"""{CHUNKS_CTE},
+q AS ({q_sql}),
 {md5_counts_cte('cv', 'chunks', 'chunk_id')},
 {md5_counts_cte('qv', 'q', 'query_id')},
 cn AS (SELECT chunk_id, sqrt(sum(cnt * cnt)::DOUBLE) AS norm FROM cv GROUP BY chunk_id),
 qn AS (SELECT query_id, sqrt(sum(cnt * cnt)::DOUBLE) AS norm FROM qv GROUP BY query_id),
 dots AS (SELECT qv.query_id, cv.chunk_id, sum(qv.cnt * cv.cnt) AS d
          FROM qv JOIN cv USING (idx) GROUP BY qv.query_id, cv.chunk_id),
-vs AS (SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index,
+vs AS (SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index, c.text AS chunk_text,
               CASE WHEN coalesce(qn.norm, 0) > 0 AND coalesce(cn.norm, 0) > 0
                    THEN coalesce(dots.d, 0)::DOUBLE / (qn.norm * cn.norm) ELSE 0.0 END AS vec_score
        FROM q CROSS JOIN chunks c
@@ -127,29 +129,47 @@ vs AS (SELECT q.query_id, c.chunk_id, c.doc_id, c.chunk_index,
        LEFT JOIN cn ON cn.chunk_id = c.chunk_id
        LEFT JOIN dots ON dots.query_id = q.query_id AND dots.chunk_id = c.chunk_id),
 {keyword_matches_cte()},
+fin AS (SELECT vs.*, coalesce(m.score, 0.0) AS kw_score,
+               0.7::DOUBLE * vec_score + (1.0::DOUBLE - 0.7::DOUBLE) * coalesce(m.score, 0.0) AS score
+        FROM vs LEFT JOIN m ON m.query_id = vs.query_id AND m.chunk_id = vs.chunk_id),
+top AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank
+  FROM fin) WHERE rank <= {k})"""
+
+
+def _index(spark, sf):
+    """The chunk index: token sets and hashed vectors of all documents' chunks."""
+    return retrieval.build_index(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _query_vectors(spark, sf):
+    return embedding.embed_md5_vectors(_queries(spark, sf), ["query_id", "text"])
+
+
+@register("blended_topk", "E2 R1 R2 R3 R4 W1", f"""
+WITH {blended_ctes("SELECT item_id AS query_id, text FROM benchmark")}
+SELECT query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank FROM top""")
+def blended_topk(spark, sf):
+    """All benchmark items against all chunks, by the blend."""
+    return retrieval.blended_topk(_query_vectors(spark, sf), _index(spark, sf), k=5)
+
+
+HYBRID_SQL = f"""
+WITH {blended_ctes("SELECT item_id AS query_id, text FROM benchmark")},
 vtop AS (SELECT query_id, chunk_id FROM (
            SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
                   ORDER BY vec_score DESC, doc_id, chunk_index, chunk_id) AS rn FROM vs) WHERE rn <= 10),
 ktop AS (SELECT query_id, chunk_id FROM (
            SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
                   ORDER BY score DESC, doc_id, chunk_index) AS rn FROM m) WHERE rn <= 10),
-cands AS (SELECT * FROM vtop UNION SELECT * FROM ktop),
-scored AS (SELECT c.query_id, c.chunk_id, vs.doc_id, vs.chunk_index, vs.vec_score,
-                  coalesce(m.score, 0.0) AS kw_score
-           FROM cands c JOIN vs ON vs.query_id = c.query_id AND vs.chunk_id = c.chunk_id
-           LEFT JOIN m ON m.query_id = c.query_id AND m.chunk_id = c.chunk_id),
-fin AS (SELECT *, 0.7::DOUBLE * vec_score + (1.0::DOUBLE - 0.7::DOUBLE) * kw_score AS score FROM scored)
+scored AS (SELECT fin.* FROM fin JOIN (SELECT * FROM vtop UNION SELECT * FROM ktop) c
+           ON c.query_id = fin.query_id AND c.chunk_id = fin.chunk_id)
 SELECT query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank
-  FROM fin) WHERE rank <= 5"""
+  FROM scored) WHERE rank <= 5"""
 
 
-@register("hybrid_topk", "E2 R1 R2 R3 R4 R6 R7 W1", HYBRID_SQL)
+@register("hybrid_topk", "R6 R7", HYBRID_SQL)
 def hybrid_topk(spark, sf):
-    chunks = _chunks(spark, sf)
-    queries = _queries(spark, sf)
-    qv = embedding.embed_md5_vectors(queries, ["query_id"])
-    # the chunk vectors are the vector index: built once (checkpointed to the shared
-    # folder) and read by both the exact kernel and the candidate re-scoring
-    cv = cut(embedding.embed_md5_vectors(chunks, ["chunk_id", "doc_id", "chunk_index"]))
-    return retrieval.hybrid_topk(queries, chunks, qv, cv, k=5)
+    """The candidate mode of a managed search service over the same index."""
+    return retrieval.hybrid_topk(_query_vectors(spark, sf), _index(spark, sf), k=5)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docflow.functions.text import count_tokens
 from docflow.operators import lookups, transcripts
 from docflow.plans.registry import register
+from docflow.plans.sql_snippets import SPACE
 from docflow.session import table
 
 # Fixed derivation rules for the recorded turns (model and tool picked by position).
@@ -160,10 +161,10 @@ def chat_messages(spark, sf):
     return transcripts.chat_messages(table(spark, sf, "conversations"))
 
 
-@register("clause_lookup", "JN6 W2 V4", r"""
-WITH q AS (SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+@register("clause_lookup", "JN6 W2 V4", rf"""
+WITH q AS (SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS query_id, text AS query FROM conversations WHERE role = 'user'),
 qt AS (SELECT query_id, tok, count(*) AS mult FROM (
-         SELECT query_id, unnest(regexp_split_to_array(lower(query), '[\s\v]+')) AS tok FROM q)
+         SELECT query_id, unnest(regexp_split_to_array(lower(query), '{SPACE}')) AS tok FROM q)
        WHERE length(tok) > 0 GROUP BY query_id, tok),
 lib AS (SELECT p_partkey AS clause_id, p_partkey AS position,
                lower(p_name || ' ' || p_type || ' ' || p_brand) AS lt FROM part),
@@ -176,7 +177,7 @@ SELECT query_id, clause_id, position, score, rank FROM (
 WHERE rank <= 3""")
 def clause_lookup(spark, sf):
     conv = table(spark, sf, "conversations").where(F.col("role") == "user")
-    q = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"),
+    q = conv.select(F.concat_ws("/", "conv_id", "turn").alias("query_id"),
                     F.col("text").alias("query"))
     part = table(spark, sf, "part")
     lib = part.select(F.col("p_partkey").alias("clause_id"), F.col("p_partkey").alias("position"),

@@ -22,8 +22,12 @@ chunks AS (
 )"""
 
 
+SPACE = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+         r"\x{202F}\x{205F}\x{3000}]+")
+
+
 def kwset(col: str) -> str:
-    return (rf"list_distinct(list_transform(list_filter(regexp_split_to_array({col}, '[\s\v]+'), "
+    return (rf"list_distinct(list_transform(list_filter(regexp_split_to_array({col}, '{SPACE}'), "
             rf"lambda t: length(t) > 2), lambda t: lower(t)))")
 
 
@@ -69,7 +73,7 @@ def redact_sql(x: str) -> str:
 
 
 def norm_sql(x: str) -> str:
-    return rf"lower(trim(regexp_replace({x}, '[\s\v]+', ' ', 'g')))"
+    return rf"lower(trim(regexp_replace({x}, '{SPACE}', ' ', 'g')))"
 
 
 def fixed3_sql(x: str) -> str:

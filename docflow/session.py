@@ -1,9 +1,10 @@
-"""Session construction, table loading and size-checked broadcast."""
+"""Session construction, table loading, partitioning and shared folders."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,63 +62,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "docflow", f"{name}-{os.getpid()}-{next(_counter)}")
+    return os.path.join(ensure_checkpoint_dir(spark), "docflow", f"{name}-{uuid.uuid4().hex}")
 
 
-def _gen():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def job_path(spark: SparkSession, job: str) -> str:
+    """The one path of a named job under the shared checkpoint folder: a restarted driver
+    finds it again (streaming checkpoints)."""
+    return os.path.join(ensure_checkpoint_dir(spark), "docflow", "jobs", job)
 
 
-_counter = _gen()
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet under the shared checkpoint folder and read again: computed
+    once, of known size, readable by every executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_of: str,
-                buckets: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join that survives a hot key: rows of ``big`` get a salt from a hash of
-    ``salt_of`` and ``small`` is replicated once per salt, so one key holding a third of
-    ``big`` is spread over ``buckets`` tasks. Results equal the plain join."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(buckets)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return b.join(s, keys + ["_salt"], how).drop("_salt")
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (the limit stops the scan early).
-    Above the bound the frame is returned unchanged, so the join falls back to a
-    shuffle join chosen by Catalyst/AQE.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
-
-    Used when several branches of one job consume the same expensive narrow pipeline
-    (Spark reuses shuffles across branches, not narrow stages). The written table cuts
-    the lineage, lives on the shared filesystem (so a lost executor costs nothing) and is
-    read with column pruning and filter pushdown like any other table.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def parallelism(spark: SparkSession) -> int:
     """The cluster's task slots (default parallelism), or the shuffle partition count when
     no SparkContext handle exists (Spark Connect)."""
@@ -127,20 +92,25 @@ def parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread ``df`` over the cluster's cores when it arrives in fewer partitions (e.g. one
-    large un-splittable file), before expensive per-row work such as tokenising, hashing
-    or regex redaction. With ``key`` the rows are hash-partitioned by it, so later
-    aggregations whose keys include it need no further shuffle. Inputs that are already
-    split - the normal case for a large table of many files - pass through untouched."""
+def spread(df: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
+    """Spread ``df`` over the cluster's cores when its input is too small to be split over
+    them (e.g. one file of one row group), before expensive per-row work such as tokenising
+    or regex redaction. Decided from the plan's size estimate alone: nothing runs, and
+    inputs of ``split_bytes`` a core or more - the normal case - pass through untouched."""
     try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave partitioning to the engine
         return df
-    if have >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    cores = parallelism(df.sparkSession)
+    return df.repartition(cores) if size < cores * split_bytes else df
+
+
+def slices_of(df: DataFrame, key: str, row_bytes, max_bytes: int) -> list[DataFrame]:
+    """``df`` in hash slices of about ``max_bytes`` each (``row_bytes``: a column), so that a
+    stated query set of any size can be collected and broadcast block by block."""
+    total = df.agg(F.sum(row_bytes)).first()[0] or 0
+    n = max(1, -(-int(total) // max_bytes))
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -152,13 +122,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
-                 partition_bytes: int = 256 << 20, max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+                 partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized from the input volume for a cluster submission (pass them with
     ``--conf``). Shuffle partitions start at input/partition_bytes (at least 3 waves of
     the cluster's cores) and AQE coalesces small ones and splits skewed ones at runtime;
     file splits of half a partition keep scan tasks well inside executor memory."""
     cores = executors * cores_per_executor
-    shuffle = min(max(3 * cores, input_bytes // partition_bytes), max_shuffle_partitions)
+    shuffle = max(3 * cores, input_bytes // partition_bytes)
     return {
         "spark.sql.shuffle.partitions": str(int(shuffle)),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes // 2),

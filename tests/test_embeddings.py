@@ -60,7 +60,8 @@ def test_vectors_keep_every_row_zero_vector_for_no_tokens(spark, docs):
     dense = {r.doc_id: r.vec for r in embedding.embed_md5_dense(docs, ["doc_id"], dim=64).collect()}
     assert len(dense["a"]) == 64 and all(x == 0.0 for x in dense["b"])
     want = py_md5_counts(TEXTS[0][1], 64)
-    assert {i: int(x) for i, x in enumerate(dense["a"]) if x} == want
+    assert dict(zip(v["a"].idx, v["a"].cnt)) == want
+    assert {i: round(x * v["a"].norm) for i, x in enumerate(dense["a"]) if x} == want
 
 
 def test_blake2b_exact_deterministic_unit_or_zero(spark, docs):

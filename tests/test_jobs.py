@@ -16,31 +16,12 @@ RESP = {"doc_id": "nda-01", "intent": "nda", "confidence": 0.9,
         "citations": [{"chunk_id": "nda-01_chunk_0000", "quote": "Confidential"}]}
 
 
-class WordEncoder:
-    """A toy tokeniser with the encode/decode interface (ids for words)."""
-
-    def __init__(self):
-        self.words, self.index = [], {}
-
-    def encode(self, text):
-        out = []
-        for w in text.split(" "):
-            if w not in self.index:
-                self.index[w] = len(self.words)
-                self.words.append(w)
-            out.append(self.index[w])
-        return out
-
-    def decode(self, ids):
-        return " ".join(self.words[i] for i in ids)
-
-
-def test_encoder_hook_matches_native_chunking(spark):
-    docs = spark.createDataFrame([("a", " ".join(f"w{i % 7}" for i in range(30))), ("b", "x"), ("c", "")],
+def test_codec_hook_matches_native_chunking(spark):
+    docs = spark.createDataFrame([("a", " ".join(f"w{i % 7}" for i in range(30))), ("b", "x"), ("c", ""), ("d", None)],
                                  "doc_id string, text string")
-    native = rows(chunking.chunk_documents(docs, 8, 3))
-    hooked = rows(chunking.chunk_with_encoder(docs, WordEncoder, 8, 3))
-    assert hooked == native
+    for size, overlap in ((8, 3), (5, 0), (40, 39)):
+        native = rows(chunking.chunk_documents(docs, size, overlap))
+        assert rows(chunking.chunk_with_codec(docs, chunking.split_spaces, size, overlap)) == native
 
 
 def test_judge_message_is_indented_json(spark):

@@ -57,7 +57,7 @@ def test_vector_topk_matches_numpy(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "vec_id long, vec array<double>")
     q = df.select(F.col("vec_id").alias("query_id"), "vec").where("query_id < 7")
-    got = retrieval.vector_topk(q, df, k=4, index_keys=("vec_id",), block_rows=16, digits=9).collect()
+    got = retrieval.vector_topk(q, df, k=4, index_keys=("vec_id",), digits=9).collect()
     S = np.round(m[:7] @ m.T, 9)
     for r in got:
         order = sorted(range(60), key=lambda j: (-S[r.query_id, j], j))[:4]
@@ -70,19 +70,57 @@ def test_vector_topk_matches_numpy(spark):
         assert s == sorted(s, reverse=True)
 
 
-def test_hybrid_blend_bounds_and_weight_check(spark, corpus):
-    qdf = spark.createDataFrame([("q1", "lazy brown fox"), ("q2", "")], "query_id string, text string")
-    qv = embedding.embed_md5_vectors(qdf, ["query_id"], dim=64)
-    cv = embedding.embed_md5_vectors(corpus, ["chunk_id", "doc_id", "chunk_index"], dim=64)
-    out = retrieval.hybrid_topk(qdf, corpus, qv, cv, k=3, dim=64).collect()
-    by_q = {}
-    for r in out:
-        by_q.setdefault(r.query_id, []).append(r)
-        assert r.score == pytest.approx(0.7 * r.vec_score + 0.3 * r.kw_score)
-    assert len(by_q["q1"]) == 3
-    assert all(r.vec_score == 0.0 and r.kw_score == 0.0 for r in by_q["q2"])
+def py_blend(queries, chunks, w, dim):
+    """Every (query, chunk) with its scores, from the definitions."""
+    from tests.test_embeddings import py_md5_counts
+
+    out = {}
+    for qid, qt in queries:
+        q, qv = kwset(qt), py_md5_counts(qt, dim)
+        for cid, doc, i, ct in chunks:
+            c, cv = kwset(ct), py_md5_counts(ct, dim)
+            kw = len(q & c) / len(q) if q else 0.0
+            norm = sum(x * x for x in qv.values()) ** 0.5 * sum(x * x for x in cv.values()) ** 0.5
+            vec = sum(x * cv.get(k, 0) for k, x in qv.items()) / norm if norm else 0.0
+            out[qid, cid] = (doc, i, vec, kw, w * vec + (1 - w) * kw)
+    return out
+
+
+QUERIES = [("q1", "lazy brown fox"), ("q2", ""), ("q3", "unrelated words\u00a0jumps"), ("q4", "zzz")]
+
+
+@pytest.fixture()
+def vectors(spark, corpus):
+    qdf = spark.createDataFrame(QUERIES, "query_id string, text string")
+    return embedding.embed_md5_vectors(qdf, dim=64), embedding.embed_md5_vectors(corpus, dim=64)
+
+
+@pytest.mark.parametrize("w", [0.0, 0.7, 1.0])
+@pytest.mark.parametrize("max_bytes", [1500, 64 << 20])
+def test_blended_topk_ranks_all_chunks(corpus, vectors, w, max_bytes):
+    chunks = [(r.chunk_id, r.doc_id, r.chunk_index, r.text) for r in corpus.collect()]
+    want = py_blend(QUERIES, chunks, w, 64)
+    got = retrieval.blended_topk(*vectors, k=4, vector_weight=w, dim=64, max_query_bytes=max_bytes).collect()
+    assert len(got) == 16
+    for qid, _ in QUERIES:
+        order = sorted((c for q, c in want if q == qid), key=lambda c: (-want[qid, c][4], *want[qid, c][:2]))
+        mine = sorted((r for r in got if r.query_id == qid), key=lambda r: r.rank)
+        assert [r.chunk_id for r in mine] == order[:4]
+        assert [(r.vec_score, r.kw_score, r.score) for r in mine] == [pytest.approx(want[qid, c][2:]) for c in order[:4]]
+
+
+def test_hybrid_is_the_blend_of_its_candidates(vectors):
+    out = retrieval.hybrid_topk(*vectors, k=3, dim=64).collect()
+    assert all(r.score == pytest.approx(0.7 * r.vec_score + 0.3 * r.kw_score) for r in out)
+    assert sum(r.query_id == "q1" for r in out) == 3
     with pytest.raises(ValueError):
-        retrieval.hybrid_topk(qdf, corpus, qv, cv, vector_weight=1.5)
+        retrieval.hybrid_topk(*vectors, vector_weight=1.5)
+
+
+@pytest.mark.parametrize("max_bytes", [1500, 64 << 20])
+def test_keyword_topk_does_not_depend_on_slices(spark, corpus, max_bytes):
+    qdf = spark.createDataFrame([("q1", "lazy brown FOX"), ("q2", "the dog"), ("q3", "cat")], "query_id string, text string")
+    assert rows(retrieval.keyword_topk(qdf, corpus, 3, max_query_bytes=max_bytes)) == rows(retrieval.keyword_topk(qdf, corpus, 3))
 
 
 def test_vector_topk_sliced_broadcast_equals_single(spark):
@@ -93,5 +131,5 @@ def test_vector_topk_sliced_broadcast_equals_single(spark):
     q = df.select(F.col("vec_id").alias("query_id"), "vec")
     one = rows(retrieval.vector_topk(q, df, k=3, index_keys=("vec_id",), digits=9))
     sliced = rows(retrieval.vector_topk(q, df, k=3, index_keys=("vec_id",), digits=9,
-                                        max_broadcast_bytes=40 * 8 * 8 // 3))   # forces 4 slices
+                                        max_query_bytes=1500))   # forces several slices
     assert one == sliced and len(one) == 120

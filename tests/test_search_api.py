@@ -12,7 +12,7 @@ def index(spark):
     return retrieval.build_index(docs, 3, 1, dim=64)
 
 
-@pytest.mark.parametrize("mode", ["keyword", "vector", "hybrid"])
+@pytest.mark.parametrize("mode", ["keyword", "vector", "blended", "hybrid"])
 def test_search_modes_share_one_output_shape(spark, index, mode):
     q = spark.createDataFrame([("q", "beta gamma")], "query_id string, text string")
     out = retrieval.search(q, index, k=2, mode=mode, dim=64)
@@ -23,33 +23,11 @@ def test_search_modes_share_one_output_shape(spark, index, mode):
 
 def test_provider_is_explicit(spark):
     df = spark.createDataFrame([("Hello world tokens",)], "t string")
-    a = df.select(embedding.embed_column(F.col("t"), "md5", 64).alias("v")).first().v
-    b = df.select(embedding.embed_column(F.col("t"), "blake2b", 64).alias("v")).first().v
+    a = df.select(embedding.dense_unit(F.col("t"), 64, "md5").alias("v")).first().v
+    b = df.select(embedding.dense_unit(F.col("t"), 64, "blake2b").alias("v")).first().v
     assert np.linalg.norm(a) == pytest.approx(1.0, rel=1e-6) and np.linalg.norm(b) == pytest.approx(1.0, rel=1e-6)
     with pytest.raises(ValueError):
-        embedding.embed_column(F.col("t"), "hosted")
-
-
-def test_salted_join_equals_plain_join(spark):
-    from docflow.session import salted_join
-    from tests.conftest import rows
-
-    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(60)], "id int, key string")
-    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "key string, v int")
-    assert rows(salted_join(big, small, ["key"], "id", buckets=7)) == rows(big.join(small, "key"))
-
-
-def test_keyword_scores_same_on_shuffle_path(spark):
-    from docflow.operators import chunking
-    from tests.conftest import rows
-
-    docs = spark.createDataFrame([("a", "the cat and the dog"), ("b", "the bird"), ("c", "zebra")],
-                                 "doc_id string, text string")
-    ch = chunking.chunk_documents(docs, 3, 1)
-    q = spark.createDataFrame([("q1", "the dog"), ("q2", "zebra cat")], "query_id string, text string")
-    a = rows(retrieval.keyword_scores(q, ch))
-    b = rows(retrieval.keyword_scores(q, ch, max_broadcast_rows=1))   # forces the salted join
-    assert a == b and a
+        embedding.dense_unit(F.col("t"), 64, "hosted")
 
 
 def test_normalize_search_hits(spark):
