@@ -34,7 +34,7 @@ def cmd_index(spark, a) -> int:
 
 def cmd_train_eval(spark, a) -> int:
     docs = files.read_corpus(spark, a.corpus)
-    labels = files.load_labels_last_wins(spark, a.labels).withColumnRenamed("intent", "label")
+    labels = files.load_labels_last_wins(spark, a.labels)[0].withColumnRenamed("intent", "label")
     gold, bad = files.load_intents(spark, a.gold)
     if bad.limit(1).count():
         print(json.dumps({"error": "unknown intent in gold file"}))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,24 +19,21 @@ from pyspark.sql import functions as F
 
 from docflow.operators import embedding, metrics
 from docflow.operators.regression import CONFIDENCE_THRESHOLD, route
+from docflow.session import saved
 
 DEFAULT_DIM = 256
 
 
-def features(df: DataFrame, id_col: str, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
-    """E2 dense unit vectors as an ML vector column ``features`` (keeps other columns)."""
-    src = df.select(id_col, text_col).dropDuplicates([id_col])
-    v = embedding.embed_md5_dense(src, [id_col], text_col, dim)
-    unit = F.when(F.col("norm") > 0, F.transform("vec", lambda x: x / F.col("norm"))) \
-            .otherwise(F.col("vec"))
-    return df.join(v.select(id_col, array_to_vector(unit).alias("features")), id_col)
+def features(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
+    """``df`` plus ``features``: the E2 unit vector of its text. Narrow, also on a stream."""
+    return df.withColumn("features", array_to_vector(embedding.dense_unit(F.col(text_col), dim).cast("array<double>")))
 
 
 def check_training_input(train: DataFrame, vec_col: str = "features", label_col: str = "label") -> None:
-    """V9: every row has a label and all vectors have one length (bounded checks)."""
-    bad = train.where(F.col(label_col).isNull()).limit(1).count()
-    dims = train.select(F.size(vector_to_array(vec_col)).alias("d")).distinct().limit(2).count()
-    if bad or dims > 1:
+    """V9: every row has a label and all vectors have one length (one aggregation)."""
+    size = F.size(vector_to_array(vec_col))
+    r = train.agg(F.count_if(F.col(label_col).isNull()).alias("bad"), F.min(size).alias("lo"), F.max(size).alias("hi")).first()
+    if r["bad"] or r["lo"] != r["hi"]:
         raise ValueError("training rows need a label and vectors of one length")
 
 
@@ -47,9 +44,10 @@ def fit_head(train: DataFrame, label_col: str = "label", kind: str = "lr",
     kind='lr': multinomial logistic regression weighted by balanced class weights;
     kind='gbt': one-vs-rest GBT (stepSize .05, depth 5, min 5 rows per node, seed 42).
     """
+    train = saved(train, "training")   # read by every pass of the fit
     check_training_input(train, "features", label_col)
     w = metrics.class_weights(train, label_col)
-    idx = StringIndexer(inputCol=label_col, outputCol="label_idx", handleInvalid="keep",
+    idx = StringIndexer(inputCol=label_col, outputCol="label_idx", handleInvalid="error",
                         stringOrderType="alphabetAsc")
     if kind == "lr":
         head = LogisticRegression(featuresCol="features", labelCol="label_idx", weightCol="weight",
@@ -61,11 +59,10 @@ def fit_head(train: DataFrame, label_col: str = "label", kind: str = "lr",
                          featuresCol="features", labelCol="label_idx")
     else:
         raise ValueError(f"unknown head kind {kind}")
-    pre = Pipeline(stages=[idx]).fit(w)
-    labels = pre.stages[0].labels
-    to_str = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)
-    model = Pipeline(stages=[idx, head, to_str]).fit(w)
-    return model
+    labels = idx.fit(w)
+    fitted = head.fit(labels.transform(w))
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
+    return PipelineModel(stages=[fitted, back])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -78,7 +75,7 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
         sig = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-m)))
         tot = F.aggregate(sig, F.lit(0.0), lambda a, x: a + x)
         conf = F.array_max(sig) / tot
-    keep = [c for c in df.columns if c != "features"]
+    keep = [c for c in df.columns if c not in ("features", "label_idx")]
     return out.select(*keep, F.col("predicted").alias("intent"), conf.alias("confidence"))
 
 
@@ -96,32 +93,41 @@ def load_head(spark: SparkSession, path: str) -> tuple[PipelineModel, int]:
     return PipelineModel.load(f"{path}/model"), int(meta["dim"])
 
 
-def bulk_classify(model: PipelineModel, docs: DataFrame, dim: int,
-                  threshold: float = CONFIDENCE_THRESHOLD, model_version: str = "local") -> DataFrame:
-    """M6 + V12: doc_id, intent, confidence, route, model_version."""
-    f = features(docs.select("doc_id", "text"), "doc_id", "text", dim)
-    p = predict(model, f)
-    return p.select("doc_id", "intent", "confidence", route("confidence", threshold).alias("route"),
-                    F.lit(model_version).alias("model_version"))
+def bulk_classify(model: PipelineModel, docs: DataFrame, dim: int, threshold: float = CONFIDENCE_THRESHOLD,
+                  model_version: str = "local", carry: tuple[str, ...] = ()) -> DataFrame:
+    """M6 + V12: doc_id, ``carry``, intent, confidence, route, model_version, latency_ms (null:
+    a batch has no per-document latency). Narrow: the model runs on each row where it is read."""
+    p = predict(model, features(docs.select("doc_id", *carry, "text"), "text", dim))
+    return p.select("doc_id", *carry, "intent", "confidence", route("confidence", threshold).alias("route"),
+                    F.lit(model_version).alias("model_version"), F.lit(None).cast("double").alias("latency_ms"))
 
 
 def train_job(docs: DataFrame, labels: DataFrame, dim: int = DEFAULT_DIM, kind: str = "lr"):
     """M3: V6 (every document needs a label) -> JN1 -> E2 -> M1 -> predictions on the
-    training rows -> A2 macro F1 and A4 report. Returns (model, metrics, report)."""
-    missing = metrics.missing_labels(docs, labels)
-    sample = [r[0] for r in missing.orderBy("doc_id").limit(20).collect()]  # bounded, for the message
-    if sample:
-        raise ValueError(f"documents without labels (first 20, sorted): {sample}")
-    train = features(docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id"),
-                     "doc_id", "text", dim)
+    training rows -> A2 macro F1 and A4 report. Returns (model, metrics, report). All missing
+    ids are written to a table that the error names."""
+    missing = saved(metrics.missing_labels(docs, labels), "missing-labels")
+    n = missing.count()
+    if n:
+        first = [r[0] for r in missing.orderBy("doc_id").limit(5).collect()]
+        raise ValueError(f"{n} documents without labels, such as {first}; all in {missing.inputFiles()[0].rsplit('/', 1)[0]}")
+    train = saved(features(docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id"), "text", dim), "train")
     model = fit_head(train, "label", kind)
-    pred = predict(model, train).select(F.col("label").alias("truth"), F.col("intent").alias("pred"))
+    pred = saved(predict(model, train).select(F.col("label").alias("truth"), F.col("intent").alias("pred")), "predictions")
     return model, metrics.classifier_metrics(pred), metrics.classification_report(pred)
 
 
-def evaluate_job(model: PipelineModel, dim: int, docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """M4/M5: JN2 (gold rows without a document dropped, duplicates kept) -> predict ->
-    A1/A2 with the V13 gate. gold: doc_id, label."""
+def evaluate_predictions(model: PipelineModel, dim: int, docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """JN2 (gold rows without a document dropped, duplicates kept) -> predict: truth, pred."""
     j = gold.select("doc_id", F.col("label").alias("truth")).join(docs.select("doc_id", "text"), "doc_id")
-    p = predict(model, features(j, "doc_id", "text", dim))
-    return metrics.classifier_metrics(p.select("truth", F.col("intent").alias("pred")))
+    p = predict(model, features(j, "text", dim))
+    return saved(p.select("truth", F.col("intent").alias("pred")), "evaluation")
+
+
+def evaluate_job(model: PipelineModel, dim: int, docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """M4/M5: A1/A2 with the V13 gate, and every class's F1 (A3) as a map. gold: doc_id, label."""
+    pred = evaluate_predictions(model, dim, docs, gold)
+    classes = pred.select(F.col("truth").alias("label")).union(pred.select("pred")).distinct()
+    f1 = metrics.per_class_f1(pred, classes)
+    each = f1.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "f1"))))).scalar()
+    return metrics.classifier_metrics(pred).withColumn("per_class_f1", each)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docflow import contracts
 from docflow.functions.text import fixed3
+from docflow.session import saved
 
 TRACE_NAME = "reason.response"
 JUDGE_REGRESSION_THRESHOLD = 0.5
@@ -143,12 +144,12 @@ def multiplex(requests: DataFrame, classify_fn, reason_fn,
     """P6/U-4: requests carry a ``request_route`` ('classify' | 'reason' | 'auto', null ->
     'auto'). classify -> fast result; reason -> reasoning result; auto -> fast result when
     confident, reasoning for the escalated remainder; anything else -> error row.
-    ``classify_fn(df)`` adds intent, confidence; ``reason_fn(df)`` adds reasoning columns.
+    ``fast`` results are computed once. ``classify_fn(df)`` adds intent, confidence; ``reason_fn(df)`` adds reasoning columns.
     Branches are filters of one input and are recombined with unionByName."""
     rq = requests.withColumn("request_route", F.coalesce("request_route", F.lit("auto")))
     known = F.col("request_route").isin("classify", "reason", "auto")
     fast_in = rq.where(F.col("request_route").isin("classify", "auto"))
-    fast = classify_fn(fast_in).withColumn("route", route("confidence", threshold))
+    fast = saved(classify_fn(fast_in).withColumn("route", route("confidence", threshold)), "fast")  # two branches read it
     fast_out = fast.where((F.col("request_route") == "classify") | (F.col("route") == "fast")) \
                    .withColumn("result", F.lit("classified"))
     escalated = fast.where((F.col("request_route") == "auto") & (F.col("route") != "fast"))

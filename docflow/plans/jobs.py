@@ -18,10 +18,11 @@ from docflow.sources import files
 def index_job(spark: SparkSession, corpus_dir: str, out_dir: str, push: bool = False,
               max_tokens: int = chunking.DEFAULT_MAX_TOKENS,
               overlap_tokens: int = chunking.DEFAULT_OVERLAP, dim: int = embedding.DEFAULT_DIM,
-              version: int = 1) -> DataFrame:
+              version: int | None = None) -> DataFrame:
     """Read corpus (S1) -> chunk (C1) -> dump JSONL (S6) -> manifest (S10) -> with
-    ``push``: embed (E2) and upsert into the keyed index (S8/S9). Returns the manifest
-    summary row; ``uploaded`` = number of chunks pushed (0 without push)."""
+    ``push``: embed (E2) and upsert into the keyed index (S8/S9) as a new version (the last
+    one plus 1), then swap. A failed write leaves the live version untouched. Returns the
+    manifest summary row; ``uploaded`` = number of chunks pushed (0 without push)."""
     docs = files.read_corpus(spark, corpus_dir)
     chunks = chunking.chunk_documents(docs, max_tokens, overlap_tokens)
     files.dump_chunks(chunks, f"{out_dir}/chunks")
@@ -29,15 +30,13 @@ def index_job(spark: SparkSession, corpus_dir: str, out_dir: str, push: bool = F
     files.write_manifest(written, f"{out_dir}/manifest")
     uploaded = F.lit(0).cast("bigint")
     if push:
-        vecs = embedding.embed_md5_vectors(written, ["chunk_id"], "text", dim)
-        new = written.join(vecs, "chunk_id").withColumn("version", F.lit(version))
         base = f"{out_dir}/index"
-        cur = files.current(spark, base)
-        merged = (new if cur is None else
-                  files.upsert(spark.read.parquet(cur).drop("bucket"), new, new_is_newer=True))
+        version = files.next_version(spark, base) if version is None else version
+        new = embedding.embed_md5_vectors(written, None, "text", dim).withColumn("version", F.lit(version))
+        cur = files.create_index(spark, base, new.schema)
         target = f"{base}/v{version}"
-        files.write_index(merged, target)     # a new path; readers switch only after the swap
-        files.set_current(spark, base, target)
+        files.write_index(files.upsert(spark.read.parquet(cur), new), target)
+        files.set_current(spark, base, target)   # readers switch only now
         uploaded = F.lit(written.count()).cast("bigint")
     return spark.read.json(f"{out_dir}/manifest/summary").select(
         "chunk_count", "n_documents", uploaded.alias("uploaded"))
@@ -48,12 +47,17 @@ def train_evaluate_job(spark: SparkSession, docs: DataFrame, labels: DataFrame,
                        floor: float = metrics.MACRO_F1_FLOOR) -> DataFrame:
     """M3 -> M5 chained (M7): train, save (S12), log the run (S13), evaluate on the gold
     set, gate on macro F1 (V13). Returns the evaluation row with ``passed``."""
-    model, train_m, _report = classify.train_job(docs, labels, dim)
+    model, train_m, report = classify.train_job(docs, labels, dim)
     classify.save_head(model, model_dir, dim)
-    files.append_run(spark, f"{model_dir}/runs", "train", {"dim": str(dim), "head": "lr"}, train_m)
+    report.write.mode("overwrite").json(f"{model_dir}/report")            # S20
+    sizes = labels.agg(F.count_distinct("doc_id").alias("d"), F.count_distinct("label").alias("c")).first()
+    files.append_run(spark, f"{model_dir}/runs", "train", {
+        "dim": str(dim), "head": "lr", "provider": "md5-hashed-bow", "n_documents": str(sizes["d"]),
+        "n_classes": str(sizes["c"])}, train_m)
     loaded, dim2 = classify.load_head(spark, model_dir)
-    ev = classify.evaluate_job(loaded, dim2, docs, gold)
-    return ev.withColumn("passed", F.col("macro_f1") >= floor)
+    ev = classify.evaluate_job(loaded, dim2, docs, gold).withColumn("passed", F.col("macro_f1") >= floor)
+    files.write_summary(f"{model_dir}/summary", ev)                       # S19
+    return ev
 
 
 def regression_job(spark: SparkSession, traces: DataFrame, scores: DataFrame, baseline_path: str,

@@ -28,5 +28,5 @@ def upsert_index(spark, sf):
     red = docs.select("doc_id", pii.redact("text").alias("r"), "text").where(F.col("r") != F.col("text"))
     v2 = chunking.chunk_documents(red.select("doc_id", F.col("r").alias("text"))) \
                  .withColumn("version", F.lit(2))
-    return files.upsert(v1, v2, new_is_newer=True).select(
+    return files.upsert(v1, v2).select(
         "chunk_id", "doc_id", "chunk_index", "text", "n_tokens", "version")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from docflow.operators import ann, classify
+from docflow.functions.vectors import dot
+from docflow.operators import ann, classify, retrieval
 from docflow.plans.registry import register
-from docflow.session import table
+from docflow.session import saved, table
 
 
 @register("train_eval_embeddings", "M1 M2 J11 V9 A13")
@@ -34,7 +35,32 @@ def classify_documents(spark, sf):
     return classify.bulk_classify(model, docs, classify.DEFAULT_DIM)
 
 
+def _neighbours(spark, sf):
+    """Approximate and exact neighbours (without itself) of the stated query set (ids
+    divisible by 100) among all vectors."""
+    emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    queries = emb.where(F.col("vec_id") % 100 == 0)
+    approx = saved(ann.lsh_topk(queries, emb, "vec_id", "vec", dim=64, k=5), "lsh")
+    exact = retrieval.vector_topk(queries.withColumnRenamed("vec_id", "query_id"), emb, k=6, index_keys=("vec_id",), digits=6)
+    exact = retrieval.topk_per_group(exact.where("query_id <> vec_id").drop("rank"), ["query_id"],
+                                     [F.col("score").desc(), F.col("vec_id")], 5)
+    return queries, approx, exact
+
+
 @register("lsh_topk", "R8")
 def lsh_topk(spark, sf):
-    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return ann.lsh_topk(emb, "vec_id", "embedding", dim=64, k=5)
+    return _neighbours(spark, sf)[1]
+
+
+@register("lsh_recall", "R8", """
+SELECT vec_id AS query_id, 5::BIGINT AS n, TRUE AS scores_exact, TRUE AS recall_ok
+FROM embeddings WHERE vec_id % 100 = 0""")
+def lsh_recall(spark, sf):
+    """Per query: k rows, every score the true one, and over all queries recall@5 >= 0.8."""
+    queries, approx, exact = _neighbours(spark, sf)
+    recall = ann.recall_at_k(approx, exact, "vec_id").select("recall").scalar()
+    true = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("_q")).join(approx, "query_id").join(
+        table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("_v")), "vec_id")
+    same = F.abs(dot("_q", "_v") - F.col("score")) < 1e-5
+    return true.groupBy("query_id").agg(F.count("*").alias("n"), F.every(same).alias("scores_exact")).withColumn(
+        "recall_ok", recall >= 0.8)

@@ -1,21 +1,36 @@
 """Registered queries: Structured Streaming jobs run with ``availableNow`` (ST1-ST6).
 
 Each drives a file stream over the table to completion and returns the sink as a batch
-DataFrame; the oracle is the batch equivalent.
+DataFrame; the oracle is the batch equivalent. Every run is a job of its own (a fresh name),
+as the registered queries start from nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docflow.functions import pii
 from docflow.functions.text import count_tokens
-from docflow.operators import lookups
+from docflow.operators import classify, lookups
 from docflow.plans.registry import register
-from docflow.plans.sql_snippets import CHUNKS_CTE, redact_sql
-from docflow.session import scratch_path
+from docflow.plans.sql_snippets import CHUNKS_CTE, md5_counts_cte, redact_sql
+from docflow.session import scratch_path, table
 from docflow.streaming import streams as st
 
 
+def _updates(agg, name, keys):
+    path = scratch_path(agg.sparkSession, name)
+    return st.run_updates(agg, path.rsplit("/", 1)[-1], path, keys)
+
+
+def _model(spark, sf):
+    """Trained on the labelled documents (class = quality), redacted as the stream does."""
+    docs = table(spark, sf, "documents").select("doc_id", pii.redact("text").alias("text"))
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    train = classify.features(docs.join(lab, "doc_id"), "text", classify.DEFAULT_DIM)
+    return classify.fit_head(train)
+
+
 def _window_cols(df):
     return df.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                      F.col("window.end").cast("timestamp_ntz").alias("window_end"),
@@ -27,7 +42,7 @@ SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1
        event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def stream_daily_counts(spark, sf):
     agg = st.daily_counts(st.file_stream(spark, sf, "events"))
-    return _window_cols(st.run_available_now(agg, "st3", "complete"))
+    return _window_cols(_updates(agg, "st3", ["window", "event_type"]))
 
 
 @register("stream_sliding_counts", "ST4", """
@@ -36,7 +51,7 @@ FROM (SELECT event_type, date_trunc('day', ts) - to_days(k::INTEGER) AS start
       FROM events, range(0, 7) r(k)) GROUP BY ALL""")
 def stream_sliding_counts(spark, sf):
     agg = st.sliding_counts(st.file_stream(spark, sf, "events"))
-    return _window_cols(st.run_available_now(agg, "st4", "complete"))
+    return _window_cols(_updates(agg, "st4", ["window", "event_type"]))
 
 
 @register("stream_cost_rollup", "ST5 JN8 J8", """
@@ -63,35 +78,53 @@ def stream_cost_rollup(spark, sf):
         F.when(asst, F.lit(0)).otherwise(n).cast("bigint").alias("tokens_in"),
         F.when(asst, n).otherwise(F.lit(0)).cast("bigint").alias("tokens_out"))
     agg = st.cost_rollup(turns, lookups.price_table(spark))
-    out = st.run_available_now(agg, "st5", "complete")
+    out = _updates(agg, "st5", ["model"])
     return out.select("model", F.col("n_calls").cast("bigint"), F.col("tokens_in").cast("bigint"),
                       F.col("tokens_out").cast("bigint"), "cost_usd")
 
 
 @register("stream_dedup", "ST6", """
-SELECT DISTINCT user_id, event_type FROM events""")
+SELECT DISTINCT event_id, user_id, event_type FROM events""")
 def stream_dedup(spark, sf):
-    d = st.dedupe(st.file_stream(spark, sf, "events"), ["user_id", "event_type"])
-    out = st.run_available_now(d.select("user_id", "event_type", "ts"), "st6", "append")
-    return out.select("user_id", "event_type")
+    """Every event delivered twice (the stream read as two), kept once by its id."""
+    ev = st.file_stream(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    again = st.file_stream(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    out = st.dedupe(ev.union(again), ["event_id"])
+    path = scratch_path(spark, "st6")
+    return st.run_append(out, path.rsplit("/", 1)[-1], path).select("event_id", "user_id", "event_type")
 
 
-@register("stream_classify_route", "ST1 J1 V12", f"""
-SELECT doc_id, {redact_sql('text')} <> text AS changed,
-       least(n_chars / 4000.0::DOUBLE, 1.0::DOUBLE) AS confidence,
-       CASE WHEN least(n_chars / 4000.0::DOUBLE, 1.0::DOUBLE) >= 0.75 THEN 'fast'
-            ELSE 'escalate_to_reason' END AS route
+@register("stream_classify_route", "ST1 J1 V12 M6 U1", f"""
+SELECT doc_id, {redact_sql('text')} <> text AS changed, TRUE AS same_as_batch, TRUE AS routed
 FROM documents""")
 def stream_classify_route(spark, sf):
-    out = st.classify_route(st.file_stream(spark, sf, "documents"))
-    return st.run_available_now(out, "st1", "append")
-
-
-@register("stream_index_upkeep", "ST2 S9 C1", f"""
-WITH {CHUNKS_CTE}
-SELECT chunk_id, doc_id, chunk_index, text, n_tokens FROM chunks""")
+    """The trained model over the stream; ``same_as_batch``: intent, confidence and route
+    equal the batch job's on the same redacted text."""
+    model = _model(spark, sf)
+    docs = st.file_stream(spark, sf, "documents")
+    path = scratch_path(spark, "st1")
+    out = st.run_append(st.classify_route(docs, model, classify.DEFAULT_DIM), path.rsplit("/", 1)[-1], path)
+    batch = st.classify_route(table(spark, sf, "documents"), model, classify.DEFAULT_DIM)
+    batch = batch.select("doc_id", F.struct("intent", "confidence", "route").alias("_b"))
+    sure = F.col("confidence") >= classify.CONFIDENCE_THRESHOLD
+    return out.join(batch, "doc_id").select(
+        "doc_id", "changed", (F.struct("intent", "confidence", "route") == F.col("_b")).alias("same_as_batch"),
+        ((F.col("route") == F.when(sure, "fast").otherwise("escalate_to_reason")) & F.col("confidence").between(0, 1)).alias("routed"))
+
+
+@register("stream_index_upkeep", "ST2 S8 S9 C1 E2", f"""
+WITH {CHUNKS_CTE},
+{md5_counts_cte('cv', 'chunks', 'chunk_id')},
+cn AS (SELECT chunk_id, count(*) AS n_buckets, sum(cnt * cnt)::DOUBLE AS sq FROM cv GROUP BY chunk_id)
+SELECT chunk_id, doc_id, chunk_index, text, n_tokens, coalesce(n_buckets, 0)::BIGINT AS n_buckets,
+       coalesce(sq, 0.0) AS squared_norm
+FROM chunks LEFT JOIN cn USING (chunk_id)""")
 def stream_index_upkeep(spark, sf):
-    path = scratch_path(spark, "st2-index")
-    st.run_foreach_batch(st.file_stream(spark, sf, "documents"), path.rsplit("/", 1)[-1],
-                         st.index_upkeep_batch(path))
-    return st.read_index(spark, path).select("chunk_id", "doc_id", "chunk_index", "text", "n_tokens")
+    """Documents indexed as they arrive, with vectors, then compacted into a stored version."""
+    base = scratch_path(spark, "st2-index")
+    st.run_foreach_batch(st.file_stream(spark, sf, "documents"), base.rsplit("/", 1)[-1], st.index_upkeep_batch(base))
+    st.compact_index(spark, base)
+    out = st.read_index(spark, base)
+    square = F.aggregate("cnt", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("chunk_id", "doc_id", "chunk_index", "text", "n_tokens",
+                      F.size("idx").cast("bigint").alias("n_buckets"), square.alias("squared_norm"))

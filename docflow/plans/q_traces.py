@@ -236,11 +236,12 @@ SELECT l.doc_id::VARCHAR AS doc_id,
        c.mean, c.intent_correctness, c.citation_grounding, c.field_extraction_quality,
        c.conciseness_and_style, c.notes
 FROM labels l JOIN chk c ON c.doc_id = l.doc_id
-WHERE c.valid""")
+WHERE c.valid AND l.doc_id % 7 NOT IN (3, 5)""")
 def judge_run(spark, sf):
     """Traces = the fallback responses (one per labelled document) serialised to JSON text,
-    as a trace store would hold them; strict parse (V3), join the judge scores, drop
-    invalid score rows (V5), per-document mean (J9)."""
+    as a trace store would hold them; strict parse (V3; by id modulo 7 a trace holds a word as
+    confidence (3) or a number as id (5), both invalid), join the judge scores, drop invalid
+    score rows (V5), per-document mean (J9)."""
     ev = table(spark, sf, "events")
     live = ev.where(F.col("event_type") == rg.TRACE_NAME).select(
         F.col("user_id").alias("doc_id"), F.col("event_type").alias("intent"))
@@ -248,8 +249,11 @@ def judge_run(spark, sf):
         "doc_id", F.lit("judge").alias("prompt"),
         F.when(F.col("quality") == 1, "msa").otherwise("other").alias("reference_intent"))
     fb = rg.fallback_traces(prompts, table(spark, sf, "documents"))
+    told = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), *[c for c in fb.columns if c != "doc_id"]))
+    kind = F.col("doc_id") % 7
     traces = rg.live_or_fallback(live, fb).select(
-        F.to_json(F.struct(*[c for c in fb.columns])).alias("response"))
+        F.when(kind == 3, F.regexp_replace(told, '"confidence":[0-9.]+', '"confidence":"x"'))
+        .when(kind == 5, F.regexp_replace(told, '"doc_id":"([0-9]+)"', '"doc_id":$1')).otherwise(told).alias("response"))
     scores = judge_scores(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     per_doc, _agg = rg.judge_run(traces, scores.drop("source"))
     return per_doc

@@ -96,7 +96,7 @@ def _folded(spark, sf):
 @register("transcript_fold", "A8 A9 A10 A11 W7", f"""
 WITH {_COMPLETIONS_SQL}
 SELECT request_id, llm_calls, answer, pending_tools, tools_used, turns, tokens_in, tokens_out,
-       model, fold_status FROM f""")
+       0.0::DOUBLE AS latency_ms, model, fold_status FROM f""")
 def transcript_fold(spark, sf):
     return _folded(spark, sf).withColumn("tools_used", F.array_join("tools_used", ","))
 
@@ -133,26 +133,161 @@ def tool_dispatch(spark, sf):
     return transcripts.tool_dispatch(completions(spark, sf))
 
 
-@register("reason_resolve", "P2 P3 V3 A14 V10 J12 J8", f"""
-WITH {_COMPLETIONS_SQL}
-SELECT request_id,
-       CASE WHEN fold_status = 'exhausted' THEN 'upstream_error'
-            WHEN coalesce(length(answer), 0) = 0 OR NOT coalesce(json_valid(answer), false)
-                 OR json_type(answer) <> 'OBJECT' THEN 'invalid_response' ELSE 'ok' END AS status,
-       CASE WHEN fold_status = 'exhausted' THEN 'no recorded turn left'
-            WHEN coalesce(length(answer), 0) = 0 THEN 'empty'
-            WHEN NOT coalesce(json_valid(answer), false) OR json_type(answer) <> 'OBJECT' THEN 'malformed'
-       END AS detail,
-       CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS DOUBLE) AS confidence, tools_used,
-       CASE WHEN f.model = '' THEN 'unknown' ELSE f.model END AS model_version, tokens_in, tokens_out, turns,
+# Kinds of recorded answers, by request id: what the model wrote (JSON pieces that replace
+# the good answer's) and the outcome expected.
+_GOOD = {"doc_id": '"x"', "intent": '"nda"', "confidence": "0.5", "reasoning": '"grounded in the passages"',
+         "citations": "[@]", "extracted_fields": '[{"name":"f","value":"v","citations":[@]}]'}
+_KINDS = (
+    ({}, "ok", None), ({"intent": '"other"', "citations": "[]", "extracted_fields": "[]"}, "ok", None),
+    ({"confidence": '"0.5"'}, "ok", None), ({"confidence": "true"}, "ok", None),
+    ("", "invalid_response", "empty"), ("plain words", "invalid_response", "malformed"), ("[]", "invalid_response", "malformed"),
+    ({"surplus": "1"}, "invalid_response", "unknown_key"), ({"doc_id": "7"}, "invalid_response", "schema:doc_id"),
+    ({"intent": '"invoice"'}, "invalid_response", "schema:intent"), ({"confidence": "1.5"}, "invalid_response", "schema:confidence"),
+    ({"reasoning": '"short"'}, "invalid_response", "schema:reasoning"), ({"citations": "null"}, "invalid_response", "schema:citation"),
+    ({"citations": '["x"]'}, "invalid_response", "schema:citation"),
+    ({"citations": '[{"chunk_id":"c","quote":"' + "q" * 401 + '"}]'}, "invalid_response", "schema:citation"),
+    ({"extracted_fields": '"abc"'}, "invalid_response", "schema:extracted_fields"),
+    ({"extracted_fields": '[{"name":"f","value":"v","citations":[]}]'}, "invalid_response", "schema:extracted_fields"),
+    ({"tools_used": "[1]"}, "invalid_response", "schema:tools_used"), ({"tokens_in": '"abc"'}, "invalid_response", "schema:tokens"),
+    ({"citations": "[]", "extracted_fields": "[]"}, "citation_violation", "no_citations"),
+    ({"citations": '[{"chunk_id":"none","quote":"q"}]'}, "citation_violation", "unknown_chunk"),
+    ({"extracted_fields": '[{"name":"f","value":"v","citations":[@,#]}]'}, "citation_violation", "quote_not_found"),
+    ({"reasoning": '"then Kill  it, kill it all"'}, "unsafe_output", None),
+)
+
+
+def _answer(kind) -> str:
+    return kind if isinstance(kind, str) else "{" + ",".join(f'"{k}":{v}' for k, v in (_GOOD | kind).items()) + "}"
+
+
+def answered(spark, sf):
+    """The recorded turns with JSON answers: a conversation's last turn says the answer of
+    kind (id mod number of kinds), citing its first user turn; every 29th loses it."""
+    c = completions(spark, sf).where(~((F.size("tool_calls") == 0) & (F.col("request_id") % 29 == 7)))
+    p = _passages(spark, sf).withColumnRenamed("text", "_ptext")
+    cite = F.to_json(F.struct(F.col("chunk_id"), F.substring("_ptext", 1, 30).alias("quote")))
+    wrong = F.to_json(F.struct(F.col("chunk_id"), F.lit("an invented quote").alias("quote")))
+    said = F.element_at(F.array(*[F.lit(_answer(k)) for k, _, _ in _KINDS]),
+                        (F.pmod("request_id", F.lit(len(_KINDS))) + 1).cast("int"))
+    said = F.replace(F.replace(said, F.lit("@"), F.coalesce(cite, F.lit("{}"))), F.lit("#"), F.coalesce(wrong, F.lit("{}")))
+    j = c.join(p, "request_id", "left")
+    return j.withColumn("content", F.when(F.size("tool_calls") == 0, said).otherwise(F.col("content"))).drop("chunk_id", "_ptext")
+
+
+def _passages(spark, sf):
+    """Per conversation its first message as the one passage retrieved."""
+    conv = table(spark, sf, "conversations")
+    first = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    return first.select(F.col("conv_id").alias("request_id"), F.concat(F.lit("c"), "conv_id").alias("chunk_id"), "text")
+
+
+_KIND_ROWS = ", ".join(f"({i}, '{st}', {repr(d) if d else 'NULL'})" for i, (_, st, d) in enumerate(_KINDS))
+
+
+@register("reason_resolve", "P2 P3 V3 A14 V10 J12 J8 U-5", f"""
+WITH {_COMPLETIONS_SQL},
+kinds(i, st, why) AS (VALUES {_KIND_ROWS}),
+k2 AS (SELECT * FROM k WHERE has_tools OR request_id % 29 <> 7),
+g AS (SELECT request_id, bool_or(NOT has_tools) AS answered, count(*) AS n,
+        coalesce(string_agg(CASE WHEN has_tools AND tool IN ('lookup_clause_library', 'check_counterparty_history')
+                                 THEN tool END, ',' ORDER BY t), '') AS tools_used,
+        (count(*) FILTER (WHERE has_tools AND tool IN ('lookup_clause_library', 'check_counterparty_history')) + 1)::BIGINT AS turns,
+        sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out,
+        coalesce(arg_min(model, t) FILTER (WHERE model <> ''), '') AS model
+      FROM k2 GROUP BY request_id),
+r AS (SELECT g.*, request_id % {len(_KINDS)} AS kind,
+        CASE WHEN answered THEN st WHEN n >= 4 THEN 'invalid_response' ELSE 'upstream_error' END AS status,
+        CASE WHEN answered THEN why WHEN n >= 4 THEN 'malformed' ELSE 'no recorded turn left' END AS detail
+      FROM g JOIN kinds ON kinds.i = request_id % {len(_KINDS)})
+SELECT request_id, status, detail, CASE WHEN status = 'ok' THEN request_id::VARCHAR END AS doc_id,
+       CASE WHEN status = 'ok' THEN CASE WHEN kind = 1 THEN 'other' ELSE 'nda' END END AS intent,
+       CASE WHEN status = 'ok' THEN CASE WHEN kind = 3 THEN 1.0 ELSE 0.5 END END::DOUBLE AS confidence,
+       CASE WHEN status = 'ok' THEN 'grounded in the passages' END AS reasoning,
+       CASE WHEN status = 'ok' THEN CASE WHEN kind = 1 THEN 0 ELSE 1 END END::BIGINT AS n_fields,
+       CASE WHEN status = 'ok' THEN CASE WHEN kind = 1 THEN 0 ELSE 1 END END::BIGINT AS n_citations, tools_used,
+       CASE WHEN r.model = '' THEN 'unknown' ELSE r.model END AS model_version, tokens_in, tokens_out, turns,
        (tokens_in::DOUBLE / 1000.0::DOUBLE) * coalesce(p.pin, 0.005::DOUBLE)
          + (tokens_out::DOUBLE / 1000.0::DOUBLE) * coalesce(p.pout, 0.015::DOUBLE) AS cost_usd
-FROM f LEFT JOIN prices p ON p.model = (CASE WHEN f.model = '' THEN 'gpt-4o' ELSE f.model END)""")
+FROM r LEFT JOIN prices p ON p.model = (CASE WHEN r.model = '' THEN 'gpt-4o' ELSE r.model END)""")
 def reason_resolve(spark, sf):
-    """The recorded answers are prose, so they fail the strict parse: every answered
-    request resolves to invalid_response, exhausted scripts to upstream_error."""
-    passages = spark.createDataFrame([], "request_id bigint, chunk_id string, text string")
-    return transcripts.resolve(_folded(spark, sf), passages, lookups.price_table(spark))
+    """Recorded JSON answers of every kind: all five statuses, every parse error and every
+    citation outcome occur."""
+    folded = transcripts.fold_transcripts(answered(spark, sf))
+    out = transcripts.resolve(folded, _passages(spark, sf), lookups.price_table(spark))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("bigint")
+    return out.select("request_id", "status", "detail", "doc_id", "intent", "confidence", "reasoning",
+                      size("extracted_fields").alias("n_fields"), size("citations").alias("n_citations"),
+                      "tools_used", "model_version", "tokens_in", "tokens_out", "turns", "cost_usd")
+
+
+def _tool_turns(spark, sf):
+    """The recorded turns; a counterparty call asks for a customer by number (some unknown)."""
+    name = F.format_string("CUSTOMER#%09d", F.col("request_id") * 40)
+    return completions(spark, sf).withColumn("tool_calls", F.transform("tool_calls", lambda t: F.struct(
+        t["id"].alias("id"), t["name"].alias("name"),
+        F.when(t["name"] == "check_counterparty_history", F.to_json(F.struct(name.alias("entity_name"))))
+        .otherwise(t["arguments"]).alias("arguments"))))
+
+
+def _registry(spark, sf):
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("clause_id"), F.col("p_partkey").alias("position"),
+        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    directory = table(spark, sf, "customer").select(F.col("c_name").alias("entity_name"), "c_mktsegment")
+    return transcripts.tool_registry(part, directory)
+
+
+_TOOL_RESULTS_SQL = rf"""{_COMPLETIONS_SQL},
+lib AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type || ' ' || p_brand) AS lt FROM part),
+w AS (SELECT DISTINCT word FROM k WHERE has_tools AND tool = 'lookup_clause_library' AND length(word) >= 3),
+sc AS (SELECT word, id, row_number() OVER (PARTITION BY word ORDER BY
+              len(list_filter(regexp_split_to_array(lower(word), '{SPACE}'), lambda t: length(t) > 0 AND contains(lt, t))) DESC, id) AS rn
+       FROM w CROSS JOIN lib),
+cl AS (SELECT word, string_agg(id::VARCHAR, ',' ORDER BY rn) AS ids FROM sc WHERE rn <= 3 GROUP BY word),
+tr AS (SELECT request_id, t::BIGINT AS turn, 0::BIGINT AS pos,
+       'call_' || request_id::VARCHAR || '_' || cturn::VARCHAR AS call_id, tool AS name,
+       CASE WHEN tool = 'lookup_clause_library' AND (k.word IS NULL OR length(k.word) < 3) THEN 'invalid arguments: query'
+            WHEN tool NOT IN ('lookup_clause_library', 'check_counterparty_history') THEN 'unknown tool: ' || tool END AS error,
+       CASE WHEN tool = 'lookup_clause_library' THEN cl.ids END AS clause_ids,
+       CASE WHEN tool = 'check_counterparty_history' THEN CASE WHEN c.c_name IS NULL THEN 'unknown' ELSE 'known' END END AS status,
+       CASE WHEN tool = 'check_counterparty_history' THEN c.c_name END AS known_name,
+       CASE WHEN tool = 'check_counterparty_history' THEN c.c_mktsegment END AS segment
+  FROM k LEFT JOIN cl ON cl.word = k.word AND length(k.word) >= 3
+  LEFT JOIN customer c ON lower(c.c_name) = lower(printf('CUSTOMER#%09d', request_id * 40)) WHERE has_tools)"""
+
+
+@register("tool_results", "JN7 U5 JN5 JN6 V4", f"""
+WITH {_TOOL_RESULTS_SQL} SELECT * FROM tr""")
+def tool_results(spark, sf):
+    """Every recorded tool call run: clause entries, counterparty records or errors."""
+    r = transcripts.tool_results(_tool_turns(spark, sf), _registry(spark, sf))
+    at = lambda path: F.get_json_object("result", path)
+    ids = F.transform(F.from_json("result", "results array<struct<clause_id:bigint>>")["results"], lambda x: x["clause_id"].cast("string"))
+    return r.select("request_id", "turn", "pos", "call_id", "name", at("$.error").alias("error"),
+                    F.array_join(ids, ",").alias("clause_ids"), at("$.status").alias("status"),
+                    at("$.known_name").alias("known_name"), at("$.c_mktsegment").alias("segment"))
+
+
+@register("request_messages", "J5 JN7 W7", f"""
+WITH {_TOOL_RESULTS_SQL},
+m AS (
+  SELECT request_id, -1 AS turn, 0 AS pos, 'system' AS role, 'Answer from the passages.' AS content, NULL AS call FROM f
+  UNION ALL SELECT request_id, -1, 1, 'user', 'Request ' || request_id::VARCHAR, NULL FROM f
+  UNION ALL SELECT request_id, t, 0, 'assistant', content, NULL FROM k WHERE has_tools
+  UNION ALL SELECT request_id, turn, pos + 1, 'tool', NULL, call_id FROM tr
+  UNION ALL SELECT request_id, t, 2, 'system',
+    'You have used the maximum number of tool calls. Return the final JSON object per the schema now.', NULL
+    FROM k WHERE has_tools AND t = 3)
+SELECT request_id, turn::BIGINT AS turn, pos::BIGINT AS pos, role, content, call::VARCHAR AS tool_call_id FROM m""")
+def request_messages(spark, sf):
+    """System, user, assistant, tool and cap messages of every request (tool payloads are
+    checked by ``tool_results``)."""
+    turns = _tool_turns(spark, sf)
+    ask = turns.select("request_id").distinct().select(
+        "request_id", F.concat(F.lit("Request "), F.col("request_id").cast("string")).alias("prompt"))
+    m = transcripts.request_messages(ask, turns, transcripts.tool_results(turns, _registry(spark, sf)), "Answer from the passages.")
+    return m.select("request_id", "turn", "pos", "role",
+                    F.when(F.col("role") != "tool", F.col("content")).alias("content"), "tool_call_id")
 
 
 @register("chat_messages", "J5", """

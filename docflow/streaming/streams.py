@@ -1,31 +1,35 @@
 """Structured Streaming operators (ST1-ST6).
 
-Sources are file streams over a folder; state is bounded by watermarks. Checkpoints live
-under the session's shared ``spark.checkpoint.dir``, so a restarted query resumes
-exactly where it stopped (micro-batches are replayed idempotently).
+Sources are file streams over a table (one file, a folder of part files, and files that
+arrive later); state is bounded by watermarks. Append results go to a parquet sink, updated
+aggregates are written per batch and read back by key, so nothing gathers in the driver.
+Checkpoints live under the session's shared ``spark.checkpoint.dir`` at a path named by the
+job, so a restarted driver resumes where the last one stopped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docflow.functions import pii
-from docflow.operators import chunking, lookups
-from docflow.operators.regression import route
-from docflow.session import scratch_path
+from docflow.operators import chunking, classify, embedding, lookups
+from docflow.session import job_path
 from docflow.sources import files
 
 
 def file_stream(spark: SparkSession, folder: str, table_name: str,
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet file stream of one table in ``folder`` (schema taken from the files,
-    never inferred per batch)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{table_name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table_name}.parquet")
+    """Parquet file stream of one table in ``folder``: ``<table>.parquet`` as a file or a
+    folder of part files (a glob finds either). The schema is taken from the files once."""
+    path = f"{folder.rstrip('/')}/{table_name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    return r.parquet(f"{path[:-1]}[t]")
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -63,48 +67,82 @@ def cost_rollup(turns: DataFrame, prices: DataFrame, ts: str | None = None,
 
 
 def dedupe(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """ST6: re-delivered rows collapse by key; state is dropped once the watermark passes."""
+    """ST6: re-delivered rows collapse by key (an event's id); a copy that comes later than
+    ``delay`` after the first is a new row, as state is dropped once the watermark passes."""
     return event_time(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def classify_route(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """ST1: stateless redact -> score -> route of arriving documents (append mode)."""
-    red = docs.select("doc_id", "text", "n_chars", pii.redact("text").alias("_r"))
-    conf = F.least(F.col("n_chars") / F.lit(4000.0), F.lit(1.0))
-    return red.select("doc_id", (F.col("_r") != F.col("text")).alias("changed"),
-                      conf.alias("confidence"), route(conf, threshold).alias("route"))
+def classify_route(docs: DataFrame, model, dim: int, threshold: float = classify.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """ST1: arriving documents through redaction, embedding, the trained model and routing,
+    all narrow (append mode): doc_id, changed, intent, confidence, route, model_version."""
+    red = docs.select("doc_id", pii.redact("text").alias("r"), "text")
+    red = red.select("doc_id", F.col("r").alias("text"), (F.col("r") != F.col("text")).alias("changed"))
+    return classify.bulk_classify(model, red, dim, threshold, carry=("changed",))
 
 
-def index_upkeep_batch(index_path: str):
-    """ST2 foreachBatch body: chunk the micro-batch and write it under its batch id.
-    Overwriting ``batch_id=<id>`` makes a replayed batch idempotent."""
+def index_upkeep_batch(base: str, dim: int = embedding.DEFAULT_DIM) -> Callable[[DataFrame, int], None]:
+    """ST2 foreachBatch body: chunk and embed the micro-batch and write it as a delta of the
+    stored index. Overwriting ``delta/<batch id>`` makes a replayed batch idempotent; the cost
+    of a batch follows the batch, not the index."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         chunks = chunking.chunk_documents(batch.select("doc_id", "text"))
-        chunks.withColumn("version", F.lit(batch_id)) \
-              .write.mode("overwrite").parquet(f"{index_path}/batch_id={batch_id}")
+        embedding.embed_md5_vectors(chunks, None, "text", dim).withColumn("version", F.lit(batch_id).cast("bigint")) \
+            .write.mode("overwrite").parquet(f"{base}/delta/{batch_id}")
     return fn
 
 
-def read_index(spark: SparkSession, index_path: str) -> DataFrame:
-    """The upkept index: latest version per chunk_id over all written batches."""
-    raw = spark.read.parquet(index_path).drop("batch_id")
-    return files.upsert(raw.limit(0), raw)
+def _deltas(spark: SparkSession, base: str) -> DataFrame | None:
+    if not files.exists(spark, f"{base}/delta"):
+        return None
+    return spark.read.parquet(f"{base}/delta/*")
+
+
+def read_index(spark: SparkSession, base: str) -> DataFrame | None:
+    """The upkept index: the compacted version and the deltas, latest version per chunk."""
+    stored, deltas = files.current(spark, base), _deltas(spark, base)
+    if stored is None:
+        return None if deltas is None else files.upsert(deltas.limit(0), deltas)
+    kept = spark.read.parquet(stored)
+    return kept if deltas is None else files.upsert(kept, deltas)
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over everything available now into a memory sink and return
-    the sink as a batch DataFrame (used for checks and the registered queries)."""
+def compact_index(spark: SparkSession, base: str) -> str:
+    """Upsert all deltas into a new stored version and swap to it; its path. Deltas stay (they
+    upsert to the same rows) until a clean-up removes those older than the version."""
+    target = f"{base}/v{files.next_version(spark, base)}"
+    files.write_index(read_index(spark, base), target)
+    files.set_current(spark, base, target)
+    return target
+
+
+def run_append(df: DataFrame, job: str, path: str) -> DataFrame:
+    """Run over everything available now into a parquet sink at ``path``; the sink as a
+    batch DataFrame."""
     spark = df.sparkSession
-    qname = f"{name}_{scratch_path(spark, name).rsplit('-', 1)[-1]}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(qname)
-           .option("checkpointLocation", scratch_path(spark, qname))
-           .trigger(availableNow=True).start())
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", path)
+           .option("checkpointLocation", job_path(spark, job)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(qname)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def run_updates(df: DataFrame, job: str, path: str, keys: list[str]) -> DataFrame:
+    """Run an aggregation in update mode: each batch writes the groups that changed (a
+    replayed batch overwrites its own folder); read back as the last state of each key.
+    Unlike complete mode this keeps only what the watermark still needs."""
+    spark = df.sparkSession
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+    run_foreach_batch(df, job, fn, "update")
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/*")
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
-def run_foreach_batch(df: DataFrame, name: str, fn) -> None:
+def run_foreach_batch(df: DataFrame, job: str, fn, mode: str = "append") -> None:
     spark = df.sparkSession
-    q = (df.writeStream.foreachBatch(fn).option("checkpointLocation", scratch_path(spark, name))
+    q = (df.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", job_path(spark, job))
            .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docflow.operators import chunking, classify, lookups, prompts, retrieval, transcripts
+from docflow.operators import classify, lookups, prompts, retrieval, transcripts
 from tests.test_classifier_sources_streams import CORPUS, LABELS
 
 
@@ -14,7 +14,7 @@ def test_end_to_end(spark):
     assert routed.count() == 9 and {r.route for r in routed.collect()} <= {"fast", "escalate_to_reason"}
 
     # reason over every document (route 'reason'), retrieving from the chunked corpus
-    chunks = chunking.chunk_documents(docs, 4, 1)
+    chunks = retrieval.build_index(docs, 4, 1)
     req = routed.join(docs, "doc_id").select("doc_id", "text", F.col("intent").alias("hinted_intent"))
     prompt = prompts.prepare(req, chunks, k=3)
     assert prompt.count() == 9 and all("Retrieved passages:" in r.prompt for r in prompt.collect())

@@ -68,8 +68,7 @@ def test_index_job_with_push_and_upsert(spark):
     # re-index a changed document as version 2: keyed upsert into a new path, then swap
     with open(os.path.join(corpus, "b.txt"), "w") as fh:
         fh.write("one two three four five")
-    s2 = jobs.index_job(spark, corpus, out, push=True, max_tokens=3, overlap_tokens=1, dim=64,
-                        version=2).first()
+    s2 = jobs.index_job(spark, corpus, out, push=True, max_tokens=3, overlap_tokens=1, dim=64).first()
     cur2 = files.current(spark, os.path.join(out, "index"))
     assert cur2.endswith("v2") and s2.uploaded == 4
     idx = spark.read.parquet(cur2)
@@ -85,4 +84,4 @@ def test_train_evaluate_job_gate(spark):
     labels = spark.createDataFrame([(dd, LABELS[dd[0]]) for dd, _ in CORPUS], "doc_id string, label string")
     gold = labels.unionByName(labels.limit(1))      # a duplicated gold row is kept
     ev = jobs.train_evaluate_job(spark, docs, labels, gold, tempfile.mkdtemp(prefix="docflow-m-"), dim=64).first()
-    assert ev.n == 10 and ev.passed
+    assert ev.n == 10 and ev.passed and set(ev.per_class_f1) == set(LABELS.values())

@@ -145,13 +145,102 @@ def test_clause_lookup_matches_python_model(spark):
         assert got[qid] == py_clause(q, lib, k or 3), qid
 
 
-def test_chat_messages_long_form_and_bounded_render(spark):
+def test_clause_lookup_honours_any_top_k_and_slices(spark):
+    lib = spark.createDataFrame([(i, i, f"clause {i % 5} text") for i in range(40)], "clause_id int, position int, text string")
+    q = spark.createDataFrame([("q", "clause 3", 15), ("r", "3", 40)], "query_id string, query string, top_k int")
+    whole = rows(lookups.clause_lookup(q, lib))
+    assert whole == rows(lookups.clause_lookup(q, lib, max_library_bytes=2000)) and len(whole) == 55
+
+
+def test_directory_entries_that_differ_in_case_are_one(spark):
+    directory = spark.createDataFrame([("ACME", 2), ("acme", 1)], "entity_name string, n int")
+    calls = spark.createDataFrame([(1, "Acme")], "id int, entity_name string")
+    assert rows(lookups.counterparty_lookup(calls, directory), "id", "known_name", "n") == [(1, "ACME", 2)]
+
+
+def test_chat_messages_long_form(spark):
     conv = spark.createDataFrame([(1, 0, "system", "be brief"), (1, 1, "user", "hi"),
                                   (1, 2, "assistant", None), (2, 0, "user", "only")],
                                  "conv_id int, turn int, role string, text string")
     m = transcripts.chat_messages(conv)
     assert rows(m, "conv_id", "turn", "line")[:3] == [(1, 0, "system: be brief"), (1, 1, "user: hi"),
                                                       (1, 2, "assistant: ")]
-    r = {x.conv_id: x for x in transcripts.render_messages(m, "conv_id", 2).collect()}
-    assert not r[1].complete and r[1].transcript == "system: be brief\nuser: hi"
-    assert r[2].complete and r[2].transcript == "user: only"
+
+
+GOOD = {"doc_id": "d", "intent": "other", "confidence": 0.5, "reasoning": "long enough text"}
+CITE = {"chunk_id": "c", "quote": "q"}
+PARSED = [
+    ("", "empty"), (None, "empty"), ("words", "malformed"), ("[]", "malformed"), ("null", "malformed"), ({}, "schema:doc_id"),
+    (GOOD, None), (GOOD | {"x": 1}, "unknown_key"), (GOOD | {"doc_id": 3}, "schema:doc_id"), (GOOD | {"doc_id": None}, "schema:doc_id"),
+    (GOOD | {"intent": "poem"}, "schema:intent"), (GOOD | {"intent": None}, "schema:intent"), (GOOD | {"confidence": "0.5"}, None),
+    (GOOD | {"confidence": 1}, None), (GOOD | {"confidence": 1.01}, "schema:confidence"), (GOOD | {"confidence": "x"}, "schema:confidence"),
+    (GOOD | {"confidence": [1]}, "schema:confidence"), (GOOD | {"reasoning": "short"}, "schema:reasoning"), (GOOD | {"reasoning": 1234567890123}, "schema:reasoning"),
+    (GOOD | {"citations": None}, "schema:citation"), (GOOD | {"citations": ["x"]}, "schema:citation"), (GOOD | {"citations": [CITE | {"more": 1}]}, None),
+    (GOOD | {"citations": [{"chunk_id": "c"}]}, "schema:citation"), (GOOD | {"citations": [CITE | {"quote": ""}]}, "schema:citation"),
+    (GOOD | {"citations": [CITE | {"quote": "q" * 400}]}, None), (GOOD | {"citations": [CITE | {"quote": "q" * 401}]}, "schema:citation"),
+    (GOOD | {"extracted_fields": "abc"}, "schema:extracted_fields"), (GOOD | {"extracted_fields": [{"name": "n", "value": "v", "citations": []}]}, "schema:extracted_fields"),
+    (GOOD | {"extracted_fields": [{"name": "n", "value": 3, "citations": [CITE]}]}, "schema:extracted_fields"),
+    (GOOD | {"extracted_fields": [{"name": "n", "value": "v", "citations": [CITE]}]}, None), (GOOD | {"tools_used": ["a", 1]}, "schema:tools_used"),
+    (GOOD | {"tools_used": ["a"]}, None), (GOOD | {"model_version": 1}, "schema:model_version"), (GOOD | {"tokens_in": "abc"}, "schema:tokens"),
+    (GOOD | {"tokens_in": 1.5}, "schema:tokens"), (GOOD | {"tokens_in": "12", "tokens_out": 3.0}, None), (GOOD | {"latency_ms": None}, "schema:latency_ms"),
+]
+
+
+def test_strict_parse_checks_types_on_the_json_itself(spark):
+    told = [(i, c if c is None or isinstance(c, str) else json.dumps(c)) for i, (c, _) in enumerate(PARSED)]
+    got = spark.createDataFrame(told, "i int, c string").select("i", "c", transcripts.parse_response(F.col("c")).alias("p")).collect()
+    assert {r.c: r.p.error for r in got} == {c: PARSED[i][1] for i, c in told}
+    best = next(r.p.response for r in got if PARSED[r.i][0] == GOOD | {"extracted_fields": [{"name": "n", "value": "v", "citations": [CITE]}]})
+    assert best.extracted_fields[0].citations[0].quote == "q" and best.citations == []
+
+
+def _turns(spark, rows_):
+    calls = lambda cs: [(f"id{i}", n, json.dumps(a) if isinstance(a, dict) else a) for i, (n, a) in enumerate(cs)]
+    return spark.createDataFrame([(r, t, c, calls(cs), 1, 1, "m", "stop") for r, t, c, cs in rows_],
+                                 "request_id string, turn int, content string, tool_calls array<struct<id:string,name:string,arguments:string>>, "
+                                 "tokens_in int, tokens_out int, model string, finish_reason string")
+
+
+def _registry(spark):
+    lib = spark.createDataFrame([(1, 0, "payment due"), (2, 1, "liability cap"), (3, 2, "payment terms")], "clause_id int, position int, text string")
+    return transcripts.tool_registry(lib, spark.createDataFrame([("Acme", 3)], "entity_name string, contracts int"))
+
+
+def test_tools_run_and_messages_are_listed_in_order(spark):
+    asked = [("lookup_clause_library", {"query": "payment", "top_k": 2}), ("check_counterparty_history", {"entity_name": "ACME"}),
+             ("check_counterparty_history", {"entity_name": "nobody"}), ("lookup_clause_library", "{broken"), ("web", {})]
+    turns = _turns(spark, [("r", 0, "thinking", asked), ("r", 0, "thinking", asked), ("r", 1, "done", []),
+                           *(("cap", t, None, [("web", {})]) for t in range(6))])
+    results = transcripts.tool_results(turns, _registry(spark))
+    got = {(r.request_id, r.turn, r.pos): json.loads(r.result) for r in results.collect()}
+    assert [e["clause_id"] for e in got["r", 0, 0]["results"]] == [1, 3]
+    assert got["r", 0, 1] == {"status": "known", "known_name": "Acme", "contracts": 3}
+    assert got["r", 0, 2] == {"status": "unknown", "entity_name": "nobody"}
+    assert got["r", 0, 3]["error"].startswith("invalid arguments") and got["r", 0, 4] == {"error": "unknown tool: web"}
+    assert len(got) == 5 + 4        # a re-delivered turn counts once; the cap holds
+    prompts = spark.createDataFrame([("r", "the prompt"), ("cap", "p2")], "request_id string, prompt string")
+    m = transcripts.request_messages(prompts, turns, results, "sys")
+    mine = m.where("request_id = 'r'").orderBy("turn", "pos").collect()
+    assert [x.role for x in mine] == ["system", "user", "assistant"] + ["tool"] * 5
+    assert [x.tool_call_id for x in mine[3:]] == [f"id{i}" for i in range(5)] and mine[2].tool_calls[0].name == "lookup_clause_library"
+    last = m.where("request_id = 'cap'").orderBy("turn", "pos").collect()[-1]
+    assert last.role == "system" and last.content == transcripts.CAP_MESSAGE
+    said = transcripts.complete(m, lambda msgs: {"content": f"{len(msgs)} {msgs[-1]['role']}", "model": "own", "tokens_in": 2})
+    assert rows(said, "request_id", "turn", "content", "model") == [("cap", 4, "11 system", "own"), ("r", 1, "8 tool", "own")]
+
+
+def test_redelivered_turns_pick_one_copy_by_rule(spark):
+    a = _turns(spark, [("r", 0, "b", []), ("r", 0, "a", []), ("r", 0, "b", [])])
+    for df in (a, a.orderBy("content"), a.orderBy(F.desc("content"))):
+        assert rows(transcripts.fold_transcripts(df), "answer", "llm_calls") == [("a", 1)]
+    assert transcripts.tool_dispatch(_turns(spark, [("r", 0, "", [("web", {})])] * 2)).count() == 1
+
+
+def test_a_null_passage_supports_no_quote(spark):
+    from docflow.operators import guardrails
+
+    resp = spark.createDataFrame([("r", "nda", [("c", "quote")], None)],
+                                 "request_id string, intent string, citations array<struct<chunk_id:string,quote:string>>, "
+                                 "extracted_fields array<struct<name:string,value:string,citations:array<struct<chunk_id:string,quote:string>>>>")
+    p = spark.createDataFrame([("r", "c", None)], "request_id string, chunk_id string, text string")
+    assert guardrails.citation_verdict(resp, p).first().violation == "quote_not_found"
