@@ -218,6 +218,37 @@ def auto_route(spark, sf):
                       F.col("error").cast("string").alias("error"))
 
 
+@register("auto_route_results", "P6 U-4 M6 P2 P3 V12", """
+SELECT conv_id AS request_id, (['classify', 'reason', 'auto', 'bulk'])[(conv_id % 4) + 1] AS request_route,
+       TRUE AS consistent
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant')""")
+def auto_route_results(spark, sf):
+    """Recorded requests routed over real results: the trained model classifies (M6), the
+    recorded answers resolve (P2). ``consistent``: a fast row has the model's intent, a reasoned
+    row the resolved status, an escalated row was below the threshold, and 'bulk' is an error."""
+    from docflow.plans import q_streams, q_transcripts
+
+    conv = table(spark, sf, "conversations")
+    asked = conv.where(F.col("role") == "assistant").select("conv_id").distinct()
+    first = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    kind = F.element_at(F.array(*map(F.lit, ("classify", "reason", "auto", "bulk"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    rq = first.join(asked, "conv_id").select(F.col("conv_id").alias("doc_id"), "text", kind.alias("request_route"))
+    model = q_streams._model(spark, sf)
+    fast = saved(cl.bulk_classify(model, rq.select("doc_id", "text"), cl.DEFAULT_DIM).select("doc_id", "intent", "confidence"), "fast")
+    resolved = saved(transcripts.resolve(transcripts.fold_transcripts(q_transcripts.answered(spark, sf)),
+                                         q_transcripts._passages(spark, sf), lookups.price_table(spark)), "resolved")
+    out = rg.multiplex(rq, lambda df: df.join(fast, "doc_id"),
+                       lambda df: df.join(resolved.select(F.col("request_id").alias("doc_id"), "status", F.col("intent").alias("said")), "doc_id", "left"))
+    truth = fast.select("doc_id", F.col("intent").alias("_i"), F.col("confidence").alias("_c")).join(
+        resolved.select(F.col("request_id").alias("doc_id"), F.col("status").alias("_s")), "doc_id", "left")
+    sure = F.col("_c") >= rg.CONFIDENCE_THRESHOLD
+    route_, result = F.col("request_route"), F.col("result")
+    ok = (F.when(result == "classified", (F.col("intent") == F.col("_i")) & ((route_ == "classify") | ((route_ == "auto") & sure)))
+           .when(result == "reasoned", F.col("status").eqNullSafe(F.col("_s")) & ((route_ == "reason") | ((route_ == "auto") & ~sure)))
+           .otherwise(route_ == "bulk"))
+    return out.join(truth, "doc_id", "left").select(F.col("doc_id").alias("request_id"), "request_route", ok.alias("consistent"))
+
+
 @register("telemetry_rollup", "A18 J7", """
 SELECT event_type AS model, substr(sha256(props), 1, 16) AS prompt_hash, count(*)::BIGINT AS n,
        round(sum(value), 6) AS sum_value, min(value) AS min_value, max(value) AS max_value,
