@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docflow.operators import classify as cl
+from docflow.operators import lookups, transcripts
 from docflow.operators import regression as rg
 from docflow.operators.embedding import prompt_hash_native
+from docflow.plans import q_streams, q_transcripts
 from docflow.plans.registry import register
-from docflow.session import table
+from docflow.session import saved, table
 
 
 @register("trace_sample", "S14 J3 W3", """
@@ -226,8 +229,6 @@ def auto_route_results(spark, sf):
     """Recorded requests routed over real results: the trained model classifies (M6), the
     recorded answers resolve (P2). ``consistent``: a fast row has the model's intent, a reasoned
     row the resolved status, an escalated row was below the threshold, and 'bulk' is an error."""
-    from docflow.plans import q_streams, q_transcripts
-
     conv = table(spark, sf, "conversations")
     asked = conv.where(F.col("role") == "assistant").select("conv_id").distinct()
     first = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
