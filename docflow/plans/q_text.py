@@ -51,11 +51,11 @@ def token_counts(spark, sf):
 
 
 @register("pii_redact", "J1 J2 U7", rf"""
-SELECT doc_id, substr(r, 1, 2000) AS query_text, r <> text AS changed FROM (
+SELECT doc_id, substr(r, 1, 2000) AS query_text, md5(r) AS redacted_md5, r <> text AS changed FROM (
   SELECT doc_id, text, {_sql_phone(_sql_card(_sql_email('text')))} AS r FROM documents)""")
 def pii_redact(spark, sf):
     d = spread(_docs(spark, sf).select("doc_id", "text")).select("doc_id", "text", pii.redact("text").alias("r"))
-    return d.select("doc_id", truncate("r", 2000).alias("query_text"),
+    return d.select("doc_id", truncate("r", 2000).alias("query_text"), F.md5("r").alias("redacted_md5"),
                     (F.col("r") != F.col("text")).alias("changed"))
 
 
