@@ -8,14 +8,16 @@ bands with a chance of about 5e-6.
 
 Links without all pairs: equal word sequences form one class, whose smallest id stands for it.
 In every bucket the representative whose buckets are fullest (the likely centre of a group of
-copies) is the pivot; each member of another component is compared with it, exactly, on full
-shingle sets. A pivot that has been compared is retired from its bucket. This goes on, with
-four times the pivots each round, until the unretired members of every bucket are in one
-component: every pair of a bucket is then compared or already connected, so components are
-those of all links, and a group of n copies costs about n comparisons, not n squared.
-
-Nothing is gathered by key: buckets are counted and their pivots picked by combining
-aggregates, members meet pivots and texts in equi-joins that Spark splits when skewed, and
+copies) is the hub, and each member is compared with it, exactly, on full shingle sets. Members
+that link with the hub are one component. Any other two members x, y of the bucket can link
+only if they share a shingle that the hub lacks, or if the smaller of their intersections with
+the hub would already do, as |x & y| <= min(|x & hub|, |y & hub|) + |(x & y) - hub|. Both cases
+are equi-joins (on the hub's shingle remainders; on the hub with the size condition), whose few
+pairs are verified too. So every pair of a bucket is compared, connected or ruled out by that
+bound: components are those of all links, and a group of n copies costs about n comparisons.
+
+Nothing is gathered by key: buckets are counted and their hubs picked by combining
+aggregates, members meet hubs and texts in equi-joins that Spark splits when skewed, and
 components come from star contraction. The driver sees counts only.
 
 Defined cases: a text without words (or null) has no shingles and is linked with nothing; one
@@ -31,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import LOWER, saved
@@ -112,10 +114,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets have a Jaccard similarity of at least
-    ``percent`` / 100, on the words themselves."""
+    """``pairs`` (a, b) with ``common`` (size of the intersection of their full shingle sets, on
+    the words themselves), ``linked`` (Jaccard similarity of at least ``percent`` / 100) and
+    ``novel`` (32-bit hashes of a's shingles that b lacks)."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def shingles(text):
@@ -125,17 +128,22 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     def run(batches):
         last, right = None, set()
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if y != last:
-                    last, right = y, shingles(y.as_py())
-                left = shingles(x.as_py())
-                common = len(left & right)
-                if 100 * common >= percent * (len(left) + len(right) - common):
-                    out.append((a.as_py(), b.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                common, linked, novel = [], [], []
+                for x, y in zip(piece.column("text_a"), piece.column("text_b"), strict=True):
+                    if y != last:
+                        last, right = y, shingles(y.as_py())
+                    left = shingles(x.as_py())
+                    rest = left - right
+                    common.append(len(left) - len(rest))
+                    linked.append(100 * common[-1] >= percent * (len(right) + len(rest)))
+                    novel.append([xxhash.xxh32_intdigest(b" ".join(s)) - 2**31 for s in rest])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("a"), piece.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()),
+                     pa.array(novel, pa.list_(pa.int32()))], names=["a", "b", "common", "linked", "novel"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a bigint, b bigint, common bigint, linked boolean, novel array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,37 +173,33 @@ def _links(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = saved(members.join(full, "bucket"), "buckets")
     fame = shared.groupBy("rep").agg(F.sum("size").alias("fame"))
-    comp = saved(fame.select("rep", F.col("rep").alias("comp"), "fame"), "comps")
-    retired, pivots_each = None, 1
-    while True:
-        live = shared.join(comp, "rep")
-        waiting = live if retired is None else live.join(retired, ["bucket", "rep"], "left_anti")
-        apart = waiting.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        waiting = waiting.join(apart.select("bucket"), "bucket")
-        if pivots_each == 1:
-            best = F.max_by(F.struct("rep", "comp", "n"), F.struct("fame", -F.col("rep")))
-            pivot = waiting.groupBy("bucket").agg(best.alias("p")).select("bucket", "p.*")
-        else:
-            order = Window.partitionBy("bucket").orderBy("fame", "rep")
-            pivot = (waiting.select("bucket", "rep", "comp", "n", "fame").withColumn("k", F.row_number().over(order))
-                     .where(F.col("k") <= pivots_each).select("bucket", "rep", "comp", "n"))
-        pivot = saved(pivot, "pivots")
-        if pivot.isEmpty():
-            return comp.select("rep", "comp")
-        p = pivot.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-        near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-        pairs = live.join(p, "bucket").where((F.col("comp") != F.col("comp_b")) & near)
-        pairs = saved(pairs.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
-        links = verify(pairs, docs, shingle, percent)
-        of = comp.select("rep", "comp")
-        ends = (links.join(of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a")
-                .join(of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b"))
-        joined = components(saved(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
-        comp = saved(comp.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-                     .select("rep", F.coalesce("to", "comp").alias("comp"), "fame"), "comps")
-        done = pivot.select("bucket", "rep")
-        retired = done if retired is None else retired.union(done)
-        pivots_each *= 4
+    known = shared.join(fame, "rep")
+    hubs = known.groupBy("bucket").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub"))
+    pairs = shared.join(hubs, "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    versus = saved(verify(saved(pairs, "pairs"), docs, shingle, percent), "versus")
+    comp = saved(components(versus.where("linked").select("a", "b")), "comps")
+
+    size = fame.select("rep").join(reps.select("rep", "n"), "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    size = size.select(F.col("rep").alias("a"), "n", F.coalesce("comp", "rep").alias("comp"))
+    told = versus.select(F.col("b").alias("hub"), "a", "common", "novel").join(size, "a")
+    apart = told.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    told = saved(told.join(apart.select("hub"), "hub"), "apart")
+
+    own = ("a", "n", "common", "comp")
+    other = lambda df, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_b") for c in own))
+    slim = told.select("hub", *own)
+    ordered = (F.col("a") < F.col("a_b")) & (F.col("comp") != F.col("comp_b"))
+    alike = (100 + percent) * F.least("common", "common_b") >= percent * (F.col("n") + F.col("n_b"))
+    within = slim.join(other(slim, "hub"), "hub").where(ordered & alike)
+    words = told.select("hub", *own, F.explode("novel").alias("s"))
+    both = words.groupBy("hub", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    words = words.join(both.select("hub", "s"), ["hub", "s"])
+    near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    beyond = words.join(other(words, "hub", "s"), ["hub", "s"]).where(ordered & near)
+    more = within.union(beyond.select(*within.columns)).select("a", F.col("a_b").alias("b")).distinct()
+    links = verify(saved(more, "pairs"), docs, shingle, percent).where("linked").select("a", "b")
+    links = saved(versus.where("linked").select("a", "b").union(links), "links")
+    return components(links).select(F.col("id").alias("rep"), "comp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
