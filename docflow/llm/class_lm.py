@@ -25,6 +25,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ class Lexicon:
         number, known = self.number, len(self.number)
         ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
         if len(number) > known:
-            fresh = list(number)[known:] if known else list(number)
+            fresh = list(islice(reversed(number), len(number) - known))[::-1]
             h = _signed([xxhash.xxh3_64_intdigest(w) for w in fresh])
             at = np.minimum(np.searchsorted(self.hot, h), max(len(self.hot) - 1, 0))
             hit = self.hot[at] == h if len(self.hot) else np.zeros(len(h), bool)
@@ -118,10 +119,11 @@ def sequences(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, units: i
         hashes, logs = shared.value
         lex = Lexicon(hashes, units, core)
         end = next(iter(np.flatnonzero(hashes == _signed([END_HASH])[0]).tolist()), -1)
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             out = {k: [] for k in ("units", "hot_log10", "rare", "at")}
-            for text in batch.column("text"):
-                ids = lex.look(words_of(text.as_py()))
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            all_ids = lex.look([w for ws in words for w in ws])
+            for ids in np.split(all_ids, list(accumulate(map(len, words)))[:-1]):
                 place = lex.place[ids]
                 cold = np.flatnonzero(place < 0)
                 out["units"].append(np.append(lex.unit[ids], END).astype(np.uint16).tobytes())
@@ -149,10 +151,8 @@ def contexts(train: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarra
     def run(batches):
         of, cells = shared.value, n_units * n_classes
         total = np.zeros(2 * cells, np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             raw = [np.frombuffer(u.as_py(), np.uint16) for u in batch.column("units")]
-            if not raw:
-                continue
             seq = np.concatenate([np.zeros(1, np.uint16), *raw]).astype(np.int64)  # an end parts texts
             cls = of[seq]
             total[:cells] += np.bincount(seq[:-1] * n_classes + cls[1:], minlength=cells)
@@ -246,7 +246,7 @@ def _score(texts: DataFrame, vocab: DataFrame, classes, pairs, mass, n: int, v:
 
     def run(batches):
         of, table = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             out = {k: [] for k in ("n", "n_hot", "told", "rare", "t")}
             for units, rare, at in zip(*(batch.column(c) for c in ("units", "rare", "at")), strict=True):
                 cls = of[np.frombuffer(units.as_py(), np.uint16)]
