@@ -106,14 +106,12 @@ def boilerplate(rows: DataFrame, line_share: float, line_floor: int) -> DataFram
 
 
 def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 100,
-          least_words: int = 10, least_share: float = 0.2, repeat_percent: int = 20,
-          carry_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc (its columns; the text only with ``carry_text``),
-    the rule counts, removed_words, base_failed, depleted and kept. The measured rows are
-    written once and read by every later step."""
-    doc = F.col("doc") if carry_text else F.col("doc").dropFields("text")
+          least_words: int = 10, least_share: float = 0.2, repeat_percent: int = 20) -> DataFrame:
+    """One row per row of ``docs``: doc (its columns without the text), the rule counts,
+    removed_words, base_failed, depleted and kept. The measured rows are written once, without
+    texts, and read by every later step."""
     rows = saved(with_stats(docs).select(
-        F.monotonically_increasing_id().alias("row"), doc.alias("doc"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc").dropFields("text").alias("doc"),
         F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"), "stats.*"), "line-stats")
     bad = boilerplate(rows, line_share, line_floor)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
@@ -125,3 +123,14 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_f
             .withColumn("depleted", (F.col("removed_words") > 0)
                         & ((left < least_words) | (left < F.col("n_words") * least_share)))
             .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("row"))
+
+
+def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps. Only the rejected rows' keys (id and a hash
+    of the row) meet ``docs`` again, so texts are not shuffled while those are few; rows equal
+    in id, host and text share their verdict."""
+    key = F.xxhash64("doc_id", host, "text")
+    judged = judge(docs.withColumn("_key", key), host, **limits)
+    gone = saved(judged.where(~F.col("kept")).select(
+        F.col("doc._key").alias("_gone"), F.col("doc.doc_id").alias("_id")).distinct(), "rejected")
+    return docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -21,14 +21,22 @@ def plain(text):
 
 def test_base_counts_on_awkward_rows(spark):
     docs = brute.docs(spark)
-    got = lr.judge(docs, carry_text=True).collect()
+    got = lr.judge(docs.selectExpr("*", "text AS copy")).collect()
     assert len(got) == len(brute.ROWS)
     for r in got:
-        assert plain(r["doc"]["text"]) == tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+        assert plain(r["doc"]["copy"]) == tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
         assert not (r["base_failed"] and r["kept"])
     assert lr.judge(docs.limit(0)).count() == 0
 
 
+def test_keep_returns_the_kept_rows_as_they_are(spark):
+    docs = brute.docs(spark)
+    kept = lr.keep(docs)
+    want = sorted((r["doc"]["copy"] or "", r["doc"]["doc_id"] or -1) for r in lr.judge(docs.selectExpr("*", "text AS copy")).collect() if r["kept"])
+    assert kept.columns == docs.columns
+    assert sorted((r["text"] or "", r["doc_id"] or -1) for r in kept.collect()) == want
+
+
 def _host(n, line, own_words, source="h"):
     return [(i, f"{line}\n" + " ".join(f"own{i}w{k}" for k in range(own_words)), source) for i in range(n)]
 
