@@ -30,15 +30,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted of their own lines go."""
-    return line_rules.judge(docs, carry_text=True).where("kept").select("doc.*")
+    return line_rules.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, 80 %) the smallest id stays; rows
     that share an id and belong to one group stay once."""
     found = circulant_minhash.near_duplicates(docs, shingle=5, percent=80)
-    gone = saved(found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
+        F.every("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = saved(ids.where(~F.col("kept") | (F.col("rows") > 1)), "copies")
+    out = docs.join(ids, docs["doc_id"] == ids["id"], "left_anti")
+    twice = ids.where("kept").select("id")
+    if twice.isEmpty():
+        return out
+    again = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi")
+    once = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("doc")).select("doc.*")
+    return out.unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def test_every_stage_against_a_plain_version(spark):
     assert seen[0][1] < 200 and seen[-1][1] > 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    docs = brute.docs(spark)
+    out = cp.near_dedup(spark, docs, "")
+    comp = components(brute.ROWS, 5)
+    ids = [r["doc_id"] for r in out.collect()]
+    assert out.columns == docs.columns and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted({i for i, c in comp.items() if i == c})
+
+
 def test_run_and_awkward_rows(spark, tmp_path):
     brute.docs(spark, extra=False).selectExpr("doc_id", "text", "'en' AS lang", "cast(null AS string) AS source", "1L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
