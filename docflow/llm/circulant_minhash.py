@@ -12,8 +12,9 @@ copies) is the hub, and each member is compared with it, exactly, on full shingl
 that link with the hub are one component. Any other two members x, y of the bucket can link
 only if they share a shingle that the hub lacks, or if the smaller of their intersections with
 the hub would already do, as |x & y| <= min(|x & hub|, |y & hub|) + |(x & y) - hub|. Both cases
-are equi-joins (on the hub's shingle remainders; on the hub with the size condition), whose few
-pairs are verified too. So every pair of a bucket is compared, connected or ruled out by that
+are equi-joins (on the shingles that the hub lacks; on the hub with the size condition), whose
+few pairs are verified too. A member that needs k shared shingles beyond the hub leaves its k - 1
+most frequent ones out of the join: two that share k still meet on another (prefix filter). So every pair of a bucket is compared, connected or ruled out by that
 bound: components are those of all links, and a group of n copies costs about n comparisons.
 
 Nothing is gathered by key: buckets are counted and their hubs picked by combining
@@ -33,7 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.common import LOWER, saved
@@ -182,8 +183,9 @@ def _links(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     size = fame.select("rep").join(reps.select("rep", "n"), "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     size = size.select(F.col("rep").alias("a"), "n", F.coalesce("comp", "rep").alias("comp"))
     told = versus.select(F.col("b").alias("hub"), "a", "common", "novel").join(size, "a")
-    apart = told.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    told = saved(told.join(apart.select("hub"), "hub"), "apart")
+    apart = told.groupBy("hub").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    told = saved(told.join(apart.select("hub", "least"), "hub"), "apart")
 
     own = ("a", "n", "common", "comp")
     other = lambda df, *keys: df.select(*keys, *(F.col(c).alias(f"{c}_b") for c in own))
@@ -191,9 +193,12 @@ def _links(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     ordered = (F.col("a") < F.col("a_b")) & (F.col("comp") != F.col("comp_b"))
     alike = (100 + percent) * F.least("common", "common_b") >= percent * (F.col("n") + F.col("n_b"))
     within = slim.join(other(slim, "hub"), "hub").where(ordered & alike)
-    words = told.select("hub", *own, F.explode("novel").alias("s"))
-    both = words.groupBy("hub", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    words = words.join(both.select("hub", "s"), ["hub", "s"])
+    need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent) - 1e-9) - F.col("common")
+    words = told.select("hub", *own, need.alias("need"), F.explode(F.array_distinct("novel")).alias("s"))
+    both = words.groupBy("hub", "s").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("often")).where("lo < hi")
+    rank = F.row_number().over(Window.partitionBy("hub", "a").orderBy(F.desc("often"), "s"))
+    words = words.join(both.select("hub", "s", "often"), ["hub", "s"]).withColumn("rank", rank).where("rank >= need")
     near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
     beyond = words.join(other(words, "hub", "s"), ["hub", "s"]).where(ordered & near)
     more = within.union(beyond.select(*within.columns)).select("a", F.col("a_b").alias("b")).distinct()
