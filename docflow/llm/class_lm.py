@@ -212,8 +212,7 @@ def score(docs: DataFrame, held_mod: int = 10, held: int = 0, hot: int = 262_144
     docs = docs.select("doc_id", text_of().alias("text"), (remainder("doc_id", held_mod) == held).alias("held_out"))
     vocab = saved(vocabulary(docs.where(~F.col("held_out")), units - 1 - core), "vocabulary")
     n, v = (x or 0 for x in vocab.agg(F.sum("c"), F.count("*")).first())
-    top = vocab.orderBy(F.desc("c"), "h").limit(hot).toArrow()
-    hot_hash, hot_tail, hot_count = (top.column(c).to_numpy() for c in ("h", "tail", "c"))
+    hot_hash, hot_tail, hot_count = frequent(vocab, hot)
     texts = saved(sequences(docs, hot_hash, hot_count, units, core), "sequences")
     train = texts.where(~F.col("held_out"))
 
@@ -232,6 +231,24 @@ def score(docs: DataFrame, held_mod: int = 10, held: int = 0, hot: int = 262_144
     return _score(texts, vocab, classes, pairs, mass, n, v, pull)
 
 
+def frequent(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, tail and count of the most frequent words, at most ``most`` of them, by count. A
+    histogram of the counts' logarithms (some hundred rows) gives the least level that still
+    fits, so no task sorts what all the others send it."""
+    level = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r["level"], r["count"]) for r in vocab.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, room = None, most
+    for lv, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = lv
+    top = vocab.where(level >= least if least is not None else F.lit(False)).select("h", "tail", "c").toArrow()
+    h, tail, c = (top.column(x).to_numpy() for x in ("h", "tail", "c"))
+    order = np.lexsort((h, -c))
+    return h[order], tail[order], c[order]
+
+
 def transitions(pairs: np.ndarray, mass: np.ndarray, total: float, pull: float) -> np.ndarray:
     """log10 of (1 - u) P(class | class before) / mass of the class, by class before and class."""
     share = mass / max(mass.sum(), 1e-300)
