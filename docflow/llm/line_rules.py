@@ -6,12 +6,19 @@ documents are counted; a line above the limit is boilerplate and is removed. A d
 is left with too few words is depleted and rejected, as is one that fails the base rules.
 
 What counts as a document: copies of one text, exact or near, must not make each other's
-lines boilerplate. So a document counts under its sketch, the smallest hash of its
-four-word shingles, which copies share and unrelated texts do not; a host's size is its
-number of distinct sketches.
-
-The limit is relative (``line_share`` of a host's sketches, at least ``line_floor``), so it
-acts alike at every size. Lines are pre-aggregated by (host, line, sketch) before and after
+lines boilerplate. Exact copies (a hash of the whole normalised text) are one document. Near
+copies are one too, but only confirmed ones: the near-duplicate operator compares the texts
+that carry a frequent line, at ``NEAR`` percent of their two-word shingles. So unrelated texts
+that share a long line stay distinct while it is less than about 94 % of them. A line counts
+once per document, and a host's size is its number of documents.
+
+Only a line whose distinct texts pass the limit can be boilerplate, so only the texts that
+carry such a line are compared. That set is taken for half the host's size; should near copies
+shrink a host below that, it is taken again for the smaller size. Copies among the other texts
+of a host share no such line; its size counts them each.
+
+The limit is relative (``line_share`` of a host's documents); ``line_floor`` guards small hosts
+against chance repeats. Lines are pre-aggregated by (host, line, text) before and after
 the shuffle, so a hot host or line is combined on the map side; the boilerplate table joins
 back by (host, line), an equi-join that Spark can split.
 
@@ -23,23 +30,25 @@ rows; other columns travel in ``doc``, whatever their names.
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm.common import LOWER, saved
+from docflow.llm import circulant_minhash
+from docflow.llm.common import LOWER, saved, text_of
 
+NEAR = 90
 BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 
 STATS = (T.StructType().add("n_words", T.LongType()).add("word_chars", T.LongType())
          .add("n_symbols", T.LongType()).add("n_dup_lines", T.LongType()).add("n_repeat_words", T.LongType())
-         .add("sketch", T.LongType())
          .add("lines", T.ArrayType(T.StructType().add("line", T.LongType()).add("words", T.IntegerType()))))
 
 
@@ -73,12 +82,9 @@ def measure(text: str | None) -> dict:
         seen.add(line)
         h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(LOWER)) - 2**63
         lines[h] = lines.get(h, 0) + len(own)
-    low = raw.translate(LOWER).split()
-    shingles = {b" ".join(s) for s in zip(low, low[1:], low[2:], low[3:], strict=False)} or {b" ".join(low)}
     return {"n_words": len(words), "word_chars": len(BLANKS.sub(b"", raw).decode()),
             "n_symbols": len(raw.translate(None, SYMBOLS)), "n_dup_lines": dup,
             "n_repeat_words": repeat_words(words),
-            "sketch": min(map(xxhash.xxh3_64_intdigest, shingles)) - 2**63,
             "lines": [{"line": h, "words": n} for h, n in lines.items()]}
 
 
@@ -96,12 +102,35 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
-def boilerplate(rows: DataFrame, line_share: float, line_floor: int) -> DataFrame:
-    """(host, line) of the lines above the limit. ``rows``: host, sketch, lines."""
-    lines = rows.select("host", "sketch", F.explode("lines.line").alias("line")).distinct()
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
-    hosts = rows.select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return (counts.where(F.col("n") > line_floor).join(hosts, "host")
+def text_key(text: Column) -> Column:
+    """A hash of the whole text, normalised as lines are."""
+    upper = string.ascii_uppercase
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), r"[\x20\x09-\x0D]+", " ")))
+
+
+def boilerplate(rows: DataFrame, texts: DataFrame, line_share: float, line_floor: int) -> DataFrame:
+    """(host, line) of the lines above the limit. ``rows``: host, key, lines; ``texts``: key, text."""
+    lines = rows.select("host", "key", F.explode("lines.line").alias("line")).distinct()
+    often = saved(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_floor), "often")
+    # Only a host with a frequent line counts; each of its texts once.
+    held = saved(rows.select("host", "key").distinct().join(often.select("host").distinct(), "host", "left_semi"), "held")
+    hosts = held.groupBy("host").agg(F.count("*").alias("docs"))
+    least = saved(hosts.select("host", (F.col("docs") / 2).alias("least")), "least")
+    while True:
+        some = often.join(least, "host").where(F.col("n") > F.col("least") * line_share).select("host", "line")
+        found = saved(lines.join(some, ["host", "line"]), "found")
+        near = texts.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        near = saved(near.select(F.col("key").alias("doc_id"), "text"), "carriers")
+        comp = circulant_minhash.near_duplicates(near, shingle=2, percent=NEAR).where(~F.col("kept"))
+        comp = saved(comp.select(F.col("doc_id").alias("key"), F.col("component_id").alias("comp")), "near")
+        one = F.coalesce("comp", "key").alias("one")
+        size = saved(held.join(comp, "key", "left").select("host", one).distinct()
+                     .groupBy("host").agg(F.count("*").alias("docs")), "sizes")
+        if size.join(least, "host").where(F.col("docs") < F.col("least")).isEmpty():
+            break
+        least = saved(size.select("host", (F.col("docs") / 2).alias("least")), "least")
+    counts = found.join(comp, "key", "left").select("host", "line", one).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    return (counts.where(F.col("n") > line_floor).join(size, "host")
             .where(F.col("n") > F.col("docs") * line_share).select("host", "line"))
 
 
@@ -112,13 +141,15 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_f
     texts, and read by every later step."""
     rows = saved(with_stats(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc").dropFields("text").alias("doc"),
-        F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"), "stats.*"), "line-stats")
-    bad = boilerplate(rows, line_share, line_floor)
+        F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"),
+        text_key(text_of("doc.text")).alias("key"), "stats.*"), "line-stats")
+    texts = docs.select(text_key(text_of()).alias("key"), text_of().alias("text"))
+    bad = boilerplate(rows, texts, line_share, line_floor)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
     removed = lines.join(bad, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return (rows.drop("lines", "sketch", "host").join(removed, "row", "left").fillna(0, ["removed_words"])
+    return (rows.drop("lines", "key", "host").join(removed, "row", "left").fillna(0, ["removed_words"])
             .withColumn("base_failed", failed)
             .withColumn("depleted", (F.col("removed_words") > 0)
                         & ((left < least_words) | (left < F.col("n_words") * least_share)))

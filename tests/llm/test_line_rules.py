@@ -61,3 +61,31 @@ def test_copies_do_not_deplete_each_other(spark):
     rows += [(1000 + i, " ".join(f"own{i}q{k}" for k in range(40)), "h") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert all(r["kept"] for r in lr.judge(docs, line_floor=20).collect())
+
+
+def _removed(spark, rows, **limits):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    return {r["doc"]["doc_id"]: r for r in lr.judge(docs, **limits).collect()}
+
+
+def test_unrelated_documents_with_one_dominating_line_stay_distinct(spark):
+    banner = " ".join(f"banner{k}" for k in range(100))
+    rows = _host(800, banner, 12) + [(1000 + i, " ".join(f"own{i}q{k}" for k in range(40)), "h") for i in range(2200)]
+    got = _removed(spark, rows, line_floor=100)
+    assert all(got[i]["removed_words"] == 100 and got[i]["depleted"] for i in range(800))
+    assert all(got[1000 + i]["kept"] for i in range(2200))
+
+
+def test_a_large_group_of_near_copies_counts_once_in_line_and_host(spark):
+    base = [[f"l{j}w{k}" for k in range(20)] for j in range(10)]
+    rows = []
+    for i in range(600):  # one word of one line differs
+        near = [list(x) for x in base]
+        near[i % 10][i % 20] = f"z{i}"
+        rows.append((i, "\n".join(map(" ".join, near)), "h"))
+    menu = " ".join(f"menu{k}" for k in range(30))
+    rows += [(1000 + i, f"{menu}\n" + " ".join(f"own{i}q{k}" for k in range(4)), "h") for i in range(40)]
+    rows += [(2000 + i, " ".join(f"own{i}r{k}" for k in range(40)), "h") for i in range(100)]
+    got = _removed(spark, rows, line_floor=5)
+    assert all(got[i]["kept"] and got[i]["removed_words"] == 0 for i in range(600))
+    assert all(got[1000 + i]["removed_words"] == 30 and got[1000 + i]["depleted"] for i in range(40))
