@@ -17,8 +17,8 @@ carry such a line are compared. That set is taken for half the host's size; shou
 shrink a host below that, it is taken again for the smaller size. Copies among the other texts
 of a host share no such line; its size counts them each.
 
-The limit is relative (``line_share`` of a host's documents); ``line_floor`` guards small hosts
-against chance repeats. Lines are pre-aggregated by (host, line, text) before and after
+The limit is relative (``line_share`` of a host's documents), from hosts of 50 documents on;
+below, ``line_floor`` guards against chance repeats: a line needs six documents. Lines are pre-aggregated by (host, line, text) before and after
 the shuffle, so a hot host or line is combined on the map side; the boilerplate table joins
 back by (host, line), an equi-join that Spark can split.
 
@@ -134,7 +134,7 @@ def boilerplate(rows: DataFrame, texts: DataFrame, line_share: float, line_floor
             .where(F.col("n") > F.col("docs") * line_share).select("host", "line"))
 
 
-def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 100,
+def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5,
           least_words: int = 10, least_share: float = 0.2, repeat_percent: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc (its columns without the text), the rule counts,
     removed_words, base_failed, depleted and kept. The measured rows are written once, without

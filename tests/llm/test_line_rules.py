@@ -89,3 +89,17 @@ def test_a_large_group_of_near_copies_counts_once_in_line_and_host(spark):
     got = _removed(spark, rows, line_floor=5)
     assert all(got[i]["kept"] and got[i]["removed_words"] == 0 for i in range(600))
     assert all(got[1000 + i]["removed_words"] == 30 and got[1000 + i]["depleted"] for i in range(40))
+
+
+def test_production_limits_on_a_small_a_middling_and_a_hot_host(spark):
+    sizes, rows = {"small": 20, "middling": 90, "hot": 1500}, []
+    for at, (name, n) in enumerate(sizes.items()):
+        share = max(6, n // 5)
+        mine = _host(share, " ".join(f"{name}menu{k}" for k in range(60)), 10, name)
+        mine += [(share + i, " ".join(f"{name}{i}q{k}" for k in range(40)), name) for i in range(n - share)]
+        rare = " ".join(f"{name}rare{k}" for k in range(30))  # five documents: a chance repeat
+        mine += [(n + i, f"{rare}\n" + " ".join(f"{name}{i}o{k}" for k in range(4)), name) for i in range(5)]
+        rows += [(i + at * 100_000, t, s) for i, t, s in mine]
+    for i, r in _removed(spark, rows).items():
+        n = sizes[r["doc"]["source"]]
+        assert r["kept"] == (i % 100_000 >= max(6, n // 5)), (i, r["removed_words"])
