@@ -15,6 +15,9 @@ from docflow.operators import ann, classify, retrieval
 from docflow.plans.registry import register
 from docflow.session import saved, table
 
+#: Share of the true neighbours that the index must find.
+RECALL = 0.9
+
 
 @register("train_eval_embeddings", "M1 M2 J11 V9 A13")
 def train_eval_embeddings(spark, sf):
@@ -56,11 +59,11 @@ def lsh_topk(spark, sf):
 SELECT vec_id AS query_id, 5::BIGINT AS n, TRUE AS scores_exact, TRUE AS recall_ok
 FROM embeddings WHERE vec_id % 100 = 0""")
 def lsh_recall(spark, sf):
-    """Per query: k rows, every score the true one, and over all queries recall@5 >= 0.8."""
+    """Per query: k rows, every score the true one, and over all queries recall@5 >= ``RECALL``."""
     queries, approx, exact = _neighbours(spark, sf)
     recall = ann.recall_at_k(approx, exact, "vec_id").select("recall").scalar()
     true = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("_q")).join(approx, "query_id").join(
         table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("_v")), "vec_id")
     same = F.abs(dot("_q", "_v") - F.col("score")) < 1e-5
     return true.groupBy("query_id").agg(F.count("*").alias("n"), F.every(same).alias("scores_exact")).withColumn(
-        "recall_ok", recall >= 0.8)
+        "recall_ok", recall >= RECALL)

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docflow.operators import ann, classify, retrieval
+from docflow.plans import q_models
 from docflow.sources import files
 from docflow.streaming import streams as st
-from tests.conftest import SF001, rows
+from tests.conftest import SF0001, SF001, rows
 
 # A small separable corpus in the spirit of the reference's six-text classifier set.
 CORPUS = [
@@ -72,6 +73,16 @@ def test_lsh_finds_the_registered_share_of_neighbours(spark, blocks):
     assert approx.count() == 5 * queries.count()
 
 
+@pytest.mark.parametrize("sf", [SF0001, SF001])
+def test_lsh_recall_is_nine_tenths_and_less_is_refused(spark, monkeypatch, sf):
+    queries, approx, exact = q_models._neighbours(spark, sf)
+    assert ann.recall_at_k(approx, exact, "vec_id").first().recall >= 0.9
+    few = exact.where("rank < 5 OR query_id % 500 = 400")
+    assert 0.8 <= ann.recall_at_k(few, exact, "vec_id").first().recall < 0.9
+    monkeypatch.setattr(q_models, "_neighbours", lambda *a: (queries, few, exact))
+    assert not any(r.recall_ok for r in q_models.lsh_recall(spark, sf).collect())
+
+
 def test_lsh_keeps_every_copy_in_a_hot_bucket(spark):
     emb = spark.createDataFrame([(i, [1.0, 0.5, 0.25, 0.1]) for i in range(200)] + [(900, [-1.0, 0.0, 0.0, 0.0])],
                                 "vec_id long, vec array<double>")
