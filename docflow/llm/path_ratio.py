@@ -3,10 +3,16 @@
 A page becomes text nodes, each with its root-to-leaf tag path (tag names with the telling
 class or id words). Per path the text length and the punctuation of all its nodes are summed
 and divided by their number; a node's value is the fusion of both ratios of its path. Values
-are smoothed over neighbouring nodes in page order, and a node above a share of the page's mean
-is a seed. Paths that pass furniture (menus, footers, adverts, forms, comments and the like)
-carry no ratio. The content root is the deepest container that holds most of the seeds' text,
-or the article around it; all of its nodes outside of furniture are the text, short ones too.
+are smoothed over neighbouring nodes in page order, and a node whose own and smoothed values are
+above a share of the page's mean is selected. The content root is the smallest container that holds all selected nodes. Of its
+nodes the selected ones are the text, and those that stand with one: in the same article, or
+else in the same container (short blocks, table cells).
+
+Menus, scripts, hidden parts and the like are furniture by their tag or attribute. Class, id
+and role words (sidebar, comments, advert, ...) and forms only weigh against an element: not
+when it holds the page's largest article or at least half of the page's ratio mass (text
+length times value), and not when the word is a state (has-sidebar, no-nav). Else its nodes
+carry no ratio.
 
 Work is linear in the page: paths are numbered in a tree, not copied.
 
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"""
                  r"""((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，？！]")
 #: Fixed values of HTML: elements without content, with raw text, that end a block, and that hold a page's parts.
@@ -41,38 +47,41 @@ CONTAINER = frozenset("html body main article section div td center".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "option": ({"option"}, {"select"})}
-FURNITURE_TAGS = frozenset("""nav header footer aside form button select menu dialog head object applet canvas svg math
+FURNITURE_TAGS = frozenset("""nav header footer aside button select menu dialog head object applet canvas svg math
 audio video input label""".split()) | RAW
 FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner
 sidebar side nav navbar navigation menu submenu breadcrumb breadcrumbs footer header masthead comment comments commentlist
 reply replies disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social
 related recommended recommendations newsletter subscribe subscription signup login widget toolbar pagination pager
 search skip tags hidden toc copyright""".split())
+STATES = frozenset("has have no not with without is show hide".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
-def _telling(attrs: str) -> tuple[str, bool]:
-    """Class and id words that name an element's part of the page; whether it is furniture."""
-    words, furniture = [], False
+def _telling(attrs: str) -> tuple[str, bool, bool]:
+    """Class and id words that name an element's part of the page; whether they or its role
+    speak of furniture; whether it is hidden."""
+    words, marked, hidden = [], False, False
     for name, value in ATTR.findall(attrs):
-        value = value.strip("\"'").lower()
-        if name.lower() in ("class", "id"):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name in ("class", "id"):
             for token in value.split():
                 parts = NAME.findall(token)
                 words += parts
-                furniture |= any(p in FURNITURE_WORDS for p in parts)
-        elif name.lower() == "role":
-            furniture |= value in FURNITURE_ROLES
-        else:
-            furniture |= name.lower() == "hidden" or value == "true"
-    return ".".join(words), furniture
+                marked |= any(p in FURNITURE_WORDS for p in parts) and not any(p in STATES for p in parts)
+        elif name == "role":
+            marked |= value in FURNITURE_ROLES
+        elif name == "hidden" or name == "aria-hidden":
+            hidden |= name == "hidden" or value == "true"
+    return ".".join(words), marked, hidden
 
 
 class Page:
     """The text nodes of one page, with elements and paths numbered in trees."""
 
     def __init__(self, source: str):
-        self.tag, self.up, self.path, self.furniture = ["#"], [-1], [0], [False]  # per element
+        self.tag, self.up, self.path = ["#"], [-1], [0]  # per element
+        self.out, self.marked = [False], [False]  # furniture with all below it; words or a form weigh against it
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, int, str]] = []  # element, block, text
         self.block, stack, at = 0, [0], 0
@@ -102,14 +111,14 @@ class Page:
                     self._text(stack[-1], " ")
                 continue
             self._implied(stack, name)
-            words, furniture = _telling(attrs)
+            words, marked, hidden = _telling(attrs)
             parent = stack[-1]
             key = (self.path[parent], f"{name}.{words}")
             self.tag.append(name)
             self.up.append(parent)
             self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
-            self.furniture.append(self.furniture[parent] or furniture and name not in ("html", "body", "article", "main")
-                                  or name in FURNITURE_TAGS)
+            self.out.append(self.out[parent] or hidden and name not in ("html", "body") or name in FURNITURE_TAGS)
+            self.marked.append(name == "form" or marked and name not in ("html", "body", "article", "main"))
             if attrs.rstrip().endswith("/") and name in ("svg", "path"):
                 continue
             if name in RAW:
@@ -146,19 +155,48 @@ class Page:
         if text:
             self.nodes.append((element, self.block, html.unescape(text)))
 
-    def main_text(self, radius: int = 1, share: float = 0.3, most: float = 0.8) -> str:
-        content = [(e, b, t) for e, b, t in self.nodes if not self.furniture[e]]
-        full = [(e, t) for e, _, t in content if t.strip()]
-        if not full:
-            return ""
+    def _values(self, full: list[tuple[int, str]]) -> list[float]:
+        """The fused ratios of the nodes' paths."""
         length, marks, count = {}, {}, {}
         for e, t in full:
             p = self.path[e]
             length[p] = length.get(p, 0) + len(t.strip())
             marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(t))
             count[p] = count.get(p, 0) + 1
-        value = [math.log1p(length[p] / count[p]) * (1 + math.log1p(marks[p] / count[p]))
-                 for p in (self.path[e] for e, _ in full)]
+        return [math.log1p(length[p] / count[p]) * (1 + math.log1p(marks[p] / count[p]))
+                for p in (self.path[e] for e, _ in full)]
+
+    def _below(self, each: list[float]) -> list[float]:
+        """Sums over the subtrees."""
+        out = list(each)
+        for e in range(len(out) - 1, 0, -1):  # an element comes after its parent
+            out[self.up[e]] += out[e]
+        return out
+
+    def _furniture(self) -> list[bool]:
+        """Per element: it or one around it is furniture, marks weighed against ratio mass."""
+        full = [(e, t) for e, _, t in self.nodes if t.strip() and not self.out[e]]
+        mass = [0.0] * len(self.tag)
+        for (e, t), v in zip(full, self._values(full), strict=True):
+            mass[e] += v * len(t.strip())
+        mass = self._below(mass)
+        articles = [e for e in range(len(self.tag)) if self.tag[e] in ("article", "main") and mass[e] > 0]
+        spared, e = set(), max(articles, key=mass.__getitem__, default=0)
+        while e > 0:
+            spared.add(e)
+            e = self.up[e]
+        out = list(self.out)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.up[e]] or self.marked[e] and e not in spared and 2 * mass[e] < mass[0]
+        return out
+
+    def main_text(self, radius: int = 1, share: float = 0.3) -> str:
+        furniture = self._furniture()
+        content = [(e, b, t) for e, b, t in self.nodes if not furniture[e]]
+        full = [(e, t) for e, _, t in content if t.strip()]
+        if not full:
+            return ""
+        value = self._values(full)
         kernel = [math.exp(-(d * d) / 2) for d in range(-radius, radius + 1)]
         smooth = []
         for i in range(len(value)):
@@ -166,28 +204,24 @@ class Page:
                     if 0 <= i + d < len(value)]
             smooth.append(sum(v * k for v, k in near) / sum(k for _, k in near))
         limit = share * sum(smooth) / len(smooth)
-        mass = [0] * len(self.tag)
-        for (e, t), s in zip(full, smooth, strict=True):
-            if s >= limit:
-                mass[e] += len(t.strip())
-        for e in range(len(self.tag) - 1, 0, -1):  # an element comes after its parent
-            mass[self.up[e]] += mass[e]
-        root, heavy = 0, [True] + [False] * (len(self.tag) - 1)
+        chosen = [0] * len(self.tag)
+        for (e, _), v, s in zip(full, value, smooth, strict=True):
+            chosen[e] += min(v, s) >= limit
+        chosen = self._below(chosen)
+        holder, inside, root = [0], [True], 0  # an article, or else the container; whether in the root
         for e in range(1, len(self.tag)):
-            heavy[e] = heavy[self.up[e]] and mass[e] >= most * mass[0]
-            if heavy[e] and self.tag[e] in CONTAINER:
-                root = e
-        e = root
-        while e > 0:
-            if self.tag[e] in ("article", "main"):
+            up = self.up[e]
+            if inside[up] and chosen[e] == chosen[0] and self.tag[e] in CONTAINER:
                 root = e
-            e = self.up[e]
-        inside = [False] * len(self.tag)
-        for e in range(len(self.tag)):
-            inside[e] = e == root or e > 0 and inside[self.up[e]]
+            inside.append(inside[up] and chosen[e] == chosen[0])
+            whole = self.tag[holder[up]] in ("article", "main")
+            holder.append(e if not whole and self.tag[e] in CONTAINER and self.tag[e] != "td" else holder[up])
+        inside = [e == root for e in range(len(self.tag))]
+        for e in range(1, len(self.tag)):
+            inside[e] = inside[e] or inside[self.up[e]]
         blocks: dict[int, list[str]] = {}
         for e, b, t in content:
-            if inside[e]:
+            if inside[e] and chosen[holder[e]]:
                 blocks.setdefault(b, []).append(t)
         lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(x for x in lines if x)

@@ -52,3 +52,39 @@ def test_extract_keeps_rows_and_columns(spark):
     out = pr.extract(pages)
     assert sorted(r["main"] for r in out.collect())[0] == "" and out.count() == 3 and "text" in out.columns
     assert pr.extract(pages.limit(0)).count() == 0
+
+
+TEXT = "First paragraph, with some words and marks. It goes on, a while.\nSecond one, also long enough. Yes."
+BODY = "".join(f"<p>{x}</p>" for x in TEXT.split("\n"))
+
+
+@pytest.mark.parametrize("wrapper", [
+    "class='content has-sidebar'", "class='no-sidebar'", "class='page-with-nav'", "class='sidebar'", "role='search'",
+    "style='overflow:hidden'", "data-hidden='false'", "aria-hidden='false'", "data-class='ad'", "title='see id=comment'"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_words_and_attribute_values_do_not_drop_the_article(wrapper, inner):
+    page = f"<body><nav>One, two.</nav><div {wrapper}><{inner}>{BODY}</{inner}></div><div class='ad'>Buy, now.</div></body>"
+    assert pr.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("href", ["/hidden-valley", "?id=comment", "/x?class=ad"])
+def test_links_stay_whatever_their_address(href):
+    assert pr.main_text(f"<article>{BODY}<p>See, also <a href='{href}'>this link</a>, please.</p></article>") == f"{TEXT}\nSee, also this link, please."
+
+
+def test_the_article_stays_beside_a_longer_comment_section():
+    comments = "<p>I agree, fully. Great text, thanks, really.</p>" * 40
+    page = f"<body><div class='page-with-nav sidebar'><article>{BODY}</article></div><div class='comments'>{comments}</div></body>"
+    assert pr.main_text(page).startswith(TEXT)
+
+
+def test_ratios_select_over_the_whole_page():
+    long = "<p>A long paragraph, with many words, and marks. It goes on, and on.</p>" * 9
+    page = f"<body><div><a>Up</a></div><div id='lead'>{BODY}</div><div>{long}</div><div><a>a</a></div></body>"
+    got = pr.main_text(page)
+    assert got.startswith(TEXT) and got.count("\n") == 10
+
+
+def test_a_form_around_the_page_and_cells_in_the_article_stay():
+    page = f"<body><form id='aspnet'><article>{BODY}<table><tr><td>1<td>2</table></article></form></body>"
+    assert pr.main_text(page) == f"{TEXT}\n1\n2"
