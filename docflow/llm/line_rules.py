@@ -69,6 +69,10 @@ def repeat_words(words: list[bytes], size: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words).translate(LOWER)) - 2**63
+
+
 def measure(text: str | None) -> dict:
     raw = (text or "").encode()
     words = raw.split()
@@ -80,7 +84,7 @@ def measure(text: str | None) -> dict:
             continue
         dup += line in seen
         seen.add(line)
-        h = xxhash.xxh3_64_intdigest(b" ".join(own).translate(LOWER)) - 2**63
+        h = line_hash(own)
         lines[h] = lines.get(h, 0) + len(own)
     return {"n_words": len(words), "word_chars": len(BLANKS.sub(b"", raw).decode()),
             "n_symbols": len(raw.translate(None, SYMBOLS)), "n_dup_lines": dup,
@@ -134,17 +138,22 @@ def boilerplate(rows: DataFrame, texts: DataFrame, line_share: float, line_floor
             .where(F.col("n") > F.col("docs") * line_share).select("host", "line"))
 
 
-def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5,
-          least_words: int = 10, least_share: float = 0.2, repeat_percent: int = 20) -> DataFrame:
-    """One row per row of ``docs``: doc (its columns without the text), the rule counts,
-    removed_words, base_failed, depleted and kept. The measured rows are written once, without
-    texts, and read by every later step."""
+def _measured(docs: DataFrame, host: str, line_share: float, line_floor: int) -> tuple[DataFrame, DataFrame]:
+    """The measured rows, and their boilerplate lines."""
     rows = saved(with_stats(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc").dropFields("text").alias("doc"),
         F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"),
         text_key(text_of("doc.text")).alias("key"), "stats.*"), "line-stats")
     texts = docs.select(text_key(text_of()).alias("key"), text_of().alias("text"))
-    bad = boilerplate(rows, texts, line_share, line_floor)
+    return rows, boilerplate(rows, texts, line_share, line_floor)
+
+
+def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5,
+          least_words: int = 10, least_share: float = 0.2, repeat_percent: int = 20) -> DataFrame:
+    """One row per row of ``docs``: doc (its columns without the text), the rule counts,
+    removed_words, base_failed, depleted and kept. The measured rows are written once, without
+    texts, and read by every later step."""
+    rows, bad = _measured(docs, host, line_share, line_floor)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
     removed = lines.join(bad, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -165,3 +174,28 @@ def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     gone = saved(judged.where(~F.col("kept")).select(
         F.col("doc._key").alias("_gone"), F.col("doc.doc_id").alias("_id")).distinct(), "rejected")
     return docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def clean(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5) -> DataFrame:
+    """All rows of ``docs``, their texts without the boilerplate lines; other texts stay as they are.
+    Rows equal in host and text lose the same lines."""
+    key, at = F.xxhash64("text"), F.coalesce(F.col(host).cast("string"), F.lit(""))
+    rows, bad = _measured(docs.select(host, "text", key.alias("_key")), host, line_share, line_floor)
+    lines = rows.select("host", F.col("doc._key").alias("_key"), F.explode("lines.line").alias("line")).distinct()
+    gone = lines.join(bad, ["host", "line"]).groupBy(F.col("host").alias("_host"), "_key").agg(F.collect_list("line").alias("_gone"))
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, out in zip(pc.struct_field(batch.column("doc"), "text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                if out:
+                    out = set(out)
+                    text = b"\n".join(x for x in text.encode().split(b"\n") if not x.split() or line_hash(x.split()) not in out).decode()
+                texts.append(text)
+            field = batch.schema.field("cleaned")
+            yield batch.set_column(batch.schema.get_field_index("cleaned"), field, pa.array(texts, field.type))
+
+    met = docs.join(gone, (at == F.col("_host")) & (key == F.col("_key")), "left")
+    met = met.select(F.struct(*docs.columns).alias("doc"), F.col("_gone").alias("gone"), F.lit(None).cast("string").alias("cleaned"))
+    out = met.mapInArrow(run, met.schema)
+    return out.select(*(F.col("cleaned").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -103,3 +103,14 @@ def test_production_limits_on_a_small_a_middling_and_a_hot_host(spark):
     for i, r in _removed(spark, rows).items():
         n = sizes[r["doc"]["source"]]
         assert r["kept"] == (i % 100_000 >= max(6, n // 5)), (i, r["removed_words"])
+
+
+def test_clean_removes_the_boilerplate_lines_from_the_texts(spark):
+    menu = "Menu one  two three"
+    rows = [(i, f"Own{i} a b\n\n {menu.upper()} \nlast{i} {i}", "h") for i in range(20)] + [(100, menu, "other"), (101, None, "h"), (102, menu, None), (103, f"{menu}\nx\n{menu}", "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("doc_id", "text", "source", "1 AS doc", "2 AS gone", "3 AS host")
+    out = lr.clean(docs)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert out.columns == docs.columns and len(got) == 24
+    assert all(got[i] == f"Own{i} a b\n\nlast{i} {i}" for i in range(20))
+    assert got[100] == menu and got[101] is None and got[102] == menu and got[103] == "x"
