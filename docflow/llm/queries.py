@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from docflow.llm import (attention_mil, chat_format, chunk_bpe, circulant_minhash, class_lm, fm_index,
-                         fst_count, license_scan, line_rules, path_ratio)
+                         fst_count, license_scan, line_rules, path_ratio, prefix_bpe)
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -121,3 +121,15 @@ def op8_license_scan(spark, sf):
     names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
     return hits.select("doc_id", F.size("licenses").cast("bigint").alias("n_hits"),
                        F.array_join(names, ",").alias("license_ids"), "licenses")
+
+
+@query
+def op13_prefix_bpe(spark, sf, tokenizer: str = "piece_bpe_32k.model"):
+    """All documents, encoded by last tokens of prefixes and decoded again."""
+    model = prefix_bpe.read_model(public_tokenizers.path(tokenizer))
+    ids = prefix_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), model).drop("text")
+    back = prefix_bpe.decode(ids, model)
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                       sha(F.col("decoded")).alias("decoded_sha256"))
