@@ -24,6 +24,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``saved`` wrote and nothing reads any more."""
+    files = df.inputFiles()
+    if not files:
+        return
+    jvm = df.sparkSession._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

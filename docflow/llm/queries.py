@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from docflow.llm import (attention_mil, chat_format, chunk_bpe, circulant_minhash, class_lm, fm_index,
-                         fst_count, license_scan, line_rules, path_ratio, prefix_bpe)
+                         fst_count, hat_trie, heap_kmeans, license_scan, line_rules, path_ratio, prefix_bpe)
 from docflow.llm.common import read, registry, remainder, text_of
 
 QUERIES, query = registry()
@@ -133,3 +133,80 @@ def op13_prefix_bpe(spark, sf, tokenizer: str = "piece_bpe_32k.model"):
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
                        sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op12_hat_trie(spark, sf):
+    """Collocations of two and three words of all documents, the first 2000 of each language."""
+    return hat_trie.collocations(read(spark, sf, "documents").select("doc_id", "lang", "text"), top=2000)
+
+
+SQL["op12_hat_trie"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM words),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+cuts AS (
+  SELECT cand.*, cut.i, array_to_string(w[1:cut.i], ' ') AS head, array_to_string(w[cut.i + 1:k], ' ') AS rest
+  FROM cand, (SELECT unnest([1, 2]) AS i) cut WHERE cut.i < k),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, i, fl.c AS l, fr.c AS r,
+         (a::HUGEINT * a * 1000000 // (fl.c::HUGEINT * fr.c))::BIGINT AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = head
+       JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = rest),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS m FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM cand WHERE k = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND part = phrase
+  WHERE m IS NULL OR 100 * m < 50 * a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def op11_heap_kmeans(spark, sf):
+    """All vectors of 64 components in 16 clusters, three rounds."""
+    return heap_kmeans.clusters_of(read(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+def _kmeans_sql(clusters: int = 16, rounds: int = 3) -> str:
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))"
+    out = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS cv FROM kept
+  QUALIFY c < {clusters})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS (
+  SELECT vec_id, v, arg_min(c, d * {clusters} + c) AS c, min(d) AS d
+  FROM (SELECT vec_id, v, c, {far}::BIGINT AS d FROM kept, c{r}) GROUP BY vec_id, v)"""
+        if r < rounds:
+            out += f""",
+s{r} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS cv FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT c, coalesce(m{r}.cv, c{r}.cv) AS cv FROM c{r} LEFT JOIN m{r} USING (c))"""
+    return out + f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} USING (c)"""
+
+
+SQL["op11_heap_kmeans"] = _kmeans_sql()
