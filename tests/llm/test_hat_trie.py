@@ -95,6 +95,7 @@ def test_words_that_share_a_hash_are_counted_anew(spark, monkeypatch):
 def test_trie_bursts_and_spills_whole_subtrees():
     r = np.random.default_rng(1)
     ids = r.integers(1, 60, (6000, 2))
+    ids[2000:, 1] = ids[2000:, 1] % 10 + 1
     ids[:2000, 0] = 7  # one word that fills containers by itself
     keys = ids[:, 0] << hat_trie.ID_BITS | ids[:, 1]
     trie = hat_trie.HatTrie(2, burst=20)
