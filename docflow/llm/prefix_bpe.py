@@ -30,7 +30,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +103,126 @@ class Vocabulary:
         self.byte_id = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
 
 
+class Pairs:
+    """Verdicts on pairs of tokens: a hash table over arrays."""
+
+    def __init__(self, slots: int = 1 << 12):
+        self.keys, self.fits, self.used = np.full(slots, -1, np.int64), np.zeros(slots, bool), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot, or the empty slot where it would go."""
+        mask = len(self.keys) - 1
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & mask
+        at = self.keys[slot]
+        miss = np.flatnonzero((at != keys) & (at >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & mask
+            at = self.keys[slot[miss]]
+            miss = miss[(at != keys[miss]) & (at >= 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, fits: np.ndarray) -> None:
+        """Add distinct keys that the table lacks."""
+        if (self.used + len(keys)) * 2 > len(self.keys):
+            held = self.keys >= 0
+            old = self.keys[held], self.fits[held]
+            self.__init__(1 << int((self.used + len(keys)) * 4).bit_length())
+            self.add(*old)
+        self.used += len(keys)
+        while len(keys):  # of keys that meet in one empty slot, one gets it at a time
+            slot = self._slots(keys)
+            self.keys[slot] = keys
+            won = self.keys[slot] == keys
+            self.fits[slot[won]] = fits[won]
+            keys, fits = keys[~won], fits[~won]
+
+    def verdicts(self, keys: np.ndarray, decide) -> np.ndarray:
+        """Verdict of each key; ``decide`` gives those that are new."""
+        slot = self._slots(keys)
+        new = self.keys[slot] != keys
+        if new.any():
+            fresh = np.unique(keys[new])
+            self.add(fresh, np.array([decide(k >> 32, k & 0xFFFFFFFF) for k in fresh.tolist()], bool))
+            slot = self._slots(keys)
+        return self.fits[slot]
+
+
+class Automaton:
+    """An automaton over the pieces as arrays, to run many texts at once: ``step`` follows the
+    characters; ``piece`` and ``shorter`` list the pieces that end in a state, longest first."""
+
+    def __init__(self, pieces: dict[str, int]):
+        edges: dict[tuple[int, str], int] = {}
+        parent, token = [(0, "")], [-1]
+        for p, i in sorted(pieces.items(), key=lambda x: len(x[0])):
+            at = 0
+            for c in p:
+                nxt = edges.get((at, c))
+                if nxt is None:
+                    nxt = edges[at, c] = len(parent)
+                    parent.append((at, c))
+                    token.append(-1)
+                at = nxt
+            token[at] = i
+        order = sorted(range(1, len(parent)), key=self._depths(parent).__getitem__)
+        fail = [0] * len(parent)
+        for n in order:
+            up, c = parent[n]
+            while up:
+                up = fail[up]
+                if (up, c) in edges:
+                    fail[n] = edges[up, c]
+                    break
+        ending = [0] * len(parent)  # the nearest state on the way of failures that is a piece
+        for n in order:
+            ending[n] = n if token[n] >= 0 else ending[fail[n]]
+        self.fail, self.ending = np.array(fail, np.int64), np.array(ending, np.int64)
+        self.shorter = self.ending[self.fail]
+        self.piece = np.array(token, np.int64)
+        keys = np.array([n << 21 | ord(c) for n, c in edges], np.int64)
+        self.table = Pairs(1 << int(len(keys) * 3).bit_length())
+        self.table.add(keys, np.zeros(len(keys), bool))
+        self.next = np.zeros(len(self.table.keys), np.int64)
+        self.next[self.table._slots(keys)] = list(edges.values())
+        self._lists = None
+
+    def lists(self) -> SimpleNamespace:
+        """The same as lists and a dictionary, for one text by itself."""
+        if self._lists is None:
+            held = self.table.keys >= 0
+            self._lists = SimpleNamespace(
+                next=dict(zip(self.table.keys[held].tolist(), self.next[held].tolist(), strict=True)), fail=self.fail.tolist(),
+                ending=self.ending.tolist(), shorter=self.shorter.tolist(), piece=self.piece.tolist())
+        return self._lists
+
+    @staticmethod
+    def _depths(parent: list[tuple[int, str]]) -> list[int]:
+        out = [0] * len(parent)
+        for n in range(1, len(parent)):  # a node is made after its parent
+            out[n] = out[parent[n][0]] + 1
+        return out
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state << 21 | char
+            slot = self.table._slots(key)
+            there = self.table.keys[slot] == key
+            out[todo[there]] = self.next[slot[there]]
+            on = ~there & (state > 0)
+            todo, state, char = todo[on], self.fail[state[on]], char[on]
+        return out
+
+
 class Encoder:
-    """Encodes texts; keeps verdicts on pairs and the ids of stretches, both of bounded size."""
+    """Encodes texts; keeps verdicts on pairs and the ids of stretches, both of bounded size.
+    Stretches of up to ``SHORT`` signs are worked on together, character by character, and those
+    that begin alike share their table; longer ones go through it by themselves."""
 
-    def __init__(self, model: bytes, store_chars: int = 12_000_000, max_pairs: int = 1_000_000):
-        import ahocorasick
+    SHORT = 48
 
+    def __init__(self, model: bytes, store_chars: int = 12_000_000, max_pairs: int = 1_000_000):
         self.vocab = Vocabulary(model)
         v = self.vocab
         self.score = {p: v.scores[i] for i, p in enumerate(v.pieces) if v.kinds[i] == NORMAL}
@@ -117,18 +232,14 @@ class Encoder:
         for c in sorted({c for p in self.id for c in p} - set(self.id)):
             self.id[c] = len(self.text)
             self.text.append(c)
-        self.size = [len(t) for t in self.text]
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            self.automaton.add_word(p, i)
-        self.automaton.make_automaton()
+        self.size = np.array([len(t) for t in self.text])
+        self.automaton = Automaton(self.id)
         known = "".join(sorted(re.escape(c) for c in {c for p in self.id for c in p} - {BLANK}))
         free = any(BLANK in p.lstrip(BLANK) for p in self.id)
         run = rf"[{BLANK}{known}]+" if free else rf"{BLANK}+[{known}]*|[{known}]+"
         self.cut = re.compile(rf"{run}|.", re.DOTALL)
         self.limit, self.max_pairs = store_chars, max_pairs
-        self.pairs: dict[int, bool] = {}
-        self.edges: dict[int, tuple] = {}
+        self.pairs, self.edges = Pairs(), {}
         self._reset()
 
     def _reset(self) -> None:
@@ -186,62 +297,122 @@ class Encoder:
         return symbols == [a, b]
 
     # -- last tokens ----------------------------------------------------------------------------
-    def last_tokens(self, text: str) -> list[int]:
-        """For each place of ``text`` (signs that pieces hold, and line ends between stretches)
-        the last token of the stretch up to and with it; -1 at line ends."""
-        size, pairs = self.size, self.pairs
-        last = [-1] * (len(text) + 1)  # the place before the first is the last one of the list
-        done = -1
-        for end, token in self.automaton.iter(text):
-            if end == done:
-                continue
-            before = last[end - size[token]]
-            if before < 0:
-                if not self._edges(token)[0]:
-                    continue
-            else:
-                key = before << 32 | token
-                fits = pairs.get(key)
-                if fits is None:
-                    fits = pairs[key] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end] = token
-            done = end
+    def _ending(self, rows: np.ndarray, place: int, state: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The one token that ends at ``place`` of each row and fits what stands before it:
+        ``last`` holds the rows' last tokens at the places before."""
+        out = np.full(len(rows), -1, np.int64)
+        at, todo = self.automaton.ending[state], np.arange(len(rows))
+        while len(todo):
+            token = self.automaton.piece[at]
+            before = place - self.size[token]
+            left = last[rows[todo], np.maximum(before, 0)].astype(np.int64)
+            alone = before < 0
+            fits = self.pairs.verdicts(np.where(alone, token, left) << 32 | token, self.compatible)
+            if alone.any():
+                fits[alone] = [self._edges(t)[0] for t in token[alone].tolist()]
+            out[todo[fits]] = token[fits]
+            at, todo = self.automaton.shorter[at[~fits]], todo[~fits]
+        return out
+
+    def last_tokens(self, words: list[str]) -> np.ndarray:
+        """For each of the sorted ``words`` and each place in it the last token of the prefix up
+        to and with that place. A prefix that the word before has too is looked up there."""
+        sizes = np.array([len(w) for w in words])
+        chars = np.array(words).view(np.uint32).reshape(len(words), -1).astype(np.int64)
+        differ = chars[1:] != chars[:-1]
+        shared = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), chars.shape[1])])
+        last = np.full(chars.shape, -1, np.int32)
+        state, number = np.zeros(len(words), np.int64), np.arange(len(words))
+        for place in range(chars.shape[1]):
+            own = shared <= place
+            rows = np.flatnonzero(own & (sizes > place))
+            state[rows] = self.automaton.step(state[rows], chars[rows, place])
+            last[rows, place] = self._ending(rows, place, state[rows], last)
+            of = np.maximum.accumulate(np.where(own, number, 0))
+            state, last[:, place] = state[of], last[of, place]
+        return last
+
+    def _last_of_long(self, word: str) -> list[int]:
+        """The last tokens of one long stretch."""
+        auto, size = self.automaton.lists(), self.size.tolist()
+        last, verdicts, state = [], {}, 0
+        for place, c in enumerate(word):
+            nxt = auto.next.get((state << 21) + ord(c))
+            while nxt is None:  # a single character's state at the latest
+                state = auto.fail[state]
+                nxt = auto.next.get((state << 21) + ord(c))
+            state = nxt
+            at = auto.ending[state]
+            while True:
+                token = auto.piece[at]
+                before = place - size[token]
+                if before < 0:
+                    fits = self._edges(token)[0]
+                else:
+                    key = last[before] << 32 | token
+                    fits = verdicts.get(key)
+                    if fits is None:
+                        fits = verdicts[key] = self.compatible(last[before], token)
+                if fits:
+                    break
+                at = auto.shorter[at]
+            last.append(token)
         return last
 
+    # -- ids, backwards ---------------------------------------------------------------------------
+    def _backwards(self, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words in a row, number of tokens of each)."""
+        steps, place, rows = [], sizes - 1, np.arange(len(sizes))
+        counts = np.zeros(len(sizes), np.int64)
+        while len(rows):
+            token = last[rows, place]
+            steps.append((rows, counts[rows], token))
+            counts[rows] += 1
+            place = place - self.size[token]
+            more = place >= 0
+            rows, place = rows[more], place[more]
+        ends = np.cumsum(counts)
+        out = np.zeros(ends[-1], np.int64)
+        for rows, step, token in steps:
+            out[ends[rows] - 1 - step] = token
+        return out, counts
+
+    def _ids(self, tokens: list[int]) -> list[int]:
+        """Ids of tokens: signs without a piece of their own are bytes."""
+        plain, byte_id = len(self.vocab.pieces), self.vocab.byte_id
+        return [i for t in tokens for i in ([t] if t < plain else [byte_id[b] for b in self.text[t].encode()])]
+
     def _learn(self, new: list[str]) -> None:
-        """Encode stretches that the store lacks: the tables of all in one run of the automaton,
-        line ends between them (no piece holds one)."""
-        if len(self.pairs) > self.max_pairs:
-            self.pairs.clear()
-        known, odd = [], []
+        """Encode stretches that the store lacks."""
+        if self.pairs.used > self.max_pairs:
+            self.pairs = Pairs()
+        short = sorted(s for s in new if s[0] in self.id and len(s) <= self.SHORT)
+        if short:
+            sizes = np.array([len(w) for w in short])
+            tokens, counts = self._backwards(self.last_tokens(short), sizes)
+            if len(self.text) > len(self.vocab.pieces):
+                cut = np.split(tokens, np.cumsum(counts)[:-1])
+                lists = [self._ids(t.tolist()) for t in cut]
+                tokens, counts = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
+            self._keep(short, tokens, counts)
         for s in new:
-            (known if s[0] in self.id else odd).append(s)
-        byte_id, text, size = self.vocab.byte_id, self.text, self.size
-        plain = len(self.vocab.pieces)
-        for s in odd:
-            self._keep(s, [byte_id[b] for b in s.encode()])
-        at = 0
-        last = self.last_tokens("\n".join(known)) if known else []
-        for s in known:
-            place, out = at + len(s) - 1, []
-            while place >= at:
-                token = last[place]
-                place -= size[token]
-                if token < plain:
-                    out.append(token)
-                else:
-                    out += [byte_id[b] for b in reversed(text[token].encode())]
-            out.reverse()
-            self._keep(s, out)
-            at += len(s) + 1
+            if s[0] not in self.id:
+                ids = [self.vocab.byte_id[b] for b in s.encode()]
+            elif len(s) > self.SHORT:
+                last, ids, place = self._last_of_long(s), [], len(s) - 1
+                while place >= 0:
+                    ids.append(last[place])
+                    place -= int(self.size[last[place]])
+                ids = self._ids(ids[::-1])
+            else:
+                continue
+            self._keep([s], np.array(ids), np.array([len(ids)]))
 
-    def _keep(self, stretch: str, ids: list[int]) -> None:
-        self.store[stretch] = len(self.ends) - 1
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        self.held += len(stretch) + 20
+    def _keep(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.store.update(zip(stretches, range(len(self.ends) - 1, len(self.ends) - 1 + len(stretches)), strict=True))
+        self.ends.frombytes((len(self.ids) + np.cumsum(counts)).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.held += sum(map(len, stretches)) + 20 * len(stretches)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -249,13 +420,11 @@ class Encoder:
             self._reset()
         find, prefix = self.cut.findall, BLANK if self.vocab.prefix else ""
         cut = [find(prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
-        store = self.store
-        new = list(dict.fromkeys(s for x in cut for s in x if s not in store))
+        new = set(chain.from_iterable(cut)) - self.store.keys()
         if new:
-            self._learn(new)
-        get = store.__getitem__
+            self._learn(list(new))
         n = sum(map(len, cut))
-        at = np.fromiter((get(s) for x in cut for s in x), np.int64, n)
+        at = np.fromiter(map(self.store.__getitem__, chain.from_iterable(cut)), np.int64, n)
         ends = np.array(self.ends, np.int64)
         starts, sizes = ends[at], ends[at + 1] - ends[at]
         total = np.cumsum(sizes)

@@ -17,7 +17,7 @@ def _odd():
     r = random.Random(7)
     signs = [*"abehtrs ▁  \n\t<s>/0xA'é日本語😀İß\x00\x0b", "the ", "  ", "ing", "<s>", "<0x0A>", "</s>"]
     out = ["".join(r.choice(signs) for _ in range(r.randint(0, 250))) for _ in range(1500)]
-    out += ["a" * 9000, " " * 999, "▁" * 77, "", "=-" * 900, "\n", "aab" * 700]
+    out += ["a" * 9000, "unbelievably" * 90, "".join(r.choice("abcdeing") for _ in range(4000)), " " * 999, "▁" * 77, "", "=-" * 900, "\n", "aab" * 700]
     out.append("".join(chr(r.choice([r.randint(1, 0xD7FF), r.randint(0xE000, 0x10FFFF)])) for _ in range(3000)))
     return out + [t or "" for _, t in brute.ROWS]
 
@@ -41,8 +41,10 @@ def test_ids_are_the_librarys(limits):
 
 def test_each_prefix_has_the_last_token_of_its_own_encoding():
     coder = prefix_bpe.Encoder(MODEL)
-    for word in ("▁international", "▁unbelievably", "zzzzzz", "▁▁▁▁▁▁▁", "<0x0A>"):
-        last = coder.last_tokens(word)
+    words = sorted(["▁international", "▁internal", "▁unbelievably", "zzzzzz", "▁▁▁▁▁▁▁", "<0x0A>", "▁", "é"])
+    table = coder.last_tokens(words)
+    for word, last in zip(words, table.tolist(), strict=True):
+        assert last[:len(word)] == coder._last_of_long(word)
         for n in range(1, len(word) + 1):
             symbols = list(word[:n])
             list(coder._merge(symbols))  # the plain merges of the prefix alone
