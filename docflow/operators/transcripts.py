@@ -134,9 +134,14 @@ def tool_registry(library: DataFrame, directory: DataFrame) -> dict:
 
 
 def tool_results(completions: DataFrame, registry: dict, max_turns: int = MAX_TURNS) -> DataFrame:
-    """JN7: every kept call answered: request_id, turn, pos, call_id, name, result (JSON: the
-    tool's payload, or its error). Each tool runs once over all of its valid calls."""
-    calls = _calls(completions, max_turns).select(
+    """JN7: every kept call answered, see ``run_calls``."""
+    return run_calls(_calls(completions, max_turns), registry)
+
+
+def run_calls(calls: DataFrame, registry: dict) -> DataFrame:
+    """Calls (request_id, turn, pos, tc) answered: request_id, turn, pos, call_id, name, result
+    (JSON: the tool's payload, or its error). Each tool runs once over all of its valid calls."""
+    calls = calls.select(
         "request_id", "turn", "pos", F.col("tc.id").alias("call_id"), F.col("tc.name").alias("name"),
         F.col("tc.arguments").alias("arguments"),
         lookups.validate_tool_args(F.col("tc.name"), F.col("tc.arguments")).alias("error"))
@@ -275,6 +280,40 @@ def resolve(folded: DataFrame, passages: DataFrame, prices: DataFrame) -> DataFr
 CAP_MESSAGE = "You have used the maximum number of tool calls. Return the final JSON object per the schema now."
 
 
+MESSAGE_COLUMNS = ("request_id", "turn", "pos", "role", "content", "tool_call_id", "tool_calls")
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _message(turn: Column, pos: Column, role: str, content: Column, call: Column | None = None,
+             calls: Column | None = None) -> list[Column]:
+    return [F.col("request_id"), turn.cast("bigint").alias("turn"), pos.cast("bigint").alias("pos"), F.lit(role).alias("role"),
+            content.alias("content"), (F.lit(None).cast("string") if call is None else call).alias("tool_call_id"),
+            (F.lit(None) if calls is None else calls).cast(_TC).alias("tool_calls")]
+
+
+def opening_messages(prompts: DataFrame, system: str) -> DataFrame:
+    """The system and the user message of each request (turn -1)."""
+    return prompts.select(*_message(F.lit(-1), F.lit(0), "system", F.lit(system))).unionByName(
+        prompts.select(*_message(F.lit(-1), F.lit(1), "user", F.col("prompt"))))
+
+
+def turn_messages(asked: DataFrame, results: DataFrame, cap: bool | Column) -> list[DataFrame]:
+    """The messages of turns that asked for tools: the assistant's, each result in call order,
+    and where ``cap`` holds the cap message."""
+    said = asked.select(*_message(F.col("turn"), F.lit(0), "assistant", F.coalesce("content", F.lit("")), None, F.col("tool_calls")))
+    told = results.select(*_message(F.col("turn"), F.col("pos") + 1, "tool", F.col("result"), F.col("call_id")))
+    if cap is False:
+        return [said, told]
+    last = asked if cap is True else asked.where(cap)
+    return [said, told, last.select(*_message(F.col("turn"), F.size("tool_calls") + 1, "system", F.lit(CAP_MESSAGE)))]
+
+
 def request_messages(prompts: DataFrame, completions: DataFrame, results: DataFrame, system: str,
                      max_turns: int = MAX_TURNS) -> DataFrame:
     """The whole message list in long form: request_id, turn, pos, role, content,
@@ -283,24 +322,11 @@ def request_messages(prompts: DataFrame, completions: DataFrame, results: DataFr
     cap message after the last allowed turn. No request has to fit in one row.
 
     prompts: request_id, prompt. results: ``tool_results``."""
-    none = F.lit(None).cast("string")
-    cols = ("request_id", "turn", "pos", "role", "content", "tool_call_id", "tool_calls")
-    row = lambda turn, pos, role, content, call=none, calls=F.lit(None): [
-        F.col("request_id"), turn.cast("bigint").alias("turn"), pos.cast("bigint").alias("pos"), F.lit(role).alias("role"),
-        content.alias("content"), call.alias("tool_call_id"), calls.cast(_TC).alias("tool_calls")]
-    opening = [prompts.select(*row(F.lit(-1), F.lit(0), "system", F.lit(system))),
-               prompts.select(*row(F.lit(-1), F.lit(1), "user", F.col("prompt")))]
     folded = fold_transcripts(completions, max_turns).select("request_id", "llm_calls")
     asked = (first_delivery(completions, max_turns).join(folded, "request_id")
              .where((F.col("turn") < F.col("llm_calls")) & (F.size("tool_calls") > 0)))
-    said = asked.select(*row(F.col("turn"), F.lit(0), "assistant", F.coalesce("content", F.lit("")), none, F.col("tool_calls")))
-    told = results.select(*row(F.col("turn"), F.col("pos") + 1, "tool", F.col("result"), F.col("call_id")))
-    cap = asked.where(F.col("turn") == max_turns - 1).select(
-        *row(F.col("turn"), F.size("tool_calls") + 1, "system", F.lit(CAP_MESSAGE)))
-    out = opening[0]
-    for part in (opening[1], said, told, cap):
-        out = out.unionByName(part)
-    return out.select(*cols)
+    parts = turn_messages(asked, results, F.col("turn") == max_turns - 1)
+    return union_all([opening_messages(prompts, system), *parts]).select(*MESSAGE_COLUMNS)
 
 
 def complete(messages: DataFrame, fn, key: str = "request_id") -> DataFrame:

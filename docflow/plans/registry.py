@@ -34,7 +34,7 @@ def register(name: str, ops: str, sql: str | None = None):
     return deco
 
 
-PLAN_MODULES = ("q_retrieval", "q_text", "q_metrics", "q_guardrails", "q_transcripts",
+PLAN_MODULES = ("q_retrieval", "q_text", "q_metrics", "q_guardrails", "q_transcripts", "q_loops",
                 "q_traces", "q_index", "q_models", "q_streams")
 
 
