@@ -2,8 +2,8 @@
 
 The queries are collected in slices of bounded bytes and broadcast; the index streams
 through the tasks once per slice. A task scores a block of index rows against all queries
-of the slice (a token-incidence product for the keyword overlap R2, a matrix product for the
-cosine R1), blends both (R3) and emits only the block's best ``k`` rows per query, so no
+of the slice (postings of the queries' tokens for the keyword overlap R2, a matrix product for
+the cosine R1), blends both (R3) and emits only the block's best ``k`` rows per query, so no
 (query, chunk) pair is ever a row. The final top-k is ``row_number() <= k``, which Spark
 limits per partition before the shuffle. Every chunk is ranked, zero scores too; ties break
 by (doc_id, chunk_index).
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docflow.functions.text import keyword_set
-from docflow.session import slices_of
+from docflow.session import saved, slices_of
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
@@ -60,28 +60,56 @@ def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class QuerySlice:
-    """The queries of one slice as matrices: token incidence, sizes, vectors and norms."""
+    """The queries of one slice: token -> query postings, sizes, vectors and norms."""
 
     def __init__(self, rows: list, dim: int):
         self.ids = [r["query_id"] for r in rows]
-        self.number = {t: j for j, t in enumerate(dict.fromkeys(t for r in rows for t in (r["toks"] or ())))}
-        self.tokens = np.zeros((len(rows), len(self.number)), np.float32)
+        lists = [r["toks"] if r["toks"] is not None else () for r in rows]
+        self.number = {t: j for j, t in enumerate(dict.fromkeys(t for ts in lists for t in ts))}
+        self.sizes = np.array([len(ts) for ts in lists], np.float64)
+        token = np.array([self.number[t] for ts in lists for t in ts], np.int64)
+        order = np.argsort(token, kind="stable")
+        self.postings = np.repeat(np.arange(len(rows)), self.sizes.astype(np.int64))[order]
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(self.number)))])
         self.vectors = np.zeros((len(rows), dim))
         self.norms = np.zeros(len(rows))
         for i, r in enumerate(rows):
-            self.tokens[i, [self.number[t] for t in r["toks"] or ()]] = 1
             if r["idx"]:
                 self.vectors[i, r["idx"]] = r["cnt"]
             self.norms[i] = r["norm"] or 0.0
-        self.sizes = self.tokens.sum(1, dtype=np.float64)
+
+    def hits(self, token: np.ndarray, column: np.ndarray, columns: int, step: int = 4 << 20) -> np.ndarray:
+        """|Q n C| for every query and column, of distinct (token number, column) pairs. A token
+        of many cells is added as a rectangle, the others cell by cell, ``step`` at a time."""
+        out = np.zeros((len(self.ids), columns), np.int32)
+        order = np.argsort(token, kind="stable")
+        token, column = token[order], column[order]
+        size = self.ends[token + 1] - self.ends[token]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else token
+        runs = np.diff(np.append(first, len(token)))
+        wide = runs * size[first] > 4096
+        for at, n in zip(first[wide].tolist(), runs[wide].tolist(), strict=True):
+            t = token[at]
+            out[np.ix_(self.postings[self.ends[t]:self.ends[t + 1]], column[at:at + n])] += 1
+        rest = ~np.repeat(wide, runs)
+        token, column, size = token[rest], column[rest], size[rest]
+        flat, total = out.reshape(-1), np.cumsum(size)
+        start = 0
+        while start < len(token):
+            before = total[start] - size[start]
+            stop = max(start + 1, int(np.searchsorted(total, before + step, "right")))
+            n = size[start:stop]
+            at = np.arange(n.sum()) + np.repeat(self.ends[token[start:stop]] - np.cumsum(n) + n, n)
+            np.add.at(flat, self.postings[at] * columns + np.repeat(column[start:stop], n), 1)
+            start = stop
+        return out
 
     def keyword(self, toks) -> np.ndarray:
         """R2: |Q n C| / |Q| for every query and chunk."""
-        there = np.zeros((len(toks), len(self.number)), np.float32)
-        for i, row in enumerate(toks):
-            there[i, [self.number[t] for t in (row if row is not None else ()) if t in self.number]] = 1
-        hits = (self.tokens @ there.T).astype(np.float64)
-        return hits / np.where(self.sizes > 0, self.sizes, 1)[:, None]
+        get = self.number.get
+        pairs = [(j, i) for i, row in enumerate(toks) if row is not None for j in map(get, row) if j is not None]
+        token, column = np.array(pairs, np.int64).reshape(-1, 2).T
+        return self.hits(token, column, len(toks)) / np.where(self.sizes > 0, self.sizes, 1)[:, None]
 
     def cosine(self, idx, cnt, norms) -> np.ndarray:
         """R1 over sparse integer counts: exact dot products, one rounding per division."""
@@ -97,7 +125,7 @@ class QuerySlice:
 def _kernel(shared, dim: int, weight: float, picks: tuple[tuple[str, int], ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = QuerySlice(shared.value, dim)
-        size = max(1, BLOCK_CELLS // max(1, len(q.number) + dim + len(q.ids)))
+        size = max(1, BLOCK_CELLS // max(1, dim + len(q.ids)))
         for pdf in batches:
             pdf = pdf.sort_values(list(CHUNK_ORDER), kind="stable")
             for at in range(0, len(pdf), size):
@@ -127,8 +155,11 @@ def score_blocks(queries: DataFrame, index: DataFrame, picks: tuple[tuple[str, i
                           + [T.StructField(c, T.DoubleType()) for c in ("vec_score", "kw_score", "score")])
     cols = index.select("chunk_id", "doc_id", "chunk_index", "toks", "idx", "cnt", "norm")
     row_bytes = F.coalesce(F.size("toks"), F.lit(0)) * 48 + dim * 8 + 64
-    out = None
-    for part in slices_of(queries, "query_id", row_bytes, max_query_bytes):
+    parts, out = slices_of(queries, "query_id", row_bytes, max_query_bytes), None
+    if len(parts) > 1:  # the plans of both sides run once, not once a slice
+        cols, queries = saved(cols, "index"), saved(queries, "queries")
+        parts = slices_of(queries, "query_id", row_bytes, max_query_bytes)
+    for part in parts:
         shared = spark.sparkContext.broadcast([r.asDict() for r in part.collect()])
         found = cols.mapInPandas(_kernel(shared, dim, weight, picks), schema)
         out = found if out is None else out.unionByName(found)
@@ -223,10 +254,14 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                                         **{c: part[c].to_numpy()[col] for c in index_keys}, "score": s[row, col]})
         return run
 
-    out = None
-    for part in slices_of(queries, query_key, F.size(vec_col) * 8 + 64, max_query_bytes):
+    row_bytes, index = F.size(vec_col) * 8 + 64, index.select(*index_keys, vec_col)
+    parts, out = slices_of(queries, query_key, row_bytes, max_query_bytes), None
+    if len(parts) > 1:
+        index, queries = saved(index, "index"), saved(queries, "queries")
+        parts = slices_of(queries, query_key, row_bytes, max_query_bytes)
+    for part in parts:
         shared = spark.sparkContext.broadcast([(r[query_key], r[vec_col]) for r in part.select(query_key, vec_col).collect()])
-        found = index.select(*index_keys, vec_col).mapInPandas(kernel(shared), schema)
+        found = index.mapInPandas(kernel(shared), schema)
         out = found if out is None else out.unionByName(found)
     return topk_per_group(out, [query_key], [F.col("score").desc(), *(F.col(c) for c in index_keys)], k)
 

@@ -133,3 +133,20 @@ def test_vector_topk_sliced_broadcast_equals_single(spark):
     sliced = rows(retrieval.vector_topk(q, df, k=3, index_keys=("vec_id",), digits=9,
                                         max_query_bytes=1500))   # forces several slices
     assert one == sliced and len(one) == 120
+
+
+@pytest.mark.parametrize("step", [1, 50, 4 << 20])
+def test_hits_of_many_queries_equal_set_sizes(step):
+    import random
+
+    from docflow.operators.retrieval import QuerySlice
+
+    r = random.Random(step)
+    word = lambda: r.choice(["the", "of"]) if r.random() < .3 else f"w{int(r.random() ** 3 * 400)}"
+    rows = [{"query_id": i, "toks": sorted({word() for _ in range(r.randint(0, 30))}) or None, "idx": None, "norm": None}
+            for i in range(300)]
+    chunks = [sorted({word() for _ in range(60)}) for _ in range(40)]
+    q = QuerySlice(rows, 0)
+    pairs = np.array([(q.number[t], i) for i, c in enumerate(chunks) for t in c if t in q.number])
+    got = q.hits(pairs[:, 0], pairs[:, 1], len(chunks), step)
+    assert got.tolist() == [[len(set(x["toks"] or ()) & set(c)) for c in chunks] for x in rows]
