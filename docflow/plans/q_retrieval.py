@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docflow.operators import chunking, embedding, retrieval
+from docflow.functions.text import keyword_set
+from docflow.operators import chunking, embedding, inverted, retrieval
 from docflow.plans.registry import register
-from docflow.plans.sql_snippets import (CHUNKS_CTE, keyword_matches_cte, md5_counts_cte)
-from docflow.session import table
+from docflow.plans.sql_snippets import CHUNKS_CTE, keyword_matches_cte, kwset, md5_counts_cte
+from docflow.session import scratch_path, table
 
 
 def _chunks(spark, sf):
@@ -78,6 +79,37 @@ def keyword_topk(spark, sf):
     return retrieval.keyword_topk(_queries(spark, sf), _chunks(spark, sf), k=5)
 
 
+def _inverted(spark, sf):
+    base = scratch_path(spark, "inverted")
+    inverted.build(_chunks(spark, sf), base)
+    return base
+
+
+@register("keyword_topk_stored", "R2 R4 W1 S8 U-1", KEYWORD_TOPK_SQL)
+def keyword_topk_stored(spark, sf):
+    """The same search from a stored inverted index."""
+    return inverted.keyword_topk(_queries(spark, sf), _inverted(spark, sf), k=5)
+
+
+@register("keyword_index_reads", "R2 S8", f"""
+WITH {CHUNKS_CTE},
+tok AS (SELECT DISTINCT unnest({kwset('text')}) AS token FROM benchmark),
+held AS (SELECT tok, count(*) AS n FROM (SELECT unnest({kwset('text')}) AS tok FROM chunks) GROUP BY tok)
+SELECT token, coalesce(n, 0)::BIGINT AS n_chunks, TRUE AS own_partition_only FROM tok LEFT JOIN held ON held.tok = token""")
+def keyword_index_reads(spark, sf):
+    """What the index gives for each token of the queries: in how many chunks it occurs, and that
+    its rows come from its own partition."""
+    base = _inverted(spark, sf)
+    asked = _queries(spark, sf).select(F.explode(keyword_set("text")).alias("token")).distinct()
+    tokens = [r[0] for r in asked.collect()]  # the stated query set's
+    names = spark.createDataFrame(list(enumerate(tokens)), "t int, token string")
+    found = inverted.postings(spark, base, tokens, ("places", "bucket")).groupBy("t").agg(
+        F.sum(F.size("places")).alias("n"), F.collect_set("bucket").alias("buckets"))
+    own = F.coalesce(F.col("buckets") == F.array(inverted.bucket_of("token")), F.lit(True))
+    return names.join(found, "t", "left").select("token", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chunks"),
+                                                 own.alias("own_partition_only"))
+
+
 @register("vector_topk", "R1 W1 E4", """
 SELECT query_id, vec_id, score, rank FROM (
   SELECT q.vec_id AS query_id, c.vec_id,
