@@ -9,9 +9,8 @@ text's last token to the prefix that it leaves, and so on.
 Which pairs may stand together: a pair is compatible if the merges of both strings written
 together end in just these two tokens. As merges go by score alone (then by place), symbols
 that never merge across a border are merged as if alone; so an encoding is right exactly if
-all its neighbours are compatible. A verdict is computed once and kept: most pairs are cleared
-because no symbol on the left token's right edge makes a piece with one on the right token's
-left edge, the others by running their merges.
+all its neighbours are compatible. A token's own merges are found once; a pair's verdict runs
+both side by side and is kept.
 
 Texts are cut where no token can lie across: before white space that follows another sign, if
 no piece has white space behind another sign, and around characters that no piece holds (these
@@ -44,6 +43,7 @@ PIECE, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MODEL_TYPE, BYTE_FALLBACK, UNK_SURFACE, BPE = 3, 35, 44, 2
 CHARSMAP, DUMMY_PREFIX, EXTRA_BLANKS, ESCAPE = 2, 3, 4, 5
+NEVER = float("-inf")
 
 
 def read_model(path: str) -> bytes:
@@ -239,7 +239,7 @@ class Encoder:
         run = rf"[{BLANK}{known}]+" if free else rf"{BLANK}+[{known}]*|[{known}]+"
         self.cut = re.compile(rf"{run}|.", re.DOTALL)
         self.limit, self.max_pairs = store_chars, max_pairs
-        self.pairs, self.edges = Pairs(), {}
+        self.pairs, self.histories = Pairs(), {}
         self._reset()
 
     def _reset(self) -> None:
@@ -262,39 +262,44 @@ class Encoder:
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
             yield at
 
-    def _edges(self, token: int) -> tuple[bool, set[str], set[str]]:
-        """Whether the token's own merges end in it, and the symbols that stand at its left and
-        right edge on the way."""
-        known = self.edges.get(token)
+    def _history(self, token: int) -> tuple[bool, list[float], list[str], list[str]]:
+        """The token's own merges: whether they end in it, their scores in order, and the symbols
+        at its left and right edge before the first and after each."""
+        known = self.histories.get(token)
         if known is None:
             symbols = list(self.text[token])
-            left, right = {symbols[0]}, {symbols[-1]}
-            for _ in self._merge(symbols):
-                left.add(symbols[0])
-                right.add(symbols[-1])
-            known = self.edges[token] = (len(symbols) == 1, left, right)
+            scores, left, right = [], [symbols[0]], [symbols[-1]]
+            for at in self._merge(symbols):
+                scores.append(self.score[symbols[at]])
+                left.append(symbols[0])
+                right.append(symbols[-1])
+            known = self.histories[token] = (len(symbols) == 1, [*scores, NEVER], left, right)
         return known
 
+    def whole(self, token: int) -> bool:
+        """Whether the token is the encoding of its own string."""
+        return self._history(token)[0]
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges of both tokens' strings together end in these two tokens."""
-        whole, _, ends = self._edges(left)
-        alone, starts, _ = self._edges(right)
-        if not (whole and alone):
+        """Whether the merges of both tokens' strings together end in these two tokens: both
+        histories run side by side, best score first and of equal scores the leftmost, and at no
+        time is a merge across the border next."""
+        a_whole, a_scores, _, a_edges = self._history(left)
+        b_whole, b_scores, b_edges, _ = self._history(right)
+        if not (a_whole and b_whole):
             return False
-        score = self.score
-        if not any(a + b in score for a in ends for b in starts):
-            return True
-        a, b = self.text[left], self.text[right]
-        symbols = list(a + b)
-        for _ in self._merge(symbols):
-            at = 0
-            for s in symbols:
-                at += len(s)
-                if at >= len(a):
-                    break
-            if at > len(a):
+        i = j = 0
+        get = self.score.get
+        while True:
+            a, b, across = a_scores[i], b_scores[j], get(a_edges[i] + b_edges[j], NEVER)
+            if across > a and across >= b:
                 return False
-        return symbols == [a, b]
+            if a == b == NEVER:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
 
     # -- last tokens ----------------------------------------------------------------------------
     def _ending(self, rows: np.ndarray, place: int, state: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -309,7 +314,7 @@ class Encoder:
             alone = before < 0
             fits = self.pairs.verdicts(np.where(alone, token, left) << 32 | token, self.compatible)
             if alone.any():
-                fits[alone] = [self._edges(t)[0] for t in token[alone].tolist()]
+                fits[alone] = [self.whole(t) for t in token[alone].tolist()]
             out[todo[fits]] = token[fits]
             at, todo = self.automaton.shorter[at[~fits]], todo[~fits]
         return out
@@ -347,7 +352,7 @@ class Encoder:
                 token = auto.piece[at]
                 before = place - size[token]
                 if before < 0:
-                    fits = self._edges(token)[0]
+                    fits = self.whole(token)
                 else:
                     key = last[before] << 32 | token
                     fits = verdicts.get(key)
