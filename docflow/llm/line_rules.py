@@ -5,22 +5,26 @@ case, blanks folded) and hashed to 64 bits. Per host and line the distinct
 documents are counted; a line above the limit is boilerplate and is removed. A document that
 is left with too few words is depleted and rejected, as is one that fails the base rules.
 
-What counts as a document: copies of one text, exact or near, must not make each other's
-lines boilerplate. Exact copies (a hash of the whole normalised text) are one document. Near
-copies are one too, but only confirmed ones: the near-duplicate operator compares the texts
-that carry a frequent line, at ``NEAR`` percent of their two-word shingles. So unrelated texts
-that share a long line stay distinct while it is less than about 94 % of them. A line counts
-once per document, and a host's size is its number of documents.
-
-Only a line whose distinct texts pass the limit can be boilerplate, so only the texts that
-carry such a line are compared. That set is taken for half the host's size; should near copies
-shrink a host below that, it is taken again for the smaller size. Copies among the other texts
-of a host share no such line; its size counts them each.
+What counts as a document: a line is counted over the distinct texts of the host that hold it
+(exact copies by a hash of all normalised lines). If that count is below the limit, the line
+is none of boilerplate. Of the others, near copies of one text must not condemn each other's lines, so
+a line must pass the limit in one of two further counts, neither of which compares texts:
+
+* texts with enough words of their own, that is without all lines above the limit;
+* texts that differ outside of the line. ``SKETCHES`` hash functions each pick one line of the rest
+  of a text, without the line in question. A text counts one over the number of texts that share
+  at least half of its picks: near copies count about once together, texts that share nothing
+  else count each, however long the line is.
+
+So a document with less of its own is never better off, unless it is alike to others in half of
+its other lines too: then it is the near-duplicate operator's. A host's size is counted like the
+second, over whole texts.
 
 The limit is relative (``line_share`` of a host's documents), from hosts of 50 documents on;
-below, ``line_floor`` guards against chance repeats: a line needs six documents. Lines are pre-aggregated by (host, line, text) before and after
-the shuffle, so a hot host or line is combined on the map side; the boilerplate table joins
-back by (host, line), an equi-join that Spark can split.
+below, ``line_floor`` guards against chance repeats: a line needs six documents. Lines are
+pre-aggregated by (host, line, text) before and after the shuffle, so a hot host or line is
+combined on the map side; the boilerplate table joins back by (host, line), an equi-join that
+Spark can split. Texts are never shuffled.
 
 Defined cases: a null text has no words and fails the base rules; a null host is one host;
 repeated rows are judged row by row; lines without a word never count; an empty table gives no
@@ -30,26 +34,28 @@ rows; other columns travel in ``doc``, whatever their names.
 from __future__ import annotations
 
 import re
-import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.llm import circulant_minhash
-from docflow.llm.common import LOWER, saved, text_of
+from docflow.llm.common import LOWER, saved
 
-NEAR = 90
+SKETCHES = 8
+#: Odd multipliers of the hash functions that pick lines.
+PICKS = np.random.default_rng(20240511).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 
 STATS = (T.StructType().add("n_words", T.LongType()).add("word_chars", T.LongType())
          .add("n_symbols", T.LongType()).add("n_dup_lines", T.LongType()).add("n_repeat_words", T.LongType())
-         .add("lines", T.ArrayType(T.StructType().add("line", T.LongType()).add("words", T.IntegerType()))))
+         .add("key", T.LongType())
+         .add("lines", T.ArrayType(T.StructType().add("line", T.LongType()).add("words", T.IntegerType())))
+         .add("picks", T.ArrayType(T.StructType().add("line", T.LongType()).add("next", T.LongType()))))
 
 
 def repeat_words(words: list[bytes], size: int = 5) -> int:
@@ -73,11 +79,27 @@ def line_hash(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words).translate(LOWER)) - 2**63
 
 
+def picks(lines: list[int]) -> list[dict]:
+    """Per hash function the line with the least hash, and the one that follows it."""
+    if not lines:
+        return [{"line": None, "next": None}] * SKETCHES
+    mixed = np.array(lines, np.int64).view(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(29))[:, None] * PICKS
+    mixed ^= mixed >> np.uint64(32)
+    first = mixed.argmin(0)
+    out = [lines[i] for i in first.tolist()]
+    follow = [None] * SKETCHES
+    if len(lines) > 1:
+        mixed[first, np.arange(SKETCHES)] = np.iinfo(np.uint64).max
+        follow = [lines[i] for i in mixed.argmin(0).tolist()]
+    return [{"line": a, "next": b} for a, b in zip(out, follow, strict=True)]
+
+
 def measure(text: str | None) -> dict:
     raw = (text or "").encode()
     words = raw.split()
     lines: dict[int, int] = {}
-    seen, dup = set(), 0
+    seen, dup, order = set(), 0, []
     for line in raw.split(b"\n"):
         own = line.split()
         if not own:
@@ -86,10 +108,11 @@ def measure(text: str | None) -> dict:
         seen.add(line)
         h = line_hash(own)
         lines[h] = lines.get(h, 0) + len(own)
+        order.append(h)
     return {"n_words": len(words), "word_chars": len(BLANKS.sub(b"", raw).decode()),
             "n_symbols": len(raw.translate(None, SYMBOLS)), "n_dup_lines": dup,
-            "n_repeat_words": repeat_words(words),
-            "lines": [{"line": h, "words": n} for h, n in lines.items()]}
+            "n_repeat_words": repeat_words(words), "key": xxhash.xxh3_64_intdigest(np.array(order, np.int64).tobytes()) - 2**63,
+            "lines": [{"line": h, "words": n} for h, n in lines.items()], "picks": picks(list(lines))}
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
@@ -106,46 +129,52 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
-def text_key(text: Column) -> Column:
-    """A hash of the whole text, normalised as lines are."""
-    upper = string.ascii_uppercase
-    return F.xxhash64(F.trim(F.regexp_replace(F.translate(text, upper, upper.lower()), r"[\x20\x09-\x0D]+", " ")))
+def _different(texts: DataFrame, scope: list[str]) -> DataFrame:
+    """Per ``scope`` the sum over its ``texts`` (scope, key, picked: array of ``SKETCHES`` lines) of one over
+    the number of texts that share half of its picks: scope, n (in millionths)."""
+    each = texts.select(*scope, "key", F.posexplode("picked").alias("j", "pick"))
+    each = each.withColumn("pick", F.coalesce("pick", F.lit(0)))  # none: the text is the line alone
+    shared = each.groupBy(*scope, "j", "pick").agg(F.count("*").alias("same"))
+    met = each.join(shared, [*scope, "j", "pick"])
+    half = F.sort_array(F.collect_list("same"), asc=False)[SKETCHES // 2 - 1]  # of SKETCHES numbers
+    alike = met.groupBy(*scope, "key").agg(half.alias("same"))
+    return alike.groupBy(*scope).agg(F.sum(F.expr("1000000 div same")).alias("n"))
 
 
-def boilerplate(rows: DataFrame, texts: DataFrame, line_share: float, line_floor: int) -> DataFrame:
-    """(host, line) of the lines above the limit. ``rows``: host, key, lines; ``texts``: key, text."""
+def _candidates(rows: DataFrame, line_share: float, line_floor: int) -> tuple[DataFrame, DataFrame]:
+    """(host, docs: its size) and (host, line, docs) of the lines whose distinct texts pass the limit."""
     lines = rows.select("host", "key", F.explode("lines.line").alias("line")).distinct()
     often = saved(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_floor), "often")
     # Only a host with a frequent line counts; each of its texts once.
-    held = saved(rows.select("host", "key").distinct().join(often.select("host").distinct(), "host", "left_semi"), "held")
-    hosts = held.groupBy("host").agg(F.count("*").alias("docs"))
-    least = saved(hosts.select("host", (F.col("docs") / 2).alias("least")), "least")
-    while True:
-        some = often.join(least, "host").where(F.col("n") > F.col("least") * line_share).select("host", "line")
-        found = saved(lines.join(some, ["host", "line"]), "found")
-        near = texts.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-        near = saved(near.select(F.col("key").alias("doc_id"), "text"), "carriers")
-        comp = circulant_minhash.near_duplicates(near, shingle=2, percent=NEAR).where(~F.col("kept"))
-        comp = saved(comp.select(F.col("doc_id").alias("key"), F.col("component_id").alias("comp")), "near")
-        one = F.coalesce("comp", "key").alias("one")
-        size = saved(held.join(comp, "key", "left").select("host", one).distinct()
-                     .groupBy("host").agg(F.count("*").alias("docs")), "sizes")
-        if size.join(least, "host").where(F.col("docs") < F.col("least")).isEmpty():
-            break
-        least = saved(size.select("host", (F.col("docs") / 2).alias("least")), "least")
-    counts = found.join(comp, "key", "left").select("host", "line", one).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
-    return (counts.where(F.col("n") > line_floor).join(size, "host")
-            .where(F.col("n") > F.col("docs") * line_share).select("host", "line"))
-
-
-def _measured(docs: DataFrame, host: str, line_share: float, line_floor: int) -> tuple[DataFrame, DataFrame]:
-    """The measured rows, and their boilerplate lines."""
-    rows = saved(with_stats(docs).select(
+    texts = rows.join(often.select("host").distinct(), "host", "left_semi").select(
+        "host", "key", F.col("picks.line").alias("picked")).dropDuplicates(["host", "key"])
+    sizes = saved(_different(texts, ["host"]).select("host", (F.col("n") / 1_000_000).alias("docs")), "sizes")
+    return sizes, often.join(sizes, "host").where(F.col("n") > F.col("docs") * line_share).select("host", "line", "docs")
+
+
+def boilerplate(rows: DataFrame, line_share: float, line_floor: int, least_words: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """(host, line) of the lines above the limit, and (row, host, line, words) of the rows that hold a candidate."""
+    _, cand = _candidates(rows, line_share, line_floor)
+    lines = rows.select("row", "host", "key", "n_words", "picks", F.explode("lines").alias("l"))
+    held = lines.select("row", "host", "key", "n_words", "picks", "l.line", "l.words").join(cand, ["host", "line"])
+    rest = F.transform("picks", lambda p: F.when(p["line"] == F.col("line"), p["next"]).otherwise(p["line"]))
+    held = saved(held.select("row", "host", "line", "key", "n_words", "words", "docs", rest.alias("picked")), "carriers")
+    own = held.groupBy("row").agg((F.max("n_words") - F.sum("words")).alias("own"), F.max("n_words").alias("n_words"))
+    full = own.where((F.col("own") >= least_words) & (F.col("own") >= F.col("n_words") * least_share)).select("row")
+    above = lambda n: n > F.greatest(F.lit(line_floor), F.col("docs") * line_share)
+    with_own = held.join(full, "row", "left_semi").select("host", "line", "docs", "key").distinct()
+    with_own = with_own.groupBy("host", "line", "docs").agg(F.count("*").alias("n")).where(above(F.col("n")))
+    differ = _different(held.dropDuplicates(["host", "line", "key"]).select("host", "line", "docs", "key", "picked"), ["host", "line", "docs"])
+    differ = differ.where(above(F.col("n") / 1_000_000))
+    bad = saved(with_own.select("host", "line").unionByName(differ.select("host", "line")).distinct(), "boilerplate")
+    return bad, held.select("row", "host", "line", "words")
+
+
+def _measured(docs: DataFrame, host: str) -> DataFrame:
+    return saved(with_stats(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc").dropFields("text").alias("doc"),
         F.coalesce(F.col("doc")[host].cast("string"), F.lit("")).alias("host"),
-        text_key(text_of("doc.text")).alias("key"), "stats.*"), "line-stats")
-    texts = docs.select(text_key(text_of()).alias("key"), text_of().alias("text"))
-    return rows, boilerplate(rows, texts, line_share, line_floor)
+        "stats.*"), "line-stats")
 
 
 def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5,
@@ -153,12 +182,12 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_f
     """One row per row of ``docs``: doc (its columns without the text), the rule counts,
     removed_words, base_failed, depleted and kept. The measured rows are written once, without
     texts, and read by every later step."""
-    rows, bad = _measured(docs, host, line_share, line_floor)
-    lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
-    removed = lines.join(bad, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    rows = _measured(docs, host)
+    bad, held = boilerplate(rows, line_share, line_floor, least_words, least_share)
+    removed = held.join(bad, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return (rows.drop("lines", "key", "host").join(removed, "row", "left").fillna(0, ["removed_words"])
+    return (rows.drop("lines", "picks", "key", "host").join(removed, "row", "left").fillna(0, ["removed_words"])
             .withColumn("base_failed", failed)
             .withColumn("depleted", (F.col("removed_words") > 0)
                         & ((left < least_words) | (left < F.col("n_words") * least_share)))
@@ -176,12 +205,14 @@ def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     return docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
-def clean(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_floor: int = 5,
+          least_words: int = 10, least_share: float = 0.2) -> DataFrame:
     """All rows of ``docs``, their texts without the boilerplate lines; other texts stay as they are.
     Rows equal in host and text lose the same lines."""
     key, at = F.xxhash64("text"), F.coalesce(F.col(host).cast("string"), F.lit(""))
-    rows, bad = _measured(docs.select(host, "text", key.alias("_key")), host, line_share, line_floor)
-    lines = rows.select("host", F.col("doc._key").alias("_key"), F.explode("lines.line").alias("line")).distinct()
+    rows = _measured(docs.select(host, "text", key.alias("_key")), host)
+    bad, held = boilerplate(rows, line_share, line_floor, least_words, least_share)
+    lines = held.join(rows.select("row", F.col("doc._key").alias("_key")), "row").select("host", "_key", "line").distinct()
     gone = lines.join(bad, ["host", "line"]).groupBy(F.col("host").alias("_host"), "_key").agg(F.collect_list("line").alias("_gone"))
 
     def run(batches):

@@ -76,6 +76,78 @@ def test_unrelated_documents_with_one_dominating_line_stay_distinct(spark):
     assert all(got[1000 + i]["kept"] for i in range(2200))
 
 
+def test_documents_that_are_nearly_pure_boilerplate_are_rejected(spark):
+    for own in (1, 5, 30, 45):  # with less of their own they are never better off
+        got = _removed(spark, _host(100, " ".join(f"banner{k}" for k in range(200)), own))
+        assert all(r["removed_words"] == 200 and r["depleted"] and not r["kept"] for r in got.values()), own
+    got = _removed(spark, _host(100, " ".join(f"banner{k}" for k in range(200)), 60))
+    assert all(r["removed_words"] == 200 and r["kept"] for r in got.values())
+
+
+def test_header_and_footer_over_texts_of_their_own(spark):
+    head, foot = (" ".join(f"{x}{k}" for k in range(20)) for x in ("head", "foot"))
+    rows = [(i, f"{head}\n" + " ".join(f"own{i}w{k}" for k in range(8 if i < 10 else 40)) + f"\n{foot}", "h") for i in range(120)]
+    got = _removed(spark, rows)
+    assert all(r["removed_words"] == 40 and r["kept"] == (i >= 10) for i, r in got.items())
+
+
+def _plain_boilerplate(rows, share=0.1, floor=5, least_words=10, least_share=0.2):
+    """doc_id -> removed words, by dictionaries."""
+    host, holds, parsed = {}, {}, {}
+    for i, text, source in rows:
+        words = [tuple(x.translate(brute.LOW).split()) for x in (text or "").split("\n")]
+        lines = Counter()
+        for w in words:
+            if w:
+                lines[lr.line_hash([x.encode() for x in w])] += len(w)
+        key = tuple(w for w in words if w)
+        parsed[i] = source, key, lines, lr.picks(list(lines))
+        host.setdefault(source, {}).setdefault(key, [p["line"] for p in parsed[i][3]])
+        for x in lines:
+            holds.setdefault((source, x), {}).setdefault(key, i)
+
+    def different(texts):
+        same = Counter((j, x) for p in texts for j, x in enumerate(p))
+        return sum(1_000_000 // sorted((same[j, x] for j, x in enumerate(p)), reverse=True)[lr.SKETCHES // 2 - 1] for p in texts) / 1_000_000
+
+    size = {s: different(list(t.values())) for s, t in host.items()}
+    cand = {(s, x) for (s, x), keys in holds.items() if len(keys) > floor and len(keys) > share * size[s]}
+    own = {i: sum(n for x, n in lines.items() if (s, x) not in cand) for i, (s, _, lines, _) in parsed.items()}
+    bad = set()
+    for s, x in cand:
+        limit = max(floor, share * size[s])
+        total = lambda i: sum(parsed[i][2].values())
+        full = {parsed[i][1] for i in parsed if parsed[i][0] == s and x in parsed[i][2]
+                and own[i] >= least_words and own[i] >= least_share * total(i)}
+        rest = [[p["next"] if p["line"] == x else p["line"] for p in parsed[i][3]] for i in holds[s, x].values()]
+        if len(full) > limit or different(rest) > limit:
+            bad.add((s, x))
+    return {i: sum(n for x, n in lines.items() if (s, x) in bad) for i, (s, _, lines, _) in parsed.items()}
+
+
+def test_removed_words_equal_a_plain_version_at_production_limits(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for source, n in (("a", 30), ("b", 150), ("c", 600)):
+        menus = [" ".join(f"{source}m{j}w{k}" for k in range(r.randint(3, 40))) for j in range(6)]
+        base = [" ".join(f"{source}b{j}w{k}" for k in range(12)) for j in range(7)]
+        for _ in range(n):
+            kind = r.random()
+            lines = [m for j, m in enumerate(menus) if r.random() < 0.05 * (j + 1)]
+            if kind < 0.25:  # a near copy
+                lines += base
+                lines[-1 - r.randint(0, 6)] = f"changed {len(rows)}"
+            else:
+                lines += [" ".join(f"o{len(rows)}x{j}y{k}" for k in range(r.randint(1, 9))) for j in range(r.randint(0, 4))]
+            rows.append((len(rows), "\n".join(lines), source))
+    rows += [(len(rows), None, "a"), (len(rows) + 1, " \n ", "b")]
+    got = {i: x["removed_words"] for i, x in _removed(spark, rows).items()}
+    assert got == _plain_boilerplate(rows)
+    assert sum(n > 0 for n in got.values()) > 100
+
+
 def test_a_large_group_of_near_copies_counts_once_in_line_and_host(spark):
     base = [[f"l{j}w{k}" for k in range(20)] for j in range(10)]
     rows = []
