@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: in
     bags = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
 
     def stats(batches):
-        for b in batches:
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows, n = passages([t or "" for t in b.column("text").to_pylist()])
             parts = np.split(rows.ravel(), np.cumsum(n * rows.shape[1])[:-1])
             yield pa.RecordBatch.from_arrays(
@@ -166,21 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, held_mod: in
     return model
 
 
-def score(docs: DataFrame, model: Model, batch_chars: int = 2_000_000) -> DataFrame:
-    """``docs`` plus ``score`` of the whole ``text``."""
+def score(docs: DataFrame, model: Model, batch_chars: int = 250_000) -> DataFrame:
+    """``docs`` plus ``score`` of the whole ``text``, about ``batch_chars`` at a time."""
 
     def run(batches):
         for batch in batches:
-            texts, done, held, size = [t or "" for t in batch.column("text").to_pylist()], [], [], 0
-            for t in [*texts, None]:
-                if t is None or held and size + len(t) > batch_chars:
-                    if held:
-                        rows, n = passages(held)
-                        done.append(model.score(encode(rows), n))
+            done, held, size = [], [], 0
+            for i, text in enumerate(batch.column("text"), 1):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= batch_chars or i == batch.num_rows:
+                    rows, n = passages(held)
+                    done.append(model.score(encode(rows), n))
                     held, size = [], 0
-                if t is not None:
-                    held.append(t)
-                    size += len(t)
             yield batch.set_column(batch.schema.get_field_index("score"), batch.schema.field("score"),
                                    pa.array(np.concatenate([np.zeros(0), *done]), pa.float64()))
 

@@ -46,7 +46,7 @@ class _WordHash(dict):
     """64-bit hashes of words, of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
