@@ -24,8 +24,10 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below ``QUALITY`` go."""
     model = attention_mil.train(docs, read(spark, sf_dir, "labels"))
-    scored = docs.select(F.struct(*docs.columns).alias("doc"), F.col("text"))
-    return attention_mil.score(scored, model).where(F.col("score") >= QUALITY).select("doc.*")
+    rest = [c for c in docs.columns if c != "text"]
+    scored = docs.select(F.struct(*rest).alias("doc"), F.col("text"))  # the text crosses once
+    good = attention_mil.score(scored, model).where(F.col("score") >= QUALITY)
+    return good.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
