@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) with ``common`` (size of the intersection of their full shingle sets, on
     the words themselves), ``linked`` (Jaccard similarity of at least ``percent`` / 100) and
-    ``novel`` (32-bit hashes of a's shingles that b lacks)."""
+    ``novel`` (64-bit hashes of a's shingles that b lacks)."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), "text")
     both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
@@ -138,13 +138,13 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
                     rest = left - right
                     common.append(len(left) - len(rest))
                     linked.append(100 * common[-1] >= percent * (len(right) + len(rest)))
-                    novel.append([xxhash.xxh32_intdigest(b" ".join(s)) - 2**31 for s in rest])
+                    novel.append([xxhash.xxh3_64_intdigest(b" ".join(s)) - 2**63 for s in rest])
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("a"), piece.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()),
-                     pa.array(novel, pa.list_(pa.int32()))], names=["a", "b", "common", "linked", "novel"])
+                     pa.array(novel, pa.list_(pa.int64()))], names=["a", "b", "common", "linked", "novel"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a bigint, b bigint, common bigint, linked boolean, novel array<int>")
+        run, "a bigint, b bigint, common bigint, linked boolean, novel array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:

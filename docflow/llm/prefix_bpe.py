@@ -34,6 +34,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,6 +216,19 @@ class Automaton:
         return out
 
 
+class _Store(dict):
+    """Stretch -> its number; a new one gets the next and is noted in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = number = len(self)
+        self.fresh.append(stretch)
+        return number
+
+
 class Encoder:
     """Encodes texts; keeps verdicts on pairs and the ids of stretches, both of bounded size.
     Stretches of up to ``SHORT`` signs are worked on together, character by character, and those
@@ -243,8 +257,8 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.store: dict[str, int] = {}
-        self.ids, self.ends, self.held = array("i"), array("q", [0]), 0
+        self.store, self.held = _Store(), 0
+        self.ids, self.starts, self.counts = array("i"), array("q"), array("q")
 
     # -- which tokens may stand together ------------------------------------------------------
     def _merge(self, symbols: list[str]) -> Iterator[int]:
@@ -388,19 +402,22 @@ class Encoder:
         return [i for t in tokens for i in ([t] if t < plain else [byte_id[b] for b in self.text[t].encode()])]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode stretches that the store lacks."""
+        """Encode the stretches that were numbered last."""
         if self.pairs.used > self.max_pairs:
             self.pairs = Pairs()
-        short = sorted(s for s in new if s[0] in self.id and len(s) <= self.SHORT)
+        base = len(self.starts)
+        self.starts.frombytes(bytes(8 * len(new)))
+        self.counts.frombytes(bytes(8 * len(new)))
+        self.held += sum(map(len, new)) + 20 * len(new)
+        short = sorted((s, i) for i, s in enumerate(new, base) if s[0] in self.id and len(s) <= self.SHORT)
         if short:
-            sizes = np.array([len(w) for w in short])
-            tokens, counts = self._backwards(self.last_tokens(short), sizes)
+            words, numbers = zip(*short, strict=True)
+            tokens, counts = self._backwards(self.last_tokens(list(words)), np.array([len(w) for w in words]))
             if len(self.text) > len(self.vocab.pieces):
-                cut = np.split(tokens, np.cumsum(counts)[:-1])
-                lists = [self._ids(t.tolist()) for t in cut]
+                lists = [self._ids(t.tolist()) for t in np.split(tokens, np.cumsum(counts)[:-1])]
                 tokens, counts = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
-            self._keep(short, tokens, counts)
-        for s in new:
+            self._keep(np.array(numbers), tokens, counts)
+        for number, s in enumerate(new, base):
             if s[0] not in self.id:
                 ids = [self.vocab.byte_id[b] for b in s.encode()]
             elif len(s) > self.SHORT:
@@ -411,13 +428,12 @@ class Encoder:
                 ids = self._ids(ids[::-1])
             else:
                 continue
-            self._keep([s], np.array(ids), np.array([len(ids)]))
+            self._keep(np.array([number]), np.array(ids), np.array([len(ids)]))
 
-    def _keep(self, stretches: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.store.update(zip(stretches, range(len(self.ends) - 1, len(self.ends) - 1 + len(stretches)), strict=True))
-        self.ends.frombytes((len(self.ids) + np.cumsum(counts)).astype(np.int64).tobytes())
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        np.frombuffer(self.starts, np.int64)[numbers] = len(self.ids) + np.cumsum(counts) - counts
+        np.frombuffer(self.counts, np.int64)[numbers] = counts
         self.ids.frombytes(ids.astype(np.int32).tobytes())
-        self.held += sum(map(len, stretches)) + 20 * len(stretches)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -425,13 +441,12 @@ class Encoder:
             self._reset()
         find, prefix = self.cut.findall, BLANK if self.vocab.prefix else ""
         cut = [find(prefix + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)) - self.store.keys()
-        if new:
-            self._learn(list(new))
         n = sum(map(len, cut))
         at = np.fromiter(map(self.store.__getitem__, chain.from_iterable(cut)), np.int64, n)
-        ends = np.array(self.ends, np.int64)
-        starts, sizes = ends[at], ends[at + 1] - ends[at]
+        if self.store.fresh:
+            self._learn(self.store.fresh)
+            self.store.fresh = []
+        starts, sizes = np.array(self.starts, np.int64)[at], np.array(self.counts, np.int64)[at]
         total = np.cumsum(sizes)
         flat = np.arange(total[-1] if n else 0) + np.repeat(starts - total + sizes, sizes)
         edges = np.cumsum([0, *map(len, cut)])
@@ -512,7 +527,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = [decoder.decode(x.as_py() or []) for x in batch.column("ids")]
+            ids = batch.column("ids").fill_null([])
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(ids).to_numpy())
+            texts = [decoder.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(ends) else []
             field = batch.schema.field("decoded")
             yield batch.set_column(batch.schema.get_field_index("decoded"), field, pa.array(texts, field.type))
 
