@@ -11,9 +11,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from docflow.functions.vectors import dot
-from docflow.operators import ann, classify, retrieval
+from docflow.operators import ann, classify, ivf, retrieval
 from docflow.plans.registry import register
-from docflow.session import saved, table
+from docflow.session import saved, scratch_path, table
 
 #: Share of the true neighbours that the index must find.
 RECALL = 0.9
@@ -38,16 +38,21 @@ def classify_documents(spark, sf):
     return classify.bulk_classify(model, docs, classify.DEFAULT_DIM)
 
 
-def _neighbours(spark, sf):
-    """Approximate and exact neighbours (without itself) of the stated query set (ids
-    divisible by 100) among all vectors."""
+def _exact_neighbours(spark, sf):
+    """The stated query set (ids divisible by 100), all vectors, and the exact five neighbours."""
     emb = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     queries = emb.where(F.col("vec_id") % 100 == 0)
-    approx = saved(ann.lsh_topk(queries, emb, "vec_id", "vec", dim=64, k=5), "lsh")
     exact = retrieval.vector_topk(queries.withColumnRenamed("vec_id", "query_id"), emb, k=6, index_keys=("vec_id",), digits=6)
     exact = retrieval.topk_per_group(exact.where("query_id <> vec_id").drop("rank"), ["query_id"],
                                      [F.col("score").desc(), F.col("vec_id")], 5)
-    return queries, approx, exact
+    return queries, emb, exact
+
+
+def _neighbours(spark, sf):
+    """Approximate and exact neighbours (without itself) of the stated query set (ids
+    divisible by 100) among all vectors."""
+    queries, emb, exact = _exact_neighbours(spark, sf)
+    return queries, saved(ann.lsh_topk(queries, emb, "vec_id", "vec", dim=64, k=5), "lsh"), exact
 
 
 @register("lsh_topk", "R8")
@@ -67,3 +72,37 @@ def lsh_recall(spark, sf):
     same = F.abs(dot("_q", "_v") - F.col("score")) < 1e-5
     return true.groupBy("query_id").agg(F.count("*").alias("n"), F.every(same).alias("scores_exact")).withColumn(
         "recall_ok", recall >= RECALL)
+
+
+def _stored(spark, sf):
+    queries, emb, exact = _exact_neighbours(spark, sf)
+    base = scratch_path(spark, "ivf")
+    ivf.build(emb, base, "vec_id", "vec", dim=64)
+    return queries, emb, exact, saved(ivf.search(queries, base, "vec_id", "vec", k=5), "ivf")
+
+
+@register("ann_topk", "R8 S8")
+def ann_topk(spark, sf):
+    """The stored approximate index, searched for the stated query set."""
+    return _stored(spark, sf)[3].drop("probed")
+
+
+@register("ann_recall", "R8 S8", """
+SELECT vec_id AS query_id, 5::BIGINT AS n, TRUE AS scores_exact, TRUE AS recall_ok, TRUE AS few_compared, TRUE AS few_bytes
+FROM embeddings WHERE vec_id % 100 = 0""")
+def ann_recall(spark, sf):
+    """Per query: k rows with their true scores; recall@5 over all queries of ``RECALL`` or more;
+    fewer than a fifth of all rows compared exactly; codes and vectors read together fewer than a
+    fifth of the vectors' bytes."""
+    queries, emb, exact, approx = _stored(spark, sf)
+    recall = ann.recall_at_k(approx, exact, "vec_id").select("recall").scalar()
+    total = emb.agg(F.count("*")).scalar()
+    true = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("_q")).join(approx, "query_id").join(
+        emb.select("vec_id", F.col("vec").alias("_v")), "vec_id")
+    same = F.abs(dot("_q", "_v") - F.col("score")) < 1e-5
+    out = true.groupBy("query_id").agg(F.count("*").alias("n"), F.every(same).alias("scores_exact"),
+                                       F.max("compared").alias("compared"), F.max("probed").alias("probed"))
+    size = 64 * 4  # bytes of a vector; a code has ivf.SUBSPACES
+    return out.select("query_id", "n", "scores_exact", (recall >= RECALL).alias("recall_ok"),
+                      (5 * F.col("compared") < total).alias("few_compared"),
+                      (5 * (F.col("probed") * ivf.SUBSPACES + F.col("compared") / total * size) < size).alias("few_bytes"))
