@@ -20,6 +20,7 @@ through (one called ``n_tokens`` is replaced); an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
@@ -35,6 +36,9 @@ PLAIN_BELOW = 0x250
 
 
 class Transducer:
+    #: Pieces of more signs are put together one by one.
+    SHORT = 48
+
     def __init__(self, tokenizer_json: str, max_states: int = 1_500_000):
         from tokenizers import Tokenizer
 
@@ -145,16 +149,56 @@ class Transducer:
         nxt, ended = self._step(0, c)
         return nxt, [self.pending(state), *ended]
 
-    def _compile(self, keys: np.ndarray) -> None:
-        made = [self._step(k >> 21, chr(k & 0x1FFFFF)) for k in keys.tolist()]
-        new = list({p for _, ended in made for p in ended if p not in self.lengths})
+    def _pending(self, states: np.ndarray) -> list[str]:
+        """The pending pieces of many states."""
+        parent, char = np.frombuffer(self.parent, np.int32), np.frombuffer(self.char, np.int32)
+        signs, now = [], states
+        while (now > 0).any() and len(signs) <= self.SHORT:
+            signs.append(np.where(now > 0, char[now], 0))
+            now = np.where(now > 0, parent[now], 0)
+        if not signs:
+            return [""] * len(states)
+        back = np.stack(signs, 1)
+        size = (back > 0).sum(1)
+        at = size[:, None] - 1 - np.arange(back.shape[1])
+        out = np.where(at >= 0, np.take_along_axis(back, np.maximum(at, 0), 1), 0).astype(np.uint32)
+        words = np.ascontiguousarray(out).view(f"<U{back.shape[1]}").ravel().tolist()
+        return [w if n <= 0 else self.pending(s) for w, n, s in zip(words, now.tolist(), states.tolist(), strict=True)]
+
+    def _count_pieces(self, pieces: list[str]) -> None:
+        """Tokens of the pieces that are not known yet."""
         if len(self.lengths) > self.max_states:
             self.lengths.clear()
-            new = list({p for _, ended in made for p in ended})
+        new = list({p for p in pieces if p not in self.lengths})
         for p, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
             self.lengths[p] = len(e.ids)
-        self._insert(keys, np.array([n for n, _ in made], np.int32),
-                     np.array([sum(self.lengths[p] for p in ended) for _, ended in made], np.int32))
+
+    def _compile(self, keys: np.ndarray) -> None:
+        """Make the transitions ``keys``: those inside a run of letters or signs and those that end
+        one all at once, the others (from the start, contractions) one by one."""
+        state, char = keys >> 21, keys & 0x1FFFFF
+        kind = np.frombuffer(self.kind, np.int8)[state]
+        signs, at = np.unique(char, return_inverse=True)
+        cls = np.array([self.class_of(chr(c)) for c in signs.tolist()])[at]
+        inside = (kind == IN_LETTERS) & (cls == LETTER) | (kind == IN_SIGNS) & (cls == SIGN)
+        ends = ~inside & ((kind == IN_LETTERS) | (kind == IN_SIGNS))
+        nxt, emit = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32)
+        nxt[inside] = np.arange(len(self.parent), len(self.parent) + inside.sum())
+        for name, values in (("parent", state), ("char", char), ("kind", kind)):
+            column = getattr(self, name)
+            column.frombytes(values[inside].astype(column.typecode).tobytes())
+        after = [self._step(0, chr(c)) for c in signs.tolist()] if ends.any() else []
+        others = np.flatnonzero(~inside & ~ends)
+        made = [self._step(int(s), chr(int(c))) for s, c in zip(state[others], char[others], strict=True)]
+        first, which = np.unique(state[ends], return_inverse=True)
+        pieces = self._pending(first)
+        self._count_pieces([*pieces, *(p for _, ended in (*after, *made) for p in ended)])
+        count = lambda ended: sum(self.lengths[p] for p in ended)
+        if ends.any():
+            nxt[ends] = np.array([n for n, _ in after])[at[ends]]
+            emit[ends] = np.array([self.lengths[p] for p in pieces])[which] + np.array([count(e) for _, e in after])[at[ends]]
+        nxt[others], emit[others] = [n for n, _ in made], [count(e) for _, e in made]
+        self._insert(keys, nxt, emit)
 
     # -- running ---------------------------------------------------------------------------
     def run(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray, state: np.ndarray):
@@ -233,6 +277,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, batch_chars: int = 2_000_
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         machine = Transducer(shared.value, max_states)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
