@@ -8,8 +8,8 @@ from docflow.functions import pii
 from docflow.operators import chunking
 from docflow.plans.registry import register
 from docflow.plans.sql_snippets import CHUNKS_CTE, chunks_cte, redact_sql
-from docflow.session import table
-from docflow.sources import files
+from docflow.session import saved, scratch_path, table
+from docflow.sources import buckets, files
 
 
 @register("upsert_index", "S9 W4 S11 J1", f"""
@@ -30,3 +30,62 @@ def upsert_index(spark, sf):
                  .withColumn("version", F.lit(2))
     return files.upsert(v1, v2).select(
         "chunk_id", "doc_id", "chunk_index", "text", "n_tokens", "version")
+
+
+def _edited(docs):
+    """One document in a hundred, its text preceded by a mark: a batch of changed documents."""
+    return docs.where(F.col("doc_id") % 100 == 0).select("doc_id", F.concat(F.lit("edited "), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+_EDITED_SQL = f"""{CHUNKS_CTE},
+changed AS (SELECT doc_id, 'edited ' || coalesce(text, '') AS text FROM documents WHERE doc_id % 100 = 0),
+{chunks_cte('chunks2', 'changed')}"""
+
+
+@register("bucket_upsert", "S8 S9 W4", f"""
+WITH {_EDITED_SQL},
+u AS (SELECT *, 1 AS version FROM chunks UNION ALL SELECT *, 2 AS version FROM chunks2)
+SELECT chunk_id, doc_id, chunk_index, text, n_tokens, version::BIGINT AS version FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC) AS rn FROM u) WHERE rn = 1""")
+def bucket_upsert(spark, sf):
+    """All chunks in a bucketed table, then the chunks of the edited documents merged into it."""
+    return _bucketed(spark, sf)[0].read()
+
+
+def _bucketed(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    v1 = chunking.chunk_documents(docs).withColumn("version", F.lit(1).cast("bigint"))
+    v2 = chunking.chunk_documents(_edited(docs)).withColumn("version", F.lit(2).cast("bigint"))
+    index = buckets.BucketTable(spark, scratch_path(spark, "buckets"), v1.schema)
+    index.upsert(v1)
+    before = index.files()
+    index.append_delta(v2, 0)
+    index.append_delta(v2, 1)  # delivered again as another batch
+    open_rows = saved(index.read_all(), "open")
+    touched = index.fold()
+    return index, v1, v2, before, open_rows, touched
+
+
+@register("bucket_index_upkeep", "S8 S9 ST2", f"""
+WITH {_EDITED_SQL}
+SELECT (SELECT count(*) FROM (SELECT chunk_id FROM chunks UNION SELECT chunk_id FROM chunks2))::BIGINT AS n_chunks,
+       (SELECT count(*) FROM chunks2)::BIGINT AS n_changed, TRUE AS untouched_files_kept, TRUE AS touched_files_new,
+       TRUE AS only_changed_buckets, TRUE AS deltas_gone, TRUE AS retired, TRUE AS same_as_upsert, TRUE AS open_deltas_read""")
+def bucket_index_upkeep(spark, sf):
+    """What a batch that touches one document in a hundred costs: only its buckets are written, the
+    folded deltas are gone, and the rows are those of a whole rewrite."""
+    index, v1, v2, before, open_rows, touched = _bucketed(spark, sf)
+    after = index.files()
+    want = {r[0] for r in v2.select(index.bucket_of()).distinct().collect()}
+    whole = files.upsert(v1, v2).select(*index.schema.names)
+    differs = lambda a, b: not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty()
+    rest = set(before) - set(touched)
+    gone = index.retire(keep=1)
+    facts = {
+        "untouched_files_kept": all(before[b] == after.get(b) for b in rest) and len(rest) > 0,
+        "touched_files_new": not any(set(before.get(b, ())) & set(after[b]) for b in touched),
+        "only_changed_buckets": set(touched) == want, "deltas_gone": index._deltas() == [],
+        "retired": gone == len(set(before) & set(touched)) and index.files() == after,
+        "same_as_upsert": not differs(index.read(), whole), "open_deltas_read": not differs(open_rows, whole)}
+    n = index.read().agg(F.count("*").alias("n_chunks"))
+    return n.select("n_chunks", F.lit(v2.count()).cast("bigint").alias("n_changed"), *(F.lit(v).alias(k) for k, v in facts.items()))

@@ -1,4 +1,4 @@
-"""Registered queries: the completion loop (U4, P2, JN7, W7) over all conversations."""
+"""Registered queries: the completion loop (U4, P2, JN7, W7) and the judge."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from docflow.operators import completion, lookups, transcripts
+from docflow import contracts
+from docflow.operators import completion, judging, lookups, transcripts
 from docflow.plans import q_transcripts as qt
 from docflow.plans.registry import QUERIES, register
 from docflow.session import table
@@ -103,3 +104,57 @@ def completion_agent(spark, sf):
     conv = table(spark, sf, "conversations")
     prompts = conv.groupBy(F.col("conv_id").alias("request_id")).agg(F.min_by("text", "turn").alias("prompt"))
     return _with_sizes(completion.complete_requests(prompts, completion.from_function(agent), qt._registry(spark, sf), SYSTEM))
+
+
+# Kinds of a judge's replies by document id modulo their number: JSON pieces that replace the good
+# reply's (None: the key is absent), or the whole text; and the error expected.
+_GOOD = {"intent_correctness": "5", "citation_grounding": "4", "field_extraction_quality": "3",
+         "conciseness_and_style": "@", "notes": '"fair"'}
+_REPLIES = (
+    ({}, None), ({"surplus": "[1]"}, None), ({"intent_correctness": '"5"'}, None), ({"citation_grounding": "4.0"}, None),
+    (None, "no_reply"), ("", "empty"), ("The score is 5.", "malformed"), ("[5, 4, 3, 2]", "malformed"), ("null", "malformed"),
+    *(({d: None}, f"missing:{d}") for d in contracts.JUDGE_DIMENSIONS),
+    *(({d: '"good"'}, f"not_integer:{d}") for d in contracts.JUDGE_DIMENSIONS),
+    ({"citation_grounding": "4.5"}, "not_integer:citation_grounding"), ({"intent_correctness": "null"}, "not_integer:intent_correctness"),
+    *(({d: "6"}, f"out_of_range:{d}") for d in contracts.JUDGE_DIMENSIONS), ({"intent_correctness": "0"}, "out_of_range:intent_correctness"),
+    ({"notes": None}, "missing:notes"), ({"notes": "7"}, "not_text:notes"), ({"notes": '"' + "n" * 401 + '"'}, "too_long:notes"),
+    ({"notes": '"' + "n" * 400 + '"'}, None), ({"notes": "7", "intent_correctness": "9"}, "out_of_range:intent_correctness"),
+)
+
+
+def _reply(kind) -> str | None:
+    if not isinstance(kind, dict):
+        return kind
+    return "{" + ", ".join(f'"{k}": {v}' for k, v in (_GOOD | kind).items() if v is not None) + "}"
+
+
+_REPLY_ROWS = ", ".join(f"({i}, {repr(e) if e else 'NULL'})" for i, (_, e) in enumerate(_REPLIES))
+
+
+@register("judge_replies", "U6 J10 V5 J9 U4", f"""
+WITH kinds(i, error) AS (VALUES {_REPLY_ROWS}),
+r AS (SELECT doc_id, n_chars % 5 + 1 AS style, error, doc_id % {len(_REPLIES)} AS i
+      FROM documents JOIN kinds ON kinds.i = doc_id % {len(_REPLIES)})
+SELECT doc_id, error, CASE WHEN error IS NULL THEN (12 + style) / 4.0::DOUBLE END AS mean,
+       CASE WHEN error IS NULL THEN 5 END AS intent_correctness, CASE WHEN error IS NULL THEN 4 END AS citation_grounding,
+       CASE WHEN error IS NULL THEN 3 END AS field_extraction_quality, CASE WHEN error IS NULL THEN style::INTEGER END AS conciseness_and_style,
+       CASE WHEN error IS NULL THEN length(CASE WHEN i = {[i for i, (k, _) in enumerate(_REPLIES) if k == {"notes": '"' + "n" * 400 + '"'}][0]}
+            THEN repeat('n', 400) ELSE 'fair' END) END AS notes_length, TRUE AS asked
+FROM r""")
+def judge_replies(spark, sf):
+    """Every document's answer judged by a recorded reply; every error of the taxonomy occurs.
+    ``asked``: the rubric and the response, as JSON, were the messages."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    responses = docs.select("doc_id", F.struct("doc_id", "lang", F.lit(0.9).alias("confidence")).alias("response"))
+    said = F.element_at(F.array(*[F.lit(_reply(k)) for k, _ in _REPLIES]), (F.pmod("doc_id", F.lit(len(_REPLIES))) + 1).cast("int"))
+    style = (F.col("n_chars") % 5 + 1).cast("string")
+    recorded = docs.select(F.col("doc_id").alias("request_id"), F.lit(0).alias("turn"), F.replace(said, F.lit("@"), style).alias("content"),
+                           F.array().cast(transcripts._TC).alias("tool_calls"), F.lit(1).alias("tokens_in"), F.lit(1).alias("tokens_out"),
+                           F.lit("judge").alias("model"), F.lit("stop").alias("finish_reason")).where("content IS NOT NULL")
+    judged, messages = judging.judge_replies(responses, completion.from_recorded(recorded), "Score the answer from 1 to 5.")
+    asked = messages.groupBy(F.col("request_id").alias("doc_id")).agg(F.every(
+        F.when(F.col("role") == "system", F.col("content") == "Score the answer from 1 to 5.").otherwise(
+            (F.col("role") == "user") & F.startswith("content", F.lit("Response to score:\n"))
+            & (F.get_json_object(F.substr("content", F.lit(20)), "$.doc_id").cast("bigint") == F.col("request_id")))).alias("asked"))
+    return judged.join(asked, "doc_id").select("doc_id", "error", "mean", *contracts.JUDGE_DIMENSIONS,
+                                               F.length("notes").alias("notes_length"), "asked")

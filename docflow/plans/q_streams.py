@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from docflow.functions import pii
 from docflow.functions.text import count_tokens
-from docflow.operators import classify, lookups
+from docflow.operators import chunking, classify, embedding, lookups
 from docflow.plans.registry import register
 from docflow.plans.sql_snippets import CHUNKS_CTE, md5_counts_cte, redact_sql
 from docflow.session import scratch_path, table
+from docflow.sources.buckets import BucketTable
 from docflow.streaming import streams as st
 
 
@@ -112,19 +113,37 @@ def stream_classify_route(spark, sf):
         ((F.col("route") == F.when(sure, "fast").otherwise("escalate_to_reason")) & F.col("confidence").between(0, 1)).alias("routed"))
 
 
-@register("stream_index_upkeep", "ST2 S8 S9 C1 E2", f"""
+_INDEX_SQL = f"""
 WITH {CHUNKS_CTE},
 {md5_counts_cte('cv', 'chunks', 'chunk_id')},
 cn AS (SELECT chunk_id, count(*) AS n_buckets, sum(cnt * cnt)::DOUBLE AS sq FROM cv GROUP BY chunk_id)
 SELECT chunk_id, doc_id, chunk_index, text, n_tokens, coalesce(n_buckets, 0)::BIGINT AS n_buckets,
        coalesce(sq, 0.0) AS squared_norm
-FROM chunks LEFT JOIN cn USING (chunk_id)""")
+FROM chunks LEFT JOIN cn USING (chunk_id)"""
+
+
+def _index_rows(out):
+    square = F.aggregate("cnt", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select("chunk_id", "doc_id", "chunk_index", "text", "n_tokens",
+                      F.size("idx").cast("bigint").alias("n_buckets"), square.alias("squared_norm"))
+
+
+@register("stream_index_upkeep", "ST2 S8 S9 C1 E2", _INDEX_SQL)
 def stream_index_upkeep(spark, sf):
     """Documents indexed as they arrive, with vectors, then compacted into a stored version."""
     base = scratch_path(spark, "st2-index")
     st.run_foreach_batch(st.file_stream(spark, sf, "documents"), base.rsplit("/", 1)[-1], st.index_upkeep_batch(base))
     st.compact_index(spark, base)
-    out = st.read_index(spark, base)
-    square = F.aggregate("cnt", F.lit(0.0), lambda a, x: a + x * x)
-    return out.select("chunk_id", "doc_id", "chunk_index", "text", "n_tokens",
-                      F.size("idx").cast("bigint").alias("n_buckets"), square.alias("squared_norm"))
+    return _index_rows(st.read_index(spark, base))
+
+
+@register("stream_bucket_upkeep", "ST2 S8 S9 C1 E2", _INDEX_SQL)
+def stream_bucket_upkeep(spark, sf):
+    """The same over a bucketed table: deltas folded into the buckets they touch, then retired."""
+    base = scratch_path(spark, "st2-buckets")
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(0)
+    rows = embedding.embed_md5_vectors(chunking.chunk_documents(docs), None, "text").withColumn("version", F.lit(0).cast("bigint"))
+    index = BucketTable(spark, base, rows.schema)
+    st.run_foreach_batch(st.file_stream(spark, sf, "documents"), base.rsplit("/", 1)[-1], st.bucket_upkeep_batch(index))
+    index.fold()
+    return _index_rows(index.read())

@@ -19,6 +19,7 @@ from docflow.functions import pii
 from docflow.operators import chunking, classify, embedding, lookups
 from docflow.session import job_path
 from docflow.sources import files
+from docflow.sources.buckets import BucketTable
 
 
 def file_stream(spark: SparkSession, folder: str, table_name: str,
@@ -115,6 +116,16 @@ def compact_index(spark: SparkSession, base: str) -> str:
     return target
 
 
+def bucket_upkeep_batch(index: BucketTable, dim: int = embedding.DEFAULT_DIM) -> Callable[[DataFrame, int], None]:
+    """ST2 over a bucketed table: the micro-batch's chunks become a delta; ``index.fold`` merges the
+    deltas into the buckets that they touch and retires them, as often as the operator likes."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        chunks = chunking.chunk_documents(batch.select("doc_id", "text"))
+        vectors = embedding.embed_md5_vectors(chunks, None, "text", dim)
+        index.append_delta(vectors.withColumn("version", F.lit(batch_id).cast("bigint")), batch_id)
+    return fn
+
+
 def run_append(df: DataFrame, job: str, path: str) -> DataFrame:
     """Run over everything available now into a parquet sink at ``path``; the sink as a
     batch DataFrame."""
