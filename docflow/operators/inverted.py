@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import keyword_set
 from docflow.operators.retrieval import DEFAULT_TOP_K, MAX_QUERY_BYTES, QuerySlice, best_rows, topk_per_group
-from docflow.session import saved, slices_of, spread
+from docflow.session import Shipped, saved, slices_of, spread
 
 BUCKETS = 64
 BLOCK_BITS = 9
@@ -126,7 +126,7 @@ def _scored(rows: DataFrame, shared, k: int, least: dict[int, tuple[int, int]] |
 def _slice_topk(spark: SparkSession, base: str, rows: list, k: int) -> DataFrame:
     """q, number, hits of the ``k`` best chunks of each query of one slice."""
     q = QuerySlice(rows, 0)
-    shared, tokens = spark.sparkContext.broadcast(q), list(q.number)
+    shared, tokens = Shipped(spark, q), list(q.number)
     likely = _likely_blocks(postings(spark, base, tokens, ("block",)), shared)
     first = sorted({b for _, b in likely})
     seeds = spark.createDataFrame([(b,) for b in first], "block bigint")  # a block a query at most

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.vectors import dot
 from docflow.operators.retrieval import MAX_QUERY_BYTES, best_rows, topk_per_group
-from docflow.session import saved, slices_of
+from docflow.session import Shipped, saved, slices_of
 
 SAMPLE_ROWS = 16_384
 MAX_CELLS = 256
@@ -110,7 +110,7 @@ def add(vectors: DataFrame, base: str, key: str, vec: str) -> None:
     spark = vectors.sparkSession
     model = _model(spark, base)
     dim, kind = model.centres.shape[1], vectors.schema[key].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shipped(spark, model)
 
     def run(batches):
         for batch in batches:
@@ -188,7 +188,7 @@ def search(queries: DataFrame, base: str, key: str, vec: str, k: int = 5, share:
         q = np.array([r["v"] for r in got], np.float64).reshape(len(got), -1) if got else np.zeros((0, model.centres.shape[1]))
         probe = probes(model, sizes, q, share)
         read = (probe @ np.array([sizes.get(c, 0) for c in range(len(model.centres))])) / total
-        shared = spark.sparkContext.broadcast((model, q, model.tables(q), probe))
+        shared = Shipped(spark, (model, q, model.tables(q), probe))
         wanted = rows.where(F.col("cell").isin(np.flatnonzero(probe.any(0)).tolist() or [-1]))
         near = wanted.select("key", "cell", "code").mapInArrow(_kernel(shared, depth + 1), f"q int, cell int, key {kind}, about float")
         names = spark.createDataFrame([(i, r["query_id"], r["v"], float(p)) for i, (r, p) in enumerate(zip(got, read, strict=True))],

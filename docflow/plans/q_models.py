@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from docflow.functions.vectors import dot
-from docflow.operators import ann, classify, ivf, retrieval
+from docflow.operators import ann, boosting, classify, embedding, ivf, metrics, retrieval
 from docflow.plans.registry import register
 from docflow.session import saved, scratch_path, table
 
@@ -106,3 +106,34 @@ def ann_recall(spark, sf):
     return out.select("query_id", "n", "scores_exact", (recall >= RECALL).alias("recall_ok"),
                       (5 * F.col("compared") < total).alias("few_compared"),
                       (5 * (F.col("probed") * ivf.SUBSPACES + F.col("compared") / total * size) < size).alias("few_bytes"))
+
+
+@register("boosted_head", "M1 M2 J11 S12 E6 V9", """
+SELECT doc_id, TRUE AS known_class, TRUE AS confidence_ok, TRUE AS same_after_reload, TRUE AS not_below_linear
+FROM documents JOIN labels USING (doc_id) WHERE doc_id % 4 = 2""")
+def boosted_head(spark, sf):
+    """Boosted trees over hashed embeddings (class = language and quality), trained on three quarters of
+    all labelled documents: what they say of the others, the same from the stored model, and a
+    macro F1 there that is not below the linear head's."""
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    docs = table(spark, sf, "documents").join(lab, "doc_id").select(
+        "doc_id", F.concat_ws("/", "lang", F.col("quality").cast("string")).alias("label"),
+        embedding.dense_unit(F.coalesce("text", F.lit("")), 64).alias("features"))
+    docs = saved(docs, "boosted")
+    held = F.col("doc_id") % 4 == 2
+    model = boosting.fit(docs.where(~held), trees=8, rate=0.3, leaves=8)
+    path = scratch_path(spark, "boosted-head")
+    boosting.save(model, spark, path, 64)
+    again, dim = boosting.load(spark, path)
+    test = docs.where(held)
+    out = saved(boosting.predict(model, test), "boosted-out")
+    same = boosting.predict(again, test.withColumn("features", F.slice("features", 1, dim))).select(
+        "doc_id", F.struct("intent", "confidence").alias("_again"))
+    as_vector = lambda df: df.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
+    linear = classify.predict(classify.fit_head(as_vector(docs.where(~held))), as_vector(test))
+    f1 = lambda df: metrics.classifier_metrics(df.select(
+        F.col("label").alias("truth"), F.col("intent").alias("pred"))).select("macro_f1").scalar()
+    return out.join(same, "doc_id").select(
+        "doc_id", F.col("intent").isin(model.classes).alias("known_class"),
+        F.col("confidence").between(1 / len(model.classes), 1).alias("confidence_ok"),
+        (F.struct("intent", "confidence") == F.col("_again")).alias("same_after_reload"), (f1(out) >= f1(linear)).alias("not_below_linear"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,23 @@ def spread(df: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * split_bytes else df
 
 
+class Shipped:
+    """A broadcast object of the package's own classes: pickled by value, so that workers that do not
+    have the package can read it; unpickled once a task."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self._broadcast, self._held = spark.sparkContext.broadcast(cloudpickle.dumps(obj)), None
+
+    def __getstate__(self):
+        return {"_broadcast": self._broadcast, "_held": None}
+
+    @property
+    def value(self):
+        if self._held is None:
+            self._held = pickle.loads(self._broadcast.value)
+        return self._held
+
+
 def slices_of(df: DataFrame, key: str, row_bytes, max_bytes: int) -> list[DataFrame]:
     """``df`` in hash slices of about ``max_bytes`` each (``row_bytes``: a column), so that a
     stated query set of any size can be collected and broadcast block by block."""

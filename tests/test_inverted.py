@@ -3,7 +3,7 @@ import random
 import pytest
 
 from docflow.operators import inverted, retrieval
-from docflow.session import scratch_path
+from docflow.session import Shipped, scratch_path
 from tests.conftest import rows
 
 COLS = ("query_id", "chunk_id", "doc_id", "chunk_index", "score", "rank")
@@ -47,7 +47,7 @@ def test_blocks_below_the_threshold_are_skipped(spark, monkeypatch):
     texts = ["alpha beta gamma delta" if i in (3, 4) else "alpha" if i % 2 else "other words" for i in range(400)]
     df, base = _index(spark, [(f"{i}_0", i, 0, t) for i, t in enumerate(texts)])
     q = [{"query_id": 1, "toks": ["alpha", "beta", "gamma", "delta"], "idx": None, "norm": None}]
-    shared = spark.sparkContext.broadcast(retrieval.QuerySlice(q, 0))
+    shared = Shipped(spark, retrieval.QuerySlice(q, 0))
     all_rows = inverted.postings(spark, base, list(shared.value.number))
     assert inverted._likely_blocks(all_rows, shared) == [(0, 0)]
     found = inverted._scored(all_rows, shared, 2, {0: (4, 4)}).collect()

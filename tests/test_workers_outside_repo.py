@@ -12,7 +12,7 @@ from docflow.plans.registry import load_all
 from docflow.session import build_session
 spark = build_session("outside", cpus=2, shuffle_partitions=2)
 qs = load_all()
-for name in ("embed_blake2b", "chunk_documents_encoder", "vector_topk"):
+for name in ("embed_blake2b", "chunk_documents_encoder", "vector_topk", "keyword_topk_stored", "ann_topk", "completion_agent", "boosted_head"):
     n = qs[name].build(spark, "/root/testdata/sf0.001").count()
     print(name, n)
 """
