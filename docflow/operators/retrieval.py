@@ -212,6 +212,12 @@ def hybrid_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
     vector and the matching top 2k by keyword over all chunks; the blend ranks them. One
     kernel pass gives both lists with all scores. Inputs and output as ``blended_topk``,
     which is the exact search."""
+    cands = _candidates(queries, index, k, vector_weight, dim, max_query_bytes)
+    return topk_per_group(cands, ["query_id"], _order("score"), k)
+
+
+def _candidates(queries: DataFrame, index: DataFrame, k: int, vector_weight: float, dim: int, max_query_bytes: int) -> DataFrame:
+    """The top ``2k`` of each query by vector and the matching top ``2k`` by keyword, with all scores."""
     check_vector_weight(vector_weight)
     depth = 2 * k
     found = score_blocks(_with_tokens(queries, "query_id"),
@@ -219,8 +225,56 @@ def hybrid_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                          (("vec", depth), ("kw", depth)), vector_weight, dim, max_query_bytes)
     ranked = found.select("*", *(F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(c))).alias(r)
                                  for c, r in (("vec_score", "_v"), ("kw_score", "_k"))))
-    cands = ranked.where((F.col("_v") <= depth) | ((F.col("_k") <= depth) & (F.col("kw_score") > 0)))
-    return topk_per_group(cands.drop("_v", "_k"), ["query_id"], _order("score"), k)
+    return ranked.where((F.col("_v") <= depth) | ((F.col("_k") <= depth) & (F.col("kw_score") > 0))).drop("_v", "_k")
+
+
+def shortest_cover(words: list[str], wanted: set[str]) -> tuple[int, int]:
+    """(distinct ``wanted`` words among ``words``, length of the shortest run that holds them all)."""
+    found = len(wanted.intersection(words))
+    if not found:
+        return 0, 0
+    held: dict[str, int] = {}
+    best, start = len(words), 0
+    for end, w in enumerate(words):
+        if w not in wanted:
+            continue
+        held[w] = held.get(w, 0) + 1
+        while len(held) == found:
+            best = min(best, end - start + 1)
+            first = words[start]
+            if first in wanted:
+                held[first] -= 1
+                if not held[first]:
+                    del held[first]
+            start += 1
+    return found, best
+
+
+def reranked_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K, vector_weight: float = DEFAULT_VECTOR_WEIGHT,
+                  dim: int = 384, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """R7 with a second stage: the candidates of ``hybrid_topk`` are ranked by proximity, that is
+    matched^2 / (|Q| * length of the shortest run of words that holds all matched query tokens).
+    A candidate with fewer than two matched tokens has no reranker score and keeps its base score.
+    Output: query_id, chunk_id, doc_id, chunk_index, base_score, matched, cover, reranker_score, score, rank."""
+    cands = saved(_candidates(queries, index, k, vector_weight, dim, max_query_bytes)
+                  .select("query_id", "chunk_id", "doc_id", "chunk_index", F.col("score").alias("base_score")), "candidates")
+    asked = queries.select("query_id", keyword_set("text").alias("toks"))
+    met = cands.join(index.select("chunk_id", F.col("text").alias("_text")), "chunk_id").join(asked, "query_id")
+    schema = T.StructType([*cands.schema.fields, T.StructField("matched", T.IntegerType()), T.StructField("cover", T.IntegerType()),
+                           T.StructField("asked", T.IntegerType())])
+
+    def run(batches):
+        for pdf in batches:
+            got = [shortest_cover([w.lower() for w in text.split()], set(toks) if toks is not None else set())
+                   for text, toks in zip(pdf["_text"].fillna(""), pdf["toks"], strict=True)]
+            pdf["matched"], pdf["cover"] = [m for m, _ in got], [c for _, c in got]
+            pdf["asked"] = [len(t) if t is not None else 0 for t in pdf["toks"]]
+            yield pdf[schema.names]
+
+    out = met.select(*cands.columns, "_text", "toks").mapInPandas(run, schema)
+    again = F.when(F.col("matched") >= 2, F.col("matched") * F.col("matched") / (F.col("asked") * F.col("cover")))
+    out = out.withColumn("reranker_score", again).withColumn("score", F.coalesce("reranker_score", "base_score")).drop("asked")
+    return topk_per_group(out, ["query_id"], _order("score"), k)
 
 
 # ---- R1 over dense vectors -------------------------------------------------

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from docflow.functions.text import keyword_set
-from docflow.operators import chunking, embedding, inverted, retrieval
+from docflow.operators import chunking, embedding, inverted, retrieval, vector_store
 from docflow.plans.registry import register
-from docflow.plans.sql_snippets import CHUNKS_CTE, keyword_matches_cte, kwset, md5_counts_cte
-from docflow.session import scratch_path, table
+from docflow.plans.sql_snippets import CHUNKS_CTE, SPACE, keyword_matches_cte, kwset, md5_counts_cte
+from docflow.session import saved, scratch_path, table
 
 
 def _chunks(spark, sf):
@@ -205,3 +206,73 @@ SELECT query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank
 def hybrid_topk(spark, sf):
     """The candidate mode of a managed search service over the same index."""
     return retrieval.hybrid_topk(_query_vectors(spark, sf), _index(spark, sf), k=5)
+
+
+@register("reranked_topk", "R7", HYBRID_SQL[:HYBRID_SQL.index("SELECT query_id, chunk_id, doc_id, chunk_index, vec_score, kw_score, score, rank FROM (")].rstrip() + rf""",
+want AS (SELECT query_id, unnest({kwset('text')}) AS tok FROM q),
+asked AS (SELECT query_id, count(*) AS n FROM want GROUP BY query_id),
+word AS (SELECT query_id, chunk_id, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM (
+           SELECT query_id, chunk_id, list_transform(list_filter(regexp_split_to_array(chunk_text, '{SPACE}'),
+                  lambda t: length(t) > 0), lambda t: lower(t)) AS w FROM scored)),
+hit AS (SELECT word.* FROM word JOIN want USING (query_id, tok)),
+found AS (SELECT query_id, chunk_id, count(DISTINCT tok) AS matched FROM hit GROUP BY ALL),
+nxt AS (SELECT a.query_id, a.chunk_id, a.pos, b.tok, min(b.pos) AS p FROM (SELECT DISTINCT query_id, chunk_id, pos FROM hit) a
+        JOIN hit b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos >= a.pos GROUP BY ALL),
+run AS (SELECT nxt.query_id, nxt.chunk_id, nxt.pos, max(p) - nxt.pos + 1 AS len FROM nxt JOIN found USING (query_id, chunk_id)
+        GROUP BY nxt.query_id, nxt.chunk_id, nxt.pos, matched HAVING count(*) = matched),
+cover AS (SELECT query_id, chunk_id, min(len) AS cover FROM run GROUP BY ALL),
+rr AS (SELECT s.query_id, s.chunk_id, s.doc_id, s.chunk_index, s.score AS base_score, coalesce(matched, 0)::INTEGER AS matched,
+              coalesce(cover, 0)::INTEGER AS cover, CASE WHEN matched >= 2 THEN matched * matched / (n * cover)::DOUBLE END AS reranker_score
+       FROM scored s LEFT JOIN found USING (query_id, chunk_id) LEFT JOIN cover USING (query_id, chunk_id) LEFT JOIN asked USING (query_id))
+SELECT query_id, chunk_id, doc_id, chunk_index, base_score, matched, cover, reranker_score, score, rank FROM (
+  SELECT *, coalesce(reranker_score, base_score) AS score, row_number() OVER (PARTITION BY query_id
+         ORDER BY coalesce(reranker_score, base_score) DESC, doc_id, chunk_index) AS rank FROM rr) WHERE rank <= 5""")
+def reranked_topk(spark, sf):
+    """The candidates of ``hybrid_topk``, ranked again by how near each other the query's words stand."""
+    return retrieval.reranked_topk(_query_vectors(spark, sf), _index(spark, sf), k=5)
+
+
+@register("subword_windows", "C1 C2 U2", """
+SELECT doc_id, length(text)::BIGINT AS n_chars, TRUE AS exact_slices, TRUE AS no_gap, TRUE AS full_windows, TRUE AS ids_in_order
+FROM documents WHERE length(text) >= 1""")
+def subword_windows(spark, sf, tokenizer: str = "byte_bpe_50k.json"):
+    """Windows of 400 subword tokens (40 shared) over all documents: every window is the text's
+    slice at its offsets, windows leave no gap, all but a text's last hold 400 tokens."""
+    with open(public_tokenizers.path(tokenizer), encoding="utf-8") as f:
+        spec = f.read()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    win = saved(chunking.subword_windows(docs, spec), "windows")
+    nxt = win.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("start").alias("_next"))
+    win = win.join(nxt, ["doc_id", "chunk_index"], "left").join(docs.withColumnRenamed("text", "_whole"), "doc_id")
+    exact = F.col("text") == F.substring(F.col("_whole"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    last = F.col("_next").isNull()
+    gap = F.when(last, F.col("stop") == F.length("_whole")).otherwise(F.col("_next") <= F.col("stop"))
+    gap = gap & F.when(F.col("chunk_index") == 0, F.col("start") == 0).otherwise(True)
+    full = F.when(last, F.col("n_tokens").between(0, 400)).otherwise(F.col("n_tokens") == 400)
+    named = F.col("chunk_id") == F.format_string("%s_chunk_%04d", F.col("doc_id").cast("string"), F.col("chunk_index").cast("int"))
+    return win.groupBy("doc_id").agg(F.max("stop").alias("n_chars"), F.every(exact).alias("exact_slices"), F.every(gap).alias("no_gap"),
+                                     F.every(full).alias("full_windows"), F.every(named).alias("ids_in_order"))
+
+
+@register("embed_by_content", "E5 E2 S8", """
+SELECT (SELECT count(*) FROM documents)::BIGINT AS n_texts, (SELECT count(DISTINCT coalesce(text, '')) FROM documents)::BIGINT AS first_embedded,
+       0::BIGINT AS again_embedded,
+       (SELECT count(DISTINCT t) FROM (SELECT 'edited ' || coalesce(text, '') AS t FROM documents WHERE doc_id % 100 = 0)
+        WHERE t NOT IN (SELECT coalesce(text, '') FROM documents))::BIGINT AS edited_embedded, TRUE AS vectors_equal""")
+def embed_by_content(spark, sf):
+    """All documents embedded, embedded again (nothing is new) and with one document in a hundred
+    edited (only those are new); the vectors are those of a plain run."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    store = vector_store.VectorStore(spark, scratch_path(spark, "vectors"))
+    first, n1 = store.embed(docs)
+    again, n2 = store.embed(docs)
+    mark = F.concat(F.lit("edited "), F.coalesce("text", F.lit("")))
+    edited, n3 = store.embed(docs.withColumn("text", F.when(F.col("doc_id") % 100 == 0, mark).otherwise(F.col("text"))))
+    vec = lambda df, name: df.select("doc_id", F.struct("idx", "cnt", "norm").alias(name))
+    plain = embedding.embed_md5_vectors(docs.withColumn("text", F.coalesce("text", F.lit(""))), ["doc_id", "text"])
+    met = vec(plain, "_p").join(vec(first, "_f"), "doc_id", "left").join(vec(again, "_a"), "doc_id", "left").join(
+        edited.select("doc_id", F.col("norm").alias("_n")), "doc_id", "left")
+    same = F.col("_p").eqNullSafe(F.col("_f")) & F.col("_p").eqNullSafe(F.col("_a")) & F.col("_n").isNotNull()
+    count = lambda n: F.lit(n).cast("bigint")
+    return met.agg(F.count("*").alias("n_texts"), F.every(same).alias("vectors_equal")).select(
+        "n_texts", count(n1).alias("first_embedded"), count(n2).alias("again_embedded"), count(n3).alias("edited_embedded"), "vectors_equal")

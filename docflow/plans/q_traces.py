@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docflow.operators import classify as cl
-from docflow.operators import lookups, transcripts
+from docflow.operators import lookups, sketches, transcripts
 from docflow.operators import regression as rg
 from docflow.operators.embedding import prompt_hash_native
 from docflow.plans import q_streams, q_transcripts
 from docflow.plans.registry import register
-from docflow.session import saved, table
+from docflow.session import saved, scratch_path, table
+from docflow.streaming import streams as st
 
 
 @register("trace_sample", "S14 J3 W3", """
@@ -289,3 +290,41 @@ def judge_run(spark, sf):
     scores = judge_scores(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     per_doc, _agg = rg.judge_run(traces, scores.drop("source"))
     return per_doc
+
+
+#: Stated errors: ranks of quantiles, and distinct counts relative to the true ones.
+RANK_ERROR, COUNT_ERROR = 0.02, 0.03
+
+
+@register("sketch_rollup", "A18 ST5 S8", """
+WITH g AS (SELECT event_type AS model, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most
+           FROM events GROUP BY ROLLUP (event_type))
+SELECT model, n::BIGINT AS n, total, least, most, (SELECT count(DISTINCT ts::DATE) FROM events)::BIGINT AS n_days,
+       TRUE AS p50_ok, TRUE AS p95_ok, TRUE AS people_ok, TRUE AS stream_n_ok, TRUE AS stream_p50_ok, TRUE AS stream_people_ok FROM g""")
+def sketch_rollup(spark, sf):
+    """Sketches stored per day and model, merged per model and over all, against the exact ranks and
+    counts; and the same from sketches that a stream wrote per batch."""
+    ev = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), "value", "user_id")
+    stored = saved(sketches.daily(ev, "ts", ["model"], "value", "user_id"), "sketches")
+    base = scratch_path(spark, "sketch-stream")
+    body = sketches.stream_batch(base, "ts", ["model"], "value", "user_id")
+    events = st.event_time(st.file_stream(spark, sf, "events")).withColumnRenamed("event_type", "model")
+    st.run_foreach_batch(events, base.rsplit("/", 1)[-1], body)
+    cols = ("p50", "p95", "people")
+    got = sketches.estimates(sketches.roll_up(stored, ["model"]))
+    live = sketches.estimates(sketches.roll_up(sketches.read_stream(spark, base), ["model"])).select(
+        "model", F.col("n").alias("s_n"), *(F.col(c).alias(f"s_{c}") for c in cols))
+    got = saved(got.join(live, got["model"].eqNullSafe(live["model"])).drop(live["model"]), "estimates")
+    # Exact ranks: a group's rows against its estimates (one row per group); a null model is all rows.
+    each = ev.select(F.explode(F.array(F.col("model"), F.lit(None).cast("string"))).alias("_m"), "value", "user_id")
+    met = each.join(F.broadcast(got.select("model", "p50", "p95", "s_p50")), each["_m"].eqNullSafe(F.col("model")))
+    below = lambda c: [F.avg((F.col("value") < F.col(c)).cast("double")).alias(f"lo_{c}"),
+                       F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"hi_{c}")]
+    true = met.groupBy("_m").agg(*below("p50"), *below("p95"), *below("s_p50"), F.countDistinct("user_id").alias("true_people"))
+    near = lambda c, r: (F.col(f"lo_{c}") - RANK_ERROR <= r) & (F.lit(r) <= F.col(f"hi_{c}") + RANK_ERROR)
+    close = lambda c: F.abs(F.col(c) - F.col("true_people")) <= COUNT_ERROR * F.col("true_people")
+    days = stored.agg(F.countDistinct("day")).scalar()
+    return got.join(true, got["model"].eqNullSafe(true["_m"])).select(
+        "model", "n", F.round("total", 6).alias("total"), "least", "most", days.alias("n_days"), near("p50", 0.5).alias("p50_ok"),
+        near("p95", 0.95).alias("p95_ok"), close("people").alias("people_ok"), (F.col("s_n") == F.col("n")).alias("stream_n_ok"),
+        near("s_p50", 0.5).alias("stream_p50_ok"), close("s_people").alias("stream_people_ok"))
