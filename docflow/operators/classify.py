@@ -38,13 +38,15 @@ def check_training_input(train: DataFrame, vec_col: str = "features", label_col:
 
 
 def fit_head(train: DataFrame, label_col: str = "label", kind: str = "lr",
-             max_iter: int = 100, seed: int = 42) -> PipelineModel:
+             max_iter: int = 100, seed: int = 42, stored: bool = False) -> PipelineModel:
     """M1: StringIndexer(label) -> head -> IndexToString(prediction).
 
     kind='lr': multinomial logistic regression weighted by balanced class weights;
     kind='gbt': one-vs-rest GBT (stepSize .05, depth 5, min 5 rows per node, seed 42).
+    ``stored``: ``train`` is a written table already. The boosted multiclass head of the reference's
+    kind (softmax trees) is ``operators.boosting``.
     """
-    train = saved(train, "training")   # read by every pass of the fit
+    train = train if stored else saved(train, "training")   # read by every pass of the fit
     check_training_input(train, "features", label_col)
     w = metrics.class_weights(train, label_col)
     idx = StringIndexer(inputCol=label_col, outputCol="label_idx", handleInvalid="error",
@@ -112,7 +114,7 @@ def train_job(docs: DataFrame, labels: DataFrame, dim: int = DEFAULT_DIM, kind:
         first = [r[0] for r in missing.orderBy("doc_id").limit(5).collect()]
         raise ValueError(f"{n} documents without labels, such as {first}; all in {missing.inputFiles()[0].rsplit('/', 1)[0]}")
     train = saved(features(docs.select("doc_id", "text").join(labels.select("doc_id", "label"), "doc_id"), "text", dim), "train")
-    model = fit_head(train, "label", kind)
+    model = fit_head(train, "label", kind, stored=True)
     pred = saved(predict(model, train).select(F.col("label").alias("truth"), F.col("intent").alias("pred")), "predictions")
     return model, metrics.classifier_metrics(pred), metrics.classification_report(pred)
 

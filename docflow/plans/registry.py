@@ -35,7 +35,7 @@ def register(name: str, ops: str, sql: str | None = None):
 
 
 PLAN_MODULES = ("q_retrieval", "q_text", "q_metrics", "q_guardrails", "q_transcripts", "q_loops",
-                "q_traces", "q_index", "q_models", "q_streams")
+                "q_traces", "q_index", "q_models", "q_streams", "q_sources")
 
 
 def load_all() -> dict[str, Query]:
