@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import SPACE_RUN
-from docflow.operators.retrieval import best_rows
+from docflow.operators.retrieval import BLOCK_CELLS, best_rows
 from docflow.session import slices_of, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
@@ -95,16 +95,18 @@ class ClauseSlice:
         return [t for t in min(sets, key=len) if token in self.texts[t]]
 
     def score(self, queries: list[list[str]]) -> np.ndarray:
-        """(query, entry): tokens of the query that the entry's text contains."""
-        counts = [Counter(q) for q in queries]
-        number = {t: j for j, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
-        times = np.zeros((len(queries), len(number)), np.float32)
-        for i, c in enumerate(counts):
-            times[i, [number[t] for t in c]] = list(c.values())
-        there = np.zeros((len(number), len(self.texts)), np.float32)
-        for t, j in number.items():
-            there[j, self.holding(t)] = 1
-        return (times @ there)[:, self.text_of]
+        """(query, entry): tokens of the query that the entry's text contains, repeats too. Added token by
+        token to the texts that hold it: no token x entry matrix."""
+        asked: dict[str, dict[int, int]] = {}
+        for i, q in enumerate(queries):
+            for t, n in Counter(q).items():
+                asked.setdefault(t, {})[i] = n
+        out = np.zeros((len(queries), len(self.texts)), np.int32)
+        for t, who in asked.items():
+            held = self.holding(t)
+            if held:
+                out[np.ix_(list(who), held)] += np.array(list(who.values()), np.int32)[:, None]
+        return out[:, self.text_of]
 
 
 def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = DEFAULT_CLAUSE_TOP_K,
@@ -125,8 +127,9 @@ def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = D
         def run(batches):
             block = ClauseSlice(shared.value)
             for pdf in batches:
-                for at in range(0, len(pdf) if block.rows else 0, 64):
-                    part = pdf.iloc[at:at + 64]
+                step = max(1, BLOCK_CELLS // max(1, len(block.rows)))
+                for at in range(0, len(pdf) if block.rows else 0, step):
+                    part = pdf.iloc[at:at + step]
                     s = block.score(list(part["toks"]))
                     k = part["_k"].to_numpy()
                     row, col = best_rows(s, int(max(k.max(), 0)))
