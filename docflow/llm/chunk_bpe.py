@@ -159,12 +159,15 @@ def read_json(path: str) -> str:
 
 
 def encode(docs: DataFrame, tokenizer_json: str, mean_bits: int = 10,
-           store_chars: int = 24_000_000) -> DataFrame:
-    """``docs`` plus ``ids``: the tokens of the whole ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+           store_chars: int = 24_000_000, decoded: bool = False) -> DataFrame:
+    """``docs`` plus ``ids``: the tokens of the whole ``text``; with ``decoded`` also the text that these
+    ids stand for, from the same pass (one Python worker a core instead of two)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(tokenizer_json)
+    names = spark.sparkContext.broadcast(token_bytes(tokenizer_json) if decoded else [])
 
     def run(batches):
-        coder = Encoder(shared.value, store_chars, mean_bits)
+        coder, get = Encoder(shared.value, store_chars, mean_bits), names.value.__getitem__
         for batch in batches:
             for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 ids = coder.encode([t or "" for t in piece.column("text").to_pylist()])
@@ -173,9 +176,16 @@ def encode(docs: DataFrame, tokenizer_json: str, mean_bits: int = 10,
                 at = piece.schema.get_field_index("ids")
                 field = piece.schema.field("ids")
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())).cast(field.type)
-                yield piece.set_column(at, field, column)
-
-    out = docs.drop("ids").withColumn("ids", F.lit(None).cast("array<int>"))
+                out = piece.set_column(at, field, column)
+                if decoded:
+                    field = piece.schema.field("decoded")
+                    texts = [b"".join(map(get, x.tolist())).decode("utf-8", "replace") for x in ids]
+                    out = out.set_column(piece.schema.get_field_index("decoded"), field, pa.array(texts, field.type))
+                yield out
+
+    out = docs.drop("ids", *["decoded"] * decoded).withColumn("ids", F.lit(None).cast("array<int>"))
+    if decoded:
+        out = out.withColumn("decoded", F.lit(None).cast("string"))
     return out.mapInArrow(run, out.schema)
 
 

@@ -495,12 +495,14 @@ class Decoder:
         return True
 
 
-def encode(docs: DataFrame, model: bytes, store_chars: int = 12_000_000, batch_chars: int = 1_000_000) -> DataFrame:
-    """``docs`` plus ``ids``: the tokens of the whole ``text``. One narrow stage, no shuffle."""
+def encode(docs: DataFrame, model: bytes, store_chars: int = 12_000_000, batch_chars: int = 1_000_000,
+           decoded: bool = False) -> DataFrame:
+    """``docs`` plus ``ids``: the tokens of the whole ``text``; with ``decoded`` also the text that these ids
+    stand for, from the same pass. One narrow stage, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        coder = Encoder(shared.value, store_chars)
+        coder, back = Encoder(shared.value, store_chars), Decoder(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             field = batch.schema.field("ids")
@@ -511,12 +513,20 @@ def encode(docs: DataFrame, model: bytes, store_chars: int = 12_000_000, batch_c
                 size += len(held[-1])
                 if size >= batch_chars or i + 1 == batch.num_rows:
                     flat, counts = coder.encode(held)
-                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    ends = np.cumsum(counts)
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
                     made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())).cast(field.type)
-                    yield batch.slice(start, i + 1 - start).set_column(at, field, made)
+                    out = batch.slice(start, i + 1 - start).set_column(at, field, made)
+                    if decoded:
+                        texts = [back.decode(part.tolist()) for part in np.split(flat, ends[:-1])]
+                        name = batch.schema.field("decoded")
+                        out = out.set_column(batch.schema.get_field_index("decoded"), name, pa.array(texts, name.type))
+                    yield out
                     start, size, held = i + 1, 0, []
 
-    out = docs.drop("ids").withColumn("ids", F.lit(None).cast("array<int>"))
+    out = docs.drop("ids", *["decoded"] * decoded).withColumn("ids", F.lit(None).cast("array<int>"))
+    if decoded:
+        out = out.withColumn("decoded", F.lit(None).cast("string"))
     return out.mapInArrow(run, out.schema)
 
 

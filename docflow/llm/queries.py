@@ -61,8 +61,7 @@ def op2_decontaminate(spark, sf):
 def op7_chunk_bpe(spark, sf, tokenizer: str = "byte_bpe_50k.json"):
     """All documents, encoded and decoded again."""
     spec = chunk_bpe.read_json(public_tokenizers.path(tokenizer))
-    ids = chunk_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), spec).drop("text")
-    back = chunk_bpe.decode(ids, spec)
+    back = chunk_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), spec, decoded=True).drop("text")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
@@ -127,8 +126,7 @@ def op8_license_scan(spark, sf):
 def op13_prefix_bpe(spark, sf, tokenizer: str = "piece_bpe_32k.model"):
     """All documents, encoded by last tokens of prefixes and decoded again."""
     model = prefix_bpe.read_model(public_tokenizers.path(tokenizer))
-    ids = prefix_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), model).drop("text")
-    back = prefix_bpe.decode(ids, model)
+    back = prefix_bpe.encode(read(spark, sf, "documents").select("doc_id", "text"), model, decoded=True).drop("text")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),

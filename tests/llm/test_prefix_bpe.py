@@ -85,7 +85,9 @@ def test_round_trip_over_awkward_rows(spark):
     for x in rows:
         want = LIB.encode(x["text"] or "")
         assert x["ids"] == want and x["decoded"] == LIB.decode(want) and x["found"] == 2
-    assert prefix_bpe.encode(docs.limit(0), MODEL).count() == 0
+    both = prefix_bpe.encode(docs, MODEL, decoded=True).select(*out.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, rows))
+    assert prefix_bpe.encode(docs.limit(0), MODEL, decoded=True).count() == 0
 
 
 def test_query(spark):

@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docflow.llm import chunk_bpe, fst_count
@@ -61,6 +62,9 @@ def test_encode_and_decode_round_trip(spark):
     out = chunk_bpe.decode(chunk_bpe.encode(docs, BYTES), BYTES).collect()
     assert len(out) == len(brute.ROWS)
     assert all(r["decoded"] == (r["text"] or "") and r["found"] == 2 for r in out)
+    both = chunk_bpe.encode(docs.withColumn("decoded", F.lit(1)), BYTES, decoded=True)
+    assert sorted(map(str, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(
+        str, chunk_bpe.decode(chunk_bpe.encode(docs, BYTES), BYTES).select("doc_id", "ids", "decoded").collect()))
     assert chunk_bpe.encode(docs.limit(0), BYTES).count() == 0
 
 
