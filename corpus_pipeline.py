@@ -59,8 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the whole text, their number, and the text decoded again."""
     spec = chunk_bpe.read_json(public_tokenizers.path(TOKENIZER))
-    ids = chunk_bpe.encode(docs.select("doc_id", "text"), spec).drop("text")
-    back = chunk_bpe.decode(ids, spec)
+    back = chunk_bpe.encode(docs.select("doc_id", "text"), spec, decoded=True).drop("text")
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
