@@ -10,11 +10,12 @@ else in the same container (short blocks, table cells).
 
 Menus, scripts, hidden parts and the like are furniture by their tag or attribute. Class, id
 and role words (sidebar, comments, advert, ...) and forms only weigh against an element: not
-when it holds the page's largest article or at least half of the page's ratio mass (text
-length times value), and not when the word is a state (has-sidebar, no-nav). Else its nodes
-carry no ratio.
+when it holds the page's largest article, or, in a page without one, when outside of such
+elements there is next to no ratio mass (text length times value), and not when the word is a
+state (has-sidebar, no-nav). Else its nodes carry no ratio, however long it is.
 
-Work is linear in the page: paths are numbered in a tree, not copied.
+Work is linear in the page, broken ones too: paths are numbered in a tree, not copied, and tags
+are found by a scan that never goes back.
 
 Defined cases: a null or empty page, or one without text, gives the empty string; unclosed and
 stray tags are tolerated; repeated rows stay; other columns pass through (one called ``main``
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"""
-                 r"""((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAMED = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+EDGE = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，？！]")
@@ -42,6 +43,8 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul caption option optgroup""".split())
+#: Share of a marked element's mass that the unmarked rest must have for the element to go.
+LEAST_REST = 0.05
 CONTAINER = frozenset("html body main article section div td center".split())
 #: An element that opens closes an open one of these, up to a container of its kind.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -58,6 +61,58 @@ STATES = frozenset("has have no not with without is show hide".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
+def tags(source: str):
+    """(start, end, kept text, closes, name, attributes) of every tag, comment and declaration, in page
+    order. A tag ends at the first ``>`` outside of quotes; where quotes do not close, at the first ``>``
+    at all. Linear: what follows is never searched for a sign that does not come again, and tags
+    that lead nowhere by their quotes may cost four times the page, then quotes count no more."""
+    last, wasted, at = {c: source.rfind(c) for c in "\"'>"}, 0, 0
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            return
+        at = start + 1
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, None, "", "", ""
+            continue
+        if source.startswith("<![CDATA[", start):
+            end = source.find("]]>", start)
+            if end >= 0:
+                at = end + 3
+                yield start, at, source[start + 9:end], "", "", ""
+                continue
+        if start > last[">"]:
+            return
+        if source[at:at + 1] in ("!", "?"):
+            at = source.find(">", at) + 1
+            yield start, at, None, "", "", ""
+            continue
+        named = NAMED.match(source, at)
+        if not named:
+            continue
+        end, place = -1, named.end()
+        while wasted <= 4 * len(source):
+            edge = EDGE.search(source, place)
+            if not edge:
+                break
+            place = edge.end()
+            if edge[0] == ">":
+                end = edge.start()
+                break
+            if place > last[edge[0]]:
+                break
+            place = source.find(edge[0], place) + 1
+        if end < 0:
+            wasted += place - start
+            end = source.find(">", named.end())
+            if end < 0:
+                continue
+        at = end + 1
+        yield start, at, None, named[1], named[2], source[named.end():end]
+
+
 def _telling(attrs: str) -> tuple[str, bool, bool]:
     """Class and id words that name an element's part of the page; whether they or its role
     speak of furniture; whether it is hidden."""
@@ -86,14 +141,13 @@ class Page:
         self.nodes: list[tuple[int, int, str]] = []  # element, block, text
         self.block, stack, at = 0, [0], 0
         self.open: dict[str, int] = {}  # open elements by tag
-        for m in TAG.finditer(source):
-            if m.start() < at:
+        for start, end, kept, close, name, attrs in tags(source):
+            if start < at:
                 continue
-            self._text(stack[-1], source[at:m.start()])
-            at = m.end()
-            close, name, attrs = (m.group(2), m.group(3), m.group(4)) if m.group(3) else m.group(5, 6, 7)
-            if m.group(1) is not None:
-                self._text(stack[-1], m.group(1))
+            self._text(stack[-1], source[at:start])
+            at = end
+            if kept is not None:
+                self._text(stack[-1], kept)
             if not name:
                 continue
             name = name.lower()
@@ -185,9 +239,29 @@ class Page:
         while e > 0:
             spared.add(e)
             e = self.up[e]
+        if not spared:
+            spared = self._holders(mass)
         out = list(self.out)
         for e in range(1, len(out)):
-            out[e] = out[e] or out[self.up[e]] or self.marked[e] and e not in spared and 2 * mass[e] < mass[0]
+            out[e] = out[e] or out[self.up[e]] or self.marked[e] and e not in spared
+        return out
+
+    def _holders(self, mass: list[float]) -> set[int]:
+        """Marked elements that hold the page nevertheless: the largest, if next to nothing stands
+        outside of marked ones; within it the same again."""
+        around, inner = [0] * len(self.tag), {}  # nearest marked element; marked elements by it
+        for e in range(1, len(self.tag)):
+            up = self.up[e]
+            around[e] = up if self.marked[up] else around[up]
+            if self.marked[e] and mass[e] > 0:
+                inner.setdefault(around[e], []).append(e)
+        out, scope = set(), 0
+        while scope in inner:
+            largest = max(inner[scope], key=mass.__getitem__)
+            if mass[scope] - sum(mass[e] for e in inner[scope]) >= LEAST_REST * mass[largest]:
+                break
+            out.add(largest)
+            scope = largest
         return out
 
     def main_text(self, radius: int = 1, share: float = 0.3) -> str:

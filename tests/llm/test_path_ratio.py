@@ -88,3 +88,56 @@ def test_ratios_select_over_the_whole_page():
 def test_a_form_around_the_page_and_cells_in_the_article_stay():
     page = f"<body><form id='aspnet'><article>{BODY}<table><tr><td>1<td>2</table></article></form></body>"
     assert pr.main_text(page) == f"{TEXT}\n1\n2"
+
+
+def test_a_sidebar_goes_however_long_it_is():
+    side = "".join(f"<p>Side paragraph {i}, with marks, and more words. Yes.</p>" for i in range(12))
+    post = "".join(f"<p>Post paragraph {i}, with marks, and more words. Yes.</p>" for i in range(4))
+    want = "\n".join(f"Post paragraph {i}, with marks, and more words. Yes." for i in range(4))
+    for left, right in ((side, post), (post, side)):
+        kind = ("sidebar", "post") if left is side else ("post", "sidebar")
+        assert pr.main_text(f"<body><div class='{kind[0]}'>{left}</div><div class='{kind[1]}'>{right}</div></body>") == want
+    assert pr.main_text(f"<body><div class='sidebar'><div class='comments'>{side}</div>{post}</div></body>") == want
+    assert pr.main_text(f"<body><div class='sidebar'><div class='widget'>{post}</div></div></body>") == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='", "<p title='", "<p title='>", "<p title=\">'", "<!", "<?x ", "<![CDATA[", "<b a='\" c=\"'", "</",
+                                   "<script>", "<p a='b'", "<"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    pr.main_text(piece * (200_000 // len(piece)))
+    pr.main_text(f"<p>text, here.</p>{piece * (100_000 // len(piece))}<p>end")
+    assert time.process_time() - start < 4
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<p>a<p title='x>b</p>c", "a\nb\nc"), ("<p title='a>b' id=\"c>d\">x</p>", "x"), ("<p>1 <b x='>2</b> 3", "1 2 3"),
+    ("x<![CDATA[<p>raw]]>y", "x<p>rawy"), ("<?php echo ?>x", "x"), ("a <1 b> c", "a <1 b> c"), ("<p a=\"it's\">z", "z")])
+def test_tags_end_where_they_should(source, want):
+    assert pr.main_text(source) == want
+
+
+def test_values_are_plain_tag_path_ratios():
+    import math
+    from collections import defaultdict
+
+    page = pr.Page(FULL)
+    full = [(e, t) for e, _, t in page.nodes if t.strip()]
+
+    def path(e):
+        out = []
+        while e > 0:
+            words = [k[1] for k, v in page.paths.items() if v == page.path[e]]
+            out.append(words[0])
+            e = page.up[e]
+        return "/".join(reversed(out))
+
+    texts = defaultdict(list)
+    for e, t in full:
+        texts[path(e)].append(t)
+    ratio = {p: math.log1p(sum(len(t.strip()) for t in ts) / len(ts)) * (1 + math.log1p(sum(len(pr.PUNCTUATION.findall(t)) for t in ts) / len(ts)))
+             for p, ts in texts.items()}
+    assert page._values(full) == pytest.approx([ratio[path(e)] for e, _ in full])
+    assert len(ratio) > 8
