@@ -14,7 +14,7 @@ import sys
 from pyspark.sql import functions as F
 
 from docflow import contracts
-from docflow.operators import metrics
+from docflow.operators import judging, metrics
 from docflow.plans import jobs
 from docflow.session import build_session
 from docflow.sources import files
@@ -27,7 +27,7 @@ def _row(df) -> dict:
 
 def cmd_index(spark, a) -> int:
     s = jobs.index_job(spark, a.corpus, a.out, push=a.push, max_tokens=a.max_tokens,
-                       overlap_tokens=a.overlap, dim=a.dim)
+                       overlap_tokens=a.overlap, dim=a.dim, buckets=a.buckets)
     print(json.dumps(_row(s)))
     return 0
 
@@ -52,10 +52,19 @@ def cmd_regress(spark, a) -> int:
     if traces.limit(1).count() == 0:
         print(json.dumps({"error": "no traces to score"}))
         return 1
-    scores = files.read_jsonl(spark, a.scores, contracts.JUDGE_SCORE)
+    bad = None
+    if a.replies:
+        replies = spark.read.schema("doc_id string, content string").json(a.replies)
+        parsed = replies.select("doc_id", judging.parse_score(F.col("content")).alias("p"))
+        scores = parsed.where(F.col("p.error").isNull()).select("doc_id", "p.score.*")
+        bad = {r["error"]: r["count"] for r in parsed.groupBy(F.col("p.error").alias("error")).count().where("error IS NOT NULL").collect()}
+    else:
+        scores = files.read_jsonl(spark, a.scores, contracts.JUDGE_SCORE)
     header, _per_doc = jobs.regression_job(spark, traces, scores, a.baseline, a.generated_at,
                                            a.threshold)
     out = _row(header)
+    if bad is not None:
+        out["unusable_replies"] = bad  # an entry a kind of error
     print(json.dumps(out, default=str))
     return 1 if out.get("regressed") else 0
 
@@ -70,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--max-tokens", type=int, default=400)
     i.add_argument("--overlap", type=int, default=40)
     i.add_argument("--dim", type=int, default=384)
+    i.add_argument("--buckets", type=int, help="push into a bucketed table of so many buckets")
     t = sub.add_parser("train-eval", help="train the classifier head, evaluate, gate on macro-F1")
     t.add_argument("--corpus", required=True)
     t.add_argument("--labels", required=True)
@@ -79,7 +89,9 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--min-macro-f1", type=float, default=metrics.MACRO_F1_FLOOR)
     r = sub.add_parser("regress", help="judge-score traces and compare with the baseline")
     r.add_argument("--traces", required=True)
-    r.add_argument("--scores", required=True)
+    told = r.add_mutually_exclusive_group(required=True)
+    told.add_argument("--scores", help="JSON lines of scores")
+    told.add_argument("--replies", help="JSON lines of the judge's replies: doc_id, content")
     r.add_argument("--baseline", required=True)
     r.add_argument("--generated-at", required=True)
     r.add_argument("--threshold", type=float, default=0.5)

@@ -13,23 +13,32 @@ from pyspark.sql import functions as F
 from docflow.operators import chunking, classify, embedding, metrics
 from docflow.operators import regression as rg
 from docflow.sources import files
+from docflow.sources.buckets import BucketTable
 
 
 def index_job(spark: SparkSession, corpus_dir: str, out_dir: str, push: bool = False,
               max_tokens: int = chunking.DEFAULT_MAX_TOKENS,
               overlap_tokens: int = chunking.DEFAULT_OVERLAP, dim: int = embedding.DEFAULT_DIM,
-              version: int | None = None) -> DataFrame:
+              version: int | None = None, buckets: int | None = None) -> DataFrame:
     """Read corpus (S1) -> chunk (C1) -> dump JSONL (S6) -> manifest (S10) -> with
     ``push``: embed (E2) and upsert into the keyed index (S8/S9) as a new version (the last
     one plus 1), then swap. A failed write leaves the live version untouched. Returns the
-    manifest summary row; ``uploaded`` = number of chunks pushed (0 without push)."""
+    manifest summary row; ``uploaded`` = number of chunks pushed (0 without push). With
+    ``buckets`` the index is a bucketed table (``sources.buckets``) at ``index-buckets``: a push writes only
+    the buckets that its chunks fall in."""
     docs = files.read_corpus(spark, corpus_dir)
     chunks = chunking.chunk_documents(docs, max_tokens, overlap_tokens)
     files.dump_chunks(chunks, f"{out_dir}/chunks")
     written = spark.read.schema(chunks.schema).json(f"{out_dir}/chunks")   # lineage cut
     files.write_manifest(written, f"{out_dir}/manifest")
     uploaded = F.lit(0).cast("bigint")
-    if push:
+    if push and buckets:
+        new = embedding.embed_md5_vectors(written, None, "text", dim)
+        index = index_table(spark, out_dir, new.withColumn("version", F.lit(0).cast("bigint")).schema, buckets)
+        index.upsert(new.withColumn("version", F.lit(index.number() + 1 if version is None else version).cast("bigint")))
+        index.retire()
+        uploaded = F.lit(written.count()).cast("bigint")
+    elif push:
         base = f"{out_dir}/index"
         version = files.next_version(spark, base) if version is None else version
         new = embedding.embed_md5_vectors(written, None, "text", dim).withColumn("version", F.lit(version))
@@ -42,6 +51,11 @@ def index_job(spark: SparkSession, corpus_dir: str, out_dir: str, push: bool = F
         "chunk_count", "n_documents", uploaded.alias("uploaded"))
 
 
+def index_table(spark: SparkSession, out_dir: str, schema, buckets: int) -> BucketTable:
+    """The bucketed index that ``index_job`` keeps."""
+    return BucketTable(spark, f"{out_dir}/index-buckets", schema, buckets=buckets)
+
+
 def train_evaluate_job(spark: SparkSession, docs: DataFrame, labels: DataFrame, gold: DataFrame,
                        model_dir: str, dim: int = classify.DEFAULT_DIM,
                        floor: float = metrics.MACRO_F1_FLOOR) -> DataFrame:

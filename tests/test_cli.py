@@ -47,3 +47,11 @@ def test_cli_regress_exit_codes(spark, capsys):
     assert cli.main(args, spark) == 1          # 3.0 vs 5.0: drop 2.0 > 0.5
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["regressed"] and out["baseline_mean"] == 5.0
+    good = {"intent_correctness": 3, "citation_grounding": 3, "field_extraction_quality": "3", "conciseness_and_style": 3, "notes": ""}
+    with open(f"{d}/replies.jsonl", "w") as fh:
+        for content in (json.dumps(good), "no json", json.dumps(good | {"notes": 5})):
+            fh.write(json.dumps({"doc_id": "a", "content": content}) + "\n")
+    args[3:5] = ["--replies", f"{d}/replies.jsonl"]
+    assert cli.main(args, spark) == 1
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["mean_score"] == 3.0 and out["unusable_replies"] == {"malformed": 1, "not_text:notes": 1}

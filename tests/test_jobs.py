@@ -77,6 +77,28 @@ def test_index_job_with_push_and_upsert(spark):
     assert {r.doc_id for r in spark.read.parquet(os.path.join(out, "manifest", "doc_ids")).collect()} == {"a", "b"}
 
 
+def test_index_job_into_buckets_writes_only_what_changed(spark):
+    d = tempfile.mkdtemp(prefix="docflow-idx-")
+    corpus, out = os.path.join(d, "corpus"), os.path.join(d, "out")
+    os.makedirs(corpus)
+    for i in range(12):
+        with open(os.path.join(corpus, f"d{i}.txt"), "w") as fh:
+            fh.write(f"alpha beta number{i}")
+    run = lambda: jobs.index_job(spark, corpus, out, push=True, dim=64, buckets=64).first()
+    assert run().uploaded == 12
+    from docflow.operators import embedding
+
+    one = spark.createDataFrame([("c", "d", 0, "t", 1)], "chunk_id string, doc_id string, chunk_index bigint, text string, n_tokens bigint")
+    schema = embedding.embed_md5_vectors(one, None, "text", 64).withColumn("version", F.lit(0).cast("bigint")).schema
+    index = jobs.index_table(spark, out, schema, 64)
+    assert index.read().count() == 12 and {r.version for r in index.read().collect()} == {1}
+    with open(os.path.join(corpus, "d3.txt"), "w") as fh:
+        fh.write("changed text here")
+    assert run().uploaded == 12
+    got = {r.chunk_id: r for r in index.read().collect()}
+    assert len(got) == 12 and got["d3_chunk_0000"].text == "changed text here" and got["d3_chunk_0000"].version == 2
+
+
 def test_train_evaluate_job_gate(spark):
     from tests.test_classifier_sources_streams import CORPUS, LABELS
 
