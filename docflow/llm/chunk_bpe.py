@@ -57,7 +57,7 @@ def chunks(text: str, mean_bits: int = 10) -> list[str]:
 class Encoder:
     """Encodes texts with a store of chunk bodies and joins of about ``store_chars``."""
 
-    def __init__(self, tokenizer_json: str, store_chars: int = 24_000_000, mean_bits: int = 10):
+    def __init__(self, tokenizer_json: str, store_chars: int = 8_000_000, mean_bits: int = 10):
         import tiktoken
 
         spec = json.loads(tokenizer_json)
@@ -159,7 +159,7 @@ def read_json(path: str) -> str:
 
 
 def encode(docs: DataFrame, tokenizer_json: str, mean_bits: int = 10,
-           store_chars: int = 24_000_000, decoded: bool = False) -> DataFrame:
+           store_chars: int = 8_000_000, decoded: bool = False) -> DataFrame:
     """``docs`` plus ``ids``: the tokens of the whole ``text``; with ``decoded`` also the text that these
     ids stand for, from the same pass (one Python worker a core instead of two)."""
     spark = docs.sparkSession
