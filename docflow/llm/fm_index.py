@@ -234,8 +234,9 @@ def windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 
 def find_phrases(docs: DataFrame, phrases: DataFrame, shard_symbols: int = 2_000_000,
-                 block_phrases: int = 500_000) -> DataFrame:
-    """``docs`` (its column ``text``) plus ``found``: n_words, merged word spans, item ids.
+                 block_phrases: int = 500_000, cut: bool = False) -> DataFrame:
+    """``docs`` (its column ``text``) plus ``found``: n_words, merged word spans, item ids. With ``cut`` the
+    spans are cut out of the texts in the last block's pass.
 
     ``phrases``: (phrase, item_id), words joined by a space. Their number is counted; each
     block of them (by hash of the phrase) is collected and broadcast by itself."""
@@ -245,7 +246,8 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, shard_symbols: int = 2_000
     for b in range(blocks):
         part = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
         rows = [(r["phrase"], r["item_id"]) for r in part.collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(rows), shard_symbols), out.schema)
+        scan = _scan(spark.sparkContext.broadcast(rows), shard_symbols)
+        out = out.mapInArrow(_then_cut(scan) if cut and b + 1 == blocks else scan, out.schema)
     return out
 
 
@@ -269,14 +271,17 @@ def _cut(batches):
         yield batch.set_column(at, batch.schema.field("text"), pa.array(cut, batch.schema.field("text").type)) if cut else batch
 
 
+def _then_cut(scan):
+    return lambda batches: _cut(scan(batches))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of the text; a document
     that keeps no word goes. ``n_chars``, if there, follows the text."""
-    found = find_phrases(docs, windows(benchmark, size))
+    found = find_phrases(docs, windows(benchmark, size), cut=True)
     hit = F.size("found.words") > 0
     n_hit = F.aggregate("found.words", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     out = found.where(~hit | (n_hit < F.col("found.n_words")))
-    out = out.mapInArrow(_cut, out.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
