@@ -62,7 +62,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         passage = np.cumsum(opens) - 1
         at = start[opens]
         of_byte = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(data))))
-        rows[:, :CLASSES] = np.bincount(of_byte * CLASSES + cls[at[0]:], minlength=len(at) * CLASSES).reshape(-1, CLASSES)
+        # Blanks before a text's first word are no passage's, also not those of the text before it.
+        own = np.arange(at[0], len(data)) <= np.cumsum(size)[doc[opens]][of_byte]
+        cell = (of_byte * CLASSES + cls[at[0]:])[own]
+        rows[:, :CLASSES] = np.bincount(cell, minlength=len(at) * CLASSES).reshape(-1, CLASSES)
         place = (np.arange(len(data) - start[0]) - np.repeat(start - start[0], np.diff(np.append(start, len(data))))) & 63
         mixed = data[start[0]:].astype(np.uint64) * POWERS[place]
         mixed[blank[start[0]:]] = 0

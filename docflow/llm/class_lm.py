@@ -18,7 +18,7 @@ frequent words' counts are broadcast (a fixed number of rows); any other token m
 in one equi-join on the word's 64-bit hash, which no frequent word enters.
 
 Defined cases: a null or empty text is one token, its end; repeated rows are scored and counted
-each; a null id counts as not held out; without training rows every token is unknown; an
+each; a null id counts as held out (remainder 0); without training rows every token is unknown; an
 empty table gives no rows; other columns are ignored.
 """
 
