@@ -55,6 +55,7 @@ def decode_dims(dims: Column, field: str = "response", fallback: str = "reasonin
 def fallback_traces(prompts: DataFrame, corpus: DataFrame) -> DataFrame:
     """One synthetic response per judge prompt, quote = first 100 of the first 200
     characters of the document (or 'Sample clause text.' when absent)."""
+    # The synthetic response's texts, model and numbers.
     snip = F.substring(F.substring(F.col("text"), 1, 200), 1, 100)
     quote = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, snip).otherwise(F.lit("Sample clause text."))
     j = prompts.join(corpus.select("doc_id", "text"), "doc_id", "left")

@@ -59,6 +59,7 @@ m AS (SELECT query_id, chunk_id, doc_id, chunk_index, count(*) / any_value(nq) A
       FROM qt JOIN ct USING (tok) GROUP BY query_id, chunk_id, doc_id, chunk_index)"""
 
 
+# The masking patterns of functions/pii.py as RE2 has them.
 EMAIL_RE2 = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD_RE2 = r"\b(?:\d[ -]*?){13,16}\b"
 # RE2 has no look-around: the phone rule uses capture groups and is applied twice.
