@@ -3,9 +3,11 @@
 * counterparty lookup: LEFT JOIN on ``lower(name)``, one directory row per name; Spark picks
   the join from the sizes it sees;
 * clause lookup: score = number of query tokens (duplicates counted) that occur as a
-  substring of the entry text. The library is broadcast in slices of bounded bytes, with its
-  character n-grams; a block of queries is scored against a slice in one matrix product and
-  only the best ``top_k`` entries of each query leave the task - no (query, entry) rows;
+  substring of the entry text. Tokens meet the library's distinct words, not its texts, in one
+  join on character n-grams; entries that hold the same asked tokens score alike for every
+  query, so of each such kind only the first ``top_k`` go on. These are broadcast in slices of
+  bounded bytes, and only the best ``top_k`` entries of each query leave a task - no
+  (query, entry) rows;
 * pricing: LEFT JOIN of a fixed price table with a default-model fallback.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.text import SPACE_RUN
 from docflow.operators.retrieval import BLOCK_CELLS, best_rows
-from docflow.session import slices_of, spread
+from docflow.session import saved, slices_of, spread
 
 # USD per 1K tokens (input, output), and the fallback model.
 PRICES = (
@@ -69,44 +71,74 @@ def counterparty_lookup(calls: DataFrame, directory: DataFrame, name_col: str =
 
 
 class ClauseSlice:
-    """Library entries (position order) and, per character n-gram, the entries that hold it."""
+    """Library entries (clause_id, position, asked tokens held) in position order and, per token,
+    the kinds of entries that hold it."""
 
     def __init__(self, rows: list):
         self.rows = sorted(rows, key=lambda r: (r[1], r[0]))
-        distinct: dict[str, list[int]] = {}
-        for i, r in enumerate(self.rows):
-            distinct.setdefault(r[2], []).append(i)
-        self.texts = list(distinct)
-        self.text_of = np.zeros(len(self.rows), np.int64)
-        for t, entries in enumerate(distinct.values()):
-            self.text_of[entries] = t
-        grams: dict[str, set[int]] = {}
-        for t, text in enumerate(self.texts):
-            for size in range(1, GRAM + 1):
-                for g in {text[i:i + size] for i in range(len(text) - size + 1)}:
-                    grams.setdefault(g, set()).add(t)
-        self.grams = grams
-
-    def holding(self, token: str) -> list[int]:
-        """Texts that contain ``token``."""
-        if len(token) <= GRAM:
-            return list(self.grams.get(token, ()))
-        sets = [self.grams.get(token[i:i + GRAM], set()) for i in range(len(token) - GRAM + 1)]
-        return [t for t in min(sets, key=len) if token in self.texts[t]]
+        kinds: dict[tuple, int] = {}
+        self.kind_of = np.array([kinds.setdefault(tuple(r[2]), len(kinds)) for r in self.rows], np.int64)
+        self.n_kinds = len(kinds)
+        self.holding: dict[str, list[int]] = {}
+        for held, kind in kinds.items():
+            for t in held:
+                self.holding.setdefault(t, []).append(kind)
 
     def score(self, queries: list[list[str]]) -> np.ndarray:
         """(query, entry): tokens of the query that the entry's text contains, repeats too. Added token by
-        token to the texts that hold it: no token x entry matrix."""
+        token to the kinds that hold it: no token x entry matrix."""
         asked: dict[str, dict[int, int]] = {}
         for i, q in enumerate(queries):
             for t, n in Counter(q).items():
-                asked.setdefault(t, {})[i] = n
-        out = np.zeros((len(queries), len(self.texts)), np.int32)
+                if t in self.holding:
+                    asked.setdefault(t, {})[i] = n
+        out = np.zeros((len(queries), self.n_kinds), np.int32)
         for t, who in asked.items():
-            held = self.holding(t)
-            if held:
-                out[np.ix_(list(who), held)] += np.array(list(who.values()), np.int32)[:, None]
-        return out[:, self.text_of]
+            out[np.ix_(list(who), self.holding[t])] += np.array(list(who.values()), np.int32)[:, None]
+        return out[:, self.kind_of]
+
+
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_RUN, -1), lambda t: F.length(t) > 0)
+
+
+def holding_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, tok): the distinct ``words`` that contain the distinct ``tokens`` as a substring. A token
+    meets the words that hold its rarest n-gram; no token x word rows."""
+    part = lambda c, i: F.substring(c, i, F.lit(GRAM))
+    of_word = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.array(
+        *[F.substring("word", i, F.lit(n + 1)) for n in range(GRAM)]))))
+    of_token = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("tok") - GRAM + 1, F.lit(1))), lambda i: part("tok", i)))
+    grams = words.select("word", F.explode(of_word).alias("gram"))
+    sizes = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = (tokens.select("tok", F.size(of_token).alias("need"), F.explode(of_token).alias("gram")).join(sizes, "gram")
+              .groupBy("tok", "need").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram")).alias("least"))
+              .where("found = need").select("tok", "least.gram"))
+    return rarest.join(grams, "gram").where(F.contains("word", "tok")).select("word", "tok")
+
+
+def _first(library: DataFrame, same: str, most: int) -> DataFrame:
+    """The first ``most`` entries of each value of ``same``; tasks drop the others before the shuffle."""
+    order = Window.partitionBy(same).orderBy("position", "clause_id")
+    return library.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def entry_kinds(tokens: DataFrame, library: DataFrame, most: int) -> DataFrame:
+    """clause_id, position, held: the library's entries with the ``tokens`` (tok, distinct) that their
+    texts contain. A token has no white space, so a text contains it if one of its words does. Of
+    entries that hold the same tokens the first ``most`` by position: the others' scores are the
+    same for every query, so they come after these in every list of ``most``."""
+    lib = spread(library.select("clause_id", "position", "text"))
+    lib = saved(_first(lib.select("clause_id", "position", F.array_sort(F.array_distinct(_words("text"))).alias("words")),
+                       "words", most), "clauses")
+    sets = lib.select("words").distinct().select("words", F.explode("words").alias("word"))
+    holds = holding_words(tokens, lib.select(F.explode("words").alias("word")).distinct())
+    holds = holds.groupBy("word").agg(F.collect_list("tok").alias("toks"))
+    held = sets.join(holds, "word").groupBy("words").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("toks")))).alias("held"))
+    lib = lib.join(held, "words", "left").select(
+        "clause_id", "position", F.coalesce("held", F.array().cast("array<string>")).alias("held"))
+    return saved(_first(lib, "held", most), "clause-kinds")
 
 
 def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = DEFAULT_CLAUSE_TOP_K,
@@ -117,9 +149,10 @@ def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = D
     spark = queries.sparkSession
     top_k = (F.coalesce(F.col("top_k"), F.lit(default_top_k)) if "top_k" in queries.columns
              else F.lit(default_top_k))
-    toks = F.filter(F.split(F.lower(F.coalesce("query", F.lit(""))), SPACE_RUN, -1), lambda t: F.length(t) > 0)
-    q = spread(queries.select("query_id", toks.alias("toks"), top_k.cast("int").alias("_k")))
-    lib = library.select("clause_id", "position", F.lower(F.coalesce("text", F.lit(""))).alias("_lt"))
+    q = queries.select("query_id", _words("query").alias("toks"), top_k.cast("int").alias("_k"))
+    most = max(q.agg(F.max("_k")).first()[0] or 0, 0)
+    lib = entry_kinds(q.select(F.explode("toks").alias("tok")).distinct(), library, most)
+    q = spread(q)
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *library.schema.fields)}
     schema = f"query_id {kinds['query_id']}, clause_id {kinds['clause_id']}, position {kinds['position']}, score bigint, _k int"
 
@@ -143,7 +176,7 @@ def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = D
         return run
 
     found = None
-    for part in slices_of(lib, "clause_id", F.length("_lt") * 8 + 64, max_library_bytes):
+    for part in slices_of(lib, "clause_id", F.length(F.array_join("held", "-")) * 8 + 64, max_library_bytes):
         shared = spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])
         rows = q.mapInPandas(kernel(shared), schema)
         found = rows if found is None else found.unionByName(rows)

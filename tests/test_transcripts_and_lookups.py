@@ -244,3 +244,33 @@ def test_a_null_passage_supports_no_quote(spark):
                                  "extracted_fields array<struct<name:string,value:string,citations:array<struct<chunk_id:string,quote:string>>>>")
     p = spark.createDataFrame([("r", "c", None)], "request_id string, chunk_id string, text string")
     assert guardrails.citation_verdict(resp, p).first().violation == "quote_not_found"
+
+
+def test_entries_that_hold_the_same_asked_tokens_are_one_kind(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["ab", "abc", "Été", "x", "bca", "ring", "spring", "a#"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    lib = [(i, i // 2, f"{word()} {word()}\t{word()} only{i}") for i in range(600)]
+    queries = [(f"q{i}", "  ".join(word() for _ in range(rng.randint(0, 6))), 3) for i in range(30)] + [("n", None, 3)]
+    ldf = spark.createDataFrame(lib, "clause_id int, position int, text string")
+    qdf = spark.createDataFrame(queries, "query_id string, query string, top_k int")
+    got = {}
+    for r in lookups.clause_lookup(qdf, ldf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.clause_id, r.score))
+    for qid, q, k in queries:
+        scored = sorted((-sum(t in text.lower() for t in (q or "").lower().split()), pos, cid) for cid, pos, text in lib)
+        assert got[qid] == [(cid, -s) for s, _, cid in scored[:k]], qid
+    asked = spark.createDataFrame([("ring",), ("x",), ("zz",)], "tok string")
+    kinds = lookups.entry_kinds(asked, ldf, 3).collect()
+    assert {tuple(r.held) for r in kinds} == {(), ("ring",), ("x",), ("ring", "x")} and len(kinds) == 12
+
+
+def test_completions_of_few_bytes_run_on_several_tasks(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(200)], "request_id bigint, prompt string")
+    m = transcripts.opening_messages(prompts.groupBy("request_id").agg(F.min("prompt").alias("prompt")), "s")
+    said = transcripts.complete(m, lambda msgs: {"content": msgs[1]["content"] + msgs[0]["role"]})
+    got = said.withColumn("p", F.spark_partition_id()).collect()
+    assert {r.request_id: r.content for r in got} == {i: f"p{i}system" for i in range(200)}
+    assert len({r.p for r in got}) > 4
