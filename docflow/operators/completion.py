@@ -54,7 +54,7 @@ def from_recorded(recorded: DataFrame) -> Completer:
 
 def from_function(fn) -> Completer:
     """A completer around ``fn(list of messages) -> dict`` (see ``transcripts.complete``): runs
-    once per open request and round, in grouped Arrow tasks."""
+    once per open request and round, in Arrow tasks."""
     return lambda messages, turn: transcripts.complete(messages, fn)
 
 

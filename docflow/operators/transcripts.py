@@ -8,12 +8,13 @@ array arithmetic inside that row.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow import contracts
 from docflow.operators import guardrails, lookups
-from docflow.session import saved
+from docflow.session import parallelism, saved
 
 # The callable tools and the loop bound.
 KNOWN_TOOLS = ("lookup_clause_library", "check_counterparty_history")
@@ -331,22 +332,33 @@ def request_messages(prompts: DataFrame, completions: DataFrame, results: DataFr
 
 def complete(messages: DataFrame, fn, key: str = "request_id") -> DataFrame:
     """U4: a user-supplied completion function. ``fn(list of messages) -> dict`` (content,
-    tool_calls, tokens_in, tokens_out, model) runs once per request in a grouped Arrow task;
-    a request's messages are bounded by its turns and calls. Output: one completions row per
-    request, its turn = number of assistant messages so far."""
+    tool_calls, tokens_in, tokens_out, model) runs once per request in Arrow tasks over the
+    cluster's cores, however few bytes the messages are (a call costs time, not bytes); a
+    request's messages are one row, bounded by its turns and calls. Output: one completions row
+    per request, its turn = number of assistant messages so far."""
+    spark = messages.sparkSession
     kind = messages.schema[key].dataType.simpleString()
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(["turn", "pos"]).to_dict("records")
-        got = fn(rows)
-        return pd.DataFrame([{key: rows[0][key], "turn": sum(r["role"] == "assistant" for r in rows),
-                              "content": got.get("content"), "tool_calls": got.get("tool_calls") or [],
-                              "tokens_in": int(got.get("tokens_in", 0)), "tokens_out": int(got.get("tokens_out", 0)),
-                              "model": got.get("model") or "", "finish_reason": got.get("finish_reason") or "stop"}])
-
-    return messages.groupBy(key).applyInPandas(
+    said = pa.struct([("content", pa.string()), ("tool_calls", pa.list_(pa.struct(
+        [("id", pa.string()), ("name", pa.string()), ("arguments", pa.string())]))), ("tokens_in", pa.int32()),
+        ("tokens_out", pa.int32()), ("model", pa.string()), ("finish_reason", pa.string())])
+
+    def run(batches):
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            turns, out = [], []
+            for request, rows in zip(batch.column(key).to_pylist(), batch.column("_m").to_pylist(), strict=True):
+                rows = [{key: request} | r for r in sorted(rows, key=lambda r: (r["turn"], r["pos"]))]
+                got = fn(rows)
+                turns.append(sum(r["role"] == "assistant" for r in rows))
+                out.append({"content": got.get("content"), "tool_calls": got.get("tool_calls") or [],
+                            "tokens_in": int(got.get("tokens_in", 0)), "tokens_out": int(got.get("tokens_out", 0)),
+                            "model": got.get("model") or "", "finish_reason": got.get("finish_reason") or "stop"})
+            columns = pa.array(out, said).flatten()
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(turns, pa.int32()), *columns],
+                                             names=[key, "turn", *(f.name for f in said)])
+
+    parts = max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = messages.groupBy(key).agg(F.collect_list(F.struct(*[c for c in messages.columns if c != key])).alias("_m"))
+    return whole.repartition(parts, F.xxhash64(key)).mapInArrow(  # else small shuffles are read by one task
         run, f"{key} {kind}, turn int, content string, tool_calls {_TC}, tokens_in int, tokens_out int, model string, finish_reason string")
 
 
