@@ -6,7 +6,11 @@ import os
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +111,22 @@ def spread(df: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * split_bytes else df
 
 
+#: Rows and text bytes that a Python task works on at a time.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+
+
+def text_slices(texts: pa.Array, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """``texts`` in slices of at most ``rows`` rows and ``size`` bytes (or one longer text), so that a
+    task's Python objects are bounded however many rows and bytes an Arrow batch has."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 class Shipped:
     """A broadcast object of the package's own classes: pickled by value, so that workers that do not
     have the package can read it; unpickled once a task."""
