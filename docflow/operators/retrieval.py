@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +26,7 @@ DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
 CHUNK_ORDER = ("doc_id", "chunk_index")
 MAX_QUERY_BYTES = 64 << 20
-BLOCK_CELLS = 16 << 20
+BLOCK_CELLS, BLOCK_ROWS = 2 << 20, 1024
 
 
 def check_vector_weight(w: float) -> None:
@@ -59,6 +59,24 @@ def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], col[place < k]
 
 
+class Floor:
+    """Per query the ``k``-th best score that a task has seen: a lower one can't be among the first ``k``."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+
+    def best(self, scores: np.ndarray, who: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """``best_rows`` of a block (of the queries ``who``), without those below the floor, which it raises."""
+        row, col = best_rows(scores, self.k)
+        held, least = scores[row, col], self.least[who]
+        lowest = np.full(len(scores), np.inf)
+        np.minimum.at(lowest, row, held)
+        full = (np.bincount(row, minlength=len(scores)) >= max(self.k, 1)) & ~np.isnan(lowest)
+        self.least[who] = least = np.where(full, np.maximum(least, lowest), least)
+        open_ = ~(held < least[row])
+        return row[open_], col[open_]
+
+
 class QuerySlice:
     """The queries of one slice: token -> query postings, sizes, vectors and norms."""
 
@@ -78,7 +96,7 @@ class QuerySlice:
                 self.vectors[i, r["idx"]] = r["cnt"]
             self.norms[i] = r["norm"] or 0.0
 
-    def hits(self, token: np.ndarray, column: np.ndarray, columns: int, step: int = 4 << 20) -> np.ndarray:
+    def hits(self, token: np.ndarray, column: np.ndarray, columns: int, step: int = 1 << 19) -> np.ndarray:
         """|Q n C| for every query and column, of distinct (token number, column) pairs. A token
         of many cells is added as a rectangle, the others cell by cell, ``step`` at a time."""
         out = np.zeros((len(self.ids), columns), np.int32)
@@ -122,23 +140,25 @@ class QuerySlice:
             return np.where(scale > 0, (self.vectors @ block.T) / scale, 0.0)
 
 
-def _kernel(shared, dim: int, weight: float, picks: tuple[tuple[str, int], ...]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = QuerySlice(shared.value, dim)
-        size = max(1, BLOCK_CELLS // max(1, dim + len(q.ids)))
-        for pdf in batches:
-            pdf = pdf.sort_values(list(CHUNK_ORDER), kind="stable")
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at:at + size]
-                kw = q.keyword(part["toks"]) if len(q.number) else np.zeros((len(q.ids), len(part)))
-                vec = q.cosine(part["idx"], part["cnt"], part["norm"].to_numpy(np.float64)) if dim else np.zeros_like(kw)
+def _kernel(shared, dim: int, weight: float, picks: tuple[tuple[str, int], ...], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = QuerySlice(shared.value.to_pylist(), dim)
+        size = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, dim + len(q.ids))))
+        floors = {name: Floor(len(q.ids), k) for name, k in picks}
+        ids = shared.value.column("query_id").combine_chunks()
+        for batch in batches:
+            batch = batch.sort_by([(c, "ascending") for c in CHUNK_ORDER])
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                kw = q.keyword(part.column("toks").to_pylist()) if len(q.number) else np.zeros((len(q.ids), part.num_rows))
+                vec = q.cosine(part.column("idx").to_pylist(), part.column("cnt").to_pylist(),
+                               part.column("norm").to_numpy(zero_copy_only=False).astype(np.float64)) if dim else np.zeros_like(kw)
                 of = {"vec": vec, "kw": kw, "score": weight * vec + (1.0 - weight) * kw}
-                cells = np.concatenate([np.stack(best_rows(of[name], k), 1) for name, k in picks])
+                cells = np.concatenate([np.stack(floors[name].best(of[name]), 1) for name, _ in picks])
                 row, col = np.unique(cells, axis=0).T
-                yield pd.DataFrame({
-                    "query_id": pd.Series([q.ids[i] for i in row], dtype=object),
-                    **{c: part[c].to_numpy()[col] for c in ("chunk_id", "doc_id", "chunk_index")},
-                    "vec_score": vec[row, col], "kw_score": kw[row, col], "score": of["score"][row, col]})
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), *(part.column(c).take(pa.array(col)) for c in ("chunk_id", "doc_id", "chunk_index")),
+                     *(pa.array(x[row, col], pa.float64()) for x in (vec, kw, of["score"]))], names=names)
     return run
 
 
@@ -160,8 +180,8 @@ def score_blocks(queries: DataFrame, index: DataFrame, picks: tuple[tuple[str, i
         cols, queries = saved(cols, "index"), saved(queries, "queries")
         parts = slices_of(queries, "query_id", row_bytes, max_query_bytes)
     for part in parts:
-        shared = spark.sparkContext.broadcast([r.asDict() for r in part.collect()])
-        found = cols.mapInPandas(_kernel(shared, dim, weight, picks), schema)
+        shared = spark.sparkContext.broadcast(part.toArrow())
+        found = cols.mapInArrow(_kernel(shared, dim, weight, picks, schema.names), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -264,14 +284,15 @@ def reranked_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                            T.StructField("asked", T.IntegerType())])
 
     def run(batches):
-        for pdf in batches:
-            got = [shortest_cover([w.lower() for w in text.split()], set(toks) if toks is not None else set())
-                   for text, toks in zip(pdf["_text"].fillna(""), pdf["toks"], strict=True)]
-            pdf["matched"], pdf["cover"] = [m for m, _ in got], [c for _, c in got]
-            pdf["asked"] = [len(t) if t is not None else 0 for t in pdf["toks"]]
-            yield pdf[schema.names]
-
-    out = met.select(*cands.columns, "_text", "toks").mapInPandas(run, schema)
+        for batch in (b.slice(i, BLOCK_ROWS) for b in batches for i in range(0, b.num_rows, BLOCK_ROWS)):
+            toks = batch.column("toks").to_pylist()
+            got = [shortest_cover([w.lower() for w in (text or "").split()], set(t or ()))
+                   for text, t in zip(batch.column("_text").to_pylist(), toks, strict=True)]
+            made = [[m for m, _ in got], [c for _, c in got], [len(t or ()) for t in toks]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cands.columns), *(pa.array(x, pa.int32()) for x in made)],
+                                             names=schema.names)
+
+    out = met.select(*cands.columns, "_text", "toks").mapInArrow(run, schema)
     again = F.when(F.col("matched") >= 2, F.col("matched") * F.col("matched") / (F.col("asked") * F.col("cover")))
     out = out.withColumn("reranker_score", again).withColumn("score", F.coalesce("reranker_score", "base_score")).drop("asked")
     return topk_per_group(out, ["query_id"], _order("score"), k)
@@ -280,6 +301,11 @@ def reranked_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
 # ---- R1 over dense vectors -------------------------------------------------
 
 
+def matrix(vectors: pa.Array, rows: int, dim: int = -1) -> np.ndarray:
+    """Lists of one length (``dim``) as a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, dim)
+
+
 def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                 query_key: str = "query_id", index_keys: tuple[str, ...] = CHUNK_ORDER,
                 vec_col: str = "vec", digits: int | None = 9,
@@ -294,18 +320,20 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
 
     def kernel(shared):
         def run(batches):
-            keys = [r[0] for r in shared.value]
-            q = np.array([r[1] for r in shared.value], np.float64)
-            for pdf in batches:
-                pdf = pdf.sort_values(list(index_keys), kind="stable")
-                step = max(1, BLOCK_CELLS // max(1, len(keys)))
-                for at in range(0, len(pdf) if len(keys) else 0, step):
-                    part = pdf.iloc[at:at + step]
-                    s = q @ np.stack([np.asarray(v, np.float64) for v in part[vec_col]]).T
+            keys = shared.value.column(0).combine_chunks()
+            if not len(keys):
+                return
+            q = matrix(shared.value.column(1).combine_chunks(), len(keys))
+            floor, step = Floor(len(keys), k), max(1, BLOCK_CELLS // len(keys))
+            for batch in batches:
+                batch = batch.sort_by([(c, "ascending") for c in index_keys])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    s = q @ matrix(part.column(vec_col), part.num_rows, q.shape[1]).T
                     s = s if digits is None else np.round(s, digits)
-                    row, col = best_rows(s, k)
-                    yield pd.DataFrame({query_key: pd.Series([keys[i] for i in row], dtype=object),
-                                        **{c: part[c].to_numpy()[col] for c in index_keys}, "score": s[row, col]})
+                    row, col = floor.best(s)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *(part.column(c).take(pa.array(col)) for c in index_keys),
+                                                      pa.array(s[row, col], pa.float64())], names=schema.names)
         return run
 
     row_bytes, index = F.size(vec_col) * 8 + 64, index.select(*index_keys, vec_col)
@@ -314,8 +342,8 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
         index, queries = saved(index, "index"), saved(queries, "queries")
         parts = slices_of(queries, query_key, row_bytes, max_query_bytes)
     for part in parts:
-        shared = spark.sparkContext.broadcast([(r[query_key], r[vec_col]) for r in part.select(query_key, vec_col).collect()])
-        found = index.mapInPandas(kernel(shared), schema)
+        shared = spark.sparkContext.broadcast(part.select(query_key, vec_col).toArrow())
+        found = index.mapInArrow(kernel(shared), schema)
         out = found if out is None else out.unionByName(found)
     return topk_per_group(out, [query_key], [F.col("score").desc(), *(F.col(c) for c in index_keys)], k)
 

@@ -150,3 +150,27 @@ def test_hits_of_many_queries_equal_set_sizes(step):
     pairs = np.array([(q.number[t], i) for i, c in enumerate(chunks) for t in c if t in q.number])
     got = q.hits(pairs[:, 0], pairs[:, 1], len(chunks), step)
     assert got.tolist() == [[len(set(x["toks"] or ()) & set(c)) for c in chunks] for x in rows]
+
+
+def test_floor_drops_only_what_cannot_be_among_the_first():
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 12, (7, 400)) / 4
+    floor, found = retrieval.Floor(7, 5), []
+    for at in range(0, 400, 40):
+        row, col = floor.best(scores[:, at:at + 40])
+        found += [(r, -scores[r, at + c], at + c) for r, c in zip(row.tolist(), col.tolist(), strict=True)]
+    assert len(found) < 7 * 5 * 10  # later blocks leave out what the first ones beat
+    row, col = retrieval.best_rows(scores, 5)
+    for i in range(7):
+        assert [c for r, _, c in sorted(found) if r == i][:5] == col[row == i].tolist()
+
+
+def test_scoring_emits_few_rows_of_many_blocks(spark):
+    """One task over many blocks: a query's later blocks add only what may still rank."""
+    vecs = [(i, [float(i % 97), 1.0]) for i in range(6000)]
+    index = spark.createDataFrame(vecs, "vec_id bigint, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, vec array<double>")
+    got = retrieval.vector_topk(queries, index, k=3, index_keys=("vec_id",))
+    assert dict(got.dtypes)["query_id"] == "int"
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in got.collect()} == {
+        (1, 96, 96.0, 1), (1, 193, 96.0, 2), (1, 290, 96.0, 3), (2, 0, 1.0, 1), (2, 1, 1.0, 2), (2, 2, 1.0, 3)}
