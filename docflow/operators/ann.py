@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.operators.retrieval import best_rows, topk_per_group
+from docflow.operators.retrieval import BLOCK_CELLS, BLOCK_ROWS, best_rows, matrix, topk_per_group
 
 
 def planes(dim: int, n: int, seed: int) -> np.ndarray:
@@ -33,19 +34,19 @@ def _hashed(df: DataFrame, key: str, vec: str, dim: int, tables: int, bits: int,
     normals = planes(dim, tables * bits, seed)
 
     def run(batches):
-        for pdf in batches:
-            m = np.stack([np.asarray(v, np.float64) for v in pdf[vec]]) if len(pdf) else np.zeros((0, dim))
-            out = []
+        for batch in (b.slice(i, BLOCK_ROWS) for b in batches for i in range(0, b.num_rows, BLOCK_ROWS)):
+            m = matrix(batch.column(1), batch.num_rows, dim)
+            again = pa.array(np.tile(np.arange(len(m)), probes + 1))
             for t in range(tables):
                 p = m @ normals[t * bits:(t + 1) * bits].T
                 code = (p >= 0) @ (1 << np.arange(bits))
                 flips = np.argsort(np.abs(p), axis=1)[:, :probes]
-                for j in range(probes + 1):
-                    bucket = code if j == 0 else code ^ (1 << flips[:, j - 1])
-                    out.append(pd.DataFrame({"tbl": t, "bucket": bucket.astype(np.int64), "k": pdf[key], "v": pdf[vec]}))
-            yield pd.concat(out) if out else pd.DataFrame({"tbl": [], "bucket": [], "k": [], "v": []})
+                bucket = np.concatenate([code, *(code ^ (1 << flips[:, j]) for j in range(probes))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(bucket), t), pa.int32()), pa.array(bucket, pa.int64()), *(batch.column(c).take(again) for c in (0, 1))],
+                    names=["tbl", "bucket", "k", "v"])
 
-    return df.select(key, vec).mapInPandas(run, f"tbl int, bucket bigint, k {kind}, v array<double>")
+    return df.select(key, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(run, f"tbl int, bucket bigint, k {kind}, v array<double>")
 
 
 def lsh_topk(queries: DataFrame, index: DataFrame, key: str, vec: str, dim: int, k: int = 5, tables: int = 8,
@@ -68,7 +69,7 @@ def lsh_topk(queries: DataFrame, index: DataFrame, key: str, vec: str, dim: int,
                 continue
             a, b = (np.stack([np.asarray(v, np.float64) for v in d["v"]]) for d in (mine, rows))
             qk, xk = mine["k"].to_numpy(), rows["k"].to_numpy()
-            step = max(1, (4 << 20) // len(a))
+            step = max(1, BLOCK_CELLS // len(a))
             for at in range(0, len(b), step):
                 s = np.round(a @ b[at:at + step].T, digits)
                 s[qk[:, None] == xk[None, at:at + step]] = -np.inf
