@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.functions.vectors import dot
-from docflow.operators.retrieval import MAX_QUERY_BYTES, best_rows, topk_per_group
+from docflow.operators.retrieval import MAX_QUERY_BYTES, Floor, topk_per_group
 from docflow.session import Shipped, saved, slices_of
 
 SAMPLE_ROWS = 16_384
 MAX_CELLS = 256
 SUBSPACES = 32
-BLOCK_CELLS = 8 << 20
+BLOCK_CELLS = 1 << 20
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -147,7 +147,8 @@ def probes(model: Quantiser, sizes: dict[int, int], q: np.ndarray, share: float)
 
 def _kernel(shared, depth: int):
     def run(batches):
-        model, q, table, probe = shared.value
+        model, q, probe = shared.value
+        table, floor = model.tables(q), Floor(len(q), depth)
         centre = (q @ model.centres.T).astype(np.float32)
         for batch in batches:
             cells = batch.column("cell").to_numpy()
@@ -163,7 +164,7 @@ def _kernel(shared, depth: int):
                     s = np.repeat(centre[ask, cell][:, None], len(part), 1)
                     for j in range(table.shape[1]):
                         s += table[ask, j][:, codes[part, j]]
-                    row, col = best_rows(s, depth)
+                    row, col = floor.best(s, ask)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ask[row], pa.int32()), pa.array(np.full(len(row), cell), pa.int32()),
                          keys.take(pa.array(part[col])), pa.array(s[row, col], pa.float32())], names=["q", "cell", "key", "about"])
@@ -188,7 +189,7 @@ def search(queries: DataFrame, base: str, key: str, vec: str, k: int = 5, share:
         q = np.array([r["v"] for r in got], np.float64).reshape(len(got), -1) if got else np.zeros((0, model.centres.shape[1]))
         probe = probes(model, sizes, q, share)
         read = (probe @ np.array([sizes.get(c, 0) for c in range(len(model.centres))])) / total
-        shared = Shipped(spark, (model, q, model.tables(q), probe))
+        shared = Shipped(spark, (model, q, probe))
         wanted = rows.where(F.col("cell").isin(np.flatnonzero(probe.any(0)).tolist() or [-1]))
         near = wanted.select("key", "cell", "code").mapInArrow(_kernel(shared, depth + 1), f"q int, cell int, key {kind}, about float")
         names = spark.createDataFrame([(i, r["query_id"], r["v"], float(p)) for i, (r, p) in enumerate(zip(got, read, strict=True))],
