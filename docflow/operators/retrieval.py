@@ -280,6 +280,7 @@ def reranked_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
                   .select("query_id", "chunk_id", "doc_id", "chunk_index", F.col("score").alias("base_score")), "candidates")
     asked = queries.select("query_id", keyword_set("text").alias("toks"))
     met = cands.join(index.select("chunk_id", F.col("text").alias("_text")), "chunk_id").join(asked, "query_id")
+    kept = cands.columns
     schema = T.StructType([*cands.schema.fields, T.StructField("matched", T.IntegerType()), T.StructField("cover", T.IntegerType()),
                            T.StructField("asked", T.IntegerType())])
 
@@ -289,10 +290,10 @@ def reranked_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
             got = [shortest_cover([w.lower() for w in (text or "").split()], set(t or ()))
                    for text, t in zip(batch.column("_text").to_pylist(), toks, strict=True)]
             made = [[m for m, _ in got], [c for _, c in got], [len(t or ()) for t in toks]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cands.columns), *(pa.array(x, pa.int32()) for x in made)],
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, pa.int32()) for x in made)],
                                              names=schema.names)
 
-    out = met.select(*cands.columns, "_text", "toks").mapInArrow(run, schema)
+    out = met.select(*kept, "_text", "toks").mapInArrow(run, schema)
     again = F.when(F.col("matched") >= 2, F.col("matched") * F.col("matched") / (F.col("asked") * F.col("cover")))
     out = out.withColumn("reranker_score", again).withColumn("score", F.coalesce("reranker_score", "base_score")).drop("asked")
     return topk_per_group(out, ["query_id"], _order("score"), k)

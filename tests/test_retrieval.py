@@ -174,3 +174,15 @@ def test_scoring_emits_few_rows_of_many_blocks(spark):
     assert dict(got.dtypes)["query_id"] == "int"
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in got.collect()} == {
         (1, 96, 96.0, 1), (1, 193, 96.0, 2), (1, 290, 96.0, 3), (2, 0, 1.0, 1), (2, 1, 1.0, 2), (2, 2, 1.0, 3)}
+
+
+def test_reranked_candidates_by_the_shortest_run_of_matched_words(spark):
+    texts = ["alpha beta gamma", "alpha filler filler beta", "alpha only here", "nothing at all", None]
+    index = embedding.embed_md5_vectors(spark.createDataFrame(
+        [(f"c{i}", i, 0, t) for i, t in enumerate(texts)], "chunk_id string, doc_id bigint, chunk_index bigint, text string"), dim=64)
+    queries = embedding.embed_md5_vectors(spark.createDataFrame([(7, "alpha beta"), (8, None)], "query_id bigint, text string"),
+                                          ["query_id", "text"], "text", 64)
+    got = {(r.query_id, r.chunk_id): r for r in retrieval.reranked_topk(queries, index, 5, dim=64).collect()}
+    assert [(got[7, f"c{i}"].matched, got[7, f"c{i}"].cover, got[7, f"c{i}"].reranker_score) for i in range(4)] == [
+        (2, 2, 1.0), (2, 4, 0.5), (1, 1, None), (0, 0, None)]
+    assert {got[8, f"c{i}"].score for i in range(5)} == {0.0}
