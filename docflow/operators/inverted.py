@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +42,57 @@ def bucket_of(token: str) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
+def _block_rows(bits: int, names: list[str]):
+    """Arrow batches of chunks in number order -> a row per block: its chunks, and per token its places.
+    A block's numbers are consecutive and so in one task; a task holds one block and a batch."""
+
+    def whole(block: int, parts: list) -> pa.RecordBatch:
+        mine = pa.Table.from_batches(parts).combine_chunks()
+        lists = mine.column("toks").combine_chunks()
+        place = (mine.column("number").to_numpy() & ((1 << bits) - 1)).astype(np.int16)[pc.list_parent_indices(lists).to_numpy()]
+        held = lists.flatten().dictionary_encode()
+        code = held.indices.to_numpy()
+        size = np.bincount(code, minlength=len(held.dictionary))
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        places = pa.ListArray.from_arrays(ends, pa.array(place[np.argsort(code, kind="stable")]))
+        one = lambda cols, named: pa.ListArray.from_arrays(
+            pa.array([0, len(cols[0])], pa.int32()), pa.StructArray.from_arrays(cols, named))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), one([mine.column(c).combine_chunks() for c in names], names),
+             one([held.dictionary, places], ["token", "places"])], names=["block", "chunks", "tokens"])
+
+    def run(batches):
+        block, parts = None, []
+        for batch in batches:
+            of = batch.column("number").to_numpy() >> bits
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == stop:
+                    continue
+                if parts and of[start] != block:
+                    yield whole(block, parts)
+                    parts = []
+                block = int(of[start])
+                parts.append(batch.slice(start, stop - start))
+        if parts:
+            yield whole(block, parts)
+
+    return run
+
+
 def build(chunks: DataFrame, base: str) -> None:
-    """Write the index of ``chunks`` (chunk_id, doc_id, chunk_index, text) at ``base``."""
-    ordered = spread(chunks.select("chunk_id", "doc_id", "chunk_index", keyword_set("text").alias("toks")))
-    ordered = saved(ordered.orderBy("doc_id", "chunk_index").withColumn("number", F.monotonically_increasing_id()), "numbered")
-    ordered.drop("toks").write.mode("errorifexists").parquet(f"{base}/chunks")
-    each = ordered.select(F.explode("toks").alias("token"), F.shiftright("number", BLOCK_BITS).alias("block"),
-                          F.col("number").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("smallint").alias("place"))
-    rows = each.groupBy("token", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))  # one block's at most
-    (rows.withColumn("bucket", bucket_of("token")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block")
+    """Write the index of ``chunks`` (chunk_id, doc_id, chunk_index, text) at ``base``. Tokens are written
+    before the sort, which reads its input twice; a block's postings are made where its chunks are sorted,
+    so no (token, chunk) row is shuffled."""
+    rows = saved(spread(chunks.select("chunk_id", "doc_id", "chunk_index", keyword_set("text").alias("toks"))), "tokens")
+    ordered = rows.orderBy("doc_id", "chunk_index").withColumn("number", F.monotonically_increasing_id())
+    names = [c for c in ordered.columns if c != "toks"]
+    chunk = ", ".join(f"{c}: {ordered.schema[c].dataType.simpleString()}" for c in names)
+    blocks = saved(ordered.mapInArrow(_block_rows(BLOCK_BITS, names), (
+        f"block bigint, chunks array<struct<{chunk}>>, tokens array<struct<token: string, places: array<smallint>>>")), "blocks")
+    blocks.select(F.inline("chunks")).write.mode("errorifexists").parquet(f"{base}/chunks")
+    rows = blocks.select("block", F.inline("tokens")).select("token", "block", "places", bucket_of("token").alias("bucket"))
+    (rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "block")
          .write.mode("errorifexists").partitionBy("bucket").parquet(f"{base}/postings"))
 
 

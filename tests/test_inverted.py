@@ -69,3 +69,27 @@ def test_few_or_no_chunks(spark):
     assert inverted.keyword_topk(q, base, 5).count() == 0
     assert inverted.keyword_topk(q.limit(0), base, 5).count() == 0
     assert inverted.keyword_topk(q, base, 0).count() == 0
+
+
+def test_a_token_has_one_row_a_block_and_its_places(spark, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK_BITS", 3)
+    chunks = _chunks(500)
+    _, base = _index(spark, chunks)
+    made = spark.read.schema(inverted.POSTINGS).parquet(f"{base}/postings")
+    got = {(r["token"], r["block"]): r["places"] for r in made.collect()}
+    assert len(got) == made.count()
+    number = {r["chunk_id"]: r["number"] for r in spark.read.parquet(f"{base}/chunks").collect()}
+    want: dict = {}
+    for chunk, _, _, text in sorted(chunks, key=lambda c: number[c[0]]):
+        for token in {t for t in (text or "").split() if len(t) > 2}:
+            want.setdefault((token, number[chunk] >> 3), []).append(number[chunk] & 7)
+    assert got == want and sorted(number) == sorted(c[0] for c in chunks)
+
+
+def test_no_row_a_token_and_chunk_is_shuffled(spark, monkeypatch):
+    """The postings come from the sorted chunks: nothing is grouped by token on the way."""
+    plans = []
+    real = inverted.saved
+    monkeypatch.setattr(inverted, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    _index(spark, _chunks(50))
+    assert len(plans) == 2 and "Sort [doc_id" in plans[1] and not any("Aggregate" in p or "split(" in p for p in plans[1:])
