@@ -22,6 +22,8 @@ PHONE_MASK = "[PHONE]"
 
 # (?U): Unicode-aware \d, \s and \b, as in Python's str patterns.
 _U = "(?U)"
+# How every match of PHONE_PATTERN starts, looked at before what stands in front of it.
+_PHONE_START = r"(?=[+\d])"
 
 Redactor = Callable[[Column], Column]
 
@@ -31,7 +33,9 @@ def _c(x) -> Column:
 
 
 def mask_email(text) -> Column:
-    return F.regexp_replace(_c(text), F.lit(EMAIL_PATTERN), F.lit(EMAIL_MASK))
+    """A text without an ``@`` holds no address; the pattern would look on from every character of it."""
+    t = _c(text)
+    return F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, F.lit(EMAIL_PATTERN), F.lit(EMAIL_MASK))).otherwise(t)
 
 
 def mask_card(text) -> Column:
@@ -39,7 +43,7 @@ def mask_card(text) -> Column:
 
 
 def mask_phone(text) -> Column:
-    return F.regexp_replace(_c(text), F.lit(_U + PHONE_PATTERN), F.lit(PHONE_MASK))
+    return F.regexp_replace(_c(text), F.lit(_U + _PHONE_START + PHONE_PATTERN), F.lit(PHONE_MASK))
 
 
 def redact(text) -> Column:

@@ -97,3 +97,32 @@ def test_blank_quote_matches(spark):
     passages = spark.createDataFrame([("r", "c", "text")], "request_id string, chunk_id string, text string")
     resp = _responses(spark, [("r", "nda", [("c", " ")], [])])
     assert guardrails.citation_verdict(resp, passages).first().ok
+
+
+def test_redaction_equals_the_plain_patterns(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    part = ["+", "1", "234", "5551234567", " ", "-", "(", ")", "a", "b@c.io", "@", ".", "x_y@z.org", "\u0663", "\u00e9", "\n", "4111 1111 1111 1111"]
+    texts = ["".join(r.choice(part) for _ in range(r.randint(0, 25))) for _ in range(3000)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = F.col("t")
+    for pattern, mask in ((pii.EMAIL_PATTERN, pii.EMAIL_MASK), ("(?U)" + pii.CARD_PATTERN, pii.CARD_MASK), ("(?U)" + pii.PHONE_PATTERN, pii.PHONE_MASK)):
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(mask))
+    assert df.where(~pii.redact("t").eqNullSafe(plain)).count() == 0
+
+
+def test_redaction_looks_for_the_mark_first(spark):
+    """An address is only searched in a text with an @, a phone number only where one can start."""
+    plan = spark.createDataFrame([("x",)], "t string").select(pii.redact("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(t" in plan.replace("contains", "Contains") and "(?=[+\\d])" in plan
+
+
+def test_upsert_redacts_before_the_chunkers_filters(spark):
+    """The chunker's filters on the redacted text would each redact again."""
+    from docflow.plans import q_index
+
+    plan = q_index.upsert_index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
