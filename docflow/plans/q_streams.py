@@ -26,9 +26,9 @@ def _updates(agg, name, keys):
 
 def _model(spark, sf):
     """Trained on the labelled documents (class = quality), redacted as the stream does."""
-    docs = table(spark, sf, "documents").select("doc_id", pii.redact("text").alias("text"))
     lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    train = classify.features(docs.join(lab, "doc_id"), "text", classify.DEFAULT_DIM)
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id")  # only these are redacted
+    train = classify.features(docs.withColumn("text", pii.redact("text")), "text", classify.DEFAULT_DIM)
     return classify.fit_head(train)
 
 

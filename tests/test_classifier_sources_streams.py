@@ -248,3 +248,14 @@ def test_windowed_cost_rollup(spark):
            for r in st.run_updates(agg, f"t-cost-{os.path.basename(d)}", f"{tempfile.mkdtemp()}/out", ["window", "model"]).collect()}
     assert got[(0, "gpt-4o")] == (2, pytest.approx(0.02))
     assert got[(1, "mystery")] == (1, pytest.approx(0.02))     # unknown model -> default price
+
+
+def test_only_labelled_documents_are_redacted_for_training(spark, monkeypatch):
+    from docflow.plans import q_streams
+
+    seen = []
+    monkeypatch.setattr(q_streams.classify, "fit_head", lambda train, *a, **k: seen.append(train))
+    q_streams._model(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Join Inner")  # above the join
+    assert plan[plan.index("Join Inner"):].count("regexp_replace") == 0
