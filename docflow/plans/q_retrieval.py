@@ -243,15 +243,20 @@ def subword_windows(spark, sf, tokenizer: str = "byte_bpe_50k.json"):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     win = saved(chunking.subword_windows(docs, spec), "windows")
     nxt = win.select("doc_id", (F.col("chunk_index") - 1).alias("chunk_index"), F.col("start").alias("_next"))
-    win = win.join(nxt, ["doc_id", "chunk_index"], "left").join(docs.withColumnRenamed("text", "_whole"), "doc_id")
-    exact = F.col("text") == F.substring(F.col("_whole"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    sizes = docs.select("doc_id", F.length("text").alias("_length"))
+    met = win.drop("text").join(nxt, ["doc_id", "chunk_index"], "left").join(sizes, "doc_id")
     last = F.col("_next").isNull()
-    gap = F.when(last, F.col("stop") == F.length("_whole")).otherwise(F.col("_next") <= F.col("stop"))
+    gap = F.when(last, F.col("stop") == F.col("_length")).otherwise(F.col("_next") <= F.col("stop"))
     gap = gap & F.when(F.col("chunk_index") == 0, F.col("start") == 0).otherwise(True)
     full = F.when(last, F.col("n_tokens").between(0, 400)).otherwise(F.col("n_tokens") == 400)
     named = F.col("chunk_id") == F.format_string("%s_chunk_%04d", F.col("doc_id").cast("string"), F.col("chunk_index").cast("int"))
-    return win.groupBy("doc_id").agg(F.max("stop").alias("n_chars"), F.every(exact).alias("exact_slices"), F.every(gap).alias("no_gap"),
-                                     F.every(full).alias("full_windows"), F.every(named).alias("ids_in_order"))
+    met = met.groupBy("doc_id").agg(F.max("stop").alias("n_chars"), F.every(gap).alias("no_gap"), F.every(full).alias("full_windows"),
+                                    F.every(named).alias("ids_in_order"))
+    # a text meets its own windows in one row: it is not repeated for each of them
+    own = win.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "text")).alias("_own"))
+    slices = own.join(docs.where(F.col("text").isNotNull()), "doc_id").groupBy("doc_id").agg(F.every(F.forall(
+        "_own", lambda w: w["text"] == F.substr("text", (w["start"] + 1).cast("int"), (w["stop"] - w["start"]).cast("int")))).alias("exact_slices"))
+    return met.join(slices, "doc_id").select("doc_id", "n_chars", "exact_slices", "no_gap", "full_windows", "ids_in_order")
 
 
 @register("embed_by_content", "E5 E2 S8", """

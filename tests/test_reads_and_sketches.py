@@ -89,3 +89,17 @@ def test_merged_sketches_are_near_the_truth(spark):
     total = sketches.roll_up(stored, ["model"]).where("level = 1").first()
     assert total["n"] == 20_002
     assert sketches.estimates(sketches.merge(stored.limit(0), ["model"])).count() == 0
+
+
+def test_a_text_meets_its_windows_in_one_row(spark, tmp_path):
+    """The check of ``subword_windows`` joins a whole text once, not once a window; copies of an id count."""
+    from docflow.plans import q_retrieval
+
+    texts = [(1, "word " * 3000), (2, "one"), (3, None), (4, ""), (5, "日本語😀é " * 300), (6, "same"), (6, "same"), (7, "two"), (7, "texts"), (None, "lost")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_retrieval.subword_windows(spark, str(tmp_path))
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
+    assert {i: got[i] for i in (1, 2, 5, 6)} == {i: (len(t), True, True, True, True) for i, t in texts if i in (1, 2, 5, 6)}
+    assert set(got) == {1, 2, 5, 6, 7} and got[7] == (5, False, False, True, True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "Join LeftOuter" in plan
