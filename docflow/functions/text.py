@@ -13,6 +13,8 @@ KEYWORD_MIN_EXCLUSIVE_LEN = 2
 # Fixed value: white space as Python's ``str.split()`` has it (Java's ``\\s`` is ASCII only).
 SPACE_RUN = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
              r"\x{202F}\x{205F}\x{3000}]+")
+# Before SPACE_RUN: most characters are passed by one range, not by all of the class's.
+_NOT_VISIBLE = "(?![!-~])"
 
 
 def _c(x) -> Column:
@@ -31,7 +33,7 @@ def count_tokens(text) -> Column:
 
 def keyword_set(text) -> Column:
     """R2: distinct lower-cased whitespace tokens longer than 2 characters."""
-    toks = F.split(_c(text), SPACE_RUN, -1)
+    toks = F.split(_c(text), _NOT_VISIBLE + SPACE_RUN, -1)
     kept = F.filter(toks, lambda t: F.char_length(t) > KEYWORD_MIN_EXCLUSIVE_LEN)
     return F.array_distinct(F.transform(kept, lambda t: F.lower(t)))
 

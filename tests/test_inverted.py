@@ -93,3 +93,13 @@ def test_no_row_a_token_and_chunk_is_shuffled(spark, monkeypatch):
     monkeypatch.setattr(inverted, "saved", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
     _index(spark, _chunks(50))
     assert len(plans) == 2 and "Sort [doc_id" in plans[1] and not any("Aggregate" in p or "split(" in p for p in plans[1:])
+
+
+def test_keywords_part_at_every_white_space(spark):
+    from docflow.functions.text import keyword_set
+
+    spaces = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c in (0x21, 0x7E, 0x7F, 0x200B))]
+    texts = [f"abc{s}Def{s}{s}gh{s}" for s in spaces]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", keyword_set("text").alias("toks"))
+    for r in df.collect():
+        assert r["toks"] == list(dict.fromkeys(t.lower() for t in texts[r["i"]].split() if len(t) > 2)), texts[r["i"]]
