@@ -4,7 +4,8 @@
   the join from the sizes it sees;
 * clause lookup: score = number of query tokens (duplicates counted) that occur as a
   substring of the entry text. Tokens meet the library's distinct words, not its texts, in one
-  join on character n-grams; entries that hold the same asked tokens score alike for every
+  join on character n-grams. A query of one distinct token reads its rows from that token's
+  list of first entries. For the others, entries that hold the same asked tokens score alike for every
   query, so of each such kind only the first ``top_k`` go on. These are broadcast in slices of
   bounded bytes, and only the best ``top_k`` entries of each query leave a task - no
   (query, entry) rows;
@@ -123,14 +124,23 @@ def _first(library: DataFrame, same: str, most: int) -> DataFrame:
     return library.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
+def _entries(library: DataFrame, most: int) -> DataFrame:
+    """The library's entries (``_e``: a number of its own, clause_id, position, words: the distinct ones
+    of its text); of entries with the same words the first ``most`` by position."""
+    lib = spread(library.select("clause_id", "position", "text"))
+    lib = _first(lib.select("clause_id", "position", F.array_sort(F.array_distinct(_words("text"))).alias("words")), "words", most)
+    return saved(lib.withColumn("_e", F.monotonically_increasing_id()), "clauses")
+
+
 def entry_kinds(tokens: DataFrame, library: DataFrame, most: int) -> DataFrame:
     """clause_id, position, held: the library's entries with the ``tokens`` (tok, distinct) that their
     texts contain. A token has no white space, so a text contains it if one of its words does. Of
     entries that hold the same tokens the first ``most`` by position: the others' scores are the
     same for every query, so they come after these in every list of ``most``."""
-    lib = spread(library.select("clause_id", "position", "text"))
-    lib = saved(_first(lib.select("clause_id", "position", F.array_sort(F.array_distinct(_words("text"))).alias("words")),
-                       "words", most), "clauses")
+    return _kinds(tokens, _entries(library, most), most)
+
+
+def _kinds(tokens: DataFrame, lib: DataFrame, most: int) -> DataFrame:
     sets = lib.select("words").distinct().select("words", F.explode("words").alias("word"))
     holds = holding_words(tokens, lib.select(F.explode("words").alias("word")).distinct())
     holds = holds.groupBy("word").agg(F.collect_list("tok").alias("toks"))
@@ -141,19 +151,64 @@ def entry_kinds(tokens: DataFrame, library: DataFrame, most: int) -> DataFrame:
     return saved(_first(lib, "held", most), "clause-kinds")
 
 
+def first_holding(tokens: DataFrame, lib: DataFrame, most: int) -> DataFrame:
+    """tok, held: of each of the ``tokens`` that an entry's text contains, the first ``most`` such entries
+    (position, clause_id, _e). One that is among a token's first is so among those of its word that
+    contains the token, so a word meets tokens with ``most`` entries at most."""
+    order = ("position", "clause_id", "_e")
+    by_word = lib.select(F.explode("words").alias("word"), *order).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where(F.col("_n") <= most)
+    holds = holding_words(tokens, lib.select(F.explode("words").alias("word")).distinct())
+    by_token = holds.join(by_word, "word").withColumn(  # an entry comes once for each of its words
+        "_n", F.dense_rank().over(Window.partitionBy("tok").orderBy(*order))).where(F.col("_n") <= most)
+    return by_token.groupBy("tok").agg(F.array_sort(F.collect_set(F.struct(*order))).alias("held"))
+
+
+def _listed(q: DataFrame, lib: DataFrame, most: int) -> DataFrame:
+    """Queries of one distinct token or none: the first entries that hold it, then the library's first.
+    Their rows are read from a list per token: no scores of whole libraries."""
+    order = ("position", "clause_id", "_e")
+    q = q.select("query_id", F.try_element_at("toks", F.lit(1)).alias("tok"), F.size("toks").cast("bigint").alias("_times"), "_k")
+    lists = first_holding(q.where(F.col("tok").isNotNull()).select("tok").distinct(), lib, most)
+    head = lib.orderBy(*order).limit(most).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("head"))
+    q = q.join(lists, "tok", "left").crossJoin(F.broadcast(head))
+    held = F.coalesce("held", F.slice("head", 1, 0))
+    scored = lambda entries, score: F.transform(entries, lambda e: F.struct(
+        e["clause_id"].alias("clause_id"), e["position"].alias("position"), score.alias("score")))
+    rows = F.concat(scored(held, F.col("_times")), scored(F.array_except("head", held), F.lit(0).cast("bigint")))
+    q = q.select("query_id", "_k", F.explode(F.slice(rows, F.lit(1), F.greatest("_k", F.lit(0)))).alias("e"))
+    return q.select("query_id", "e.*", "_k")
+
+
 def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = DEFAULT_CLAUSE_TOP_K,
                   max_library_bytes: int = MAX_LIBRARY_BYTES) -> DataFrame:
     """JN6+W2: per query its ``top_k`` (column, default 3) entries by score desc, stable by
     library position; zero-score entries still fill the list.
     Output: query_id, clause_id, position, score, rank."""
-    spark = queries.sparkSession
     top_k = (F.coalesce(F.col("top_k"), F.lit(default_top_k)) if "top_k" in queries.columns
              else F.lit(default_top_k))
     q = queries.select("query_id", _words("query").alias("toks"), top_k.cast("int").alias("_k"))
-    most = max(q.agg(F.max("_k")).first()[0] or 0, 0)
-    lib = entry_kinds(q.select(F.explode("toks").alias("tok")).distinct(), library, most)
+    several = F.size(F.array_distinct("toks")) > 1
+    asked = q.agg(F.max("_k").alias("most"), F.count_if(several).alias("several"), F.count("*").alias("n")).first()
+    most = max(asked["most"] or 0, 0)
+    lib = _entries(library, most)
+    found = []
+    if asked["several"]:
+        kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *library.schema.fields)}
+        found.append(_scored(q.where(several), lib, most, kinds, max_library_bytes))
+    if asked["n"] > asked["several"] or not found:
+        found.append(_listed(q.where(~several), lib, most))
+    found = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position", "clause_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def _scored(q: DataFrame, lib: DataFrame, most: int, kinds: dict[str, str], max_library_bytes: int) -> DataFrame:
+    """Queries scored against the kinds of entries, slice by slice."""
+    spark = q.sparkSession
+    lib = _kinds(q.select(F.explode("toks").alias("tok")).distinct(), lib, most)
     q = spread(q)
-    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *library.schema.fields)}
     schema = f"query_id {kinds['query_id']}, clause_id {kinds['clause_id']}, position {kinds['position']}, score bigint, _k int"
 
     def kernel(shared):
@@ -180,9 +235,7 @@ def clause_lookup(queries: DataFrame, library: DataFrame, default_top_k: int = D
         shared = spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in part.collect()])
         rows = q.mapInPandas(kernel(shared), schema)
         found = rows if found is None else found.unionByName(rows)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "position", "clause_id")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    return ranked.where(F.col("rank") <= F.col("_k")).drop("_k")
+    return found
 
 
 def validate_tool_args(name: Column, arguments: Column) -> Column:

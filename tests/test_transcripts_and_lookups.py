@@ -274,3 +274,33 @@ def test_completions_of_few_bytes_run_on_several_tasks(spark):
     got = said.withColumn("p", F.spark_partition_id()).collect()
     assert {r.request_id: r.content for r in got} == {i: f"p{i}system" for i in range(200)}
     assert len({r.p for r in got}) > 4
+
+
+def test_queries_of_one_token_read_lists_and_are_scored_by_no_block(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    parts = ["ab", "abc", "Été", "x", "bca", "ring", "a#"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    lib = [(i // 3, i // 4, f"{word()} {word()} w{i % 70}") for i in range(200)]      # keys repeat
+    lib += [(99, 2, "ab ab"), (99, 2, "ab ab"), (98, 2, None), (97, 60, "only"), (97, 60, "only ONLYx")]
+    asked = ["ab", "ab AB  ab", "été", "only", "nowhere", "", None, "w1", "#", *(word() for _ in range(20))]
+    queries = [(i, text, k) for i, (text, k) in enumerate((t, k) for t in asked for k in (None, 1, 5, 0))]
+    ldf = spark.createDataFrame(lib, "clause_id int, position int, text string")
+    qdf = spark.createDataFrame(queries, "query_id int, query string, top_k int")
+    monkeypatch.setattr(lookups, "ClauseSlice", None)
+    monkeypatch.setattr(lookups, "slices_of", None)
+    got = {}
+    for r in lookups.clause_lookup(qdf, ldf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.clause_id, r.score))
+    for qid, q, k in queries:
+        scored = sorted((-sum(t in (text or "").lower() for t in (q or "").lower().split()), pos, cid) for cid, pos, text in lib)
+        assert got.get(qid, []) == [(cid, -s) for s, _, cid in scored[:3 if k is None else k]], (qid, q, k)
+    assert lookups.clause_lookup(qdf.limit(0), ldf).count() == 0 and lookups.clause_lookup(qdf, ldf.limit(0)).count() == 0
+
+
+def test_queries_of_one_and_of_several_tokens_are_ranked_together(spark):
+    lib = spark.createDataFrame([(1, 0, "payment due"), (2, 1, "cap"), (3, 2, "payment terms")], "clause_id int, position int, text string")
+    q = spark.createDataFrame([("q", "payment"), ("q", "terms payment"), ("r", "cap")], "query_id string, query string")
+    got = [(r.query_id, r.clause_id, r.score, r.rank) for r in lookups.clause_lookup(q, lib).orderBy("query_id", "rank").collect()]
+    assert got == [("q", 3, 2, 1), ("q", 1, 1, 2), ("q", 1, 1, 3), ("r", 2, 1, 1), ("r", 1, 0, 2), ("r", 3, 0, 3)]
