@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,16 @@ def keyword_set(text) -> Column:
     return F.array_distinct(F.transform(kept, lambda t: F.lower(t)))
 
 
+# The one character that lower-cases to two (``GROWN``), so that a lower-cased word can be longer than it was.
+GROWS, GROWN = "\u0130", "i\u0307"
+
+
+def may_meet_shorter(toks: Iterable[str]) -> bool:
+    """Whether a token of ``keyword_set`` can also be a lower-cased word of too few characters. If not, the words
+    of a lower-cased text, split as by ``str.split()``, meet ``toks`` just as its ``keyword_set`` does."""
+    return any(len(t) - t.count(GROWN) <= KEYWORD_MIN_EXCLUSIVE_LEN for t in toks)
+
+
 def word_tokens(text) -> Column:
     """Every occurrence of WORD_PATTERN in the lower-cased text."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_PATTERN), 0)

@@ -1,7 +1,8 @@
 """Exact retrieval of a stated query set against the whole index.
 
 The queries are collected in slices of bounded bytes and broadcast; the index streams
-through the tasks once per slice. A task scores a block of index rows against all queries
+through the tasks once per slice. A task splits the texts of a block of index rows and looks
+all their words up at once among the queries' tokens, scores the block against all queries
 of the slice (postings of the queries' tokens for the keyword overlap R2, a matrix product for
 the cosine R1), blends both (R3) and emits only the block's best ``k`` rows per query, so no
 (query, chunk) pair is ever a row. The final top-k is ``row_number() <= k``, which Spark
@@ -15,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docflow.functions.text import keyword_set
-from docflow.session import saved, slices_of
+from docflow.functions.text import GROWS, keyword_set, may_meet_shorter
+from docflow.session import saved, slices_of, text_slices
 
 DEFAULT_TOP_K = 5
 DEFAULT_VECTOR_WEIGHT = 0.7
 CHUNK_ORDER = ("doc_id", "chunk_index")
 MAX_QUERY_BYTES = 64 << 20
-BLOCK_CELLS, BLOCK_ROWS = 2 << 20, 1024
+BLOCK_CELLS, BLOCK_ROWS, BLOCK_BYTES = 2 << 20, 1024, 4 << 20
 
 
 def check_vector_weight(w: float) -> None:
@@ -97,19 +99,28 @@ class QuerySlice:
             self.norms[i] = r["norm"] or 0.0
 
     def hits(self, token: np.ndarray, column: np.ndarray, columns: int, step: int = 1 << 19) -> np.ndarray:
-        """|Q n C| for every query and column, of distinct (token number, column) pairs. A token
-        of many cells is added as a rectangle, the others cell by cell, ``step`` at a time."""
+        """|Q n C| for every query and column, of distinct (token number, column) pairs. Tokens that
+        fill much of the result are added by a matrix product, others of many cells as rectangles,
+        the rest cell by cell, ``step`` at a time."""
         out = np.zeros((len(self.ids), columns), np.int32)
         order = np.argsort(token, kind="stable")
         token, column = token[order], column[order]
         size = self.ends[token + 1] - self.ends[token]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else token
         runs = np.diff(np.append(first, len(token)))
-        wide = runs * size[first] > 4096
-        for at, n in zip(first[wide].tolist(), runs[wide].tolist(), strict=True):
+        cells = runs * size[first]
+        dense, wide = (cells * 256 >= out.size) & (out.size <= 4 * BLOCK_CELLS), cells > 4096
+        full = np.flatnonzero(dense)
+        for group in (full[i:i + 256] for i in range(0, len(full), 256)):
+            asked, held = np.zeros((len(group), len(self.ids)), np.float32), np.zeros((len(group), columns), np.float32)
+            for i, (at, n) in enumerate(zip(first[group].tolist(), runs[group].tolist(), strict=True)):
+                asked[i, self.postings[self.ends[token[at]]:self.ends[token[at] + 1]]] = 1
+                held[i, column[at:at + n]] = 1
+            out += (asked.T @ held).astype(np.int32)  # whole numbers up to 256: exact
+        for at, n in zip(first[wide & ~dense].tolist(), runs[wide & ~dense].tolist(), strict=True):
             t = token[at]
             out[np.ix_(self.postings[self.ends[t]:self.ends[t + 1]], column[at:at + n])] += 1
-        rest = ~np.repeat(wide, runs)
+        rest = ~np.repeat(wide | dense, runs)
         token, column, size = token[rest], column[rest], size[rest]
         flat, total = out.reshape(-1), np.cumsum(size)
         start = 0
@@ -118,70 +129,105 @@ class QuerySlice:
             stop = max(start + 1, int(np.searchsorted(total, before + step, "right")))
             n = size[start:stop]
             at = np.arange(n.sum()) + np.repeat(self.ends[token[start:stop]] - np.cumsum(n) + n, n)
-            np.add.at(flat, self.postings[at] * columns + np.repeat(column[start:stop], n), 1)
+            at = self.postings[at] * columns + np.repeat(column[start:stop], n)
+            if len(at) * 16 >= len(flat):
+                flat += np.bincount(at, minlength=len(flat)).astype(np.int32)
+            else:
+                np.add.at(flat, at, 1)
             start = stop
         return out
 
-    def keyword(self, toks) -> np.ndarray:
+    def pairs(self, low: pa.Array, toks: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (token number, row) of the queries' tokens that the rows hold, by token. A row has
+        its lower-cased text or its ``keyword_set``."""
+        lists = [pc.utf8_split_whitespace(low), *([] if toks is None else [toks])]
+        held = pa.concat_arrays([x.flatten() for x in lists])
+        row = np.concatenate([pc.list_parent_indices(x).to_numpy() for x in lists])
+        code = pc.index_in(held, value_set=pa.array(list(self.number), held.type))
+        asked = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+        key = np.sort(code.fill_null(0).to_numpy()[asked].astype(np.int64) * len(low) + row[asked])
+        return np.divmod(key[np.diff(key, prepend=-1) > 0], max(len(low), 1))
+
+    def keyword(self, low: pa.Array, toks: pa.Array | None = None) -> np.ndarray:
         """R2: |Q n C| / |Q| for every query and chunk."""
-        get = self.number.get
-        pairs = [(j, i) for i, row in enumerate(toks) if row is not None for j in map(get, row) if j is not None]
-        token, column = np.array(pairs, np.int64).reshape(-1, 2).T
-        return self.hits(token, column, len(toks)) / np.where(self.sizes > 0, self.sizes, 1)[:, None]
+        if not self.number:
+            return np.zeros((len(self.ids), len(low)))
+        return self.hits(*self.pairs(low, toks), len(low)) / np.where(self.sizes > 0, self.sizes, 1)[:, None]
 
-    def cosine(self, idx, cnt, norms) -> np.ndarray:
+    def cosine(self, idx: pa.Array, cnt: pa.Array, norms: np.ndarray) -> np.ndarray:
         """R1 over sparse integer counts: exact dot products, one rounding per division."""
         block = np.zeros((len(norms), self.vectors.shape[1]))
-        for i, (a, b) in enumerate(zip(idx, cnt, strict=True)):
-            if a is not None and len(a):
-                block[i, np.asarray(a, np.int64)] = b
+        some = pc.is_valid(idx)
+        own = pc.indices_nonzero(some).to_numpy()
+        idx, cnt = idx.filter(some), cnt.filter(some)
+        row = own[pc.list_parent_indices(idx).to_numpy()]
+        block[row, idx.flatten().to_numpy()] = cnt.flatten().to_numpy(zero_copy_only=False)
         scale = np.outer(self.norms, norms)
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(scale > 0, (self.vectors @ block.T) / scale, 0.0)
 
 
 def _kernel(shared, dim: int, weight: float, picks: tuple[tuple[str, int], ...], names: list[str]):
+    late = weight == 1.0 and all(name != "kw" for name, _ in picks)  # the keyword score ranks nothing: only for what is picked
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = QuerySlice(shared.value.to_pylist(), dim)
         size = max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(1, dim + len(q.ids))))
         floors = {name: Floor(len(q.ids), k) for name, k in picks}
         ids = shared.value.column("query_id").combine_chunks()
         for batch in batches:
-            batch = batch.sort_by([(c, "ascending") for c in CHUNK_ORDER])
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                kw = q.keyword(part.column("toks").to_pylist()) if len(q.number) else np.zeros((len(q.ids), part.num_rows))
-                vec = q.cosine(part.column("idx").to_pylist(), part.column("cnt").to_pylist(),
-                               part.column("norm").to_numpy(zero_copy_only=False).astype(np.float64)) if dim else np.zeros_like(kw)
+            at = 0
+            for block in text_slices(batch.column("low"), size, BLOCK_BYTES):
+                part = batch.slice(at, len(block)).sort_by([(c, "ascending") for c in CHUNK_ORDER])
+                at += len(block)
+                texts = [part.column(c) for c in ("low", "toks") if c in part.schema.names]
+                vec = q.cosine(part.column("idx"), part.column("cnt"),
+                               part.column("norm").to_numpy(zero_copy_only=False).astype(np.float64)) if dim else np.zeros((len(q.ids), part.num_rows))
+                kw = np.zeros_like(vec) if late else q.keyword(*texts)
                 of = {"vec": vec, "kw": kw, "score": weight * vec + (1.0 - weight) * kw}
                 cells = np.concatenate([np.stack(floors[name].best(of[name]), 1) for name, _ in picks])
                 row, col = np.unique(cells, axis=0).T
+                if late:
+                    used = np.unique(col)
+                    kw[:, used] = q.keyword(*(x.take(pa.array(used)) for x in texts))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row)), *(part.column(c).take(pa.array(col)) for c in ("chunk_id", "doc_id", "chunk_index")),
                      *(pa.array(x[row, col], pa.float64()) for x in (vec, kw, of["score"]))], names=names)
     return run
 
 
+def _words(index: DataFrame, dim: int, dotted: bool) -> DataFrame:
+    """What a task reads of the index: its texts for ``QuerySlice.pairs``, lower-cased, or (``dotted``) those with a
+    letter that lower-cases to two as their ``keyword_set``, and the vectors. A column of null arrays costs a
+    task as much as one of texts, so there is none."""
+    grows, texts = F.contains("text", F.lit(GROWS)), [F.lower("text").alias("low")]
+    if dotted:
+        texts = [F.when(~grows, F.lower("text")).alias("low"), F.when(grows, keyword_set("text")).alias("toks")]
+    return index.select("chunk_id", "doc_id", "chunk_index", *texts, *(("idx", "cnt", "norm") if dim else ()))
+
+
 def score_blocks(queries: DataFrame, index: DataFrame, picks: tuple[tuple[str, int], ...],
                  weight: float, dim: int, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """Per block of index rows and query, the best ``k`` by each of ``picks``
     ((vec | kw | score, k), ...), with all three scores.
 
     queries: query_id, toks, idx, cnt, norm (the last three null without vectors).
-    index: chunk_id, doc_id, chunk_index, toks, idx, cnt, norm."""
+    index: chunk_id, doc_id, chunk_index, text and, unless ``dim`` is 0, idx, cnt, norm."""
     spark = queries.sparkSession
     kinds = {f.name: f.dataType for f in (*index.schema.fields, *queries.schema.fields)}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in ("query_id", "chunk_id", "doc_id", "chunk_index")]
                           + [T.StructField(c, T.DoubleType()) for c in ("vec_score", "kw_score", "score")])
-    cols = index.select("chunk_id", "doc_id", "chunk_index", "toks", "idx", "cnt", "norm")
     row_bytes = F.coalesce(F.size("toks"), F.lit(0)) * 48 + dim * 8 + 64
-    parts, out = slices_of(queries, "query_id", row_bytes, max_query_bytes), None
+    parts, cols, out = slices_of(queries, "query_id", row_bytes, max_query_bytes), None, None
     if len(parts) > 1:  # the plans of both sides run once, not once a slice
-        cols, queries = saved(cols, "index"), saved(queries, "queries")
+        cols, queries = saved(_words(index, dim, True), "index"), saved(queries, "queries")
         parts = slices_of(queries, "query_id", row_bytes, max_query_bytes)
     for part in parts:
-        shared = spark.sparkContext.broadcast(part.toArrow())
-        found = cols.mapInArrow(_kernel(shared, dim, weight, picks, schema.names), schema)
+        asked = part.toArrow()
+        shared = spark.sparkContext.broadcast(asked)
+        dotted = may_meet_shorter(t for ts in asked.column("toks").to_pylist() for t in ts or ())
+        own = cols if cols is not None else _words(index, dim, dotted)
+        found = own.mapInArrow(_kernel(shared, dim, weight, picks, schema.names), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -190,24 +236,19 @@ def _order(score: str) -> list[Column]:
     return [F.col(score).desc(), F.col("doc_id"), F.col("chunk_index")]
 
 
-def _no_vectors(df: DataFrame, *cols: str | Column) -> DataFrame:
-    return df.select(*cols, keyword_set("text").alias("toks"), F.lit(None).cast("array<bigint>").alias("idx"),
-                     F.lit(None).cast("array<double>").alias("cnt"), F.lit(None).cast("double").alias("norm"))
-
-
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K,
                  query_col: str = "query_id", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """R2+R4: top-k chunks per query by keyword overlap over all chunks.
     Output: query_id, chunk_id, doc_id, chunk_index, score, rank."""
-    q = _no_vectors(queries, F.col(query_col).alias("query_id"))
-    c = _no_vectors(chunks, "chunk_id", "doc_id", "chunk_index")
-    found = score_blocks(q, c, (("kw", max(k, 1)),), 0.0, 0, max_query_bytes)
+    q = queries.select(F.col(query_col).alias("query_id"), keyword_set("text").alias("toks"), F.lit(None).cast("array<bigint>").alias("idx"),
+                       F.lit(None).cast("array<double>").alias("cnt"), F.lit(None).cast("double").alias("norm"))
+    found = score_blocks(q, chunks, (("kw", max(k, 1)),), 0.0, 0, max_query_bytes)
     found = found.select("query_id", "chunk_id", "doc_id", "chunk_index", F.col("kw_score").alias("score"))
     return topk_per_group(found, ["query_id"], _order("score"), k)
 
 
-def _with_tokens(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select(*cols, keyword_set("text").alias("toks"), "idx", "cnt", "norm")
+def _with_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", keyword_set("text").alias("toks"), "idx", "cnt", "norm")
 
 
 def blended_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
@@ -219,9 +260,7 @@ def blended_topk(queries: DataFrame, index: DataFrame, k: int = DEFAULT_TOP_K,
     cnt, norm (embedding.embed_md5_vectors). Output: query_id, chunk_id, doc_id, chunk_index,
     vec_score, kw_score, score, rank."""
     check_vector_weight(vector_weight)
-    found = score_blocks(_with_tokens(queries, "query_id"),
-                         _with_tokens(index, "chunk_id", "doc_id", "chunk_index"),
-                         (("score", k),), vector_weight, dim, max_query_bytes)
+    found = score_blocks(_with_tokens(queries), index, (("score", k),), vector_weight, dim, max_query_bytes)
     return topk_per_group(found, ["query_id"], _order("score"), k)
 
 
@@ -240,9 +279,7 @@ def _candidates(queries: DataFrame, index: DataFrame, k: int, vector_weight: flo
     """The top ``2k`` of each query by vector and the matching top ``2k`` by keyword, with all scores."""
     check_vector_weight(vector_weight)
     depth = 2 * k
-    found = score_blocks(_with_tokens(queries, "query_id"),
-                         _with_tokens(index, "chunk_id", "doc_id", "chunk_index"),
-                         (("vec", depth), ("kw", depth)), vector_weight, dim, max_query_bytes)
+    found = score_blocks(_with_tokens(queries), index, (("vec", depth), ("kw", depth)), vector_weight, dim, max_query_bytes)
     ranked = found.select("*", *(F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(c))).alias(r)
                                  for c, r in (("vec_score", "_v"), ("kw_score", "_k"))))
     return ranked.where((F.col("_v") <= depth) | ((F.col("_k") <= depth) & (F.col("kw_score") > 0))).drop("_v", "_k")
